@@ -10,7 +10,23 @@ from ..functions import fixed, text as tx
 def clean_text(
     content: DataFrame, text_col: str = "extracted_text", method_col: str = "extraction_method"
 ) -> DataFrame:
-    return content.withColumn("clean_text", tx.clean_text(F.col(text_col), F.col(method_col)))
+    """Add ``clean_text``: encoding, HTML, OCR noise, NFC, boilerplate, whitespace.
+
+    HTML is parsed only for direct and generic reads that contain a tag, OCR
+    noise is removed only from recognised text.  '' for null or empty input.
+    Each step is a column of its own, so none is evaluated twice.
+    """
+    method = F.lower(F.coalesce(method_col, F.lit("")))
+    text = F.col("_text")
+    is_html = method.rlike("unstructured|plain_text_read") & text.rlike(fixed.HTML_TAG_PATTERN)
+    return (
+        content.withColumn("_text", tx.fix_encoding(F.col(text_col)))
+        .withColumn("_text", F.coalesce(tx.strip_html(F.when(is_html, text)), text))
+        .withColumn("_text", F.when(method.contains("ocr"), tx.remove_ocr_noise(text)).otherwise(text))
+        .withColumn("_text", tx.normalize_unicode(text))
+        .withColumn("clean_text", F.coalesce(tx.normalize_whitespace(tx.remove_boilerplate(text)), F.lit("")))
+        .drop("_text")
+    )
 
 
 def reuse_clean_by_hash(content: DataFrame) -> DataFrame:
@@ -60,7 +76,7 @@ def _paragraphs(text: Column) -> Column:
 
 
 def packed_paragraphs(
-    text: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
+    paragraphs: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
     min_words: int = fixed.CHUNK_MIN_WORDS,
 ) -> Column:
     """Greedy packing of paragraphs, folded in order inside the row.
@@ -100,22 +116,43 @@ def packed_paragraphs(
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("done"), empty.alias("current"))
     return F.aggregate(
-        F.transform(_paragraphs(text), tx.words), start, add,
+        F.transform(paragraphs, tx.words), start, add,
         lambda acc: flushed(acc["done"], acc["current"]),
     )
 
 
-def chunk_array(
-    text: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
-    min_words: int = fixed.CHUNK_MIN_WORDS,
-) -> Column:
-    """Chunks of one cleaned text, as an array of strings."""
-    words = tx.words(text)
-    short = F.when(F.size(words) >= min_words, F.array(text)).otherwise(F.array().cast("array<string>"))
+def _with_chunks(
+    cleaned: DataFrame, size: int, overlap: int, min_words: int, paragraphs: bool = True
+) -> DataFrame:
+    """Add ``_chunks``: the chunks of ``clean_text`` as an array.
+
+    Words and paragraphs are columns of their own and only evaluated once.
+    """
+    text, words = F.col("clean_text"), F.col("_words")
+    none = F.array().cast("array<string>")
+    long = F.size(words) > size
+    rows = cleaned.withColumn("_words", tx.words(text))
+    packed = none
+    if paragraphs:
+        rows = rows.withColumn("_paragraphs", F.when(long & text.rlike(r"\n\s*\n"), _paragraphs(text)))
+        rows = rows.withColumn("_packed", F.when(
+            F.size("_paragraphs") > 1, packed_paragraphs(F.col("_paragraphs"), size, overlap, min_words)))
+        packed = F.coalesce("_packed", none)
+    short = F.when(F.size(words) >= min_words, F.array(text)).otherwise(none)
     sliding = sliding_windows(words, size, overlap, min_words)
-    packed = packed_paragraphs(text, size, overlap, min_words)
-    long = F.when((F.size(_paragraphs(text)) > 1) & (F.size(packed) > 0), packed).otherwise(sliding)
-    return F.when(F.size(words) <= size, short).otherwise(long)
+    return rows.withColumn(
+        "_chunks", F.when(~long, short).when(F.size(packed) > 0, packed).otherwise(sliding)
+    ).drop("_words", "_paragraphs", "_packed")
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """(file_id, chunk_index, chunk_text).
+
+    The outer form keeps Spark from testing the array in a filter that it would
+    push down, evaluating all the cleaning and chunking a second time.
+    """
+    return rows.select("file_id", F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text")).filter(
+        "chunk_index IS NOT NULL")
 
 
 def chunk_sliding(
@@ -123,12 +160,8 @@ def chunk_sliding(
     min_words: int = fixed.CHUNK_MIN_WORDS,
 ) -> DataFrame:
     """One row per window of every text, without regard to paragraphs."""
-    words = tx.words(F.col("clean_text"))
-    chunks = F.when(F.size(words) <= size,
-                    F.when(F.size(words) >= min_words, F.array("clean_text"))
-                    .otherwise(F.array().cast("array<string>"))
-                    ).otherwise(sliding_windows(words, size, overlap, min_words))
-    return cleaned.select("file_id", F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    rows = _with_chunks(cleaned, size, overlap, min_words, paragraphs=False)
+    return _exploded(rows.select("file_id", "_chunks"))
 
 
 def chunk_paragraphs(
@@ -136,10 +169,10 @@ def chunk_paragraphs(
     min_words: int = fixed.CHUNK_MIN_WORDS,
 ) -> DataFrame:
     """One row per packed chunk of every text of more than ``size`` words and one paragraph."""
-    text = F.col("clean_text")
-    eligible = cleaned.filter((F.size(tx.words(text)) > size) & (F.size(_paragraphs(text)) > 1))
-    chunks = packed_paragraphs(text, size, overlap, min_words)
-    return eligible.select("file_id", F.posexplode(chunks).alias("chunk_index", "chunk_text"))
+    rows = cleaned.filter(F.size(tx.words(F.col("clean_text"))) > size)
+    rows = rows.withColumn("_paragraphs", _paragraphs(F.col("clean_text"))).filter(F.size("_paragraphs") > 1)
+    chunks = packed_paragraphs(F.col("_paragraphs"), size, overlap, min_words)
+    return _exploded(rows.select("file_id", chunks.alias("_chunks")))
 
 
 CHUNK_COLUMNS = (
@@ -165,17 +198,16 @@ def chunk_documents(
         "clean_status",
         F.when(skipped, "SKIPPED").when(F.col("clean_text") == "", "FAILED").otherwise("SUCCESS"),
     )
-    chunks = chunk_array(F.col("clean_text"), chunk_size, overlap, min_words)
-    whole = F.array("clean_text")
-    good = F.col("clean_status") == "SUCCESS"
-    chunked = cleaned.withColumn(
+    good, chunks = F.col("clean_status") == "SUCCESS", F.col("_chunks")
+    chunked = _with_chunks(cleaned, chunk_size, overlap, min_words).withColumn(
         "_chunks",
-        F.when(~good, F.array(F.lit(""))).when(F.size(chunks) > 0, chunks).otherwise(whole),
+        F.when(~good, F.array(F.lit(""))).when(F.size(chunks) > 0, chunks).otherwise(F.array("clean_text")),
     )
     exploded = chunked.select(
         F.col("id").alias("extracted_content_id"), "file_id", "language_hint", "phase1_status",
         "clean_status", F.when(good, F.size("_chunks")).otherwise(0).cast("long").alias("chunk_total"),
-        F.posexplode("_chunks").alias("chunk_index", "clean_text"),
+        # outer: an inferred filter on the array would repeat all work above it
+        F.posexplode_outer("_chunks").alias("chunk_index", "clean_text"),
     )
     hint = tx.strip(F.coalesce("language_hint", F.lit("")))
     text = F.col("clean_text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -143,10 +145,11 @@ def attribution_shapley(rows: DataFrame, model: RandomForestClassificationModel)
     their corpus mean.  A file's 512 mixed rows are scored and folded into nine
     weighted sums; the sums are partial aggregates, so no shuffle carries them all.
     """
-    from math import factorial
-
     n = len(fixed.SIGNALS)
-    filled = rows.fillna(0.0, list(fixed.SIGNALS))
+    # each row grows to 512; a fixed number of parts keeps that work spread, and
+    # the sums below find their rows already placed by file
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = rows.fillna(0.0, list(fixed.SIGNALS)).repartition(parts, "file_id")
     means = filled.agg(F.array(*[F.avg(s) for s in fixed.SIGNALS])).scalar()
     weight = [factorial(k) * factorial(n - k - 1) / factorial(n) for k in range(n)]
     weight_of = F.array(*[F.lit(w) for w in weight])
@@ -175,3 +178,20 @@ def attribution_shapley(rows: DataFrame, model: RandomForestClassificationModel)
         for i in range(n)
     ]
     return rows.join(values.select("file_id", F.array(*per_signal).alias("attribution")), "file_id")
+
+
+SHAPLEY_FILES = 50_000  # fixed value
+
+
+def attributions(
+    rows: DataFrame, model: RandomForestClassificationModel | None, shapley_files: int = SHAPLEY_FILES
+) -> DataFrame:
+    """Shapley values for the best-scored files, the proxy for all others.
+
+    Without a model every file gets the proxy.
+    """
+    if model is None:
+        return attribution_proxy(rows)
+    best = rows.orderBy(F.desc("importance_score"), "file_id").limit(shapley_files)
+    rest = rows.join(best.select("file_id"), "file_id", "left_anti")
+    return attribution_shapley(best, model).unionByName(attribution_proxy(rest))

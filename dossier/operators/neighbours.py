@@ -96,7 +96,7 @@ def tiles(cells: DataFrame, block_rows: int) -> DataFrame:
     met = F.transform(visitors_all, lambda v: tile("visit", v, F.col("_mine")))
     return (
         cells.join(sizes, "cell").withColumn("_mine", mine)
-        .withColumn("_tile", F.explode(F.when(F.col("visitor"), as_visitor).otherwise(F.concat(among, met))))
+        .withColumn("_tile", F.explode_outer(F.when(F.col("visitor"), as_visitor).otherwise(F.concat(among, met))))
         .select("*", F.col("_tile.kind").alias("kind"), F.col("_tile.a").alias("a"), F.col("_tile.b").alias("b"))
         .drop("_tile", "_rs", "_vs")
     )

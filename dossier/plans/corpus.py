@@ -43,22 +43,36 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A text table; one too small to fill the cores is spread over them.
+
+        Text work is CPU-bound.  A table of many files already has more
+        partitions than cores and is left as it is.
+        """
+        rows = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     # --- inventory -----------------------------------------------------------
-    @property
-    def raw_files(self) -> DataFrame:
+    def _listed(self, documents: DataFrame) -> DataFrame:
+        """Documents as scanned files; the text stays alongside until pruned."""
         d = F.col("doc_id")
         ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (d % len(EXTENSIONS) + 1).cast("int"))
         modified = _days("2020-01-01 00:00:00", (d * 37) % 2190)
-        return self.table("documents").select(
+        return documents.select(
             d.alias("file_id"),
             F.concat(F.lit("/root/"), "source", F.lit("/"), "lang", F.lit("/doc_"), d.cast("string"), ext).alias("path"),
             F.when(d % 97 == 0, F.lit(0)).otherwise(F.octet_length("text")).cast("long").alias("size_bytes"),
             F.when(d % 89 == 0, "error_locked").otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("hash"),
             modified.alias("created_time"), modified.alias("modified_time"),
             F.when(d % 11 != 0, modified + F.make_dt_interval((d % 50).cast("int"))).alias("access_time"),
-            F.lit("").alias("source_archive"),
+            F.lit("").alias("source_archive"), "text", "lang",
         )
 
+    @property
+    def raw_files(self) -> DataFrame:
+        return self._listed(self.table("documents")).drop("text", "lang")
+
     @property
     def all_files(self) -> DataFrame:
         return inventory.inventory_row(self.raw_files)
@@ -70,14 +84,11 @@ class Corpus:
     # --- extraction ----------------------------------------------------------
     @property
     def raw_content(self) -> DataFrame:
-        routed = extract.extraction_route(self.all_files).select(
-            F.col("file_id").alias("doc_id"), "extension", "category", "status", "is_empty", "source_archive",
-            "hash", "route", "path",
-        )
-        texts = self.table("documents").select("doc_id", "text", "lang")
-        d = F.col("doc_id")
-        return routed.join(texts, "doc_id").select(
-            d.alias("id"), d.alias("file_id"), "path", "extension", "category", "is_empty", "source_archive", "hash",
+        """What the extractors would have read: text, method and language per file."""
+        listed = inventory.inventory_row(self._listed(self.texts("documents")))
+        d = F.col("file_id")
+        return extract.extraction_route(listed).select(
+            d.alias("id"), d, "path", "extension", "category", "is_empty", "source_archive", "hash",
             F.col("text").alias("extracted_text"),
             F.when(F.col("route") == "skip", "SKIPPED").when(F.col("extension") == ".png", "tesseract_ocr")
             .otherwise("plain_text_read").alias("extraction_method"),
@@ -91,8 +102,8 @@ class Corpus:
 
     @property
     def content(self) -> DataFrame:
-        kept = self.all_content.join(self.files.select("file_id"), "file_id", "left_semi")
-        return extract.extraction_filter(kept)[0]
+        kept = inventory.quarantine_split(self.raw_content)[0]
+        return extract.extraction_filter(extract.extract_content(kept))[0]
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -247,7 +258,7 @@ class Corpus:
 
     @property
     def questions(self) -> DataFrame:
-        asked = self.table("conversations").filter("role = 'user'").select(
+        asked = self.texts("conversations").filter("role = 'user'").select(
             F.concat_ws("_", "conv_id", "turn").alias("query_id"), "text")
         return vectors.embed_text(asked, "text").select("query_id", "vector")
 
