@@ -31,9 +31,26 @@ def weak_signals(rows: DataFrame, n: int = 4) -> DataFrame:
     return rows.withColumn("weak_signals", _ranked(False, n))
 
 
+def one_decimal(x: Column) -> Column:
+    """x to one decimal as printed numbers are rounded: by exact value, ties to even.
+
+    10x is taken as 8x + 2x with the rounding error of that sum, so a score
+    such as 42.45 goes the way its stored value lies.
+    """
+    a, b = x * 8, x * 2
+    tenfold = a + b
+    rest = tenfold - a
+    error = (a - (tenfold - rest)) + (b - rest)
+    base = F.floor(tenfold)
+    part = tenfold - base
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (base % 2 == 1))))
+    return (base + F.when(up, 1).otherwise(0)) / F.lit(10.0)
+
+
 def _lines(entries: Column, word: str) -> Column:
     return F.array_join(F.transform(entries, lambda s: F.concat(
-        F.lit("  - "), s["label"], F.format_string(f": %.2f ({word}: %.3f)", s["value"], s["shap"])
+        F.lit("  - "), s["label"],
+        F.format_string(f": %.2f ({word}: %.3f)", F.bround(s["value"], 2), F.bround(s["shap"], 3))
     )), "\n")
 
 
@@ -42,7 +59,7 @@ def explanation_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", F.concat(
         F.lit("File: "), F.coalesce("name", F.lit("unknown")),
         F.lit("\nType: "), F.coalesce("ext", F.lit("unknown")),
-        F.format_string("\nScore: %.1f/100", F.coalesce("importance_score", F.lit(0.0))),
+        F.format_string("\nScore: %.1f/100", one_decimal(F.coalesce("importance_score", F.lit(0.0)))),
         F.lit("\nDecision: "), F.coalesce("label", F.lit("REVIEW")),
         F.lit("\nTop contributing signals:\n"), _lines(F.col("top_signals"), "impact"),
         F.lit("\nWeakest signals:\n"), _lines(F.col("weak_signals"), "low impact"),
@@ -106,7 +123,7 @@ def template_explanation(rows: DataFrame) -> DataFrame:
     keep_text = F.concat(
         subject, F.lit(" scored "), shown, F.lit("/100 indicating "), tier,
         F.lit(" importance to the organization. The most influential factor was "), top_name,
-        F.format_string(" (value: %.2f).", top["value"]),
+        F.format_string(" (value: %.2f).", F.bround(top["value"], 2)),
     )
     delete_tip = F.concat(
         F.lit("To move out of DELETE_CANDIDATE, focus on the weakest signals: "), weakest,
@@ -175,10 +192,11 @@ def explanation_fallback_view(rows: DataFrame) -> DataFrame:
                   for i in (1, 2, 3)]),
         lambda s: s["label"].isNotNull() & s["value"].isNotNull(),
     )
-    # equal values keep the order of the signal names
+    # equal values: shorter names first, as stored objects order their keys
     by_value = F.transform(
         F.slice(F.array_sort(
-            F.transform(F.map_entries("shap_json"), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k")))
+            F.transform(F.map_entries("shap_json"), lambda e: F.struct(
+                (-e["value"]).alias("v"), F.char_length(e["key"]).alias("n"), e["key"].alias("k")))
         ), 1, 3),
         lambda s: F.struct(_title(s["k"]).alias("label"), F.least(F.lit(1.0), -s["v"]).alias("value")),
     )

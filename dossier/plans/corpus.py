@@ -77,9 +77,9 @@ class Corpus:
     def all_files(self) -> DataFrame:
         return inventory.inventory_row(self.raw_files)
 
-    @property
+    @cached_property
     def files(self) -> DataFrame:
-        return inventory.quarantine_split(self.all_files)[0]
+        return written(inventory.quarantine_split(self.all_files)[0], "files")
 
     # --- extraction ----------------------------------------------------------
     @property
@@ -100,10 +100,10 @@ class Corpus:
     def all_content(self) -> DataFrame:
         return extract.extract_content(self.raw_content)
 
-    @property
+    @cached_property
     def content(self) -> DataFrame:
         kept = inventory.quarantine_split(self.raw_content)[0]
-        return extract.extraction_filter(extract.extract_content(kept))[0]
+        return written(extract.extraction_filter(extract.extract_content(kept))[0], "content")
 
     @cached_property
     def chunks(self) -> DataFrame:

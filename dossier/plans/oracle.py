@@ -468,10 +468,6 @@ _oracle("chunk_counts_per_path", "chunks files", """
  SELECT path, count(*) AS chunk_count FROM chunks JOIN files USING (file_id) GROUP BY path""")
 
 
-def _vector_text(vector: str) -> str:
-    return f"array_to_string(list_transform({vector}, lambda v: printf('%.6f', v + 0)), ',')"
-
-
 _oracle("label_counts", "scores", _COUNTS)
 _oracle("score_distribution", "scores", """
  SELECT round(avg(importance_score), 2) AS mean, round(median(importance_score), 2) AS median,
@@ -595,7 +591,17 @@ _CHUNKS = """SELECT chunk_id, file_id, chunk_index, chunk_total, clean_char_coun
 _oracle("chunk_documents", "chunks", _CHUNKS)
 _oracle("stream_ingest", "chunks", _CHUNKS)
 _oracle("detect_language", "", f"SELECT doc_id, {_language('text')} AS language FROM documents")
-_UNIT = "list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y))))"
+
+
+def _long(key: str, array: str, source: str) -> str:
+    return (f"SELECT {key}, generate_subscripts({array}, 1) - 1 AS position, "
+            f"round(unnest({array}), 6) AS value FROM {source}")
+
+
+_oracle("vector_normalize", "vectors", _long("chunk_id", "unit", """(SELECT chunk_id,
+ list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) AS unit FROM vectors)"""))
+_oracle("file_embedding_mean", "file_vectors", _long("file_id", "vector", "file_vectors"))
+_oracle("attribution_proxy", "ranked", _long("file_id", "attribution", "ranked"))
 _oracle("semantic_search", "scored search_meta", """
  SELECT s.chunk_id, s.file_id, round(score, 6) AS score, name, language FROM scored s JOIN search_meta m USING (chunk_id)
  WHERE language = 'en' ORDER BY scored_rank LIMIT 20""".replace("ORDER BY scored_rank", "ORDER BY s.score DESC, s.chunk_id"))
@@ -634,7 +640,8 @@ _oracle("llm_rating_batch", "score_input dup_paths chunks", rf"""
  WHERE extracted_words > 20 AND path NOT IN (SELECT path FROM dup_paths)""")
 _oracle("llm_rating_applied", "files", """
  SELECT file_id, coalesce((least(greatest(quality * 3 + toxic * 7, 1), 5) - 1) / 4.0::DOUBLE, 0.2::DOUBLE) AS s_llm_quality
- FROM files LEFT JOIN labels ON doc_id = file_id""")
+ FROM files LEFT JOIN labels ON doc_id = file_id""".replace(
+    "coalesce((", "CASE WHEN doc_id IS NULL THEN 0.2::DOUBLE ELSE (").replace(" / 4.0::DOUBLE, 0.2::DOUBLE) AS", " / 4.0::DOUBLE END AS"))
 _oracle("signals", "signals", "SELECT file_id, " + ", ".join(f"round({s}, 6) AS {s}" for s in fixed.SIGNALS) + " FROM signals")
 _oracle("boot_score", "boot", "SELECT file_id, round(boot_score, 6) AS boot_score FROM boot")
 _oracle("boot_label", "boot", f"SELECT file_id, {_LABEL} AS boot_label FROM boot")
@@ -646,6 +653,27 @@ _oracle("score_with_model", "signals", """
 _oracle("top_signals", "ranked", "SELECT file_id, array_to_string(list_transform(top, lambda s: s.signal), ',') AS signals FROM ranked")
 _oracle("weak_signals", "ranked", "SELECT file_id, array_to_string(list_transform(weak, lambda s: s.signal), ',') AS signals FROM ranked")
 _oracle("template_explanation", "explained", "SELECT file_id, explanation_text, counterfactual_tip FROM explained")
+_LINES = """array_to_string(list_transform({0}, lambda s: '  - ' || s.label || ': ' || printf('%.2f', s.value) || ' ({1}: ' || printf('%.3f', s.shap) || ')'), chr(10))"""
+_oracle("explanation_prompt", "ranked", f"""
+ SELECT file_id, 'File: ' || name || chr(10) || 'Type: ' || ext || chr(10) || 'Score: ' || printf('%.1f', importance_score) || '/100' || chr(10)
+  || 'Decision: ' || label || chr(10) || 'Top contributing signals:' || chr(10) || {_LINES.format('top', 'impact')} || chr(10)
+  || 'Weakest signals:' || chr(10) || {_LINES.format('weak', 'low impact')} AS prompt FROM ranked""")
+_oracle("build_explanations", "ranked", "SELECT file_id, path, name, label, importance_score, "
+        + ", ".join(f"top[{i}].signal AS top_signal_{i}, round(top[{i}].value, 6) AS top_signal_{i}_value, "
+                    f"round(top[{i}].shap, 6) AS top_signal_{i}_shap" for i in (1, 2, 3))
+        + ", confidence, 'template' AS explanation_method, "
+        + ", ".join(f"round(attribution[{i + 1}], 6) AS shap_{s}" for i, s in enumerate(fixed.SIGNALS)) + " FROM ranked")
+_TITLES = ", ".join("'" + s.replace("_", " ").title() + "'" for s in fixed.SIGNALS)
+_oracle("explanation_fallback_view", "explained", f"""
+ SELECT file_id, CASE WHEN file_id % 2 = 1 THEN explanation_text ELSE 'This file is labeled ' || label || ' with an importance score of '
+   || regexp_replace(importance_score::VARCHAR, '[.]0$', '') || '. The strongest signals are ' || array_to_string(leading_names, ', ') || '.' END AS text,
+  CASE WHEN file_id % 2 = 1 THEN counterfactual_tip
+   ELSE 'Use this explanation to decide whether the file should be kept, archived, or reviewed.' END AS tip,
+  array_to_string(CASE WHEN file_id % 2 = 1 THEN list_transform(top, lambda s: s.signal) ELSE leading_names END, ',') AS top3,
+  round(CASE WHEN file_id % 2 = 1 THEN confidence ELSE least(greatest(importance_score / 100, 0.05), 1) END, 6) AS confidence,
+  file_id % 2 = 1 AS has_real_confidence
+ FROM (SELECT *, list_transform(list_sort(list_transform(range(1, 10), lambda i: {{'v': -attribution[i], 'n': length(([{_quoted(fixed.SIGNALS)}])[i]),
+  'k': ([{_quoted(fixed.SIGNALS)}])[i], 't': ([{_TITLES}])[i]}}))[1:3], lambda e: e.t) AS leading_names FROM explained)""")
 _oracle("llm_sampling_gate", "ranked", """
  SELECT file_id, label, CASE label WHEN 'KEEP' THEN ('0x' || substring(md5(file_id::VARCHAR), 1, 8))::BIGINT % 100 < 40
   WHEN 'DELETE_CANDIDATE' THEN confidence <= 0.55 ELSE false END AS use_llm FROM ranked""")

@@ -42,9 +42,9 @@ def query(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]
     return build
 
 
-def _array_text(values: Column, digits: int = 6) -> Column:
-    """An array of doubles as text, for comparing."""
-    return F.array_join(F.transform(values, lambda v: F.format_string(f"%.{digits}f", v + F.lit(0.0))), ",")
+def _long(frame: DataFrame, key: str, array: str) -> DataFrame:
+    """An array column as rows (key, position, value)."""
+    return frame.select(key, F.posexplode_outer(array).alias("position", "value"))
 
 
 def _scratch(c: Corpus, name: str) -> str:
@@ -343,7 +343,7 @@ def chunk_counts_per_path(c):
 
 @query
 def file_embedding_mean(c):
-    return c.file_vectors.select("file_id", _array_text(F.col("vector")).alias("vector"))
+    return _long(c.file_vectors, "file_id", "vector")
 
 
 @query
@@ -593,7 +593,7 @@ def embed_truncate(c):
 # --- vectors -----------------------------------------------------------------
 @query
 def vector_normalize(c):
-    return vectors.vector_normalize(c.vectors).select("chunk_id", _array_text(F.col("vector")).alias("vector"))
+    return _long(vectors.vector_normalize(c.vectors), "chunk_id", "vector")
 
 
 @query
@@ -766,13 +766,12 @@ def feature_importance(c):
 
 @query
 def attribution_proxy(c):
-    return model.attribution_proxy(c.scores).select("file_id", _array_text(F.col("attribution")).alias("attribution"))
+    return _long(model.attribution_proxy(c.scores), "file_id", "attribution")
 
 
 @query
 def attribution_shapley(c):
-    return model.attributions(c.scores, c.forest(5, 5)).select(
-        "file_id", _array_text(F.col("attribution")).alias("attribution"))
+    return _long(model.attributions(c.scores, c.forest(5, 5)), "file_id", "attribution")
 
 
 def _entry_text(entries: Column) -> Column:
@@ -813,7 +812,8 @@ def template_explanation(c):
 @query
 def build_explanations(c):
     rows = explain.build_explanations(c.attributed)
-    return rows.withColumn("shap_json", F.to_json("shap_json")).drop("explanation_text", "counterfactual_tip")
+    shares = [F.element_at("shap_json", F.lit(s)).alias(f"shap_{s}") for s in fixed.SIGNALS]
+    return rows.select("*", *shares).drop("shap_json", "explanation_text", "counterfactual_tip")
 
 
 @query
