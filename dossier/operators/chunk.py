@@ -76,49 +76,45 @@ def _paragraphs(text: Column) -> Column:
 
 
 def packed_paragraphs(
-    paragraphs: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
+    words: Column, paragraphs: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
     min_words: int = fixed.CHUNK_MIN_WORDS,
 ) -> Column:
     """Greedy packing of paragraphs, folded in order inside the row.
 
     A paragraph that would overflow closes the chunk; the next one starts with
     the last ``overlap`` words.  A paragraph longer than ``size`` is windowed.
+    Every chunk is a run of consecutive words, so the fold carries only word
+    positions and the texts are cut at the end.
     """
     overlap = min(overlap, size - 1)
-
-    def tail(ws: Column) -> Column:
-        if overlap == 0:
-            return F.slice(ws, 1, 0)
-        keep = F.least(F.size(ws), F.lit(overlap))
-        return F.slice(ws, F.size(ws) - keep + 1, keep)
-
-    def flushed(done: Column, current: Column) -> Column:
-        closed = F.concat(done, F.array(F.array_join(current, " ")))
-        return F.when(F.size(current) >= min_words, closed).otherwise(done)
-
-    def add(acc: Column, para: Column) -> Column:
-        done, current = acc["done"], acc["current"]
-        oversize = F.size(para) > size
-        overflow = F.size(current) + F.size(para) > size
-        next_done = (
-            F.when(oversize, F.concat(flushed(done, current),
-                                      sliding_windows(para, size, overlap, min_words, early_stop=False)))
-            .when(overflow, flushed(done, current))
-            .otherwise(done)
-        )
-        next_current = (
-            F.when(oversize, tail(para))
-            .when(overflow, F.concat(tail(current), para))
-            .otherwise(F.concat(current, para))
-        )
-        return F.struct(next_done.alias("done"), next_current.alias("current"))
-
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), empty.alias("current"))
-    return F.aggregate(
-        F.transform(paragraphs, tx.words), start, add,
-        lambda acc: flushed(acc["done"], acc["current"]),
+    span = "array<struct<first:int,length:int>>"
+    none = F.array().cast(span)
+
+    def run(first: Column, length: Column) -> Column:
+        one = F.array(F.struct(first.cast("int").alias("first"), length.cast("int").alias("length")))
+        return F.when(length >= min_words, one).otherwise(none)
+
+    def windows(first: Column, length: Column) -> Column:
+        starts = F.sequence(F.lit(0), length - 1, F.lit(size - overlap))
+        return F.flatten(F.transform(starts, lambda at: run(first + at, F.least(length - at, F.lit(size)))))
+
+    def add(acc: Column, count: Column) -> Column:
+        first, end = acc["first"], acc["end"]
+        held = end - first
+        oversize, overflow = count > size, held + count > size
+        closed = F.when(oversize, F.concat(run(first, held), windows(end, count))).when(
+            overflow, run(first, held)).otherwise(none)
+        start = F.when(oversize, end + count - overlap).when(
+            overflow, F.greatest(first, end - overlap)).otherwise(first)
+        return F.struct(
+            F.concat(acc["runs"], closed).alias("runs"), start.alias("first"), (end + count).alias("end"))
+
+    start = F.struct(none.alias("runs"), F.lit(0).alias("first"), F.lit(0).alias("end"))
+    runs = F.aggregate(
+        F.transform(paragraphs, lambda p: F.size(tx.words(p))), start, add,
+        lambda acc: F.concat(acc["runs"], run(acc["first"], acc["end"] - acc["first"])),
     )
+    return F.transform(runs, lambda r: F.array_join(F.slice(words, r["first"] + 1, r["length"]), " "))
 
 
 def _with_chunks(
@@ -136,7 +132,7 @@ def _with_chunks(
     if paragraphs:
         rows = rows.withColumn("_paragraphs", F.when(long & text.rlike(r"\n\s*\n"), _paragraphs(text)))
         rows = rows.withColumn("_packed", F.when(
-            F.size("_paragraphs") > 1, packed_paragraphs(F.col("_paragraphs"), size, overlap, min_words)))
+            F.size("_paragraphs") > 1, packed_paragraphs(words, F.col("_paragraphs"), size, overlap, min_words)))
         packed = F.coalesce("_packed", none)
     short = F.when(F.size(words) >= min_words, F.array(text)).otherwise(none)
     sliding = sliding_windows(words, size, overlap, min_words)
@@ -169,10 +165,11 @@ def chunk_paragraphs(
     min_words: int = fixed.CHUNK_MIN_WORDS,
 ) -> DataFrame:
     """One row per packed chunk of every text of more than ``size`` words and one paragraph."""
-    rows = cleaned.filter(F.size(tx.words(F.col("clean_text"))) > size)
-    rows = rows.withColumn("_paragraphs", _paragraphs(F.col("clean_text"))).filter(F.size("_paragraphs") > 1)
-    chunks = packed_paragraphs(F.col("_paragraphs"), size, overlap, min_words)
-    return _exploded(rows.select("file_id", chunks.alias("_chunks")))
+    text, words = F.col("clean_text"), F.col("_words")
+    rows = cleaned.withColumn("_words", tx.words(text))
+    rows = rows.withColumn("_paragraphs", F.when(F.size(words) > size, _paragraphs(text)))
+    packed = packed_paragraphs(words, F.col("_paragraphs"), size, overlap, min_words)
+    return _exploded(rows.select("file_id", F.when(F.size("_paragraphs") > 1, packed).alias("_chunks")))
 
 
 CHUNK_COLUMNS = (
