@@ -160,28 +160,65 @@ def _compare_tile(threshold: float, accept: Callable | None = None, strip: int =
 def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """A bounded, repeatable sample of vectors (at most ``count`` rows)."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").collect()
-    return unit_rows(np.asarray([r["vector"] for r in rows], dtype=np.float64))
+    return unit_rows(np.asarray([r["vector"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
 
 
-def _assign_cells(vectors: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+def _nearest(batch: pa.RecordBatch, pivots: np.ndarray):
+    """Cosine to every pivot and the index of the nearest one, per row."""
+    cosine = unit_rows(as_matrix(batch.column("vector"))) @ pivots.T
+    return cosine, cosine.argmax(axis=1)
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _measured(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots that have residents, widest cell first, and each cell's angular radius.
+
+    One row per pivot comes back to the driver; pivots are bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest = np.full(len(pivots), -1.0)
+        for batch in batches:
+            if batch.num_rows:
+                cosine, home = _nearest(batch, pivots)
+                np.maximum.at(widest, home, _angle(cosine[np.arange(len(home)), home]))
+        used = np.flatnonzero(widest >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(widest[used])], names=["cell", "radius"])
+
+    radii = (
+        vectors.select("vector").mapInArrow(run, "cell long, radius double")
+        .groupBy("cell").agg(F.max("radius").alias("radius")).orderBy(F.desc("radius"), "cell").collect()
+    )
+    return pivots[[r["cell"] for r in radii]], np.asarray([r["radius"] for r in radii])
+
+
+def _assign_cells(
+    vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, threshold: float
+) -> DataFrame:
     """Give every vector its home cell and the later cells it must visit.
 
-    Exact pruning: if x is nearest to pivot i and y to pivot j, the distance of
-    x and y is at least that of x to the plane between i and j, which is
-    (cos(x,i) - cos(x,j)) / |i - j|.  Beyond the pair radius no visit is needed.
+    A visit is left out only when no partner can be there, by either bound:
+    - if x is nearest to pivot i and y to pivot j, their distance is at least
+      that of x to the plane between i and j, (cos(x,i) - cos(x,j)) / |i - j|;
+    - all residents of j lie within the cell's radius, so x must lie within
+      that radius plus the angle of the threshold.
+    Cells are ordered widest first: vectors visit the tighter of two cells.
     """
-    radius = np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+    reach = np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+    limits = np.cos(np.minimum(np.pi, radii + np.arccos(threshold) + 1e-6))
     spread = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            cosine = unit_rows(as_matrix(batch.column("vector"))) @ pivots.T
-            home = cosine.argmax(axis=1)
+            cosine, home = _nearest(batch, pivots)
             rows = np.arange(len(home))
             gap = cosine[rows, home][:, None] - cosine
-            visits = gap <= radius * spread[home] + 1e-6
+            visits = (gap <= reach * spread[home] + 1e-6) & (cosine >= limits[None, :] - 1e-9)
             visits &= np.arange(len(pivots))[None, :] > home[:, None]
             who, where = np.nonzero(visits)
             take = pa.array(np.concatenate([rows, who]))
@@ -205,7 +242,7 @@ def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     """All unordered pairs of (id, vector) rows with cosine >= threshold, each once.
 
     Rows fall to the cell of their nearest pivot; a pair is compared in the
-    later of its two cells only.  Pruning depends on how clustered the vectors
+    tighter of its two cells only.  Pruning depends on how clustered the vectors
     are; without any structure the work is that of a block-by-block product.
     """
     if not 0.0 < threshold <= 1.0:
@@ -214,7 +251,8 @@ def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     pivots = _pivots(vectors, cells)
     if len(pivots) == 0:
         return vectors.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    spread = tiles(_assign_cells(vectors, pivots, threshold), block_rows)
+    pivots, radii = _measured(vectors, pivots)
+    spread = tiles(_assign_cells(vectors, pivots, radii, threshold), block_rows)
     return _by_tile(spread, TILE_KEYS, _compare_tile(threshold), PAIR_SCHEMA)
 
 
