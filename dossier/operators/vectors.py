@@ -8,6 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, vector as vx
+from ..functions.storage import written
 from . import neighbours
 
 EXACT_LIMIT = 500_000  # fixed value: vectors beyond which search becomes approximate
@@ -146,7 +147,7 @@ def near_duplicate_pairs(
     all of them in the other pairs.  ``auto`` turns to the approximate search
     above ``EXACT_LIMIT`` distinct vectors.
     """
-    distinct = distinct_vectors(vectors)
+    distinct = written(distinct_vectors(vectors), "distinct-vectors")  # read several times below
     if method == "auto":
         method = "exact" if distinct.count() <= EXACT_LIMIT else "lsh"
     if method == "exact":

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, rules, text as tx
 from ..operators import inventory
@@ -21,23 +22,34 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
 
 
+MAX_CONTENT = 2 ** 31 - 1  # Spark reads no longer file into one value
+
+
 def scan_inventory(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
     """Recursive inventory of ``root``.
 
-    The content column is read only when hashes are wanted.  Creation and
-    access times are not listed by file systems in general and stay null.
+    Content is read only when hashes are wanted; files too long for one value
+    get the code ``error_too_large``.  Creation and access times are not listed
+    by file systems in general and stay null.
     """
     raw = read_files(spark, root)
+    listed = raw.select("path", "length", "modificationTime")
+    if with_hash:
+        small = raw.filter(F.col("length") <= MAX_CONTENT).select(
+            "path", "length", "modificationTime", F.sha2("content", 256).alias("hash"))
+        large = listed.filter(F.col("length") > MAX_CONTENT).withColumn("hash", F.lit("error_too_large"))
+        hashed = small.unionByName(large)
+    else:
+        hashed = listed.withColumn("hash", F.lit(None).cast("string"))
     plain = F.regexp_replace("path", "^file:/*", "/")
-    digest = F.sha2("content", 256) if with_hash else F.lit(None).cast("string")
-    files = raw.select(
+    files = hashed.select(
         plain.alias("path"), F.col("length").alias("size_bytes"),
         F.lit(None).cast("timestamp_ntz").alias("created_time"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified_time"),
         F.lit(None).cast("timestamp_ntz").alias("access_time"),
-        digest.alias("hash"), F.lit("").alias("source_archive"),
+        "hash", F.lit("").alias("source_archive"),
     )
-    return inventory.inventory_row(files, root=root.replace("file://", ""))
+    return inventory.inventory_row(files, root=re.sub("^file:/*", "/", root))
 
 
 MEMBER_SCHEMA = (
@@ -63,33 +75,43 @@ def _zip_rows(path: str, content: bytes) -> Iterator[tuple]:
             yield path, info.filename, position, size, datetime(*info.date_time), digest, data
 
 
-def _expand_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def zip_members(archives: DataFrame, with_content: bool = True, batch_bytes: int = 1 << 25) -> DataFrame:
+    """One row per file inside each zip (path, content); unreadable archives give none.
+
+    Members go out in batches of about 32 MB, so a large archive is never held
+    unpacked as a whole.
+    """
     columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            for row in _zip_rows(path, content):
-                yield pd.DataFrame([row], columns=columns)
 
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                for row in _zip_rows(path, content):
+                    held += 256 + (len(row[-1]) if with_content else 0)
+                    rows.append(row if with_content else row[:-1] + (None,))
+                    if held >= batch_bytes:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-def zip_members(archives: DataFrame) -> DataFrame:
-    """One row per file inside each zip (path, content); unreadable archives give none."""
-    return archives.select("path", "content").mapInPandas(_expand_zips, MEMBER_SCHEMA)
+    return archives.select("path", "content").mapInPandas(expand, MEMBER_SCHEMA)
 
 
-def archive_members(archives: DataFrame, base_depth: Column | None = None) -> DataFrame:
+def archive_members(archives: DataFrame, base_depth: int = 0) -> DataFrame:
     """Inventory rows of zip members, path ``archive::inner``.
 
     Delete candidates and members of review categories are dropped.
     """
-    depth = F.lit(0) if base_depth is None else base_depth
-    members = zip_members(archives.withColumn("_depth", depth)).drop("content")
+    members = zip_members(archives, with_content=False)
     name = rules.file_name(F.regexp_replace("member", "/+$", ""))
     inner_folder = F.when(F.col("member").contains("/"), F.regexp_replace("member", "/[^/]+$", "")).otherwise(".")
     rows = members.select(
         F.concat_ws("::", "source_archive", "member").alias("path"),
         name.alias("name"), rules.stem(name).alias("stem"), rules.extension(name).alias("extension"),
         F.concat_ws("::", F.col("source_archive"), inner_folder).alias("folder"),
-        F.size(F.split("member", "/")).cast("long").alias("depth"),
+        (F.size(F.split("member", "/")) + base_depth).cast("long").alias("depth"),
         "size_bytes", F.round(F.col("size_bytes") / F.lit(1048576.0), 2).alias("size_mb"),
         (F.col("size_bytes") == 0).alias("is_empty"), "modified_time", "hash", "source_archive",
     )

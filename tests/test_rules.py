@@ -1,0 +1,339 @@
+"""Classification, redundancy, scoring and feedback on hand-written rows."""
+
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from dossier.functions import fixed, rules
+from dossier.operators import dedup, explain, extract, feedback, inventory, model, report, score, serve
+from dossier.sources import files as raw, tables
+
+
+@pytest.mark.parametrize("name,ext", [
+    ("a.pdf", ".pdf"), ("A.KEY", ".key"), (".bashrc", ""), ("noext", ""), ("a.tar.gz", ".gz"), ("x.", "")])
+def test_extension(spark, name, ext):
+    assert spark.createDataFrame([(name,)], "n string").select(rules.extension(F.col("n"))).first()[0] == ext
+
+
+@pytest.mark.parametrize("ext,size,category,status", [
+    (".key", 5, "Security", "KEEP"), (".KEY", 5, "Security", "REVIEW"), ("", 5, "Uncategorized", "REVIEW"),
+    (".md5", 5, "Data", "DELETE_CANDIDATE"), (".pdf", 0, "Document", "DELETE_CANDIDATE"), (".pdf", 9, "Document", "KEEP"),
+    (".zip", 9, "Archive", "ARCHIVE"), (".8bf", 9, "Image", "REVIEW"), (".24022014", 9, "Backup", "REVIEW"),
+    (".jspx", 9, "Code", "REVIEW"), (".unknown", 9, "Uncategorized", "REVIEW"),
+])
+def test_category_and_status(spark, ext, size, category, status):
+    rows = spark.createDataFrame([(ext, size)], "extension string, size_bytes long")
+    row = inventory.inventory_status(inventory.categorize_extension(rows)).first()
+    assert (row["category"], row["status"]) == (category, status)
+
+
+def test_own_mapping_overrides_and_extends(spark):
+    rows = spark.createDataFrame([(".pdf",), (".abc",), (".txt",)], "extension string")
+    own = spark.createDataFrame([(".abc", "Data"), (".pdf", "Image")], "extension string, category string")
+    got = {r[0]: r[1] for r in inventory.categorize_extension(rows, own).select("extension", "category").collect()}
+    assert got == {".pdf": "Image", ".abc": "Data", ".txt": "Document"}
+
+
+def test_no_extension_is_listed_twice():
+    listed = [e for group in fixed.CATEGORY_EXTENSIONS.values() for e in group.split()]
+    assert len(listed) == len(set(listed)) < 200
+
+
+@pytest.mark.parametrize("ext,category,route", [
+    (".tmp", "Temp", "skip"), (".bat", "Executable", "skip"), (".txt", "Document", "text"), (".tsv", "Spreadsheet", "csv"),
+    (".key", "Security", "text"), (".jar", "Code", "jar"), (".zip", "Archive", "archive"), (".7z", "Archive", "skip"),
+    (".class", "Code", "binary_strings"), (".reg", "Config", "text"), (".svg", "Image", "generic"), (".pages", "Document", "doc"),
+])
+def test_route(spark, ext, category, route):
+    rows = spark.createDataFrame([(ext, category)], "extension string, category string")
+    assert extract.extraction_route(rows).first()["route"] == route
+
+
+@pytest.mark.parametrize("text,method,ext,status", [
+    ("abc", "TIMEOUT", ".txt", "SKIPPED"), ("", "plain", ".txt", "FAILED"), (None, "plain", ".txt", "FAILED"),
+    ("x" * 19, "tesseract_ocr", ".png", "PARTIAL"), ("x" * 20, "tesseract_ocr", ".png", "SUCCESS"),
+    ("x" * 9, "pdf", ".pdf", "PARTIAL"), ("x", "plain", ".txt", "SUCCESS"),
+])
+def test_extraction_status(spark, text, method, ext, status):
+    rows = spark.createDataFrame([(text, method, ext)], "extracted_text string, extraction_method string, extension string")
+    assert extract.extraction_status(rows).first()["extraction_status"] == status
+
+
+def files(spark, rows):
+    return spark.createDataFrame(rows, "hash string, path string")
+
+
+def test_exact_groups(spark):
+    rows = [("h", "b"), ("h", "a"), ("h", "c"), ("h", "a"), (None, "x"), (None, "y"), ("error_permission", "p"),
+            ("error_permission", "q"), ("solo", "z"), ("twice", "same"), ("twice", "same")]
+    pairs = {tuple(r) for r in dedup.exact_duplicate_pairs(files(spark, rows)).collect()}
+    assert pairs == {("h", "a", "b"), ("h", "a", "c")}
+    assert {r["copies"] for r in dedup.exact_duplicate_groups(files(spark, rows)).collect()} == {3}
+
+
+def test_a_hot_hash_gives_linear_pairs(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("hash"),
+        F.format_string("p%05d", "id").alias("path"))
+    assert dedup.exact_duplicate_pairs(rows).count() == 999
+
+
+def test_redundancy(spark):
+    pairs = spark.createDataFrame(
+        [("1_0", "2_0", 0.8), ("2_1", "1_1", 0.9), ("1_0", "9_0", 0.99), ("1_0", "1_1", 0.97), ("8_0", "9_0", 0.9)],
+        "chunk_id_1 string, chunk_id_2 string, similarity_score double")
+    paths = spark.createDataFrame([("1_0", "a"), ("1_1", "a"), ("2_0", "b"), ("2_1", "b"), ("2_2", "b")],
+                                  "chunk_id string, path string")
+    sections = dedup.chunk_to_path_map(pairs, paths)
+    got = {(r["path_1"], r["path_2"]): r for r in dedup.file_redundancy(sections, paths).collect()}
+    assert set(got) == {("a", "b"), ("", "a")}
+    assert got["a", "b"]["shared_chunks"] == 2
+    assert got["a", "b"]["avg_similarity"] == pytest.approx(0.85)
+    assert got["a", "b"]["redundancy_ratio"] == pytest.approx(2 / 3)
+    assert got["", "a"]["action"] == "DELETE duplicate"
+
+
+def test_ratio_may_exceed_one_and_average_on_the_edge_deletes(spark):
+    sections = spark.createDataFrame([("a", "b", 0.85)] * 3, "path_1 string, path_2 string, similarity double")
+    paths = spark.createDataFrame([("1_0", "a"), ("2_0", "b")], "chunk_id string, path string")
+    row = dedup.file_redundancy(sections, paths).first()
+    assert row["redundancy_ratio"] == 3.0
+    assert row["action"] == ("DELETE duplicate" if row["avg_similarity"] >= 0.85 else "REVIEW")
+
+
+def signal_rows(spark, rows):
+    schema = "file_id long, " + ", ".join(f"{s} double" for s in fixed.SIGNALS)
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+
+
+def test_weights_sum_to_one():
+    assert sum(fixed.SIGNAL_WEIGHTS) == pytest.approx(1.0)
+
+
+def test_boot_score_of_constant_signals_is_not_rescaled(spark):
+    rows = signal_rows(spark, [[0.5] * 9] * 3)
+    assert {round(r["boot_score"], 6) for r in score.boot_score(rows).collect()} == {50.0}
+
+
+@pytest.mark.parametrize("value,label", [
+    (0.0, "DELETE_CANDIDATE"), (19.99, "DELETE_CANDIDATE"), (20.0, "REVIEW"), (50.0, "ARCHIVE"), (80.0, "KEEP"), (100.0, "KEEP")])
+def test_label_edges(spark, value, label):
+    assert spark.range(1).select(rules.score_label(F.lit(value))).first()[0] == label
+
+
+@pytest.mark.parametrize("modified,accessed,want", [
+    (None, None, 0.0), ("2026-01-01 00:00:00", None, 1.0), ("2000-01-01 00:00:00", None, 0.0),
+    ("2000-01-01 00:00:00", "2025-12-31 00:00:01", 1.0), ("2025-12-30 00:00:00", None, 1 - 2 / 1825),
+    ("2026-01-11 00:00:00", None, 1 + 10 / 1825),
+])
+def test_recency(spark, modified, accessed, want):
+    rows = spark.createDataFrame([(modified, accessed)], "m string, a string").select(
+        F.col("m").cast("timestamp_ntz").alias("modified_time"), F.col("a").cast("timestamp_ntz").alias("access_time"))
+    assert score.s_recency(rows, "2026-01-01 00:00:00").first()["s_recency"] == pytest.approx(want)
+
+
+def test_depth_without_chunks_is_zero(spark):
+    rows = spark.createDataFrame([(None,), (20,), (100,)], "chunk_total long")
+    assert [r[0] for r in score.s_content_depth(rows).select("s_content_depth").collect()] == [0.0, 1.0, 1.0]
+
+
+def test_histograms(spark):
+    scores = spark.createDataFrame([(0.0,), (20.0,), (50.0,), (80.0,), (100.0,), (None,)], "importance_score double")
+    equal = [r["files"] for r in report.score_histogram_equal(scores).collect()]
+    assert equal == [2, 0, 1, 0, 0, 1, 0, 0, 1, 1]
+    assert [r["files"] for r in report.score_histogram_tiers(scores).collect()] == [2, 1, 1, 1]
+    assert [r["files"] for r in report.score_histogram_tiers(scores, include_max=True).collect()] == [2, 1, 1, 2]
+
+
+def test_signal_ties(spark):
+    rows = signal_rows(spark, [[0.0] * 9]).withColumn("attribution", F.array(*[F.lit(0.5)] * 9))
+    row = explain.weak_signals(explain.top_signals(rows)).first()
+    assert [s["signal"] for s in row["top_signals"]] == list(fixed.SIGNALS[::-1][:3])
+    assert [s["signal"] for s in row["weak_signals"]] == list(fixed.SIGNALS[:4])
+
+
+@pytest.mark.parametrize("value", [42.25, 42.45, 42.35, 0.05, 0.15, 99.95, 7.0, 33.33, 12.75, 18.65])
+def test_one_decimal_rounds_like_printf(spark, value):
+    text = spark.range(1).select(F.format_string("%.1f", explain.one_decimal(F.lit(value)))).first()[0]
+    assert text == f"{value:.1f}"
+
+
+def test_validate_feedback(spark):
+    rows = spark.createDataFrame([(" keep ", "approve"), ("KEEP", "maybe"), ("nothing", "REJECT"), (None, None)],
+                                 "human_label string, decision string")
+    valid, rejected = feedback.validate_feedback(rows)
+    assert [tuple(r) for r in valid.collect()] == [("KEEP", "APPROVE", 3)]
+    assert rejected.count() == 3
+    given = rows.withColumn("reviewer_confidence", F.lit(None).cast("int"))
+    assert feedback.validate_feedback(given)[0].first()["reviewer_confidence"] is None
+
+
+def test_newest_feedback_masks_an_older_certain_one(spark):
+    rows = spark.createDataFrame(
+        [(1, 7, 5, 0, "2025-01-01"), (2, 7, 1, 0, "2025-02-01"), (3, 8, None, None, "2025-01-01"),
+         (4, 9, 5, 2, "2025-01-01"), (5, 10, 5, 3, "2025-01-01")],
+        "feedback_id long, file_id long, reviewer_confidence int, training_attempts int, created_at string")
+    assert {r["file_id"] for r in feedback.usable_feedback(rows).collect()} == {8, 9}
+
+
+def test_class_balance(spark):
+    rows = spark.createDataFrame([("KEEP",)] * 5 + [("REVIEW",)] * 4, "human_label string")
+    assert [tuple(r) for r in feedback.class_balance_check(rows).collect()] == [("REVIEW", 4)]
+
+
+def test_split_is_exact_and_stratified(spark):
+    rows = spark.range(1003).select(F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, "KEEP").otherwise("REVIEW").alias("human_label"))
+    got = feedback.stratified_split(rows).groupBy("human_label").agg(
+        F.count("*").alias("n"), F.count_if("is_holdout").alias("held")).collect()
+    assert {(r["n"], r["held"]) for r in got} == {(335, 67), (668, 134)}
+
+
+def test_gate_score_counts_a_class_only_predicted(spark):
+    rows = spark.createDataFrame([("KEEP", "KEEP"), ("KEEP", "REVIEW")], "t string, p string")
+    keep_f1, weights = 2 / 3, (2.0, 2.5 / 3)
+    assert feedback.gate_score(rows, "t", "p").first()[0] == pytest.approx(keep_f1 * weights[0] / sum(weights))
+
+
+@pytest.mark.parametrize("new,old,force,want", [
+    (0.8, 0.79, False, True), (0.795, 0.79, False, False), (0.1, 0.0, False, True), (0.1, 0.9, True, True)])
+def test_promotion(spark, new, old, force, want):
+    candidate = spark.createDataFrame([(new,)], "gate_score double")
+    baseline = spark.createDataFrame([(old,)], "gate_score double")
+    assert feedback.promotion_decision(candidate, baseline, force=force).first()["promoted"] is want
+
+
+def test_probabilities_of_three_classes_are_padded(spark):
+    rows = spark.createDataFrame([([0.0, 0.2, 0.8, 0.0],)], "probability array<double>")
+    row = model.score_from_probabilities(rows).first()
+    assert (row["importance_score"], row["label"], row["confidence"]) == (59.0, "ARCHIVE", 0.8)
+
+
+def test_shapley_sums_to_the_prediction_shift(spark):
+    import random
+    rng = random.Random(3)
+    rows = signal_rows(spark, [[rng.random() for _ in range(9)] for _ in range(60)]).withColumn(
+        "boot_label", F.when(F.col("s_recency") > 0.5, "KEEP").otherwise("REVIEW"))
+    forest = model.train_importance_model(rows, trees=5, depth=4)
+    got = model.attribution_shapley(rows, forest).collect()
+    recency = fixed.SIGNALS.index("s_recency")
+    assert sum(r["attribution"].index(max(r["attribution"])) == recency for r in got) > 50
+
+
+def test_attributions_beyond_the_limit_use_the_proxy(spark):
+    import random
+    rng = random.Random(4)
+    rows = signal_rows(spark, [[rng.random() for _ in range(9)] for _ in range(40)]).withColumns({
+        "boot_label": F.when(F.col("s_recency") > 0.5, "KEEP").otherwise("REVIEW"),
+        "importance_score": F.col("s_recency") * 100})
+    forest = model.train_importance_model(rows, trees=3, depth=3)
+    assert model.attributions(rows, forest, shapley_files=10).count() == 40
+
+
+def test_archive_members(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("a/b/doc.TXT", "hello")
+        archive.writestr("empty.pdf", "")
+        archive.writestr("x.tmp", "t")
+        archive.writestr("song.mp3", "m")
+        archive.writestr("top.json", "{}")
+    rows = spark.createDataFrame([("/r/z.zip", buffer.getvalue()), ("/r/bad.zip", b"not a zip")], "path string, content binary")
+    got = {r["path"]: (r["name"], r["extension"], r["depth"], r["folder"], r["size_bytes"]) for r in raw.archive_members(rows, 1).collect()}
+    assert got == {"/r/z.zip::a/b/doc.TXT": ("doc.TXT", ".txt", 4, "/r/z.zip::a/b", 5),
+                   "/r/z.zip::top.json": ("top.json", ".json", 2, "/r/z.zip::.", 2)}
+
+
+def test_scan_reads_nested_files(spark, tmp_path):
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    (tmp_path / "sub" / "deep" / "b.txt").write_bytes(b"")
+    got = {r["name"]: (r["depth"], r["status"], r["hash"]) for r in raw.scan_inventory(spark, str(tmp_path)).collect()}
+    assert got["a.pdf"][:2] == (0, "KEEP") and len(got["a.pdf"][2]) == 64
+    assert got["b.txt"][:2] == (2, "DELETE_CANDIDATE")
+    assert raw.scan_inventory(spark, str(tmp_path), with_hash=False).filter("hash IS NULL").count() == 2
+
+
+@pytest.mark.parametrize("content,ext,binary", [
+    (b"\x00\x01\x02abc", ".bin", True), (b"\x00\x01\x02abc", ".txt", False), (b"plain text", ".bin", False), (b"", ".bin", False),
+    (b"a" * 8192 + b"\x00" * 99999, ".bin", False)])
+def test_binary_guard(spark, content, ext, binary):
+    rows = spark.createDataFrame([(content, ext)], "content binary, extension string")
+    assert raw.binary_guard(rows).first()["is_binary"] is binary
+
+
+def test_text_source_replaces_bad_bytes(spark):
+    rows = spark.createDataFrame([(b" ok \xff end\n",)], "content binary")
+    assert raw.text_source(rows).first()["text"] == "ok � end"
+
+
+def test_printable_strings(spark):
+    rows = spark.createDataFrame([(b"\x00abcd\x01xy\xffefghi",)], "content binary")
+    assert raw.printable_strings(rows).first()["text"] == "abcd\nefghi"
+
+
+def test_upsert_and_insert(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, n long")
+    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "k long, v string, n long")
+    merged = {tuple(r) for r in tables.upsert_by_key(old, new, "k", "n").collect()}
+    assert merged == {(1, "a", 0), (2, "d", 2), (3, "e", 1)}
+    partial = {tuple(r) for r in tables.upsert_by_key(old, new, "k", "n", update=("v",)).collect()}
+    assert partial == {(1, "a", 0), (2, "d", 0), (3, "e", 1)}
+    assert {tuple(r) for r in tables.insert_ignore(old, new, ["k"], "n").collect()} == {(3, "e", 1)}
+    assert tables.insert_ignore(old, new, ["k", "v"], "n").count() == 3
+
+
+def test_csv_quoting(spark, tmp_path):
+    rows = spark.createDataFrame([('say "hi", you', None, 2621440)], "name string, label string, size_bytes long")
+    path = str(tmp_path / "out")
+    tables.export_csv(rows.coalesce(1), {"Name": "name", "Status": "label", "Size (MB)": tables.size_in_mb()}, path)
+    text = next((tmp_path / "out").glob("*.csv")).read_text()
+    assert text == 'Name,Status,Size (MB)\n"say ""hi"", you",,2.5\n'
+
+
+def test_session_history_is_oldest_first(spark):
+    rows = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(10)], "session_id long, message_id long, role string, content string")
+    got = sorted((r["position"], r["content"]) for r in serve.session_history(rows, 3).collect())
+    assert got == [(1, "m7"), (2, "m8"), (3, "m9")]
+
+
+def test_context_without_hits(spark):
+    hits = spark.createDataFrame([], "query_id string, file_id long, relevance double")
+    names = spark.createDataFrame([(1, "a")], "file_id long, name string")
+    scores = spark.createDataFrame([(1, 5.0, "KEEP")], "file_id long, importance_score double, label string")
+    chunks = spark.createDataFrame([(1, 0, "t", "SUCCESS")], "file_id long, chunk_index long, clean_text string, clean_status string")
+    asked = spark.createDataFrame([("q",)], "query_id string")
+    assert serve.retrieval_context(hits, names, scores, chunks, asked).first()["context"] == "No matching files were found."
+
+
+def test_streamed_latest_equals_batch_over_several_batches(spark, tmp_path):
+    from dossier.operators.keyed import latest_per_key
+    from dossier.streaming import feedback as stream
+
+    rows = spark.range(400).select(
+        (F.col("id") % 17).alias("file_id"), F.col("id").alias("event_id"), (F.col("id") * 7 % 101).alias("ts"))
+    source = str(tmp_path / "in")
+    rows.repartition(8).write.parquet(source)
+    stream.stream_feedback_latest(spark, source, spark.read.parquet(source).schema, str(tmp_path / "out"),
+                                  str(tmp_path / "state"), files_per_batch=2).awaitTermination()
+    got = {tuple(r) for r in stream.current_state(spark, str(tmp_path / "out"), "file_id").select(*rows.columns).collect()}
+    assert got == {tuple(r) for r in latest_per_key(rows, "file_id", "ts", "event_id").collect()}
+
+
+def test_stream_ingest_resumes(spark, tmp_path):
+    from dossier.streaming import ingest
+
+    schema = ("id long, file_id long, extracted_text string, extraction_method string, extraction_status string, "
+              "language_hint string, phase1_status string")
+
+    def batch(ids):
+        return spark.createDataFrame([(i, i, f"text {i} " * 300, "markitdown", "SUCCESS", "en", "") for i in ids], schema)
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for ids in ((1, 2), (3,)):
+        batch(ids).write.mode("append").parquet(source)
+        ingest.stream_ingest(spark, source, spark.read.parquet(source).schema, target, state).awaitTermination()
+    from dossier.operators import chunk
+    want = {tuple(r) for r in chunk.chunk_documents(batch((1, 2, 3))).collect()}
+    assert {tuple(r) for r in ingest.ingested(spark, target).select(*chunk.CHUNK_COLUMNS).collect()} == want
