@@ -16,7 +16,7 @@ from ..functions.storage import shared_folder
 from ..operators import (
     chunk, cluster, dedup, explain, extract, feedback, inventory, model, report, score, serve, vectors,
 )
-from ..sources import files as raw, tables
+from ..sources import files as raw, tables, walk
 from ..streaming import feedback as feedback_stream, ingest
 from .corpus import AS_OF, PAIR_THRESHOLD, Corpus, corpus
 
@@ -57,6 +57,11 @@ def scan_inventory(c):
     return raw.scan_inventory(c.spark, c.sf_dir).drop("modified_time")
 
 
+@query
+def walk_inventory(c):
+    return walk.walk_inventory(c.spark, c.sf_dir).drop("created_time", "modified_time", "access_time")
+
+
 @query
 def inventory_row(c):
     return c.all_files

@@ -26,8 +26,9 @@ MAX_CONTENT = 2 ** 31 - 1  # Spark reads no longer file into one value
 
 
 def scan_inventory(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
-    """Recursive inventory of ``root``.
+    """Recursive inventory of ``root`` on any file system Spark can read.
 
+    Spark lists no empty files; ``walk_inventory`` does, on a shared mount.
     Content is read only when hashes are wanted; files too long for one value
     get the code ``error_too_large``.  Creation and access times are not listed
     by file systems in general and stay null.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed, rules
 from dossier.operators import dedup, explain, extract, feedback, inventory, model, report, score, serve
-from dossier.sources import files as raw, tables
+from dossier.sources import files as raw, tables, walk
 
 
 @pytest.mark.parametrize("name,ext", [
@@ -210,15 +210,33 @@ def test_probabilities_of_three_classes_are_padded(spark):
     assert (row["importance_score"], row["label"], row["confidence"]) == (59.0, "ARCHIVE", 0.8)
 
 
-def test_shapley_sums_to_the_prediction_shift(spark):
-    import random
-    rng = random.Random(3)
-    rows = signal_rows(spark, [[rng.random() for _ in range(9)] for _ in range(60)]).withColumn(
+def test_shapley_equals_its_definition(spark):
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    values = np.random.default_rng(3).random((60, 9))
+    rows = signal_rows(spark, values.tolist()).withColumn(
         "boot_label", F.when(F.col("s_recency") > 0.5, "KEEP").otherwise("REVIEW"))
-    forest = model.train_importance_model(rows, trees=5, depth=4)
-    got = model.attribution_shapley(rows, forest).collect()
-    recency = fixed.SIGNALS.index("s_recency")
-    assert sum(r["attribution"].index(max(r["attribution"])) == recency for r in got) > 50
+    forest = model.train_importance_model(rows, trees=3, depth=3)
+    got = {r["file_id"]: r["attribution"] for r in model.attribution_shapley(rows, forest).collect()}
+    mean = values.mean(axis=0)
+    x = values[5]
+    worth = {}
+    for k in range(10):
+        for present in combinations(range(9), k):
+            mixed = mean.copy()
+            mixed[list(present)] = x[list(present)]
+            worth[present] = np.resize(np.append(forest.predictProbability(Vectors.dense(mixed)).toArray(), [0] * 4), 4)
+    for i in range(9):
+        total = np.zeros(4)
+        for present, p in worth.items():
+            if i not in present:
+                weight = factorial(len(present)) * factorial(8 - len(present)) / factorial(9)
+                total += weight * (worth[tuple(sorted(present + (i,)))] - p)
+        assert got[5][i] == pytest.approx(np.abs(total).mean(), abs=1e-9)
 
 
 def test_attributions_beyond_the_limit_use_the_proxy(spark):
@@ -245,16 +263,28 @@ def test_archive_members(spark):
                    "/r/z.zip::top.json": ("top.json", ".json", 2, "/r/z.zip::.", 2)}
 
 
-def test_scan_reads_nested_files(spark, tmp_path):
+def test_scan_and_walk_read_nested_files(spark, tmp_path):
     (tmp_path / "sub" / "deep").mkdir(parents=True)
     (tmp_path / "a.pdf").write_bytes(b"x")
     (tmp_path / "sub" / "deep" / "b.txt").write_bytes(b"")
-    got = {r["name"]: (r["depth"], r["status"], r["hash"]) for r in raw.scan_inventory(spark, str(tmp_path)).collect()}
-    assert got["a.pdf"][:2] == (0, "KEEP") and len(got["a.pdf"][2]) == 64
-    assert got["b.txt"][:2] == (2, "DELETE_CANDIDATE")
+    (tmp_path / "sub" / "c.TXT").write_bytes(b"yy")
+    columns = ("name", "depth", "status", "hash", "size_bytes", "folder")
+    scanned = {tuple(r) for r in raw.scan_inventory(spark, str(tmp_path)).select(*columns).collect()}
+    walked = {tuple(r) for r in walk.walk_inventory(spark, str(tmp_path)).select(*columns).collect()}
+    assert {r[0] for r in walked} == {"a.pdf", "b.txt", "c.TXT"}
+    assert scanned == {r for r in walked if r[4] > 0}  # Spark lists no empty files
+    by_name = {r[0]: r for r in walked}
+    assert by_name["a.pdf"][1:3] == (0, "KEEP") and by_name["c.TXT"][1:3] == (1, "REVIEW")
+    assert by_name["b.txt"][1:3] == (2, "DELETE_CANDIDATE")
+    assert walk.walk_inventory(spark, str(tmp_path)).filter("access_time IS NULL").count() == 0
     assert raw.scan_inventory(spark, str(tmp_path), with_hash=False).filter("hash IS NULL").count() == 2
 
 
+def test_unreadable_files_get_an_error_code(spark):
+    rows = spark.createDataFrame([("/nowhere/at/all",)], "path string")
+    assert walk.hash_files(rows).first()["hash"] == "error_not_found"
+
+
 @pytest.mark.parametrize("content,ext,binary", [
     (b"\x00\x01\x02abc", ".bin", True), (b"\x00\x01\x02abc", ".txt", False), (b"plain text", ".bin", False), (b"", ".bin", False),
     (b"a" * 8192 + b"\x00" * 99999, ".bin", False)])
