@@ -59,7 +59,11 @@ def _refusal() -> Column:
 
 
 def extraction_filter(content: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stored, quarantined with ``reason``)."""
+    """(stored, quarantined with ``reason``).
+
+    Both outputs test the status; write the classified rows first, or Spark
+    repeats the text work behind it in each of the two filters.
+    """
     marked = content.withColumn("reason", _refusal())
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 

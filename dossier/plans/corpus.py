@@ -73,13 +73,13 @@ class Corpus:
     def raw_files(self) -> DataFrame:
         return self._listed(self.table("documents")).drop("text", "lang")
 
-    @property
+    @cached_property
     def all_files(self) -> DataFrame:
-        return inventory.inventory_row(self.raw_files)
+        return written(inventory.inventory_row(self.raw_files), "files")
 
-    @cached_property
+    @property
     def files(self) -> DataFrame:
-        return written(inventory.quarantine_split(self.all_files)[0], "files")
+        return inventory.quarantine_split(self.all_files)[0]
 
     # --- extraction ----------------------------------------------------------
     @property
@@ -96,14 +96,14 @@ class Corpus:
             F.col("status").alias("phase1_status"),
         )
 
-    @property
+    @cached_property
     def all_content(self) -> DataFrame:
-        return extract.extract_content(self.raw_content)
+        return written(extract.extract_content(self.raw_content), "content")
 
-    @cached_property
+    @property
     def content(self) -> DataFrame:
-        kept = inventory.quarantine_split(self.raw_content)[0]
-        return written(extract.extraction_filter(extract.extract_content(kept))[0], "content")
+        kept = inventory.quarantine_split(self.all_content)[0]
+        return extract.extraction_filter(kept)[0]
 
     @cached_property
     def chunks(self) -> DataFrame:

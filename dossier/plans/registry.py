@@ -64,7 +64,7 @@ def walk_inventory(c):
 
 @query
 def inventory_row(c):
-    return c.all_files
+    return inventory.inventory_row(c.raw_files)
 
 
 @query
@@ -206,7 +206,7 @@ def truncate_text(c):
 
 @query
 def extraction_status(c):
-    return c.all_content.select("file_id", "extraction_status")
+    return extract.extract_content(c.raw_content).select("file_id", "extraction_status")
 
 
 @query
