@@ -307,13 +307,15 @@ def top_k_pairs(
     q_blocks = max(1, -(-queries.count() // query_rows))
     v_blocks = max(1, -(-vectors.count() // block_rows))
 
+    same = queries.schema["vector"].dataType == vectors.schema["vector"].dataType
+
     def spread(rows: DataFrame, is_query: bool) -> DataFrame:
+        vector = F.col("vector") if same else F.col("vector").cast("array<double>")
         own = _bucket(F.col("id"), F.lit(q_blocks if is_query else v_blocks))
         others = F.explode(F.sequence(F.lit(0), F.lit((v_blocks if is_query else q_blocks) - 1)))
         a, b = ("_own", "_other") if is_query else ("_other", "_own")
         return rows.select(
-            F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"),
-            F.lit(is_query).alias("is_query"), own.alias("_own"), others.alias("_other"),
+            F.col("id").cast("string").alias("id"), vector.alias("vector"), F.lit(is_query).alias("is_query"), own.alias("_own"), others.alias("_other"),
         ).select("id", "vector", "is_query", F.col(a).alias("a"), F.col(b).alias("b"))
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:

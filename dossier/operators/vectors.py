@@ -119,19 +119,22 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     """One row per distinct non-zero vector: smallest id, vector, copies.
 
     Copies collapse in the partial aggregate, so a vector held by a third of
-    all rows reaches the shuffle once per task.
+    all rows reaches the shuffle once per task.  The digest in front of the
+    vector makes sorting compare one number instead of whole vectors.
     """
     return (
         vectors.filter(F.exists("vector", lambda x: x != 0))
-        .groupBy("vector").agg(F.min("chunk_id").alias("id"), F.count("*").alias("copies"))
+        .groupBy(F.xxhash64("vector").alias("digest"), "vector")
+        .agg(F.min("chunk_id").alias("id"), F.count("*").alias("copies"))
     )
 
 
 def _copy_links(vectors: DataFrame, distinct: DataFrame) -> DataFrame:
     """(first id, copy) for every further copy of a vector: n-1 links, not n^2."""
-    first = distinct.filter("copies > 1").select("vector", F.col("id").alias("chunk_id_1"))
+    first = distinct.filter("copies > 1").select("digest", "vector", F.col("id").alias("chunk_id_1"))
     return (
-        vectors.join(first, "vector").filter("chunk_id <> chunk_id_1")
+        vectors.withColumn("digest", F.xxhash64("vector")).join(first, ["digest", "vector"])
+        .filter("chunk_id <> chunk_id_1")
         .select("chunk_id_1", F.col("chunk_id").alias("chunk_id_2"), F.lit(1.0).alias("similarity_score"))
     )
 
