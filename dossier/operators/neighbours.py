@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.storage import written
 from ..functions.vector import CANDIDATE_MARGIN, as_list_column, as_matrix, unit_rows
 
 PAIR_SCHEMA = "id_1 string, id_2 string, similarity double"
@@ -63,40 +64,51 @@ def _bucket(key: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("tile")), buckets).cast("int")
 
 
+HOT_CELLS = 1_000_000  # rows of 24 bytes; more of them are joined by a shuffle
+
+
 def tiles(cells: DataFrame, block_rows: int) -> DataFrame:
-    """Copy every row to the tiles it takes part in.
+    """Place every row in the tiles it takes part in.
 
     ``cells``: cell long, visitor boolean, id, vector and any other columns.
-    Residents of a cell meet each other, visitors meet residents.  A cell over
-    ``block_rows`` is split by hash into sub-blocks, so a hot cell becomes many
-    tiles.  Only such cells take part in the size lookup.
+    Residents of a cell meet each other, visitors meet residents.  An ordinary
+    cell is one tile and its rows are sent once.  A cell with more than
+    ``block_rows`` residents or visitors is split by hash into sub-blocks that
+    meet pairwise, so a hot cell becomes many bounded tiles.
     """
-    sizes = (
+    hot = written(
         cells.groupBy("cell")
         .agg(F.count_if(~F.col("visitor")).alias("_r"), F.count_if("visitor").alias("_v"))
-        .filter((F.col("_r") > 0) & (F.col("_r") + F.col("_v") > 1))
+        .filter((F.col("_r") > block_rows) | (F.col("_v") > block_rows))
         .select(
-            "cell",
-            F.ceil(F.col("_r") / block_rows).cast("int").alias("_rs"),
+            "cell", F.ceil(F.col("_r") / block_rows).cast("int").alias("_rs"),
             F.ceil(F.col("_v") / block_rows).cast("int").alias("_vs"),
-        )
+        ),
+        "hot-cells",
     )
-    mine = _bucket(F.col("id"), F.when(F.col("visitor"), F.col("_vs")).otherwise(F.col("_rs")))
-    residents_all = F.sequence(F.lit(0), F.col("_rs") - 1)
-    visitors_all = F.when(F.col("_vs") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("_vs") - 1))
-                          ).otherwise(F.array().cast("array<int>"))
+    if hot.count() <= HOT_CELLS:
+        hot = F.broadcast(hot)
+    none = F.array().cast("array<int>")
+
+    def blocks(name: str) -> Column:
+        return F.when(F.col(name) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(name) - 1))).otherwise(none)
 
     def tile(kind: str, a: Column, b: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
 
-    as_visitor = F.transform(residents_all, lambda r: tile("visit", F.col("_mine"), r))
+    own = F.when(F.col("visitor"), F.col("_vs")).otherwise(F.col("_rs"))
+    mine = F.coalesce(_bucket(F.col("id"), F.nullif(own, F.lit(0))), F.lit(0))
+    as_visitor = F.transform(blocks("_rs"), lambda r: tile("visit", F.col("_mine"), r))
     among = F.transform(
-        residents_all, lambda r: tile("home", F.least(F.col("_mine"), r), F.greatest(F.col("_mine"), r))
+        blocks("_rs"), lambda r: tile("home", F.least(F.col("_mine"), r), F.greatest(F.col("_mine"), r)))
+    met = F.transform(blocks("_vs"), lambda v: tile("visit", v, F.col("_mine")))
+    whole = F.array(tile("whole", F.lit(0), F.lit(0)))
+    places = (
+        F.when(F.col("_rs").isNull(), whole).when(F.col("visitor"), as_visitor).otherwise(F.concat(among, met))
     )
-    met = F.transform(visitors_all, lambda v: tile("visit", v, F.col("_mine")))
     return (
-        cells.join(sizes, "cell").withColumn("_mine", mine)
-        .withColumn("_tile", F.explode_outer(F.when(F.col("visitor"), as_visitor).otherwise(F.concat(among, met))))
+        cells.join(hot, "cell", "left").withColumn("_mine", mine)
+        .withColumn("_tile", F.explode(places))
         .select("*", F.col("_tile.kind").alias("kind"), F.col("_tile.a").alias("a"), F.col("_tile.b").alias("b"))
         .drop("_tile", "_rs", "_vs")
     )
@@ -135,24 +147,30 @@ def _compare_tile(threshold: float, accept: Callable | None = None, strip: int =
         mine = group["_mine"].to_numpy()
         kind, a, b = group["kind"][0].as_py(), group["a"][0].as_py(), group["b"][0].as_py()
         extra = as_matrix(group["bands"]) if "bands" in group.column_names else None
-        if kind == "visit":
-            left, right = np.flatnonzero(visitor), np.flatnonzero(~visitor)
+        residents, visitors = np.flatnonzero(~visitor), np.flatnonzero(visitor)
+        if kind == "whole":
+            jobs = [(residents, residents), (visitors, residents)]
+        elif kind == "visit":
+            jobs = [(visitors, residents)]
         elif a == b:
-            left = right = np.arange(len(ids))
+            jobs = [(residents, residents)]
         else:
-            left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
-        for start in range(0, len(left), strip):
-            rows = left[start:start + strip]
-            i, j, scores = _passing(vectors[rows], vectors[right], threshold)
-            p, q = rows[i], right[j]
-            if kind == "home" and a == b:
-                once = p < q
-                p, q, scores = p[once], q[once], scores[once]
-            if accept is not None and len(p):
-                ok = accept(extra[p], extra[q], group["cell"][0].as_py())
-                p, q, scores = p[ok], q[ok], scores[ok]
-            if len(p):
-                yield from _pair_batches(ids[p], ids[q], scores)
+            jobs = [(np.flatnonzero(mine == a), np.flatnonzero(mine == b))]
+        for left, right in jobs:
+            for start in range(0, len(left), strip):
+                rows = left[start:start + strip]
+                # within one block only later rows are partners
+                partners = right[start:] if left is right else right
+                i, j, scores = _passing(vectors[rows], vectors[partners], threshold)
+                p, q = rows[i], partners[j]
+                if left is right:
+                    once = p < q
+                    p, q, scores = p[once], q[once], scores[once]
+                if accept is not None and len(p):
+                    ok = accept(extra[p], extra[q], group["cell"][0].as_py())
+                    p, q, scores = p[ok], q[ok], scores[ok]
+                if len(p):
+                    yield from _pair_batches(ids[p], ids[q], scores)
 
     return compare
 
@@ -256,19 +274,42 @@ def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     return _by_tile(spread, TILE_KEYS, _compare_tile(threshold), PAIR_SCHEMA)
 
 
+def banding(sample: np.ndarray, count: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bands, bits per band) that find a pair at the threshold with the given chance.
+
+    More bits make buckets smaller but need more bands.  The cheapest setting is
+    taken: copies sent (one per band) plus expected comparisons, a thousand of
+    which cost about as much as sending one vector.
+    """
+    same_bit = 1.0 - np.arccos(threshold) / np.pi
+    angles = np.arccos(np.clip(sample @ sample.T, -1.0, 1.0))[np.triu_indices(len(sample), 1)]
+    best = None
+    for bits in range(4, 31):
+        bands = max(1, int(np.ceil(np.log1p(-recall) / np.log1p(-min(same_bit ** bits, 1 - 1e-9)))))
+        chance = np.mean((1.0 - angles / np.pi) ** bits) if len(angles) else 0.0
+        cost = bands * (1.0 + count * chance / 1000.0)
+        if best is None or cost < best[0]:
+            best = (cost, bands, bits)
+    return best[1], best[2]
+
+
 def lsh_pairs(
-    vectors: DataFrame, threshold: float, bands: int = 16, rows: int = 12,
-    seed: int = 42, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, threshold: float, recall: float = 0.99, seed: int = 42, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate pairs: candidates share a random-hyperplane band, scores are exact.
 
-    A pair is emitted in the first band its two signatures share, so results
-    need no distinct.  Hot buckets are tiled like any other cell.
+    ``recall`` is the chance of finding a pair that lies right at the threshold;
+    closer pairs are found more surely.  A pair is emitted in the first band its
+    two signatures share, so results need no distinct.  Hot buckets are tiled
+    like any other cell.
     """
-    first = vectors.select("vector").first()
-    if first is None:
+    if not 0.0 < recall < 1.0:
+        raise ValueError("recall must lie in (0, 1)")
+    sample = _pivots(vectors, 256)
+    if len(sample) == 0:
         return vectors.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    planes = np.random.default_rng(seed).standard_normal((len(first["vector"]), bands * rows))
+    bands, rows = banding(sample, vectors.count(), threshold, recall)
+    planes = np.random.default_rng(seed).standard_normal((sample.shape[1], bands * rows))
     weights = 1 << np.arange(rows, dtype=np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,8 +53,23 @@ def test_hot_cell_is_cut_into_bounded_tiles(spark):
     matrix = clustered(3, 1, 300, noise=0.05)
     cells = frame(spark, matrix, "id").select(
         F.lit(0).cast("long").alias("cell"), F.lit(False).alias("visitor"), "id", "vector")
-    sizes = neighbours.tiles(cells, 50).groupBy("cell", "kind", "a", "b").count().agg(F.max("count")).first()[0]
-    assert sizes <= 50 * 2 * 2  # two blocks, hash placement may be uneven
+    placed = neighbours.tiles(cells, 50).groupBy("cell", "kind", "a", "b").count()
+    assert placed.agg(F.max("count")).first()[0] <= 50 * 2 * 2  # two blocks, hash placement may be uneven
+    assert placed.count() == 6 * 7 // 2
+
+
+def test_an_ordinary_cell_is_sent_once(spark):
+    matrix = clustered(3, 1, 60, noise=0.05)
+    cells = frame(spark, matrix, "id").select(
+        F.lit(0).cast("long").alias("cell"), (F.col("id") < "v00020").alias("visitor"), "id", "vector")
+    assert neighbours.tiles(cells, 50).count() == 60
+
+
+def test_banding_meets_its_recall():
+    for threshold in (0.8, 0.9, 0.95, 0.99):
+        for count in (10 ** 3, 10 ** 6, 10 ** 9):
+            bands, bits = neighbours.banding(clustered(1, 20, 10), count, threshold, 0.99)
+            assert 1 - (1 - (1 - np.arccos(threshold) / np.pi) ** bits) ** bands >= 0.99 - 1e-9
 
 
 def test_exact_pairs_prune_visits_between_far_clusters(spark):
