@@ -69,9 +69,15 @@ def extraction_filter(content: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_content(raw: DataFrame) -> DataFrame:
-    """Route, truncate, flag, count and classify raw text in one narrow pass."""
-    content = ocr_flag(truncate_text(db_text_sanitize(raw)))
-    return extraction_status(text_counts(content))
+    """Sanitise, truncate, flag, count and classify raw text in one narrow pass.
+
+    Without a ``language_hint`` column the language is detected.
+    """
+    content = extraction_status(text_counts(ocr_flag(truncate_text(db_text_sanitize(raw)))))
+    if "language_hint" in raw.columns:
+        return content
+    return content.withColumn(
+        "language_hint", tx.detect_language(F.coalesce("extracted_text", F.lit(""))))
 
 
 def extraction_summary(content: DataFrame) -> DataFrame:

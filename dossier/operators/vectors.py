@@ -14,13 +14,20 @@ from . import neighbours
 EXACT_LIMIT = 500_000  # fixed value: vectors beyond which search becomes approximate
 
 
-def embed_text(chunks: DataFrame, text_col: str = "clean_text", dims: int = 256) -> DataFrame:
-    """Default embedder: hashed term counts of the first 2000 characters, unit length.
+def embed_text(
+    chunks: DataFrame, text_col: str = "clean_text", dims: int = 256,
+    max_chars: int | None = fixed.EMBED_MAX_CHARS,
+) -> DataFrame:
+    """Default embedder: hashed term counts, unit length.
 
-    Adds ``vector``; any DataFrame -> DataFrame callable that does so can take its place.
+    Adds ``vector``.  A model's input limit is ``max_chars`` (2000); None takes
+    the whole text.  Any DataFrame -> DataFrame callable adding a unit vector
+    can take its place.
     """
-    text = F.coalesce(F.substring(text_col, 1, fixed.EMBED_MAX_CHARS), F.lit(""))
-    tokens = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"\W+")
+    text = F.coalesce(text_col, F.lit(""))
+    if max_chars is not None:
+        text = F.substring(text, 1, max_chars)
+    tokens = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+")
     counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dims)
     scaled = Normalizer(inputCol="_counts", outputCol="_unit")
     frame = scaled.transform(counts.transform(tokens.transform(chunks.withColumn("_text", text))))
@@ -92,18 +99,24 @@ def semantic_search(
 
 
 def similar_chunks(
-    vectors: DataFrame, chunk_id: str, threshold: float = 0.90, top_k: int = 20
+    vectors: DataFrame, chunk_id: str, threshold: float = 0.90, top_k: int = 20, meta: DataFrame | None = None
 ) -> DataFrame:
-    """Neighbours of one chunk at or above the threshold; empty for an unknown id."""
+    """Neighbours of one chunk at or above the threshold; empty for an unknown id.
+
+    With ``meta`` the columns of the chunks found are joined on.
+    """
     anchor = vectors.filter(F.col("chunk_id") == chunk_id).select("vector").first()
+    best = [F.desc("similarity_score"), F.col("chunk_id")]
     if anchor is None:
-        return vectors.limit(0).select("chunk_id", F.lit(0.0).alias("similarity_score"))
-    return (
+        hits = vectors.limit(0).select("chunk_id", F.lit(0.0).alias("similarity_score"))
+        return hits if meta is None else hits.join(meta, "chunk_id")
+    hits = (
         vectors.filter((F.col("chunk_id") != chunk_id) & F.col("vector").isNotNull())
         .select("chunk_id", vx.cosine_to(F.col("vector"), anchor["vector"]).alias("similarity_score"))
         .filter(F.col("similarity_score") >= threshold)
-        .orderBy(F.desc("similarity_score"), "chunk_id").limit(top_k)
+        .orderBy(*best).limit(top_k)
     )
+    return hits if meta is None else hits.join(meta, "chunk_id").orderBy(*best)
 
 
 def knn_batch_join(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:

@@ -148,7 +148,7 @@ class Corpus:
     @cached_property
     def text_vectors(self) -> DataFrame:
         good = self.chunks.filter("clean_status = 'SUCCESS'").select("chunk_id", "file_id", "clean_text")
-        return written(vectors.embed_text(good).select("chunk_id", "file_id", "vector"), "text-vectors")
+        return written(vectors.embed_text(good, max_chars=None).select("chunk_id", "file_id", "vector"), "text-vectors")
 
     @property
     def file_vectors(self) -> DataFrame:
@@ -260,7 +260,7 @@ class Corpus:
     def questions(self) -> DataFrame:
         asked = self.texts("conversations").filter("role = 'user'").select(
             F.concat_ws("_", "conv_id", "turn").alias("query_id"), "text")
-        return vectors.embed_text(asked, "text").select("query_id", "vector")
+        return vectors.embed_text(asked, "text", max_chars=None).select("query_id", "vector")
 
     @property
     def versions(self) -> DataFrame:

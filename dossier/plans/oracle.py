@@ -373,11 +373,15 @@ _oracle("archive_members", "", """
   '/root/d' || doc_id || '.zip::inner/deep', 3, strlen(text), 0.0, false, sha256(array_to_string(list_reverse(string_split(text, '')), '')),
   '/root/d' || doc_id || '.zip', 'Data', 'REVIEW' FROM documents WHERE text <> '')""")
 _oracle("archive_text_rollup", "", f"""
- SELECT '/root/d' || doc_id || '.zip' AS source_archive, sha256({_strip('''
+ SELECT '/root/d' || doc_id || '.zip' AS source_archive, 'archive' AS extraction_method, sha256({_strip('''
   '[inner/d' || doc_id || '.txt]' || chr(10) || ''' + _strip('text') + ''' || chr(10) || chr(10) ||
-  '[d' || doc_id || '.tmp]' || chr(10) || ''' + _strip('text') + ''' || chr(10) || chr(10) ||
   '[inner/deep/d' || doc_id || '.json]' || chr(10) || ''' + _strip("array_to_string(list_reverse(string_split(text, '')), '')"))}) AS text_hash
  FROM documents WHERE {_strip('text')} <> ''""")
+_oracle("binary_guard", "all_files", f"""
+ SELECT doc_id, extension NOT IN ({_quoted(fixed.ROUTE_TEXT + fixed.ROUTE_CSV)}) AND len(bytes) > 0 AND
+  len(list_filter(bytes, lambda b: NOT regexp_matches(b, '^([2-6].|7[0-9A-E]|0[9ABCD])$'))) / greatest(len(bytes), 1)::DOUBLE > 0.3 AS is_binary
+ FROM (SELECT doc_id, regexp_extract_all(substring(hex(encode(text)), 1, 16384), '..') AS bytes FROM documents)
+ JOIN all_files ON file_id = doc_id""")
 _NEW = "SELECT file_id, action AS status, event_id AS batch FROM actions"
 _LAST = f"SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY batch DESC) = 1"
 _FIRST = f"SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY batch) = 1"
@@ -588,6 +592,29 @@ _oracle("chunk_sliding", "raw_content", f"""
   FROM (SELECT *, {_words('t')} AS ws FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content)))""")
 _CHUNKS = """SELECT chunk_id, file_id, chunk_index, chunk_total, clean_char_count, clean_word_count, language, clean_status,
  md5(clean_text) AS text_hash FROM chunks"""
+_RUN = "CASE WHEN {1} >= 20 THEN [{{'f': {0}, 'n': {1}}}] ELSE [] END"
+_HELD = "acc.last - acc.first"
+_CLOSE = _RUN.format("acc.first", f"({_HELD})")
+_SPLIT = ("list_transform(list_filter(range(0, x.c, 450), lambda s: x.c - s >= 20), "
+          "lambda s: {'f': acc.last + s, 'n': least(x.c - s, 500)})")
+_oracle("chunk_paragraphs", "raw_content", f"""
+ SELECT file_id, generate_subscripts(runs, 1) - 1 AS chunk_index,
+  array_to_string(ws[unnest(runs).f + 1:unnest(runs).f + unnest(runs).n], ' ') AS chunk_text
+ FROM (SELECT file_id, ws, list_concat(done.runs, {_RUN.format("done.first", "(done.last - done.first)")}) AS runs FROM (
+  SELECT file_id, ws, list_reduce(
+   list_transform(paras, lambda p: {{'runs': []::STRUCT(f BIGINT, n BIGINT)[], 'first': 0::BIGINT, 'last': 0::BIGINT, 'c': len({_words('p')})::BIGINT}}),
+   lambda acc, x: {{
+    'runs': CASE WHEN x.c > 500 THEN list_concat(list_concat(acc.runs, {_CLOSE}), {_SPLIT})
+      WHEN {_HELD} + x.c > 500 THEN list_concat(acc.runs, {_CLOSE}) ELSE acc.runs END,
+    'first': CASE WHEN x.c > 500 THEN acc.last + x.c - 50 WHEN {_HELD} + x.c > 500 THEN greatest(acc.first, acc.last - 50) ELSE acc.first END,
+    'last': acc.last + x.c, 'c': 0::BIGINT}},
+   {{'runs': []::STRUCT(f BIGINT, n BIGINT)[], 'first': 0::BIGINT, 'last': 0::BIGINT, 'c': 0::BIGINT}}) AS done
+  FROM (SELECT file_id, {_words('t')} AS ws, list_filter(list_transform(string_split(t, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS paras
+   FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content))
+  WHERE len(ws) > 500 AND len(paras) > 1))""")
+_oracle("embed_truncate", "chunks", """
+ SELECT chunk_id, 256 AS dims, CASE WHEN regexp_matches(substring(clean_text, 1, 2000), '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+ FROM chunks WHERE clean_status = 'SUCCESS'""")
 _oracle("chunk_documents", "chunks", _CHUNKS)
 _oracle("stream_ingest", "chunks", _CHUNKS)
 _oracle("detect_language", "", f"SELECT doc_id, {_language('text')} AS language FROM documents")

@@ -103,7 +103,7 @@ def archive_members(c):
 def archive_text_rollup(c):
     members = raw.text_source(raw.zip_members(_archives(c)))
     rolled = raw.archive_text_rollup(members)
-    return rolled.select("source_archive", F.sha2("text", 256).alias("text_hash"))
+    return rolled.select("source_archive", "extraction_method", F.sha2("text", 256).alias("text_hash"))
 
 
 @query
@@ -592,7 +592,11 @@ def detect_language(c):
 
 @query
 def embed_truncate(c):
-    return c.text_vectors.select("chunk_id", F.size("vector").alias("dims"), vx.dot(F.col("vector"), F.col("vector")).alias("norm"))
+    """Chunk vectors from the first 2000 characters."""
+    good = c.chunks.filter("clean_status = 'SUCCESS'").select("chunk_id", "clean_text")
+    embedded = vectors.embed_text(good)
+    norm = F.round(F.sqrt(vx.dot(F.col("vector"), F.col("vector"))), 4)
+    return embedded.select("chunk_id", F.size("vector").alias("dims"), norm.alias("norm"))
 
 
 # --- vectors -----------------------------------------------------------------

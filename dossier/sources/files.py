@@ -62,7 +62,8 @@ MEMBER_SCHEMA = (
 def _zip_rows(path: str, content: bytes) -> Iterator[tuple]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, OSError, ValueError):
+        yield path, None, None, 0, None, "error_unreadable", b""  # the archive itself
         return
     with archive:
         for position, info in enumerate(archive.infolist()):
@@ -77,9 +78,9 @@ def _zip_rows(path: str, content: bytes) -> Iterator[tuple]:
 
 
 def zip_members(archives: DataFrame, with_content: bool = True, batch_bytes: int = 1 << 25) -> DataFrame:
-    """One row per file inside each zip (path, content); unreadable archives give none.
+    """One row per file inside each zip (path, content).
 
-    Members go out in batches of about 32 MB, so a large archive is never held
+    An unreadable archive gives one row without a member.  Members go out in batches of about 32 MB, so a large archive is never held
     unpacked as a whole.
     """
     columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
@@ -105,7 +106,7 @@ def archive_members(archives: DataFrame, base_depth: int = 0) -> DataFrame:
 
     Delete candidates and members of review categories are dropped.
     """
-    members = zip_members(archives, with_content=False)
+    members = zip_members(archives, with_content=False).filter("member IS NOT NULL")
     name = rules.file_name(F.regexp_replace("member", "/+$", ""))
     inner_folder = F.when(F.col("member").contains("/"), F.regexp_replace("member", "/[^/]+$", "")).otherwise(".")
     rows = members.select(
@@ -121,17 +122,50 @@ def archive_members(archives: DataFrame, base_depth: int = 0) -> DataFrame:
                        & ~F.col("category").isin(*fixed.REVIEW_CATEGORIES))
 
 
+def full_inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) for a folder: scanned files, zip members, refused files.
+
+    Files of review categories and unreadable zips are quarantined with a reason.
+    """
+    kept, held = inventory.quarantine_split(scan_inventory(spark, root))
+    raw = read_files(spark, root).filter(F.lower("path").endswith(".zip") & (F.col("length") <= MAX_CONTENT))
+    zips = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(
+        kept.select("path", F.col("depth").alias("_depth")), "path")
+    broken = (
+        zip_members(zips, with_content=False).filter("member IS NULL")
+        .select(F.col("source_archive").alias("path"), F.lit("unreadable_archive").alias("reason"))
+    )
+    depths = kept.select(F.col("path").alias("source_archive"), F.col("depth").alias("_depth"))
+    members = (
+        archive_members(zips).join(depths, "source_archive")
+        .withColumn("depth", F.col("depth") + F.col("_depth")).drop("_depth")
+    )
+    held = held.unionByName(kept.join(broken, "path"))
+    kept = kept.join(broken.select("path"), "path", "left_anti")
+    return kept.unionByName(members, allowMissingColumns=True), held
+
+
+READABLE_MEMBERS = (
+    fixed.ROUTE_TEXT + fixed.ROUTE_CSV + fixed.ROUTE_PDF + fixed.ROUTE_DOC + fixed.ROUTE_SHEET
+    + fixed.ROUTE_SLIDES + fixed.ROUTE_IMAGE + fixed.ROUTE_JAR + fixed.ROUTE_ARCHIVE + fixed.ROUTE_BINARY
+)
+
+
 def archive_text_rollup(members: DataFrame, limit: int = 20) -> DataFrame:
-    """(source_archive, text): the first 20 members with text, each under its name.
+    """(source_archive, text, extraction_method): first 20 members with text, each under its name.
 
-    Needs source_archive, member, position, text.
+    Members of types no extractor reads are passed over; .jar and .war files are
+    read alike.  Needs source_archive, member, position, text.
     """
-    with_text = members.filter(F.coalesce("text", F.lit("")) != "")
+    readable = rules.extension(rules.file_name(F.col("member"))).isin(READABLE_MEMBERS)
+    with_text = members.filter(readable & (F.coalesce("text", F.lit("")) != ""))
     first = top_per_key(with_text, "source_archive", limit, F.col("position"))
     ordered = F.array_sort(F.collect_list(F.struct("position", "member", "text")))  # at most 20
     joined = F.array_join(
         F.transform(ordered, lambda m: F.concat(F.lit("["), m["member"], F.lit("]\n"), m["text"])), "\n\n")
-    return first.groupBy("source_archive").agg(tx.strip(joined).alias("text"))
+    jar = rules.extension(rules.file_name(F.col("source_archive"))).isin(fixed.ROUTE_JAR)
+    return first.groupBy("source_archive").agg(tx.strip(joined).alias("text")).withColumn(
+        "extraction_method", F.when(jar, "jar_archive").otherwise("archive"))
 
 
 def text_source(raw: DataFrame) -> DataFrame:

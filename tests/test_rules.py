@@ -280,6 +280,21 @@ def test_scan_and_walk_read_nested_files(spark, tmp_path):
     assert raw.scan_inventory(spark, str(tmp_path), with_hash=False).filter("hash IS NULL").count() == 2
 
 
+def test_full_inventory(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "good.zip", "w") as archive:
+        archive.writestr("a/doc.txt", "hello")
+    (tmp_path / "in" / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "x.mp3").write_bytes(b"m")
+    (tmp_path / "y.txt").write_bytes(b"t")
+    kept, held = raw.full_inventory(spark, str(tmp_path))
+    root = str(tmp_path)
+    assert {(r["path"].replace(root, ""), r["depth"]) for r in kept.collect()} == {
+        ("/in/good.zip", 1), ("/in/good.zip::a/doc.txt", 3), ("/y.txt", 0)}
+    assert {(r["name"], r["reason"]) for r in held.collect()} == {
+        ("bad.zip", "unreadable_archive"), ("x.mp3", "category:Audio")}
+
+
 def test_unreadable_files_get_an_error_code(spark):
     rows = spark.createDataFrame([("/nowhere/at/all",)], "path string")
     assert walk.hash_files(rows).first()["hash"] == "error_not_found"
