@@ -55,43 +55,43 @@ def dbscan_cluster(
 
     A cluster is named by its smallest core id; a border point joins the
     smallest adjacent cluster.  Equal vectors are collapsed to one weighted
-    point first, so copies cost nothing in the pair search.
+    point first.  The first pass counts neighbours, the second links cores;
+    both send rows in proportion to the points, however dense a cluster is.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     usable = vectors.filter("vector IS NOT NULL")
     points = written(
-        usable.groupBy("vector").agg(F.min(id_col).alias("id"), F.count("*").alias("weight")), "points"
+        usable.groupBy(F.xxhash64("vector").alias("digest"), "vector")
+        .agg(F.min(id_col).alias("id"), F.count("*").alias("weight")), "points"
     )
-    found = neighbours.exact_pairs(
-        points.select(F.col("id").cast("string").alias("id"), "vector"), 1.0 - eps, block_rows
+    named = points.select(F.col("id").cast("string").alias("id"), "vector", "weight")
+    cells = neighbours.Cells(named, 1.0 - eps, block_rows)
+    near = neighbours.neighbour_weights(cells, named.withColumnRenamed("weight", "mark"))
+    marked = written(
+        named.join(near, "id", "left")
+        .withColumn("mark", (F.col("weight") + F.coalesce("near", F.lit(0)) >= min_points).cast("long"))
+        .select("id", "vector", "mark"), "marked-points"
     )
-    pairs = written(found.select(F.col("id_1").cast(kind).alias("a"), F.col("id_2").cast(kind).alias("b")), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weights = points.select("id", "weight")
-    near = (
-        both.join(weights.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("weight").alias("near"))
-    )
-    cores = written(
-        weights.join(near.withColumnRenamed("a", "id"), "id", "left")
-        .filter(F.col("weight") + F.coalesce("near", F.lit(0)) >= min_points).select("id"),
-        "cores",
-    )
-    as_a, as_b = cores.withColumnRenamed("id", "a"), cores.withColumnRenamed("id", "b")
-    between = pairs.join(as_a, "a", "left_semi").join(as_b, "b", "left_semi")
-    joined = connected_components(between).withColumnRenamed("node", "id")
+    links = written(neighbours.core_links(cells, marked).select(
+        F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "among_cores"), "links")
+    cores = marked.filter("mark = 1").select(F.col("id").cast(kind).alias("id"))
+    joined = connected_components(links.filter("among_cores").select("a", "b")).withColumnRenamed("node", "id")
     core_labels = cores.join(joined, "id", "left").select(
         "id", F.coalesce("component", "id").alias("cluster"), F.lit(True).alias("is_core")
     )
     border_labels = (
-        both.join(as_a, "a", "left_anti")
-        .join(core_labels.select(F.col("id").alias("b"), "cluster"), "b")
+        links.filter("NOT among_cores").withColumnRenamed("b", "id")
+        .join(core_labels.select("id", "cluster"), "id")
         .groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
         .withColumn("is_core", F.lit(False))
     )
-    labels = points.select("id", "vector").join(
+    labels = points.select("id", "digest", "vector").join(
         core_labels.unionByName(border_labels), "id", "left"
-    ).select("vector", "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
-    return usable.join(labels, "vector").select(id_col, "cluster", "is_core")
+    ).select("digest", "vector", "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return (
+        usable.withColumn("digest", F.xxhash64("vector")).join(labels, ["digest", "vector"])
+        .select(id_col, "cluster", "is_core")
+    )
 
 
 def cluster_density(files: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.vector import CANDIDATE_MARGIN, as_list_column, as_matrix, unit
 
 PAIR_SCHEMA = "id_1 string, id_2 string, similarity double"
 BLOCK_ROWS = 4096
+MAX_PARTS = 50_000
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -47,8 +48,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _by_tile(rows: DataFrame, keys: list[str], compare: Callable, schema: str) -> DataFrame:
-    """Run ``compare`` once per tile of rows carrying ``keys``."""
+def _by_tile(rows: DataFrame, keys: list[str], compare: Callable, schema: str, blocks: int = 1) -> DataFrame:
+    """Run ``compare`` once per tile of rows carrying ``keys``.
+
+    ``blocks`` is the number of blocks of rows at hand; with more of them than
+    shuffle partitions the number of parts follows the data.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
@@ -56,7 +61,7 @@ def _by_tile(rows: DataFrame, keys: list[str], compare: Callable, schema: str) -
                 yield from compare(group)
 
     # a stated number keeps small but compute-heavy tiles on separate tasks
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, MAX_PARTS))
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
@@ -137,40 +142,111 @@ def _pair_batches(ids_1, ids_2, scores, step: int = 65536) -> Iterator[pa.Record
         )
 
 
-def _compare_tile(threshold: float, accept: Callable | None = None, strip: int = 1024) -> Callable:
-    """Pairs of one tile; rows are multiplied in strips to bound memory."""
+def _tile_pairs(group: pa.Table, threshold: float, accept: Callable | None = None, strip: int = 1024):
+    """Passing pairs of one tile as index arrays (p, q, similarity), strip by strip."""
+    vectors = unit_rows(as_matrix(group["vector"]))
+    visitor = group["visitor"].to_numpy().astype(bool)
+    mine = group["_mine"].to_numpy()
+    kind, a, b = group["kind"][0].as_py(), group["a"][0].as_py(), group["b"][0].as_py()
+    extra = as_matrix(group["bands"]) if "bands" in group.column_names else None
+    residents, visitors = np.flatnonzero(~visitor), np.flatnonzero(visitor)
+    if kind == "whole":
+        jobs = [(residents, residents), (visitors, residents)]
+    elif kind == "visit":
+        jobs = [(visitors, residents)]
+    elif a == b:
+        jobs = [(residents, residents)]
+    else:
+        jobs = [(np.flatnonzero(mine == a), np.flatnonzero(mine == b))]
+    for left, right in jobs:
+        for start in range(0, len(left), strip):
+            rows = left[start:start + strip]
+            # within one block only later rows are partners
+            partners = right[start:] if left is right else right
+            i, j, scores = _passing(vectors[rows], vectors[partners], threshold)
+            p, q = rows[i], partners[j]
+            if left is right:
+                once = p < q
+                p, q, scores = p[once], q[once], scores[once]
+            if accept is not None and len(p):
+                ok = accept(extra[p], extra[q], group["cell"][0].as_py())
+                p, q, scores = p[ok], q[ok], scores[ok]
+            if len(p):
+                yield p, q, scores
+
+
+def _ids(group: pa.Table) -> np.ndarray:
+    return np.asarray(group["id"].to_pylist(), dtype=object)
+
+
+def _emit_pairs(threshold: float, accept: Callable | None = None) -> Callable:
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = _ids(group)
+        for p, q, scores in _tile_pairs(group, threshold, accept):
+            yield from _pair_batches(ids[p], ids[q], scores)
+
+    return compare
+
+
+def _emit_weights(threshold: float) -> Callable:
+    """Per tile and point, the summed ``mark`` of its neighbours in the tile."""
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        vectors = unit_rows(as_matrix(group["vector"]))
-        ids = np.asarray(group["id"].to_pylist(), dtype=object)
-        visitor = group["visitor"].to_numpy().astype(bool)
-        mine = group["_mine"].to_numpy()
-        kind, a, b = group["kind"][0].as_py(), group["a"][0].as_py(), group["b"][0].as_py()
-        extra = as_matrix(group["bands"]) if "bands" in group.column_names else None
-        residents, visitors = np.flatnonzero(~visitor), np.flatnonzero(visitor)
-        if kind == "whole":
-            jobs = [(residents, residents), (visitors, residents)]
-        elif kind == "visit":
-            jobs = [(visitors, residents)]
-        elif a == b:
-            jobs = [(residents, residents)]
-        else:
-            jobs = [(np.flatnonzero(mine == a), np.flatnonzero(mine == b))]
-        for left, right in jobs:
-            for start in range(0, len(left), strip):
-                rows = left[start:start + strip]
-                # within one block only later rows are partners
-                partners = right[start:] if left is right else right
-                i, j, scores = _passing(vectors[rows], vectors[partners], threshold)
-                p, q = rows[i], partners[j]
-                if left is right:
-                    once = p < q
-                    p, q, scores = p[once], q[once], scores[once]
-                if accept is not None and len(p):
-                    ok = accept(extra[p], extra[q], group["cell"][0].as_py())
-                    p, q, scores = p[ok], q[ok], scores[ok]
-                if len(p):
-                    yield from _pair_batches(ids[p], ids[q], scores)
+        mark = group["mark"].to_numpy().astype(np.float64)
+        near = np.zeros(group.num_rows)
+        for p, q, _ in _tile_pairs(group, threshold):
+            near += np.bincount(p, mark[q], len(near)) + np.bincount(q, mark[p], len(near))
+        seen = np.flatnonzero(near)
+        yield pa.RecordBatch.from_arrays(
+            [group["id"].combine_chunks().take(pa.array(seen)), pa.array(near[seen].astype(np.int64))],
+            names=["id", "near"])
+
+    return compare
+
+
+def _merge(parent: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the sets of every pair (p, q) in place; the smaller index leads a set."""
+    while True:
+        a, b = parent[p], parent[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:  # point every member at its leader
+            jumped = parent[parent]
+            if np.array_equal(jumped, parent):
+                break
+            parent[:] = jumped
+
+
+def _emit_links(threshold: float) -> Callable:
+    """Per tile, links that keep its connections: core to core, border to core.
+
+    ``mark`` is 1 for core points.  Cores joined inside the tile are linked to
+    one of them, and a border point is linked once to each such set, so a dense
+    tile emits about one row per point instead of one per pair.
+    """
+
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        core = group["mark"].to_numpy().astype(bool)
+        parent = np.arange(group.num_rows)
+        touches = [np.zeros((0, 2), dtype=np.int64)]
+        for p, q, _ in _tile_pairs(group, threshold):
+            both = core[p] & core[q]
+            _merge(parent, p[both], q[both])
+            for border, centre in ((p, q), (q, p)):
+                mixed = ~core[border] & core[centre]
+                pair = np.stack([border[mixed], parent[centre[mixed]]], axis=1)
+                touches.append(np.unique(pair, axis=0))
+        touch = np.concatenate(touches)
+        touch = np.unique(np.stack([touch[:, 0], parent[touch[:, 1]]], axis=1), axis=0)
+        joined = np.flatnonzero(parent != np.arange(len(parent)))
+        a, b = np.concatenate([joined, touch[:, 0]]), np.concatenate([parent[joined], touch[:, 1]])
+        ids = group["id"].combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(np.arange(len(a)) < len(joined))],
+            names=["a", "b", "among_cores"])
 
     return compare
 
@@ -240,20 +316,39 @@ def _assign_cells(
             visits &= np.arange(len(pivots))[None, :] > home[:, None]
             who, where = np.nonzero(visits)
             take = pa.array(np.concatenate([rows, who]))
+            place = [
+                pa.array(np.concatenate([home, where]).astype(np.int64)),
+                pa.array(np.concatenate([np.zeros(len(rows), bool), np.ones(len(who), bool)])),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([home, where]).astype(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(rows), bool), np.ones(len(who), bool)])),
-                    batch.column("id").take(take),
-                    batch.column("vector").take(take),
-                ],
-                names=["cell", "visitor", "id", "vector"],
+                place + [batch.column(name).take(take) for name in carried],
+                names=["cell", "visitor", *carried],
             )
 
-    kind = vectors.schema["vector"].dataType.simpleString()
-    return vectors.select("id", "vector").mapInArrow(
-        run, f"cell long, visitor boolean, id string, vector {kind}"
-    )
+    carried = [name for name in ("id", "vector", "mark") if name in vectors.columns]
+    kinds = [f"{name} {vectors.schema[name].dataType.simpleString()}" for name in carried]
+    return vectors.select(*carried).mapInArrow(run, ", ".join(["cell long, visitor boolean", *kinds]))
+
+
+class Cells:
+    """Where vectors fall: pivots, cell radii and block count, found once for several passes."""
+
+    def __init__(self, vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS):
+        if not 0.0 < threshold <= 1.0:
+            raise ValueError("threshold must lie in (0, 1]")
+        self.threshold, self.block_rows = threshold, block_rows
+        self.blocks = max(1, -(-vectors.count() // block_rows))
+        pivots = _pivots(vectors, min(1024, self.blocks))
+        self.empty = len(pivots) == 0
+        if not self.empty:
+            self.pivots, self.radii = _measured(vectors, pivots)
+
+    def compare(self, vectors: DataFrame, emit: Callable, schema: str) -> DataFrame:
+        """Meet all near vectors tile by tile; ``emit`` turns a tile into rows."""
+        if self.empty:
+            return vectors.sparkSession.createDataFrame([], schema)
+        placed = _assign_cells(vectors, self.pivots, self.radii, self.threshold)
+        return _by_tile(tiles(placed, self.block_rows), TILE_KEYS, emit(self.threshold), schema, self.blocks)
 
 
 def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -263,15 +358,21 @@ def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     tighter of its two cells only.  Pruning depends on how clustered the vectors
     are; without any structure the work is that of a block-by-block product.
     """
-    if not 0.0 < threshold <= 1.0:
-        raise ValueError("threshold must lie in (0, 1]")
-    cells = max(1, min(1024, -(-vectors.count() // block_rows)))
-    pivots = _pivots(vectors, cells)
-    if len(pivots) == 0:
-        return vectors.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    pivots, radii = _measured(vectors, pivots)
-    spread = tiles(_assign_cells(vectors, pivots, radii, threshold), block_rows)
-    return _by_tile(spread, TILE_KEYS, _compare_tile(threshold), PAIR_SCHEMA)
+    return Cells(vectors, threshold, block_rows).compare(vectors, _emit_pairs, PAIR_SCHEMA)
+
+
+def neighbour_weights(cells: Cells, points: DataFrame) -> DataFrame:
+    """(id, near): summed ``mark`` of all other points within the threshold.
+
+    Tiles send one partial sum per point; no pair leaves a task.
+    """
+    partial = cells.compare(points, _emit_weights, "id string, near long")
+    return partial.groupBy("id").agg(F.sum("near").alias("near"))
+
+
+def core_links(cells: Cells, points: DataFrame) -> DataFrame:
+    """(a, b, among_cores): links that connect what is within the threshold; ``mark`` is 1 for cores."""
+    return cells.compare(points, _emit_links, "a string, b string, among_cores boolean")
 
 
 def banding(sample: np.ndarray, count: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -308,7 +409,8 @@ def lsh_pairs(
     sample = _pivots(vectors, 256)
     if len(sample) == 0:
         return vectors.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    bands, rows = banding(sample, vectors.count(), threshold, recall)
+    count = vectors.count()
+    bands, rows = banding(sample, count, threshold, recall)
     planes = np.random.default_rng(seed).standard_normal((sample.shape[1], bands * rows))
     weights = 1 << np.arange(rows, dtype=np.int64)
 
@@ -332,7 +434,8 @@ def lsh_pairs(
         return same.argmax(axis=1) == cell % bands
 
     return _by_tile(
-        tiles(cells, block_rows), TILE_KEYS, _compare_tile(threshold, first_shared), PAIR_SCHEMA
+        tiles(cells, block_rows), TILE_KEYS, _emit_pairs(threshold, first_shared), PAIR_SCHEMA,
+        blocks=bands * count // block_rows,
     )
 
 
@@ -380,7 +483,7 @@ def top_k_pairs(
 
     candidates = _by_tile(
         spread(queries, True).unionByName(spread(vectors, False)), ["a", "b"], compare,
-        "query_id string, id string, similarity double",
+        "query_id string, id string, similarity double", q_blocks * v_blocks,
     )
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -167,6 +167,24 @@ def test_dbscan_equals_a_sequential_run(spark, noise):
     assert [got[i]["is_core"] for i in range(len(matrix))] == core
 
 
+def test_a_dense_cluster_sends_links_not_pairs(spark):
+    matrix = clustered(3, 1, 400, noise=0.02)
+    points = frame(spark, matrix, "id").withColumn("mark", F.lit(1).cast("long"))
+    cells = neighbours.Cells(points, 0.5, 100)
+    links = neighbours.core_links(cells, points)
+    tiles_of_a_point = 4
+    assert 399 <= links.count() <= 400 * tiles_of_a_point * 2  # of 79 800 pairs
+    near = neighbours.neighbour_weights(cells, points).collect()
+    assert {r["near"] for r in near} == {399}
+
+
+def test_merge_joins_sets():
+    parent = np.arange(8)
+    neighbours._merge(parent, np.array([5, 3]), np.array([3, 1]))
+    neighbours._merge(parent, np.array([7, 7]), np.array([5, 2]))
+    assert parent.tolist() == [0, 1, 1, 1, 4, 1, 6, 1]
+
+
 def test_dbscan_counts_copies_as_points(spark):
     rows = [(i, [1.0, 0.0]) for i in range(3)] + [(9, [0.0, 1.0])]
     table = spark.createDataFrame(rows, "file_id long, vector array<double>")
