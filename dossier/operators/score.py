@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed, rules, vector as vx
+from ..functions import fixed, rules
+from ..functions.storage import written
 from . import cluster, vectors as vec
 
 
@@ -48,10 +49,17 @@ def s_type_importance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s_type_importance", rules.type_importance(F.col("extension")))
 
 
-def s_uniqueness(rows: DataFrame, dup_paths: DataFrame) -> DataFrame:
-    marked = dup_paths.select("path").distinct().withColumn("_dup", F.lit(True))
+def s_uniqueness(rows: DataFrame, dup_paths: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """0 for a path among the duplicates, else 1.
+
+    Only (file_id, path) of ``files`` is shuffled by path; the wide rows stay
+    placed by file id for the joins around this one.
+    """
+    paths = (rows if files is None else files).select("file_id", "path")
+    marked = paths.join(dup_paths.select("path"), "path", "left_semi").select(
+        "file_id", F.lit(True).alias("_dup"))
     return (
-        rows.join(marked, "path", "left")
+        rows.join(marked, "file_id", "left")
         .withColumn("s_uniqueness", F.when(F.col("_dup"), 0.0).otherwise(1.0)).drop("_dup")
     )
 
@@ -79,12 +87,6 @@ def s_llm_quality(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s_llm_quality", F.coalesce(F.when(mix.isNotNull(), clipped), F.lit(0.2)))
 
 
-def _file_signals(rows: DataFrame, dup_paths: DataFrame, as_of: str) -> DataFrame:
-    rows = s_recency(s_content_richness(rows), as_of)
-    rows = s_uniqueness(s_type_importance(rows), dup_paths)
-    return s_content_depth(s_extraction_quality(rows))
-
-
 def _weighted(names: tuple[str, ...]) -> Column:
     weights = dict(zip(fixed.SIGNALS, fixed.SIGNAL_WEIGHTS))
     total = None
@@ -107,9 +109,11 @@ def signals(
 
     ``ratings`` (file_id, rating 1..5) replaces the quality heuristic when given.
     """
-    rows = _file_signals(score_input_join(files, content, chunks), dup_paths, as_of)
-    rows = cluster.cluster_density(rows, clusters)
+    rows = s_recency(s_content_richness(score_input_join(files, content, chunks)), as_of)
+    rows = s_uniqueness(s_type_importance(rows), dup_paths, files)
+    rows = cluster.cluster_density(s_content_depth(s_extraction_quality(rows)), clusters)
     rows = s_llm_quality(rows) if ratings is None else apply_ratings(rows, ratings)
+    rows = written(rows, "eight-signals")  # read for the centroid and again for the result
     centroid = vec.keep_centroid(boot8(rows), file_vectors)
     return vec.semantic_proximity(rows, file_vectors, centroid)
 
