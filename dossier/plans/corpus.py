@@ -39,6 +39,7 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._forests = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -167,9 +168,14 @@ class Corpus:
     def redundancy(self) -> DataFrame:
         return written(dedup.file_redundancy(self.sections, self.vector_paths, 0.40), "file-redundancy")
 
+    @property
+    def chunked_files(self) -> DataFrame:
+        """Files that reached chunking; duplicates are looked for among these."""
+        return self.files.join(self.chunks.select("file_id"), "file_id", "left_semi")
+
     @property
     def duplicate_files(self) -> DataFrame:
-        return dedup.exact_duplicate_pairs(self.files)
+        return dedup.exact_duplicate_pairs(self.chunked_files)
 
     @property
     def dup_paths(self) -> DataFrame:
@@ -204,8 +210,6 @@ class Corpus:
 
     def forest(self, trees: int = 20, depth: int = 8):
         key = (trees, depth)
-        if not hasattr(self, "_forests"):
-            self._forests = {}
         if key not in self._forests:
             rows = score.boot_label(score.boot_score(self.signals))
             self._forests[key] = model.train_importance_model(rows, "boot_label", trees, depth)

@@ -186,12 +186,12 @@ _stage("redundancy", "sections path_counts", """
  FROM (SELECT least(path_1, path_2) AS path_1, greatest(path_1, path_2) AS path_2, count(*) AS shared_chunks,
    avg(similarity) AS avg_similarity FROM sections GROUP BY 1, 2)
  LEFT JOIN path_counts p ON p.path = path_1 LEFT JOIN path_counts q ON q.path = path_2""")
-_stage("dup_groups", "files", """
- SELECT hash, count(*) AS copies, min(path) AS primary_path FROM (
-  SELECT DISTINCT hash, path FROM files WHERE hash NOT LIKE 'error%') GROUP BY hash HAVING count(*) > 1""")
-_stage("duplicate_files", "files dup_groups", """
- SELECT DISTINCT hash, primary_path AS path_1, path AS path_2 FROM files JOIN dup_groups USING (hash)
- WHERE path <> primary_path""")
+_stage("chunked", "files chunks", """
+ SELECT DISTINCT hash, path FROM files WHERE hash NOT LIKE 'error%' AND file_id IN (SELECT file_id FROM chunks)""")
+_stage("dup_groups", "chunked", """
+ SELECT hash, count(*) AS copies, min(path) AS primary_path FROM chunked GROUP BY hash HAVING count(*) > 1""")
+_stage("duplicate_files", "chunked dup_groups", """
+ SELECT hash, primary_path AS path_1, path AS path_2 FROM chunked JOIN dup_groups USING (hash) WHERE path <> primary_path""")
 _stage("dup_paths", "duplicate_files redundancy", """
  SELECT path_1 AS path FROM duplicate_files UNION SELECT path_2 FROM duplicate_files
  UNION SELECT path_1 FROM redundancy WHERE action = 'DELETE duplicate' AND path_1 <> ''
@@ -463,8 +463,8 @@ _oracle("semi_join_ids", "scores actions", """
  SELECT file_id, importance_score, label FROM scores WHERE file_id IN (SELECT file_id FROM actions WHERE action = 'DELETE')""")
 _oracle("explanations_lookup", "explained actions", """
  SELECT file_id, importance_score, top_signal_1 FROM explained WHERE file_id IN (SELECT file_id FROM actions WHERE action = 'DELETE')""")
-_oracle("exact_duplicate_groups", "files dup_groups", """
- SELECT DISTINCT hash, copies, primary_path, path FROM files JOIN dup_groups USING (hash)""")
+_oracle("exact_duplicate_groups", "chunked dup_groups", """
+ SELECT hash, copies, primary_path, path FROM chunked JOIN dup_groups USING (hash)""")
 _oracle("exact_duplicate_pairs", "duplicate_files", "SELECT * FROM duplicate_files")
 _oracle("file_redundancy", "redundancy", """
  SELECT * REPLACE (round(avg_similarity, 6) AS avg_similarity, round(redundancy_ratio, 6) AS redundancy_ratio) FROM redundancy""")
@@ -631,7 +631,7 @@ _oracle("file_embedding_mean", "file_vectors", _long("file_id", "vector", "file_
 _oracle("attribution_proxy", "ranked", _long("file_id", "attribution", "ranked"))
 _oracle("semantic_search", "scored search_meta", """
  SELECT s.chunk_id, s.file_id, round(score, 6) AS score, name, language FROM scored s JOIN search_meta m USING (chunk_id)
- WHERE language = 'en' ORDER BY scored_rank LIMIT 20""".replace("ORDER BY scored_rank", "ORDER BY s.score DESC, s.chunk_id"))
+ WHERE language = 'en' ORDER BY s.score DESC, s.chunk_id LIMIT 20""")
 _oracle("semantic_search_candidates", "scored search_meta", """
  SELECT s.chunk_id, s.file_id, round(score, 6) AS score, name, language
  FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 100) s JOIN search_meta m USING (chunk_id)
@@ -666,9 +666,9 @@ _oracle("llm_rating_batch", "score_input dup_paths chunks", rf"""
   WHERE clean_status = 'SUCCESS' AND clean_text <> '' AND chunk_index < 3 GROUP BY file_id) USING (file_id)
  WHERE extracted_words > 20 AND path NOT IN (SELECT path FROM dup_paths)""")
 _oracle("llm_rating_applied", "files", """
- SELECT file_id, coalesce((least(greatest(quality * 3 + toxic * 7, 1), 5) - 1) / 4.0::DOUBLE, 0.2::DOUBLE) AS s_llm_quality
- FROM files LEFT JOIN labels ON doc_id = file_id""".replace(
-    "coalesce((", "CASE WHEN doc_id IS NULL THEN 0.2::DOUBLE ELSE (").replace(" / 4.0::DOUBLE, 0.2::DOUBLE) AS", " / 4.0::DOUBLE END AS"))
+ SELECT file_id, CASE WHEN doc_id IS NULL THEN 0.2::DOUBLE
+  ELSE (least(greatest(quality * 3 + toxic * 7, 1), 5) - 1) / 4.0::DOUBLE END AS s_llm_quality
+ FROM files LEFT JOIN labels ON doc_id = file_id""")
 _oracle("signals", "signals", "SELECT file_id, " + ", ".join(f"round({s}, 6) AS {s}" for s in fixed.SIGNALS) + " FROM signals")
 _oracle("boot_score", "boot", "SELECT file_id, round(boot_score, 6) AS boot_score FROM boot")
 _oracle("boot_label", "boot", f"SELECT file_id, {_LABEL} AS boot_label FROM boot")

@@ -328,7 +328,7 @@ def explanations_lookup(c):
 # --- aggregations ------------------------------------------------------------
 @query
 def exact_duplicate_groups(c):
-    return dedup.exact_duplicate_groups(c.files)
+    return dedup.exact_duplicate_groups(c.chunked_files)
 
 
 @query
