@@ -393,14 +393,14 @@ _oracle("upsert_by_key_columns", "files actions", f"""
   CASE WHEN f.file_id IS NULL THEN n.batch ELSE -1 END AS batch
  FROM files f FULL JOIN ({_LAST}) n ON n.file_id = f.file_id""")
 _oracle("insert_ignore", "files actions", f"SELECT * FROM ({_FIRST}) n WHERE file_id NOT IN (SELECT file_id FROM files)")
-_oracle("append_event", "actions", "SELECT event_id, file_id, action, actor, 2 AS copies, 2 AS stamped FROM actions")
+_oracle("append_event", "actions", "SELECT event_id, file_id, action, actor, 2::BIGINT AS copies, 2::BIGINT AS stamped FROM actions")
 _oracle("export_csv", "scores files", """
  SELECT f.name, f.path, f.category AS type, s.label AS status, s.importance_score::VARCHAR AS importance_score,
   strftime(f.modified_time, '%Y-%m-%d %H:%M:%S') AS modified, round(f.size_bytes / 1048576.0::DOUBLE, 1)::VARCHAR AS size_mb
  FROM files f JOIN scores s USING (file_id)""")
 _COUNTS = "SELECT label, count(*) AS n FROM scores GROUP BY label UNION ALL SELECT 'TOTAL', count(*) FROM scores"
 _oracle("write_report_json", "scores", _COUNTS)
-_oracle("text_source", "", f"SELECT doc_id, sha256({_strip('text')}) AS text_hash, length({_strip('text')}) AS chars FROM documents")
+_oracle("text_source", "", f"SELECT doc_id, sha256({_strip('text')}) AS text_hash, length({_strip('text')})::INTEGER AS chars FROM documents")
 _oracle("printable_strings", "", """
  SELECT doc_id, sha256(substring(array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{4,}')[1:500], chr(10)), 1, 100000)) AS text_hash
  FROM documents""")
@@ -482,10 +482,10 @@ _oracle("kpis", "scores files redundancy", """
   count(*) FILTER (label IN ('REVIEW', 'DELETE_CANDIDATE')) AS pending_review, max(f.modified_time) AS last_scan,
   (SELECT count(*) FROM redundancy) AS duplicates_found FROM files f LEFT JOIN scores s USING (file_id)""")
 _oracle("status_breakdown", "scores", f"""
- SELECT i - 1 AS position, ([{_quoted(fixed.LABEL_ORDER_SHOWN)}])[i] AS label,
+ SELECT (i - 1)::INTEGER AS position, ([{_quoted(fixed.LABEL_ORDER_SHOWN)}])[i] AS label,
   (SELECT count(*) FROM scores WHERE label = ([{_quoted(fixed.LABEL_ORDER_SHOWN)}])[i]) AS files FROM range(1, 5) t(i)""")
 _oracle("score_histogram_equal", "scores", """
- SELECT i AS position, (i * 10) || '-' || (i * 10 + 10) AS bucket,
+ SELECT i::INTEGER AS position, (i * 10) || '-' || (i * 10 + 10) AS bucket,
   (SELECT count(*) FROM scores WHERE least(9, floor(importance_score / 100 * 10)) = i) AS files FROM range(0, 10) t(i)""")
 _oracle("score_histogram_tiers", "scores", """
  SELECT i AS position, lo || '–' || hi AS bucket,
@@ -503,7 +503,7 @@ _oracle("explanation_report", "explained", """
  UNION ALL SELECT 'sample', label, 1, importance_score, name || ': ' || explanation_text FROM explained
   QUALIFY row_number() OVER (PARTITION BY label ORDER BY importance_score DESC, file_id) = 1""")
 _oracle("inventory_summary", "all_files", f"""
- SELECT count(*) FILTER (category NOT IN ({_quoted(fixed.REVIEW_CATEGORIES)})) AS real_files, 0 AS archive_members,
+ SELECT count(*) FILTER (category NOT IN ({_quoted(fixed.REVIEW_CATEGORIES)})) AS real_files, 0::BIGINT AS archive_members,
   count(*) FILTER (status = 'DELETE_CANDIDATE') AS delete_candidates,
   count(*) FILTER (category IN ({_quoted(fixed.REVIEW_CATEGORIES)})) AS quarantined,
   round(sum(size_mb) FILTER (category NOT IN ({_quoted(fixed.REVIEW_CATEGORIES)})), 2) AS total_mb FROM all_files""")
@@ -534,7 +534,7 @@ _oracle("disagreement_rate", "usable", """
 _oracle("class_balance_check", "usable", "SELECT human_label, count(*) AS examples FROM usable GROUP BY human_label HAVING count(*) < 40")
 _oracle("retrain_status", "feedback usable", """
  SELECT count(*) FILTER (NOT used_in_train) >= 30 AS should_retrain, count(*) FILTER (NOT used_in_train) AS new_feedback_rows,
-  30 AS threshold, (SELECT count(*) FROM usable) AS usable_labeled FROM feedback""")
+  30::BIGINT AS threshold, (SELECT count(*) FROM usable) AS usable_labeled FROM feedback""")
 _oracle("top_chunk_excerpt", "chunks", """
  SELECT file_id, md5(string_agg(clean_text, ' ' ORDER BY chunk_index)) AS excerpt_hash FROM chunks
  WHERE clean_status = 'SUCCESS' AND clean_text <> '' AND chunk_index < 3 GROUP BY file_id""")
@@ -587,7 +587,7 @@ _oracle("reuse_clean_by_hash", "all_content", f"""
   PARTITION BY hash ORDER BY phase1_status <> 'KEEP', id) END) AS text_hash
  FROM (SELECT *, {_RAWCLEAN} AS clean FROM all_content)""")
 _oracle("chunk_sliding", "raw_content", f"""
- SELECT file_id, generate_subscripts(parts, 1) - 1 AS chunk_index, md5(unnest(parts)) AS text_hash FROM (
+ SELECT file_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS chunk_index, md5(unnest(parts)) AS text_hash FROM (
   SELECT file_id, CASE WHEN len(ws) <= 500 THEN CASE WHEN len(ws) >= 20 THEN [t] ELSE [] END ELSE {_windows('ws')} END AS parts
   FROM (SELECT *, {_words('t')} AS ws FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content)))""")
 _CHUNKS = """SELECT chunk_id, file_id, chunk_index, chunk_total, clean_char_count, clean_word_count, language, clean_status,
@@ -598,7 +598,7 @@ _CLOSE = _RUN.format("acc.first", f"({_HELD})")
 _SPLIT = ("list_transform(list_filter(range(0, x.c, 450), lambda s: x.c - s >= 20), "
           "lambda s: {'f': acc.last + s, 'n': least(x.c - s, 500)})")
 _oracle("chunk_paragraphs", "raw_content", f"""
- SELECT file_id, generate_subscripts(runs, 1) - 1 AS chunk_index,
+ SELECT file_id, (generate_subscripts(runs, 1) - 1)::INTEGER AS chunk_index,
   array_to_string(ws[unnest(runs).f + 1:unnest(runs).f + unnest(runs).n], ' ') AS chunk_text
  FROM (SELECT file_id, ws, list_concat(done.runs, {_RUN.format("done.first", "(done.last - done.first)")}) AS runs FROM (
   SELECT file_id, ws, list_reduce(
@@ -621,7 +621,7 @@ _oracle("detect_language", "", f"SELECT doc_id, {_language('text')} AS language
 
 
 def _long(key: str, array: str, source: str) -> str:
-    return (f"SELECT {key}, generate_subscripts({array}, 1) - 1 AS position, "
+    return (f"SELECT {key}, (generate_subscripts({array}, 1) - 1)::INTEGER AS position, "
             f"round(unnest({array}), 6) AS value FROM {source}")
 
 
@@ -641,7 +641,7 @@ _oracle("search_files", "scored search_meta explained files", f"""
  FROM (SELECT s.*, m.clean_text FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 30) s JOIN search_meta m USING (chunk_id)
   QUALIFY row_number() OVER (PARTITION BY s.file_id ORDER BY s.score DESC, s.chunk_id) = 1) h JOIN explained x USING (file_id)""")
 _oracle("knn_batch_join", "vectors", """
- SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
+ SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM (
   SELECT q.chunk_id AS query_id, v.chunk_id, list_cosine_similarity(q.vector, v.vector) AS similarity,
    row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 12) DESC, v.chunk_id) AS rank
   FROM vectors q, vectors v) WHERE rank <= 5""")
@@ -653,7 +653,7 @@ _oracle("dbscan_cluster", "clusters", "SELECT file_id, cluster, is_core FROM clu
 _oracle("cluster_density", "files density", """
  SELECT file_id, round(coalesce(s_cluster_density, 0), 6) AS s_cluster_density FROM files LEFT JOIN density USING (file_id)""")
 _oracle("keep_centroid", "centroid", """
- SELECT generate_subscripts(target, 1) - 1 AS position,
+ SELECT (generate_subscripts(target, 1) - 1)::INTEGER AS position,
   round(unnest(list_transform(target, lambda x: x / sqrt(list_sum(list_transform(target, lambda y: y * y))))), 6) AS value FROM centroid""")
 _oracle("semantic_proximity", "signals", "SELECT file_id, round(s_semantic_proximity, 6) AS s_semantic_proximity FROM signals")
 for _name in ("s_content_richness", "s_recency", "s_type_importance", "s_uniqueness", "s_extraction_quality", "s_content_depth"):
