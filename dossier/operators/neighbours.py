@@ -113,7 +113,8 @@ def tiles(cells: DataFrame, block_rows: int) -> DataFrame:
     )
     return (
         cells.join(hot, "cell", "left").withColumn("_mine", mine)
-        .withColumn("_tile", F.explode(places))
+        # outer: an inferred filter would build every list twice
+        .withColumn("_tile", F.explode_outer(places)).filter("_tile IS NOT NULL")
         .select("*", F.col("_tile.kind").alias("kind"), F.col("_tile.a").alias("a"), F.col("_tile.b").alias("b"))
         .drop("_tile", "_rs", "_vs")
     )

@@ -735,6 +735,19 @@ _oracle("mark_feedback_used", "feedback usable", """
 _oracle("mark_feedback_promoted", "feedback usable", """
  SELECT feedback_id, used_in_train OR u AS used_in_train, training_attempts, CASE WHEN u THEN 9 END AS promoted_in_version
  FROM (SELECT *, feedback_id IN (SELECT feedback_id FROM usable) AS u FROM feedback)""")
+_oracle("retrieval_context", "vectors scores chunks", """
+ SELECT v.chunk_id AS query_id, coalesce(context, 'No matching files were found.') AS context FROM vectors v LEFT JOIN (
+  SELECT query_id, string_agg('- ' || s.name || ' | label=' || s.label || ' | score=' || s.importance_score::VARCHAR
+    || CASE WHEN coalesce(k.clean_text, '') <> '' THEN chr(10) || '  Preview: ' || substring(k.clean_text, 1, 200) ELSE '' END,
+    chr(10) ORDER BY relevance DESC, h.file_id) AS context
+  FROM (SELECT query_id, file_id, round(max(similarity), 3) AS relevance FROM (
+    SELECT q.chunk_id AS query_id, v.file_id, list_cosine_similarity(q.vector, v.vector) AS similarity
+    FROM vectors q, vectors v
+    QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 12) DESC, v.chunk_id) <= 5)
+   GROUP BY ALL) h
+  JOIN scores s ON s.file_id = h.file_id
+  LEFT JOIN chunks k ON k.file_id = h.file_id AND k.chunk_index = 0 AND k.clean_status = 'SUCCESS'
+  GROUP BY query_id) c ON c.query_id = v.chunk_id""")
 _oracle("apply_actions", "scores actions", """
  SELECT s.file_id, coalesce(CASE a.action WHEN 'KEEP' THEN 'KEEP' WHEN 'ARCHIVE' THEN 'ARCHIVE' WHEN 'DELETE' THEN 'DELETE_CANDIDATE' END, s.label) AS label
  FROM scores s LEFT JOIN (SELECT file_id, arg_max(action, (ts, event_id)) AS action FROM actions WHERE action <> 'REVIEWED' GROUP BY file_id) a

@@ -919,6 +919,17 @@ def apply_actions(c):
 
 @query
 def retrieval_context(c):
+    """Context lines for every supplied vector taken as a question."""
+    asked = c.vectors.select(F.col("chunk_id").alias("query_id"), "vector")
+    near = vectors.knn_batch_join(asked, c.vectors.select("chunk_id", "vector"), 5)
+    hits = near.join(c.vectors.select("chunk_id", "file_id"), "chunk_id").select(
+        "query_id", "file_id", "chunk_id", F.col("similarity").alias("score"), F.lit("").alias("clean_text"))
+    best = serve.best_hit_per_file(hits, ("query_id",))
+    return serve.retrieval_context(best, c.files, c.scores, c.chunks, asked)
+
+
+@query
+def retrieval_context_text(c):
     """Context lines for every user turn of the conversations."""
     near = vectors.knn_batch_join(c.questions, c.text_vectors.select("chunk_id", "vector"), 5)
     hits = near.join(c.chunks.select("chunk_id", "file_id", "clean_text"), "chunk_id")
