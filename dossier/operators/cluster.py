@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.storage import written
 from . import neighbours
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _round(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Write one round's edges; its row count and digest are observed on the way."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("a", "b") % 1_000_003)
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("rows"), digest.alias("digest")), "components")
+    return table, seen.get
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -19,11 +23,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     A node's neighbours are never gathered: minima are aggregates joined back.
     Each round is written to the shared folder, which cuts the lineage.
     """
-    current = written(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "components",
-    )
-    before = _fingerprint(current)
+    current, before = _round(
+        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -34,10 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(lowest.withColumnRenamed("m", "b"))
         )
-        current = written(
-            small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components"
-        )
-        after = _fingerprint(current)
+        current, after = _round(
+            small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if after == before:
             break
         before = after

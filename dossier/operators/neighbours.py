@@ -72,15 +72,19 @@ def _bucket(key: Column, buckets: Column) -> Column:
 HOT_CELLS = 1_000_000  # rows of 24 bytes; more of them are joined by a shuffle
 
 
-def tiles(cells: DataFrame, block_rows: int) -> DataFrame:
+def tiles(cells: DataFrame, block_rows: int, rows: int | None = None) -> DataFrame:
     """Place every row in the tiles it takes part in.
 
     ``cells``: cell long, visitor boolean, id, vector and any other columns.
     Residents of a cell meet each other, visitors meet residents.  An ordinary
     cell is one tile and its rows are sent once.  A cell with more than
     ``block_rows`` residents or visitors is split by hash into sub-blocks that
-    meet pairwise, so a hot cell becomes many bounded tiles.
+    meet pairwise, so a hot cell becomes many bounded tiles.  ``rows`` is the
+    number of rows if known: up to one block of them, no cell can be hot.
     """
+    if rows is not None and rows <= block_rows:
+        return cells.select("*", F.lit(0).alias("_mine"), F.lit("whole").alias("kind"),
+                            F.lit(0).alias("a"), F.lit(0).alias("b"))
     hot = written(
         cells.groupBy("cell")
         .agg(F.count_if(~F.col("visitor")).alias("_r"), F.count_if("visitor").alias("_v"))
@@ -255,7 +259,7 @@ def _emit_links(threshold: float) -> Callable:
 def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """A bounded, repeatable sample of vectors (at most ``count`` rows)."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").collect()
-    return unit_rows(np.asarray([r["vector"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
+    return unit_rows(np.asarray([r["vector"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
 
 def _nearest(batch: pa.RecordBatch, pivots: np.ndarray):
@@ -338,18 +342,19 @@ class Cells:
         if not 0.0 < threshold <= 1.0:
             raise ValueError("threshold must lie in (0, 1]")
         self.threshold, self.block_rows = threshold, block_rows
-        self.blocks = max(1, -(-vectors.count() // block_rows))
-        pivots = _pivots(vectors, min(1024, self.blocks))
-        self.empty = len(pivots) == 0
-        if not self.empty:
-            self.pivots, self.radii = _measured(vectors, pivots)
+        self.rows = vectors.count()
+        self.blocks = max(1, -(-self.rows // block_rows))
+        if self.blocks > 1:
+            self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(1024, self.blocks)))
 
     def compare(self, vectors: DataFrame, emit: Callable, schema: str) -> DataFrame:
         """Meet all near vectors tile by tile; ``emit`` turns a tile into rows."""
-        if self.empty:
-            return vectors.sparkSession.createDataFrame([], schema)
-        placed = _assign_cells(vectors, self.pivots, self.radii, self.threshold)
-        return _by_tile(tiles(placed, self.block_rows), TILE_KEYS, emit(self.threshold), schema, self.blocks)
+        if self.blocks > 1:
+            placed = _assign_cells(vectors, self.pivots, self.radii, self.threshold)
+        else:  # a single cell without visitors
+            placed = vectors.select(F.lit(0).cast("long").alias("cell"), F.lit(False).alias("visitor"), "*")
+        spread = tiles(placed, self.block_rows, self.rows)
+        return _by_tile(spread, TILE_KEYS, emit(self.threshold), schema, self.blocks)
 
 
 def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -435,7 +440,7 @@ def lsh_pairs(
         return same.argmax(axis=1) == cell % bands
 
     return _by_tile(
-        tiles(cells, block_rows), TILE_KEYS, _emit_pairs(threshold, first_shared), PAIR_SCHEMA,
+        tiles(cells, block_rows, count), TILE_KEYS, _emit_pairs(threshold, first_shared), PAIR_SCHEMA,
         blocks=bands * count // block_rows,
     )
 
