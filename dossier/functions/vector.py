@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 # float32 products are only used to select candidates; this margin covers
@@ -66,3 +66,13 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vector columns, 0 when either is a zero vector (JVM-side)."""
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+DIGEST = ["digest_1", "digest_2"]
+
+
+def with_digest(frame: DataFrame, vector: str = "vector") -> DataFrame:
+    """Add two 64-bit digests of different seeds that stand for a vector as a key."""
+    return frame.withColumns({
+        "digest_1": F.xxhash64(vector), "digest_2": F.xxhash64(F.lit(0x5EED), F.col(vector)),
+    })

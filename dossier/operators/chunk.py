@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text as tx
+from ..functions.storage import written
 
 
 def clean_text(
@@ -34,8 +35,8 @@ def reuse_clean_by_hash(content: DataFrame) -> DataFrame:
 
     The first row of a hash is taken, KEEP files before others and then by id.
     Rows whose hash is missing or an error code are cleaned on their own.
-    Copies collapse in the partial aggregate before the shuffle; joining back,
-    one row per hash meets its copies, which AQE splits when a hash is hot.
+    Copies collapse in the partial aggregate before the shuffle.  The cleaned
+    texts are written once, so that Spark can split a hot hash in the join back.
     """
     usable = F.col("hash").isNotNull() & ~F.coalesce(F.col("hash"), F.lit("")).startswith("error")
     order = F.struct((F.col("phase1_status") != "KEEP").alias("later"), F.col("id"))
@@ -44,7 +45,8 @@ def reuse_clean_by_hash(content: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("extracted_text", "extraction_method"), order).alias("_first"))
         .select("hash", "_first.*")
     )
-    shared = content.filter(usable).join(clean_text(once).select("hash", "clean_text"), "hash")
+    cleaned = written(clean_text(once).select("hash", "clean_text"), "clean-by-hash")
+    shared = content.filter(usable).join(cleaned, "hash")
     return shared.unionByName(clean_text(content.filter(~usable)))
 
 

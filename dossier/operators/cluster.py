@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.storage import written
+from ..functions.vector import DIGEST, with_digest
 from . import neighbours
 
 
@@ -60,8 +61,8 @@ def dbscan_cluster(
     kind = vectors.schema[id_col].dataType.simpleString()
     usable = vectors.filter("vector IS NOT NULL")
     points = written(
-        usable.groupBy(F.xxhash64("vector").alias("digest"), "vector")
-        .agg(F.min(id_col).alias("id"), F.count("*").alias("weight")), "points"
+        with_digest(usable).groupBy(*DIGEST).agg(
+            F.min(id_col).alias("id"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")), "points"
     )
     named = points.select(F.col("id").cast("string").alias("id"), "vector", "weight")
     cells = neighbours.Cells(named, 1.0 - eps, block_rows)
@@ -84,18 +85,19 @@ def dbscan_cluster(
         .groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
         .withColumn("is_core", F.lit(False))
     )
-    labels = points.select("id", "digest", "vector").join(
+    labels = points.select("id", *DIGEST).join(
         core_labels.unionByName(border_labels), "id", "left"
-    ).select("digest", "vector", "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    ).select(*DIGEST, "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
     return (
-        usable.withColumn("digest", F.xxhash64("vector")).join(labels, ["digest", "vector"])
+        with_digest(usable).select(id_col, *DIGEST).join(labels, DIGEST)
         .select(id_col, "cluster", "is_core")
     )
 
 
 def cluster_density(files: DataFrame, clusters: DataFrame) -> DataFrame:
     """Add ``s_cluster_density``: cluster size over the largest cluster's size."""
-    sizes = clusters.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = written(
+        clusters.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("size")), "cluster-sizes")
     largest = sizes.agg(F.max("size")).scalar()
     share = (
         clusters.join(sizes, "cluster")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.storage import written
+
 FILE_DUP_THRESHOLD = 0.85  # fixed value
 PAIR_THRESHOLD = 0.90  # fixed value
 
@@ -17,11 +19,13 @@ def exact_duplicate_groups(files: DataFrame) -> DataFrame:
     """Members of every hash held by more than one path: hash, copies, primary, path.
 
     Long form: a group of any size stays a set of rows and is never gathered.
+    The groups are written before the join back; Spark splits a hot key only
+    when both sides of a join come straight from a shuffle.
     """
     paths = _hashed_paths(files)
-    groups = (
+    groups = written(
         paths.groupBy("hash").agg(F.count("*").alias("copies"), F.min("path").alias("primary_path"))
-        .filter("copies > 1")
+        .filter("copies > 1"), "hash-groups"
     )
     return paths.join(groups, "hash").select("hash", "copies", "primary_path", "path")
 
@@ -35,8 +39,11 @@ def exact_duplicate_pairs(files: DataFrame) -> DataFrame:
 
 
 def chunk_to_path_map(pairs: DataFrame, chunk_paths: DataFrame) -> DataFrame:
-    """Attach paths to both ends ('' when unknown) and keep pairs across files."""
-    paths = chunk_paths.select("chunk_id", "path").distinct()
+    """Attach paths to both ends ('' when unknown) and keep pairs across files.
+
+    ``chunk_paths`` has one row per chunk.
+    """
+    paths = chunk_paths.select("chunk_id", "path")
     first = paths.toDF("chunk_id_1", "_p1")
     second = paths.toDF("chunk_id_2", "_p2")
     return (
@@ -64,7 +71,7 @@ def file_redundancy(
         .filter("path_1 <> path_2").groupBy("path_1", "path_2")
         .agg(F.count("similarity").alias("shared_chunks"), F.avg("similarity").alias("avg_similarity"))
     )
-    counts = chunk_counts_per_path(chunk_paths)
+    counts = written(chunk_counts_per_path(chunk_paths), "path-counts")  # see exact_duplicate_groups
     size = F.greatest(F.coalesce("_n1", F.lit(1)), F.coalesce("_n2", F.lit(1)))
     return (
         pairs.join(counts.toDF("path_1", "_n1"), "path_1", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..functions.storage import written
 from . import vectors as vec
 from .keyed import top_per_key
 
@@ -181,21 +182,22 @@ def retrieval_context(hits: DataFrame, files: DataFrame, scores: DataFrame, chun
     """(query_id, context): one line per retrieved file, with a short preview.
 
     Hits carry query_id, file_id, relevance; a question has at most its top-k
-    files, so the ordered list per question is bounded.
+    files, so the ordered list per question is bounded.  Lines are made per file
+    and joined once, so a file found by very many questions can be split.
     """
-    previews = first_chunk_per_file(chunks)
     preview = F.substring(F.coalesce("preview", F.lit("")), 1, 200)
     line = F.concat(
         F.lit("- "), F.col("name"), F.lit(" | label="), F.coalesce("label", F.lit("None")),
         F.lit(" | score="), F.coalesce(F.col("importance_score").cast("string"), F.lit("None")),
         F.when(preview != "", F.concat(F.lit("\n  Preview: "), preview)).otherwise(""),
     )
-    lines = (
-        hits.join(files.select("file_id", "name"), "file_id")
+    facts = (
+        files.select("file_id", "name")
         .join(scores.select("file_id", "importance_score", "label"), "file_id", "left")
-        .join(previews, "file_id", "left")
-        .select("query_id", F.struct((-F.col("relevance")).alias("r"), F.col("file_id"), line.alias("line")).alias("e"))
+        .join(first_chunk_per_file(chunks), "file_id", "left")
     )
+    lines = hits.join(written(facts.select("file_id", line.alias("line")), "file-lines"), "file_id").select(
+        "query_id", F.struct((-F.col("relevance")).alias("r"), "file_id", "line").alias("e"))
     texts = lines.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"]), "\n").alias("context"))
     return questions.select("query_id").join(texts, "query_id", "left").fillna(
