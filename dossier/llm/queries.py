@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.storage import shared_folder
-from . import chat, lines, warc
+from ..functions.storage import shared_folder, written
+from . import chat, decontaminate, lines, packing, quality, shards, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2 -----------------------------------------------------------------------
+@query
+def op2_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 # --- 3 -----------------------------------------------------------------------
 @query
 def op3_chat_formatting(spark, sf_dir):
@@ -54,6 +61,62 @@ FROM turns GROUP BY conv_id
 """
 
 
+# --- 4 -----------------------------------------------------------------------
+@query
+def op4_quality_rules(spark, sf_dir):
+    """All documents with their counts and the verdict of weak supervision."""
+    counted = written(quality.with_counts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-counts")
+    return quality.judge(counted, quality.fit(counted)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("quality", 6).alias("quality"))
+
+
+# --- 5 -----------------------------------------------------------------------
+@query
+def op5_substring_dedup(spark, sf_dir):
+    """Documents without lines that stand in an earlier document; places refer to the original text."""
+    done = substrings.dedup_units(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_id"]))
+    return done.select(
+        "doc_id", "n_chars_before", F.size("removed").cast("long").alias("n_removed"),
+        F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]), F.lit(0)).alias("n_removed_chars"),
+        F.array_join(places, ",").alias("removed"), "text")
+
+
+ORACLE_SQL["op5_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS number
+  FROM documents WHERE text IS NOT NULL),
+placed AS (
+  SELECT doc_id, number, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY number
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    array_to_string(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x09-\x0D\x20]+'), ' ') AS body,
+    len(regexp_extract_all(unit, '[^\x09-\x0D\x20]+')) AS words
+  FROM split),
+later AS (
+  SELECT doc_id, number, start, start + length(unit) AS stop, first_value(doc_id) OVER w AS first_id FROM placed WHERE words >= 10
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id, start) QUALIFY row_number() OVER w > 1),
+gone AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS chars,
+    string_agg(start || ':' || stop || ':' || first_id, ',' ORDER BY start) AS removed FROM later GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(unit, chr(10) ORDER BY number) AS text FROM split
+  WHERE NOT EXISTS (SELECT 1 FROM later WHERE later.doc_id = split.doc_id AND later.number = split.number) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars_before, coalesce(g.n, 0) AS n_removed, coalesce(g.chars, 0) AS n_removed_chars,
+  coalesce(g.removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
+# --- 7 -----------------------------------------------------------------------
+@query
+def op7_sharding(spark, sf_dir):
+    """All documents in 16 shards of near-equal bytes; equal texts share a shard."""
+    return shards.shard_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 # --- 8 -----------------------------------------------------------------------
 @query
 def op8_line_dedup(spark, sf_dir):
@@ -115,3 +178,43 @@ SELECT page_id, size AS payload_bytes,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM bits
 """
+
+
+# --- 10 ----------------------------------------------------------------------
+@query
+def op10_decontamination(spark, sf_dir):
+    """All documents against all benchmark items."""
+    found = decontaminate.find_contamination(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op10_decontamination"] = r"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, least(10, len(words)) AS size, list_slice(words, pos, pos + least(10, len(words)) - 1) AS body
+  FROM (SELECT item, words, unnest(range(1, greatest(2, len(words) - 8))) AS pos FROM item_words WHERE len(words) > 0)),
+doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+places AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM doc_words),
+runs AS (
+  SELECT doc_id, pos, [word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w,
+    lead(word, 5) OVER w, lead(word, 6) OVER w, lead(word, 7) OVER w, lead(word, 8) OVER w, lead(word, 9) OVER w] AS run
+  FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+sizes AS (SELECT DISTINCT size FROM windows),
+hits AS (
+  SELECT r.doc_id, r.pos, w.size, w.item FROM runs r CROSS JOIN sizes s
+  JOIN windows w ON w.size = s.size AND array_to_string(w.body, ' ') = array_to_string(list_slice(r.run, 1, s.size), ' ')),
+hit_words AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(w.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN hit_words w USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+"""
