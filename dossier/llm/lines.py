@@ -49,7 +49,7 @@ def later_windows(windows: DataFrame) -> DataFrame:
         .filter("n > 1").select("a", "b", "origin")
     )
     firsts = written(firsts, "line-firsts")
-    return windows.join(firsts, ["a", "b"]).filter(
+    return windows.join(firsts.hint("merge"), ["a", "b"]).filter(
         ~F.col("origin.id").eqNullSafe(F.col("id")) | (F.col("origin.first") != F.col("first")))
 
 
@@ -74,6 +74,9 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     all windows in the later.  Rows that repeat a key count as one document: a
     line number that goes in one goes in all.  A null key sorts before all
     others.  Other columns are kept; an empty table stays empty.
+
+    The joins are sort-merge joins at every size, so the plan, and with it the
+    one shuffle of the texts, grows in proportion to the input.
     """
     found = written(covered_lines(later_windows(line_windows(documents, key, text, size))), "line-covered")
     found = found.withColumnsRenamed({"id": "__id", "lines": "__lines"})
@@ -81,7 +84,7 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     lines, gone = F.split(body, "\n"), F.coalesce("__lines", F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__all"), i)), "\n")
-    joined = documents.join(found, documents[f"`{key}`"].eqNullSafe(F.col("__id")), "left")
+    joined = documents.join(found.hint("merge"), documents[f"`{key}`"].eqNullSafe(F.col("__id")), "left")
     return joined.withColumn("__all", lines).select(
         *[F.col(f"`{c}`") for c in documents.columns if c not in (text, "n_lines", "n_removed_lines", "removed")],
         F.when(F.col("__lines").isNull(), body).otherwise(kept).alias(text),
