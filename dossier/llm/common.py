@@ -129,3 +129,45 @@ def ranked(table: DataFrame, key: str, order: list[str], buckets: int, name: str
         table.withColumn("inside", F.row_number().over(inside) - 1).join(counts, [key, "bucket"])
         .withColumn(name, F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
     )
+
+
+def bit_of(values: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each 64-bit value in a bitmap of 2 ** bits."""
+    return (mixed(values.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def holds(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be in the set that a ``bitmap`` was made of; never false for one that is."""
+    at = bit_of(values, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(table: DataFrame, column: str, bits: int, slices: int = 32) -> np.ndarray:
+    """A bitmap of 2 ** bits over the values of a long column, as bytes.
+
+    Its size does not depend on the table: every task gives its own bitmap in
+    slices, slices are united by Spark, and the driver gets the united ones.
+    """
+    size = (1 << bits) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, seen = np.zeros(size, np.uint8), False
+        for batch in batches:
+            at = bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            np.bitwise_or.at(marked, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            seen = seen or len(at) > 0
+        if seen:
+            for i, part in enumerate(np.split(marked, slices)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "marks"])
+
+    def united(key, rows):
+        total = np.zeros(size // slices, np.uint8)
+        for part in rows.column("marks"):
+            total |= np.frombuffer(part.as_buffer(), np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([total.tobytes()], pa.binary())})
+
+    parts = table.select(column).mapInArrow(mark, "slice int, marks binary").groupBy("slice").applyInArrow(united, "slice int, marks binary")
+    whole = np.zeros((slices, size // slices), np.uint8)
+    for part in parts.collect():
+        whole[part["slice"]] = np.frombuffer(part["marks"], np.uint8)
+    return whole.reshape(-1)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.storage import shared_folder, written
-from . import chat, decontaminate, lines, packing, quality, shards, substrings, warc
+from . import chat, decontaminate, lines, ngram_join, packing, quality, shards, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,6 +109,13 @@ FROM documents d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
+# --- 6 -----------------------------------------------------------------------
+@query
+def op6_ngram_jaccard_join(spark, sf_dir):
+    """Components of all documents whose sets of 3-word n-grams have similarity 0.9 or more."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, over=9, under=10)
+
+
 # --- 7 -----------------------------------------------------------------------
 @query
 def op7_sharding(spark, sf_dir):
