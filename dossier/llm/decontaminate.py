@@ -28,7 +28,8 @@ BLOCK_BYTES = 512 << 10
 #: Bytes that are no part of a word: all ASCII but digits and letters.
 _WORD_BYTE = [b >= 0x80 or chr(b).isalnum() for b in range(256)]
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if _WORD_BYTE[b] else 0x20 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word of the original text, which still has capitals.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal_words(text: str | bytes | None) -> list[bytes]:
