@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.storage import shared_folder, written
-from . import chat, decontaminate, lines, ngram_join, packing, quality, shards, substrings, warc
+from . import chat, decontaminate, lines, ngram_join, packing, quality, shards, substrings, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1 -----------------------------------------------------------------------
+@query
+def op1_suffix_array_dedup(spark, sf_dir):
+    """All documents without bytes under a 100-byte string that also starts earlier."""
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 # --- 2 -----------------------------------------------------------------------
 @query
 def op2_packing(spark, sf_dir):
