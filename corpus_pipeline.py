@@ -1,18 +1,60 @@
-"""The training-data pipeline over documents: STAGES, run and its SQL."""
+"""The training-data pipeline over documents: STAGES in order, run, and its SQL.
+
+Each stage is called as ``stage(spark, docs, sf_dir)`` and written before the
+next one reads it.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dossier.functions.storage import written
+from dossier.llm import decontaminate, lines, ngram_join, packing, quality
 
-#: No SQL: the weak-supervision stage is iterative and the last stage tokenises.
+#: None: expectation maximisation and tokenising have no SQL; tests compare the stages with brute force.
 ORACLE_SQL: str | None = None
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-supervision posterior and the base rules keep."""
+    return quality.filter_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of three lines in a row go; ``n_chars`` counts what is left."""
+    done = lines.dedup_lines(docs)
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every component of five-word sets with similarity 0.8 or more."""
+    return ngram_join.one_per_component(docs, words=5, over=4, under=5).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_contamination(docs, benchmark).filter("NOT contaminated").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left, placed in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pack_sequences", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if i == len(STAGES) - 1 else written(docs, f"pipeline-{name}")
     return docs
