@@ -47,10 +47,11 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``limit`` bytes of text; no row is cut."""
+    """Parts of a batch of less than twice ``limit`` bytes of text; a longer text is a part alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     step = np.cumsum(sizes, dtype=np.int64) // limit
-    edges = [0, *(np.flatnonzero(np.diff(step)) + 1), batch.num_rows]
+    large = np.flatnonzero(sizes > limit)
+    edges = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, large, large + 1, [batch.num_rows]])).tolist()
     for begin, end in zip(edges, edges[1:]):
         if end > begin:
             yield batch.slice(begin, end - begin)

@@ -53,7 +53,7 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", size
     def close() -> None:
         done.append((uuid.uuid4().hex, spark.sparkContext.broadcast((size, block))))
 
-    for name, body in benchmark.select(F.col(f"`{item}`").cast("string"), F.col(f"`{text}`")).toLocalIterator():
+    for name, body in benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")), F.col(f"`{text}`")).toLocalIterator():
         if held and held + len(body or "") > block_bytes:
             close()
             block, held = [], 0
@@ -127,7 +127,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
     runs as character offsets of the original text) and ``contaminated``.
 
     A row's words are counted on the whole text; a null or empty text has none
-    and is clean.  Items without a word have no window; an empty benchmark finds
+    and is clean.  Items without a word have no window; a null item id is named
+    ``null``; an empty benchmark finds
     nothing.  Rows that repeat or tie are judged each for itself.  A column of
     the documents that has one of the added names is replaced.  Narrow: the
     benchmark is broadcast in blocks of bounded size, texts are not shuffled.

@@ -108,8 +108,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
 
     All packs of equal room and composition are one pattern with a count, so a
     step takes as many pieces as a pattern has packs; the last pattern of a
-    length is split in two.  A length adds two patterns at most: there are no
-    more than 2 x capacity, whatever the number of documents.
+    length is split in two.  A length adds three patterns at most: there are no
+    more than 3 x capacity, whatever the number of documents.
     """
     by_room: list[list[Pattern]] = [[] for _ in range(capacity + 1)]
     shortest = 0  # no pack has more room than this
@@ -119,9 +119,13 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
             while shortest >= length and not by_room[shortest]:
                 shortest -= 1
             if shortest < length:
-                by_room[capacity - length].append(Pattern(left, [(length, 1)]))
-                shortest, left = max(shortest, capacity - length), 0
-                continue
+                # A new pack is the shortest, so it takes this length again as long as it fits.
+                copies = capacity // length
+                for count, n in ((left // copies, copies), (1, left % copies)):
+                    if count and n:
+                        by_room[capacity - n * length].append(Pattern(count, [(length, n)]))
+                        shortest = max(shortest, capacity - n * length)
+                break
             pattern = by_room[shortest].pop()
             taken = min(left, pattern.count)
             if pattern.count > taken:
@@ -160,7 +164,7 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
     empty table gives no piece; other columns are not read.
 
     Only the histogram of lengths, ``capacity`` rows, reaches the driver.  The
-    patterns go back as at most 2 x capacity x sqrt(2 x capacity) intervals of
+    patterns go back as at most 3 x capacity x sqrt(2 x capacity) intervals of
     ranks, whatever the number of documents; pieces of one length are numbered
     over sub-buckets, so a length that most pieces have is no hot key.
     """

@@ -232,3 +232,44 @@ SELECT d.doc_id, len(d.words) AS n_words, coalesce(w.n, 0) AS n_hit, coalesce(i.
   sha256(coalesce(i.items, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit_words w USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
 """
+
+
+ORACLE_SQL["op6_ngram_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+each AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM words),
+runs AS (
+  SELECT doc_id, n, pos, word || coalesce(' ' || lead(word, 1) OVER w, '') || coalesce(' ' || lead(word, 2) OVER w, '') AS gram
+  FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+grams AS (SELECT DISTINCT doc_id, hash(gram) AS gram FROM runs WHERE pos <= greatest(1, n - 2)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common FROM grams a JOIN grams b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * n_common >= 90 * (s.n + t.n - n_common)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
+
+ORACLE_SQL["op1_suffix_array_dedup"] = r"""
+WITH hexed AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, s, hash(substr(h, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM hexed)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+ends AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM later),
+runs AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM ends),
+spans AS (SELECT doc_id, run, min(s) AS first, max(s) + 100 AS stop FROM runs GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, first AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY first)
+  UNION ALL SELECT doc_id, max(stop), NULL FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS h FROM pieces JOIN hexed USING (doc_id)
+  GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n, sum(stop - first) AS bytes FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(c.bytes, 0) AS BIGINT) AS n_removed, coalesce(c.n, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM hexed d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

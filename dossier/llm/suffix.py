@@ -53,7 +53,7 @@ class Stretches:
         self.down = _powers("down", _INVERSE, n + 1)
         windows = max(0, n - length + 1)
         if not windows:
-            self.row = self.start = self.count = np.zeros(0, np.int64)
+            self.row = self.start = self.count = self.base = np.zeros(0, np.int64)
             self.anchor = self.context = np.zeros(0, np.int64)
             return
         grams = mixed((self.sums[gram:] - self.sums[:-gram]) * self.down[:n - gram + 1])
