@@ -21,15 +21,15 @@ def stem(name: Column) -> Column:
 
 
 def category(ext: Column) -> Column:
-    """Category of an extension: core list, then rules, then the default."""
+    """Category of an extension, or the default."""
     ext = F.lower(F.coalesce(ext, F.lit("")))
-    result = F.lit(None).cast("string")
-    for name, members in reversed(fixed.CATEGORY_EXTENSIONS.items()):
-        result = F.when(ext.isin([f".{m}" for m in members.split()]), name).otherwise(result)
-    by_rule = F.lit(fixed.DEFAULT_CATEGORY)
-    for name, pattern in reversed(fixed.CATEGORY_RULES):
-        by_rule = F.when(ext.rlike(pattern), name).otherwise(by_rule)
-    return F.coalesce(result, by_rule)
+    members: dict[str, list[str]] = {}
+    for extension, name in fixed.CATEGORY_OF_EXTENSION.items():
+        members.setdefault(name, []).append(extension)
+    result = F.lit(fixed.DEFAULT_CATEGORY)
+    for name, extensions in members.items():
+        result = F.when(ext.isin(extensions), name).otherwise(result)
+    return result
 
 
 def inventory_status(ext: Column, size_bytes: Column) -> Column:

@@ -50,11 +50,27 @@ def reuse_clean_by_hash(content: DataFrame) -> DataFrame:
     return shared.unionByName(clean_text(content.filter(~usable)))
 
 
+def _spans(length: Column, last: Column, step: int, size: int, min_words: int, base: Column) -> Column:
+    """(first, length) of windows that start at every step up to ``last`` and cover ``length`` words.
+
+    A window of fewer than ``min_words`` is no chunk of its own: its words go to
+    the window before, which then reaches the end.
+    """
+    starts = F.filter(F.sequence(F.lit(0), last, F.lit(step)), lambda at: (at == 0) | (length - at >= min_words))
+
+    def span(at: Column) -> Column:
+        absorbs = (at + step <= last) & (length - at - step < min_words)
+        words = F.when(absorbs, length - at).otherwise(F.least(length - at, F.lit(size)))
+        return F.struct((base + at).cast("int").alias("first"), words.cast("int").alias("length"))
+
+    return F.transform(starts, span)
+
+
 def sliding_windows(
     words: Column, size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
     min_words: int = fixed.CHUNK_MIN_WORDS, early_stop: bool = True,
 ) -> Column:
-    """Overlapping word windows joined by spaces.
+    """Overlapping word windows joined by spaces; every word is in one.
 
     With ``early_stop`` the last window is the first one reaching the end;
     otherwise windows start at every step below the word count.
@@ -65,11 +81,8 @@ def sliding_windows(
         last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int")) * step
     else:
         last = F.greatest(F.lit(0), n - 1)
-    windows = F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)), lambda start: F.slice(words, start + 1, size)
-    )
-    kept = F.filter(windows, lambda w: F.size(w) >= min_words)
-    return F.transform(kept, lambda w: F.array_join(w, " "))
+    windows = _spans(n, last, step, size, min_words, F.lit(0))
+    return F.transform(windows, lambda w: F.array_join(F.slice(words, w["first"] + 1, w["length"]), " "))
 
 
 def _paragraphs(text: Column) -> Column:
@@ -85,8 +98,10 @@ def packed_paragraphs(
 
     A paragraph that would overflow closes the chunk; the next one starts with
     the last ``overlap`` words.  A paragraph longer than ``size`` is windowed.
-    Every chunk is a run of consecutive words, so the fold carries only word
-    positions and the texts are cut at the end.
+    What is held before it and has fewer than ``min_words`` words, a heading
+    say, goes with it, and a short rest goes to the chunk before.  Every chunk is
+    a run of consecutive words, so the fold carries only word positions and the
+    texts are cut at the end.
     """
     overlap = min(overlap, size - 1)
     span = "array<struct<first:int,length:int>>"
@@ -94,28 +109,34 @@ def packed_paragraphs(
 
     def run(first: Column, length: Column) -> Column:
         one = F.array(F.struct(first.cast("int").alias("first"), length.cast("int").alias("length")))
-        return F.when(length >= min_words, one).otherwise(none)
+        return F.when(length > 0, one).otherwise(none)
 
     def windows(first: Column, length: Column) -> Column:
-        starts = F.sequence(F.lit(0), length - 1, F.lit(size - overlap))
-        return F.flatten(F.transform(starts, lambda at: run(first + at, F.least(length - at, F.lit(size)))))
+        return _spans(length, length - 1, size - overlap, size, min_words, first)
 
     def add(acc: Column, count: Column) -> Column:
         first, end = acc["first"], acc["end"]
         held = end - first
         oversize, overflow = count > size, held + count > size
-        closed = F.when(oversize, F.concat(run(first, held), windows(end, count))).when(
+        joined = (oversize | overflow) & (held > 0) & (held < min_words)
+        closed = F.when(joined, windows(first, held + count)).when(
+            oversize, F.concat(run(first, held), windows(end, count))).when(
             overflow, run(first, held)).otherwise(none)
-        start = F.when(oversize, end + count - overlap).when(
+        start = F.when(joined | oversize, end + count - overlap).when(
             overflow, F.greatest(first, end - overlap)).otherwise(first)
         return F.struct(
             F.concat(acc["runs"], closed).alias("runs"), start.alias("first"), (end + count).alias("end"))
 
+    def finished(acc: Column) -> Column:
+        rest, runs = acc["end"] - acc["first"], acc["runs"]
+        last = F.element_at(runs, -1)
+        short = (rest < min_words) & (F.size(runs) > 0)
+        longer = run(last["first"], F.greatest(acc["end"] - last["first"], last["length"]))
+        return F.when(short, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), longer)).otherwise(
+            F.concat(runs, run(acc["first"], rest)))
+
     start = F.struct(none.alias("runs"), F.lit(0).alias("first"), F.lit(0).alias("end"))
-    runs = F.aggregate(
-        F.transform(paragraphs, lambda p: F.size(tx.words(p))), start, add,
-        lambda acc: F.concat(acc["runs"], run(acc["first"], acc["end"] - acc["first"])),
-    )
+    runs = F.aggregate(F.transform(paragraphs, lambda p: F.size(tx.words(p))), start, add, finished)
     return F.transform(runs, lambda r: F.array_join(F.slice(words, r["first"] + 1, r["length"]), " "))
 
 
@@ -136,7 +157,7 @@ def _with_chunks(
         rows = rows.withColumn("_packed", F.when(
             F.size("_paragraphs") > 1, packed_paragraphs(words, F.col("_paragraphs"), size, overlap, min_words)))
         packed = F.coalesce("_packed", none)
-    short = F.when(F.size(words) >= min_words, F.array(text)).otherwise(none)
+    short = F.when(F.size(words) > 0, F.array(text)).otherwise(none)
     sliding = sliding_windows(words, size, overlap, min_words)
     return rows.withColumn(
         "_chunks", F.when(~long, short).when(F.size(packed) > 0, packed).otherwise(sliding)
@@ -220,10 +241,6 @@ def chunk_documents(
     }).select(*CHUNK_COLUMNS)
 
 
-def detect_language(content: DataFrame, text_col: str = "extracted_text") -> DataFrame:
-    return content.withColumn("language", tx.detect_language(F.col(text_col)))
-
-
 def clean_summary(content: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: files per outcome with percentages, reused copies, chunks, words."""
     reused = (

@@ -28,10 +28,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # Written, so that both sides of the join come straight from a shuffle and a hub is split.
+        lowest = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "component-lowest")
         large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large.filter("a <> b").distinct(), "component-large")
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m")), "component-lowest")
         small = (
             large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(lowest.withColumnRenamed("m", "b"))
@@ -76,9 +77,9 @@ def dbscan_cluster(
         F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "among_cores"), "links")
     cores = marked.filter("mark = 1").select(F.col("id").cast(kind).alias("id"))
     joined = connected_components(links.filter("among_cores").select("a", "b")).withColumnRenamed("node", "id")
-    core_labels = cores.join(joined, "id", "left").select(
+    core_labels = written(cores.join(joined, "id", "left").select(
         "id", F.coalesce("component", "id").alias("cluster"), F.lit(True).alias("is_core")
-    )
+    ), "core-labels")
     border_labels = (
         links.filter("NOT among_cores").withColumnRenamed("b", "id")
         .join(core_labels.select("id", "cluster"), "id")

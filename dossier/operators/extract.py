@@ -12,7 +12,7 @@ def extraction_route(files: DataFrame) -> DataFrame:
 
 
 def truncate_text(content: DataFrame, max_chars: int = fixed.MAX_TEXT_CHARS) -> DataFrame:
-    """Cut long text and mark the method; the limit is the reference's own rule."""
+    """Cut long text and mark the method."""
     long = F.char_length("extracted_text") > max_chars
     return content.withColumns({
         "extraction_method": F.when(long, F.concat("extraction_method", F.lit("_truncated")))
@@ -68,12 +68,15 @@ def extraction_filter(content: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 
-def extract_content(raw: DataFrame) -> DataFrame:
-    """Sanitise, truncate, flag, count and classify raw text in one narrow pass.
+def extract_content(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Sanitise, flag, count and classify raw text in one narrow pass.
 
-    Without a ``language_hint`` column the language is detected.
+    Texts are kept whole unless the caller sets ``max_chars``.  Without a
+    ``language_hint`` column the language is detected.
     """
-    content = extraction_status(text_counts(ocr_flag(truncate_text(db_text_sanitize(raw)))))
+    clean = db_text_sanitize(raw)
+    clean = clean if max_chars is None else truncate_text(clean, max_chars)
+    content = extraction_status(text_counts(ocr_flag(clean)))
     if "language_hint" in raw.columns:
         return content
     return content.withColumn(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import factorial
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, rules
+from .shapley import attribution_shapley
 
 # fixed values: forest settings
 TREES, DEPTH, LEAF, SEED = 300, 15, 2, 42
@@ -37,8 +36,9 @@ def train_importance_model(
     """Random forest on the nine signals with balanced class weights."""
     weights = class_weights(rows.select(F.col(label_col).alias("label")))
     train = features(rows).withColumn("_class", rules.label_index(F.col(label_col)).cast("double"))
+    # One weight per label, four at most: the rows are never dealt out by label.
     train = train.join(
-        weights.select(F.col("label").alias(label_col), F.col("weight").alias("_weight")), label_col
+        F.broadcast(weights.select(F.col("label").alias(label_col), F.col("weight").alias("_weight"))), label_col
     )
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="_class", weightCol="_weight", numTrees=trees, maxDepth=depth,
@@ -138,60 +138,6 @@ def attribution_proxy(rows: DataFrame) -> DataFrame:
     return scaled.withColumn("attribution", F.array(*[share(s) for s in fixed.SIGNALS])).drop("_bounds")
 
 
-def attribution_shapley(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """Add ``attribution``: mean absolute Shapley value of each signal over the classes.
-
-    Exact over all coalitions of the nine signals, absent signals standing at
-    their corpus mean.  A file's 512 mixed rows are scored and folded into nine
-    weighted sums; the sums are partial aggregates, so no shuffle carries them all.
-    """
-    n = len(fixed.SIGNALS)
-    # each row grows to 512; a fixed number of parts keeps that work spread, and
-    # the sums below find their rows already placed by file
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filled = rows.fillna(0.0, list(fixed.SIGNALS)).repartition(parts, "file_id")
-    means = filled.agg(F.array(*[F.avg(s) for s in fixed.SIGNALS])).scalar()
-    weight = [factorial(k) * factorial(n - k - 1) / factorial(n) for k in range(n)]
-    weight_of = F.array(*[F.lit(w) for w in weight])
-    mixed = (
-        filled.select("file_id", *fixed.SIGNALS).withColumn("_mean", means)
-        .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** n - 1))))
-    )
-    present = [F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(n)]
-    mixed = mixed.select(
-        "file_id", "_mask",
-        *[F.when(present[i], F.col(s)).otherwise(F.get("_mean", F.lit(i))).alias(s)
-          for i, s in enumerate(fixed.SIGNALS)],
-    )
-    scored = probabilities(mixed, model).select("file_id", "_mask", "probability")
-    size = F.bit_count("_mask")
-    sums = []
-    for i in range(n):
-        inside = F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
-        # a coalition with the signal adds, the same one without it subtracts
-        factor = F.when(inside, F.get(weight_of, size - 1)).otherwise(-F.get(weight_of, size))
-        for c in range(len(fixed.LABELS)):
-            sums.append(F.sum(factor * F.get("probability", F.lit(c))).alias(f"_{i}_{c}"))
-    values = scored.groupBy("file_id").agg(*sums)
-    per_signal = [
-        sum((F.abs(F.col(f"_{i}_{c}")) for c in range(len(fixed.LABELS))), F.lit(0.0)) / len(fixed.LABELS)
-        for i in range(n)
-    ]
-    return rows.join(values.select("file_id", F.array(*per_signal).alias("attribution")), "file_id")
-
-
-SHAPLEY_FILES = 50_000  # fixed value
-
-
-def attributions(
-    rows: DataFrame, model: RandomForestClassificationModel | None, shapley_files: int = SHAPLEY_FILES
-) -> DataFrame:
-    """Shapley values for the best-scored files, the proxy for all others.
-
-    Without a model every file gets the proxy.
-    """
-    if model is None:
-        return attribution_proxy(rows)
-    best = rows.orderBy(F.desc("importance_score"), "file_id").limit(shapley_files)
-    rest = rows.join(best.select("file_id"), "file_id", "left_anti")
-    return attribution_shapley(best, model).unionByName(attribution_proxy(rest))
+def attributions(rows: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+    """Shapley values of the model for every file; without a model every file gets the proxy."""
+    return attribution_proxy(rows) if model is None else attribution_shapley(rows, model)

@@ -11,17 +11,15 @@ from ..functions import fixed, vector as vx
 from ..functions.storage import written
 from . import neighbours
 
-EXACT_LIMIT = 500_000  # fixed value: vectors beyond which search becomes approximate
-
 
 def embed_text(
     chunks: DataFrame, text_col: str = "clean_text", dims: int = 256,
-    max_chars: int | None = fixed.EMBED_MAX_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Default embedder: hashed term counts, unit length.
 
-    Adds ``vector``.  A model's input limit is ``max_chars`` (2000); None takes
-    the whole text.  Any DataFrame -> DataFrame callable adding a unit vector
+    Adds ``vector`` of the whole text; ``max_chars`` stands for the input limit
+    of a model, where a caller's model has one.  Any DataFrame -> DataFrame callable adding a unit vector
     can take its place.
     """
     text = F.coalesce(text_col, F.lit(""))
@@ -73,25 +71,15 @@ def metadata_filter(meta: DataFrame, filters: dict | None = None, **bounds) -> D
 
 def semantic_search(
     vectors: DataFrame, meta: DataFrame, query_vec: list[float], top_k: int = 10,
-    filters: dict | None = None, mode: str = "exact", **bounds,
+    filters: dict | None = None, **bounds,
 ) -> DataFrame:
-    """Top-k chunks by cosine, joined to their metadata.
-
-    ``exact`` filters before ranking.  ``candidates`` ranks first and filters
-    the best min(20k, 100) hits, as an index with post-filtering does.
-    """
+    """Top-k chunks by cosine among those that pass the filters, joined to their metadata."""
     scored = vectors.filter("vector IS NOT NULL").select(
         "chunk_id", vx.cosine_to(F.col("vector"), query_vec).alias("score")
     )
     best = [F.desc("score"), F.col("chunk_id")]
     filtered = bool(filters) or any(bounds.values())
     allowed = metadata_filter(meta, filters, **bounds)
-    if mode == "candidates":
-        reach = min(top_k * 20 if filtered else top_k, 100)
-        hits = scored.orderBy(*best).limit(reach)
-        return hits.join(allowed, "chunk_id").orderBy(*best).limit(top_k)
-    if mode != "exact":
-        raise ValueError("mode must be 'exact' or 'candidates'")
     if filtered:
         scored = scored.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     hits = scored.orderBy(*best).limit(top_k)
@@ -161,18 +149,16 @@ def near_duplicate_pairs(
 
     Distinct vectors are compared in full, every pair at or above the threshold
     once.  Identical vectors are linked to their smallest id, which stands for
-    all of them in the other pairs.  ``auto`` turns to the approximate search
-    above ``EXACT_LIMIT`` distinct vectors.
+    all of them in the other pairs.  ``method`` is the caller's choice at every
+    size: ``exact``, or ``lsh``, which is approximate.
     """
     distinct = written(distinct_vectors(vectors), "distinct-vectors")  # read several times below
-    if method == "auto":
-        method = "exact" if distinct.count() <= EXACT_LIMIT else "lsh"
     if method == "exact":
         pairs = neighbours.exact_pairs(distinct.select("id", "vector"), threshold, block_rows)
     elif method == "lsh":
         pairs = neighbours.lsh_pairs(distinct.select("id", "vector"), threshold, block_rows=block_rows, **lsh)
     else:
-        raise ValueError("method must be 'exact', 'lsh' or 'auto'")
+        raise ValueError("method must be 'exact' or 'lsh'")
     return pairs.toDF("chunk_id_1", "chunk_id_2", "similarity_score").unionByName(
         _copy_links(vectors, distinct)
     )

@@ -34,14 +34,16 @@ class Stages:
         tables.write_report_json(frame, f"{self.out}/reports/{name}")
 
 
-def prepare(stages: Stages, files: DataFrame, texts: DataFrame, root: str = "") -> dict[str, DataFrame]:
+def prepare(
+    stages: Stages, files: DataFrame, texts: DataFrame, root: str = "", mapping: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """Inventory, extraction outcome and chunks.
 
     ``files``: file_id, path, size_bytes, hash, created/modified/access_time,
     source_archive.  ``texts``: file_id, extracted_text, extraction_method and,
     if known, language_hint.
     """
-    listed = stages.save("files_all", inventory.inventory_row(files, root))
+    listed = stages.save("files_all", inventory.inventory_row(files, root, mapping))
     kept, held = inventory.quarantine_split(listed)
     facts = kept.select("file_id", "extension", "category", "is_empty", "source_archive", "hash",
                         F.col("status").alias("phase1_status"))
@@ -59,7 +61,7 @@ def prepare(stages: Stages, files: DataFrame, texts: DataFrame, root: str = "")
 def find_duplicates(
     stages: Stages, files: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     pair_threshold: float = dedup.PAIR_THRESHOLD, file_threshold: float = dedup.FILE_DUP_THRESHOLD,
-    method: str = "auto",
+    method: str = "exact",
 ) -> dict[str, DataFrame]:
     """Exact and near duplicates of the chunked files, with recommendations."""
     paths = chunks.select("chunk_id", "file_id").join(files.select("file_id", "path", "hash"), "file_id")
@@ -102,10 +104,9 @@ def score_files(
 
 def explain_files(
     stages: Stages, scores: DataFrame, deployed: RandomForestClassificationModel | None,
-    shapley_files: int = model.SHAPLEY_FILES,
 ) -> DataFrame:
     """Explanation records of scored files (with ``confidence``)."""
-    attributed = model.attributions(scores, deployed, shapley_files)
+    attributed = model.attributions(scores, deployed)
     explanations = stages.save("file_explanations", explain.build_explanations(attributed))
     stages.report("explanations", explain.explanation_report(explanations))
     return explanations
@@ -115,18 +116,23 @@ def run(
     spark: SparkSession, files: DataFrame, texts: DataFrame, out: str, as_of: str, root: str = "",
     embed: Callable[[DataFrame], DataFrame] = vectors.embed_text, trees: int = model.TREES,
     depth: int = model.DEPTH, pair_threshold: float = dedup.PAIR_THRESHOLD, eps: float = 0.3,
-    shapley_files: int = model.SHAPLEY_FILES,
+    pair_method: str = "exact", mapping: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Files and texts in, every result table out."""
+    """Files and texts in, every result table out.
+
+    ``mapping`` (extension, category) adds to the built-in extension list;
+    ``pair_method`` chooses the near-duplicate search.
+    """
     stages = Stages(spark, out)
-    base = prepare(stages, files, texts, root)
+    base = prepare(stages, files, texts, root, mapping)
     good = base["chunks"].filter("clean_status = 'SUCCESS'").select("chunk_id", "file_id", "clean_text")
     chunk_vectors = stages.save("chunk_vectors", embed(good).select("chunk_id", "file_id", "vector"))
-    duplicates = find_duplicates(stages, base["files"], base["chunks"], chunk_vectors, pair_threshold)
+    duplicates = find_duplicates(
+        stages, base["files"], base["chunks"], chunk_vectors, pair_threshold, method=pair_method)
     scores, deployed = score_files(
         stages, base["files"], base["content"], base["chunks"], chunk_vectors, duplicates, as_of, eps,
         trees=trees, depth=depth)
-    explanations = explain_files(stages, scores, deployed, shapley_files)
+    explanations = explain_files(stages, scores, deployed)
     stages.report("kpis", report.kpis(base["files"], scores, duplicates["file_redundancy"]))
     return {**base, **duplicates, "chunk_vectors": chunk_vectors, "file_scores": scores,
             "file_explanations": explanations}
@@ -166,7 +172,8 @@ def retrain(
     old = None if deployed is None else feedback.gate_score(judged(deployed), "human_label", "predicted")
     decision = stages.save("promotion", feedback.promotion_decision(new, old, force=force))
     quality = feedback.classification_report(candidate_rows, "human_label", "predicted")
-    row = feedback.model_version_row(versions, decision, f"{stages.out}/models", quality, usable)
+    folder = F.concat(F.lit(f"{stages.out}/models/v"), F.col("version").cast("string"))
+    row = feedback.model_version_row(versions, decision, "", quality, usable).withColumn("model_path", folder)
     row = stages.save("new_version", row.withColumn("trained_at", F.current_timestamp().cast("timestamp_ntz")))
     made = row.first()
     candidate.write().overwrite().save(f"{stages.out}/models/v{made['version']}")

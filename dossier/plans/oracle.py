@@ -17,13 +17,14 @@ def _literal(text: str) -> str:
     return "(" + " || ".join(f"chr({ord(ch)})" for ch in text) + ")"
 
 
-def _names_of(category: str) -> str:
-    return _quoted("." + e for e in fixed.CATEGORY_EXTENSIONS[category].split())
-
-
-_CATEGORY = "CASE " + " ".join(
-    f"WHEN extension IN ({_names_of(c)}) THEN '{c}'" for c in fixed.CATEGORY_EXTENSIONS
-) + f" ELSE '{fixed.DEFAULT_CATEGORY}' END"
+#: Written out by hand, not taken from the library's table.
+_CATEGORY = """CASE extension WHEN '.pdf' THEN 'Document' WHEN '.docx' THEN 'Document' WHEN '.doc' THEN 'Document'
+ WHEN '.txt' THEN 'Document' WHEN '.md' THEN 'Document' WHEN '.rtf' THEN 'Document' WHEN '.pptx' THEN 'Presentation'
+ WHEN '.xlsx' THEN 'Spreadsheet' WHEN '.csv' THEN 'Spreadsheet' WHEN '.png' THEN 'Image' WHEN '.jpg' THEN 'Image'
+ WHEN '.html' THEN 'Code' WHEN '.py' THEN 'Code' WHEN '.js' THEN 'Code' WHEN '.json' THEN 'Data' WHEN '.xml' THEN 'Data'
+ WHEN '.ini' THEN 'Config' WHEN '.sql' THEN 'Database' WHEN '.log' THEN 'Log' WHEN '.tmp' THEN 'Temp' WHEN '.bak' THEN 'Backup'
+ WHEN '.zip' THEN 'Archive' WHEN '.exe' THEN 'Executable' WHEN '.mp3' THEN 'Audio' WHEN '.mp4' THEN 'Video' WHEN '.pem' THEN 'Security'
+ WHEN '.key' THEN 'Security' WHEN '.xyz' THEN 'Data' ELSE 'Uncategorized' END"""
 
 _STATUS = f"""CASE WHEN size_bytes = 0 THEN 'DELETE_CANDIDATE'
  WHEN extension IN ({_quoted(fixed.TEMP_EXTENSIONS)}) THEN 'DELETE_CANDIDATE'
@@ -46,11 +47,11 @@ _ROUTE = f"""CASE WHEN category IN ({_quoted(fixed.SKIP_CATEGORIES)}) THEN 'skip
 
 
 def _strip(text: str) -> str:
-    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({text}, '^{fixed.SPACE}+|{fixed.SPACE}+$', '', 'g')"
 
 
 def _words(text: str) -> str:
-    return rf"list_filter(string_split_regex({text}, '\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({text}, '{fixed.SPACE}+'), lambda w: w <> '')"
 
 
 def _encoding(text: str) -> str:
@@ -67,7 +68,7 @@ def _ocr(text: str) -> str:
 
 def _boilerplate(text: str) -> str:
     drop = "|".join(f"(?:{p})" for p in fixed.BOILERPLATE_LINE)
-    return (f"array_to_string(list_filter(string_split({text}, chr(10)), "
+    return (f"array_to_string(list_filter(string_split_regex({text}, '{fixed.LINE_END}'), "
             f"lambda line: NOT regexp_matches(line, '{drop}')), chr(10))")
 
 
@@ -75,7 +76,7 @@ def _whitespace(text: str) -> str:
     text = rf"regexp_replace({text}, '\r\n?', chr(10), 'g')"
     text = rf"regexp_replace({text}, '\n{{3,}}', chr(10) || chr(10), 'g')"
     text = rf"regexp_replace({text}, '[ \t]{{2,}}', ' ', 'g')"
-    lines = rf"list_transform(string_split({text}, chr(10)), lambda line: regexp_replace(line, '\s+$', ''))"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda line: regexp_replace(line, '{fixed.SPACE}+$', ''))"
     return _strip(f"array_to_string({lines}, chr(10))")
 
 
@@ -132,10 +133,8 @@ _stage("all_content", "raw_content", f"""
    WHEN extension IN ({_quoted(fixed.ROUTE_DOC + fixed.ROUTE_PDF + fixed.ROUTE_SHEET + fixed.ROUTE_SLIDES)})
     AND length(extracted_text) < 10 THEN 'PARTIAL' ELSE 'SUCCESS' END AS extraction_status
  FROM (SELECT * REPLACE (
-   CASE WHEN length(extracted_text) > 100000 THEN extraction_method || '_truncated' ELSE extraction_method END AS extraction_method,
-   substring(extracted_text, 1, 100000) AS extracted_text)
-  FROM (SELECT * REPLACE (regexp_replace(replace(extracted_text, chr(0), ''), '\\r\\n?', chr(10), 'g') AS extracted_text)
-   FROM raw_content))""")
+   regexp_replace(replace(extracted_text, chr(0), ''), '\\r\\n?', chr(10), 'g') AS extracted_text)
+   FROM raw_content)""")
 _REASON = f"""CASE WHEN is_empty AND source_archive = '' THEN 'empty_file'
  WHEN extraction_status IN ('FAILED', 'SKIPPED') THEN 'status:' || extraction_status
  WHEN language_hint <> '' AND language_hint NOT IN ({_quoted(fixed.ALLOWED_LANGUAGES)}) THEN 'language:' || language_hint END"""
@@ -143,8 +142,20 @@ _stage("content", "all_content", f"""
  SELECT * FROM all_content WHERE category NOT IN ({_quoted(fixed.REVIEW_CATEGORIES)}) AND ({_REASON}) IS NULL""")
 
 
+def _html(text: str) -> str:
+    """Markup off both ends, then as one space; references decoded in order."""
+    markup = "(?:<!--.*?-->|<[a-zA-Z/!?][^>]*>)+"
+    text = f"regexp_replace(regexp_replace({text}, '(?s)^{markup}|{markup}$', '', 'g'), '(?s){markup}', ' ', 'g')"
+    for reference, meant in fixed.HTML_REFERENCES:
+        text = f"replace({text}, '{reference}', {_literal(meant)})"
+    return text
+
+
 def _clean(text: str, method: str) -> str:
-    ocr = f"CASE WHEN contains(lower({method}), 'ocr') THEN {_ocr(_encoding(text))} ELSE {_encoding(text)} END"
+    body = _encoding(text)
+    body = (f"CASE WHEN regexp_matches(lower({method}), 'unstructured|plain_text_read') "
+            f"AND regexp_matches({body}, '<[a-zA-Z][^>]*>') THEN {_html(body)} ELSE {body} END")
+    ocr = f"CASE WHEN contains(lower({method}), 'ocr') THEN {_ocr(body)} ELSE {body} END"
     return _whitespace(_boilerplate(f"nfc_normalize({ocr})"))
 
 
@@ -380,7 +391,7 @@ _oracle("archive_text_rollup", "", f"""
 _oracle("binary_guard", "all_files", f"""
  SELECT doc_id, extension NOT IN ({_quoted(fixed.ROUTE_TEXT + fixed.ROUTE_CSV)}) AND len(bytes) > 0 AND
   len(list_filter(bytes, lambda b: NOT regexp_matches(b, '^([2-6].|7[0-9A-E]|0[9ABCD])$'))) / greatest(len(bytes), 1)::DOUBLE > 0.3 AS is_binary
- FROM (SELECT doc_id, regexp_extract_all(substring(hex(encode(text)), 1, 16384), '..') AS bytes FROM documents)
+ FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS bytes FROM documents)
  JOIN all_files ON file_id = doc_id""")
 _NEW = "SELECT file_id, action AS status, event_id AS batch FROM actions"
 _LAST = f"SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY batch DESC) = 1"
@@ -402,7 +413,7 @@ _COUNTS = "SELECT label, count(*) AS n FROM scores GROUP BY label UNION ALL SELE
 _oracle("write_report_json", "scores", _COUNTS)
 _oracle("text_source", "", f"SELECT doc_id, sha256({_strip('text')}) AS text_hash, length({_strip('text')})::INTEGER AS chars FROM documents")
 _oracle("printable_strings", "", """
- SELECT doc_id, sha256(substring(array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{4,}')[1:500], chr(10)), 1, 100000)) AS text_hash
+ SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{4,}'), chr(10))) AS text_hash
  FROM documents""")
 _oracle("categorize_extension", "all_files", "SELECT file_id, extension, category FROM all_files")
 _oracle("inventory_status", "all_files", "SELECT file_id, extension, size_bytes, status FROM all_files")
@@ -572,6 +583,9 @@ _oracle("recommendations", "duplicate_files redundancy", """
   'Shared chunks: ' || shared_chunks || ', avg sim: ' || printf('%.2f', avg_similarity) || ', overlap: ' || printf('%.0f', redundancy_ratio * 100) || '%'
  FROM redundancy""")
 _oracle("fix_encoding", "", f"SELECT doc_id, md5({_encoding(_DIRTY)}) AS text_hash FROM documents")
+_oracle("strip_html", "", f"""
+ SELECT page_id, length(t)::INTEGER AS chars, md5(t) AS text_hash FROM (SELECT page_id, {_html('html')} AS t FROM pages)""")
+_oracle("clean_html_pages", "", f"SELECT page_id, md5({_clean('html', chr(39) + 'plain_text_read' + chr(39))}) AS text_hash FROM pages")
 _oracle("strip_html_tags", "", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_hash FROM pages")
 _oracle("remove_ocr_noise", "", f"SELECT doc_id, md5({_ocr(_DIRTY)}) AS text_hash FROM documents")
 _oracle("normalize_unicode", "", """
@@ -588,15 +602,16 @@ _oracle("reuse_clean_by_hash", "all_content", f"""
  FROM (SELECT *, {_RAWCLEAN} AS clean FROM all_content)""")
 _oracle("chunk_sliding", "raw_content", f"""
  SELECT file_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS chunk_index, md5(unnest(parts)) AS text_hash FROM (
-  SELECT file_id, CASE WHEN len(ws) <= 500 THEN CASE WHEN len(ws) >= 20 THEN [t] ELSE [] END ELSE {_windows('ws')} END AS parts
+  SELECT file_id, CASE WHEN len(ws) <= 500 THEN CASE WHEN len(ws) > 0 THEN [t] ELSE [] END ELSE {_windows('ws')} END AS parts
   FROM (SELECT *, {_words('t')} AS ws FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content)))""")
 _CHUNKS = """SELECT chunk_id, file_id, chunk_index, chunk_total, clean_char_count, clean_word_count, language, clean_status,
  md5(clean_text) AS text_hash FROM chunks"""
-_RUN = "CASE WHEN {1} >= 20 THEN [{{'f': {0}, 'n': {1}}}] ELSE [] END"
+_RUN = "CASE WHEN {1} > 0 THEN [{{'f': {0}, 'n': {1}}}] ELSE [] END"
 _HELD = "acc.last - acc.first"
 _CLOSE = _RUN.format("acc.first", f"({_HELD})")
-_SPLIT = ("list_transform(list_filter(range(0, x.c, 450), lambda s: x.c - s >= 20), "
-          "lambda s: {'f': acc.last + s, 'n': least(x.c - s, 500)})")
+_SPLIT = ("list_transform(list_filter(range(0, {1}, 450), lambda s: s = 0 OR {1} - s >= 20), "
+          "lambda s: {{'f': {0} + s, 'n': CASE WHEN s + 450 < {1} AND {1} - s - 450 < 20 THEN {1} - s ELSE least({1} - s, 500) END}})")
+_SHORT = f"(x.c > 500 OR {_HELD} + x.c > 500) AND {_HELD} > 0 AND {_HELD} < 20"
 _oracle("chunk_paragraphs", "raw_content", f"""
  SELECT file_id, (generate_subscripts(runs, 1) - 1)::INTEGER AS chunk_index,
   array_to_string(ws[unnest(runs).f + 1:unnest(runs).f + unnest(runs).n], ' ') AS chunk_text
@@ -604,16 +619,17 @@ _oracle("chunk_paragraphs", "raw_content", f"""
   SELECT file_id, ws, list_reduce(
    list_transform(paras, lambda p: {{'runs': []::STRUCT(f BIGINT, n BIGINT)[], 'first': 0::BIGINT, 'last': 0::BIGINT, 'c': len({_words('p')})::BIGINT}}),
    lambda acc, x: {{
-    'runs': CASE WHEN x.c > 500 THEN list_concat(list_concat(acc.runs, {_CLOSE}), {_SPLIT})
+    'runs': CASE WHEN {_SHORT} THEN list_concat(acc.runs, {_SPLIT.format("acc.first", f"({_HELD} + x.c)")})
+      WHEN x.c > 500 THEN list_concat(list_concat(acc.runs, {_CLOSE}), {_SPLIT.format("acc.last", "x.c")})
       WHEN {_HELD} + x.c > 500 THEN list_concat(acc.runs, {_CLOSE}) ELSE acc.runs END,
-    'first': CASE WHEN x.c > 500 THEN acc.last + x.c - 50 WHEN {_HELD} + x.c > 500 THEN greatest(acc.first, acc.last - 50) ELSE acc.first END,
+    'first': CASE WHEN x.c > 500 OR {_SHORT} THEN acc.last + x.c - 50 WHEN {_HELD} + x.c > 500 THEN greatest(acc.first, acc.last - 50) ELSE acc.first END,
     'last': acc.last + x.c, 'c': 0::BIGINT}},
    {{'runs': []::STRUCT(f BIGINT, n BIGINT)[], 'first': 0::BIGINT, 'last': 0::BIGINT, 'c': 0::BIGINT}}) AS done
   FROM (SELECT file_id, {_words('t')} AS ws, list_filter(list_transform(string_split(t, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS paras
    FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content))
   WHERE len(ws) > 500 AND len(paras) > 1))""")
 _oracle("embed_truncate", "chunks", """
- SELECT chunk_id, 256 AS dims, CASE WHEN regexp_matches(substring(clean_text, 1, 2000), '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+ SELECT chunk_id, 256 AS dims, CASE WHEN regexp_matches(clean_text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
  FROM chunks WHERE clean_status = 'SUCCESS'""")
 _oracle("chunk_documents", "chunks", _CHUNKS)
 _oracle("stream_ingest", "chunks", _CHUNKS)
@@ -632,10 +648,6 @@ _oracle("attribution_proxy", "ranked", _long("file_id", "attribution", "ranked")
 _oracle("semantic_search", "scored search_meta", """
  SELECT s.chunk_id, s.file_id, round(score, 6) AS score, name, language FROM scored s JOIN search_meta m USING (chunk_id)
  WHERE language = 'en' ORDER BY s.score DESC, s.chunk_id LIMIT 20""")
-_oracle("semantic_search_candidates", "scored search_meta", """
- SELECT s.chunk_id, s.file_id, round(score, 6) AS score, name, language
- FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 100) s JOIN search_meta m USING (chunk_id)
- WHERE language = 'en' ORDER BY s.score DESC, s.chunk_id LIMIT 5""")
 _oracle("search_files", "scored search_meta explained files", f"""
  SELECT h.file_id, x.path, round(h.score, 3) AS relevance, importance_score, label, {_snip("coalesce(h.clean_text, '')")} AS snippet, explanation_text
  FROM (SELECT s.*, m.clean_text FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 30) s JOIN search_meta m USING (chunk_id)

@@ -523,6 +523,14 @@ def strip_html(c):
         "page_id", F.char_length("text").alias("chars"), F.md5("text").alias("text_hash"))
 
 
+@query
+def clean_html_pages(c):
+    """Whole pages through the cleaning steps, as generic reads."""
+    pages = c.texts("pages").select(
+        "page_id", F.col("html").alias("extracted_text"), F.lit("plain_text_read").alias("extraction_method"))
+    return _digest(chunk.clean_text(pages), "page_id", F.col("clean_text"))
+
+
 @query
 def strip_html_tags(c):
     return _digest(c.texts("pages"), "page_id", tx.strip_tags(F.col("html")))
@@ -592,7 +600,7 @@ def detect_language(c):
 
 @query
 def embed_truncate(c):
-    """Chunk vectors from the first 2000 characters."""
+    """Chunk vectors of whole texts, without an input limit."""
     good = c.chunks.filter("clean_status = 'SUCCESS'").select("chunk_id", "clean_text")
     embedded = vectors.embed_text(good)
     norm = F.round(F.sqrt(vx.dot(F.col("vector"), F.col("vector"))), 4)
@@ -612,14 +620,6 @@ def semantic_search(c):
     return found.select("chunk_id", "file_id", "score", "name", "language")
 
 
-@query
-def semantic_search_candidates(c):
-    found = vectors.semantic_search(
-        c.vectors.select("chunk_id", "vector"), c.search_meta, c.query_vector, 5, {"language": "en"},
-        mode="candidates")
-    return found.select("chunk_id", "file_id", "score", "name", "language")
-
-
 @query
 def search_files(c):
     found = serve.search_files(
@@ -780,7 +780,7 @@ def attribution_proxy(c):
 
 @query
 def attribution_shapley(c):
-    return _long(model.attributions(c.scores, c.forest(5, 5)), "file_id", "attribution")
+    return _long(model.attributions(c.scores, c.forest()), "file_id", "attribution")
 
 
 def _entry_text(entries: Column) -> Column:

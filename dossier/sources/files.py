@@ -125,15 +125,19 @@ def archive_members(archives: DataFrame, base_depth: int = 0) -> DataFrame:
 def full_inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(kept, quarantined) for a folder: scanned files, zip members, refused files.
 
-    Files of review categories and unreadable zips are quarantined with a reason.
+    Files of review categories, unreadable zips and zips too long for one value
+    are quarantined with a reason.
     """
     kept, held = inventory.quarantine_split(scan_inventory(spark, root))
     raw = read_files(spark, root).filter(F.lower("path").endswith(".zip") & (F.col("length") <= MAX_CONTENT))
     zips = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(
         kept.select("path", F.col("depth").alias("_depth")), "path")
+    too_large = kept.filter((F.col("extension") == ".zip") & (F.col("size_bytes") > MAX_CONTENT)).select(
+        "path", F.lit("archive_too_large").alias("reason"))
     broken = (
         zip_members(zips, with_content=False).filter("member IS NULL")
         .select(F.col("source_archive").alias("path"), F.lit("unreadable_archive").alias("reason"))
+        .unionByName(too_large)
     )
     depths = kept.select(F.col("path").alias("source_archive"), F.col("depth").alias("_depth"))
     members = (
@@ -151,16 +155,18 @@ READABLE_MEMBERS = (
 )
 
 
-def archive_text_rollup(members: DataFrame, limit: int = 20) -> DataFrame:
-    """(source_archive, text, extraction_method): first 20 members with text, each under its name.
+def archive_text_rollup(members: DataFrame, limit: int | None = None) -> DataFrame:
+    """(source_archive, text, extraction_method): members with text, each under its name.
+
+    ``limit`` takes the first members only, where the caller wants no more.
 
     Members of types no extractor reads are passed over; .jar and .war files are
     read alike.  Needs source_archive, member, position, text.
     """
     readable = rules.extension(rules.file_name(F.col("member"))).isin(READABLE_MEMBERS)
     with_text = members.filter(readable & (F.coalesce("text", F.lit("")) != ""))
-    first = top_per_key(with_text, "source_archive", limit, F.col("position"))
-    ordered = F.array_sort(F.collect_list(F.struct("position", "member", "text")))  # at most 20
+    first = with_text if limit is None else top_per_key(with_text, "source_archive", limit, F.col("position"))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "member", "text")))  # one archive's text is one value
     joined = F.array_join(
         F.transform(ordered, lambda m: F.concat(F.lit("["), m["member"], F.lit("]\n"), m["text"])), "\n\n")
     jar = rules.extension(rules.file_name(F.col("source_archive"))).isin(fixed.ROUTE_JAR)
@@ -173,20 +179,21 @@ def text_source(raw: DataFrame) -> DataFrame:
     return raw.withColumn("text", tx.strip(F.make_valid_utf8(F.col("content").cast("string"))))
 
 
-def binary_guard(raw: DataFrame) -> DataFrame:
-    """Add ``is_binary``: over 30 % unprintable bytes among the first 8192.
+def binary_guard(raw: DataFrame, first_bytes: int | None = None) -> DataFrame:
+    """Add ``is_binary``: over 30 % unprintable bytes, in the whole content or the first bytes.
 
-    The 8192 bytes are the rule itself.  Known text extensions are exempt.
+    Known text extensions are exempt.
     """
-    head = F.decode(F.substring("content", 1, 8192), "ISO-8859-1")
+    content = F.col("content") if first_bytes is None else F.substring("content", 1, first_bytes)
+    head = F.decode(content, "ISO-8859-1")
     odd = F.char_length(F.regexp_replace(head, r"[\x20-\x7e\t\n\r\x0b\x0c]", ""))
     share = F.coalesce(F.try_divide(odd, F.char_length(head)), F.lit(0.0))
     exempt = F.col("extension").isin(fixed.ROUTE_TEXT + fixed.ROUTE_CSV)
     return raw.withColumn("is_binary", ~exempt & (share > 0.30))
 
 
-def printable_strings(raw: DataFrame, min_run: int = 4, runs: int = 500, max_chars: int = 100_000) -> DataFrame:
-    """Add ``text``: the first 500 runs of four or more printable ASCII bytes, one per line."""
+def printable_strings(raw: DataFrame, min_run: int = 4, runs: int | None = None) -> DataFrame:
+    """Add ``text``: the runs of four or more printable ASCII bytes, one per line; the first ``runs`` if given."""
     found = F.regexp_extract_all(
         F.decode("content", "ISO-8859-1"), F.lit(r"[\x20-\x7e]{%d,}" % min_run), F.lit(0))
-    return raw.withColumn("text", F.substring(F.array_join(F.slice(found, 1, runs), "\n"), 1, max_chars))
+    return raw.withColumn("text", F.array_join(found if runs is None else F.slice(found, 1, runs), "\n"))

@@ -14,7 +14,7 @@ def result(spark, tmp_path_factory):
     data = corpus(spark, SF)
     texts = data.raw_content.select("file_id", "extracted_text", "extraction_method", "language_hint")
     out = str(tmp_path_factory.mktemp("run"))
-    return out, governance.run(spark, data.raw_files, texts, out, AS_OF, root="/root", trees=5, depth=5, shapley_files=20)
+    return out, governance.run(spark, data.raw_files, texts, out, AS_OF, root="/root", trees=5, depth=5)
 
 
 def test_every_kept_file_is_scored_and_explained(result):

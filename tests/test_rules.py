@@ -239,14 +239,16 @@ def test_shapley_equals_its_definition(spark):
         assert got[5][i] == pytest.approx(np.abs(total).mean(), abs=1e-9)
 
 
-def test_attributions_beyond_the_limit_use_the_proxy(spark):
+def test_every_file_gets_shapley_values(spark):
     import random
     rng = random.Random(4)
     rows = signal_rows(spark, [[rng.random() for _ in range(9)] for _ in range(40)]).withColumns({
         "boot_label": F.when(F.col("s_recency") > 0.5, "KEEP").otherwise("REVIEW"),
         "importance_score": F.col("s_recency") * 100})
     forest = model.train_importance_model(rows, trees=3, depth=3)
-    assert model.attributions(rows, forest, shapley_files=10).count() == 40
+    got = model.attributions(rows, forest).select("attribution").collect()
+    assert len(got) == 40 and sum(r["attribution"][fixed.SIGNALS.index("s_recency")] for r in got) > 1
+    assert model.attributions(rows, None).count() == 40
 
 
 def test_archive_members(spark):

@@ -39,10 +39,24 @@ def test_nfc(spark):
     assert one(spark, "plain", tx.normalize_unicode) == "plain"
 
 
-def test_html_text_nodes_keep_script_unless_asked():
-    html = "<p>a &amp; b</p><script>var x;</script><!-- gone --><b>c</b>"
-    assert tx.html_text_nodes(html) == "a & b var x; c"
-    assert tx.html_text_nodes(html, drop_script=True) == "a & b c"
+@pytest.mark.parametrize("html,text", [
+    ("<p>a &amp; b</p><script>var x;</script><!-- gone --><b>c</b>", "a & b var x; c"),
+    ("<p>one</p> 5 <a and the rest", "one  5 <a and the rest"), ("<script>var a=1; rest", "var a=1; rest"),
+    ("<p>x</p> tail AT&T", "x  tail AT&T"), ("a<br>\n<br/>b", "a \n b"), ("&amp;lt;", "&lt;"), ("", ""), (None, None),
+])
+def test_html_text_keeps_tails(spark, html, text):
+    assert one(spark, html, tx.strip_html) == text
+
+
+@pytest.mark.parametrize("end", ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029"])
+def test_boilerplate_at_any_line_end(spark, end):
+    assert one(spark, f"first{end}Page 3 of 9{end}last", tx.remove_boilerplate) == "first\nlast"
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\u2003", "\u3000", "\u00a0", "\u2009", "\x1f"])
+def test_words_end_at_any_white_space(spark, space):
+    assert one(spark, f"{space}a{space}{space}b", tx.words) == ["a", "b"]
+    assert one(spark, f"{space}a b{space}", tx.strip) == "a b"
 
 
 def cleaned(spark, text, method):
@@ -73,12 +87,13 @@ def words(n, start=0):
 def sliding(text, size=500, overlap=50, least=20):
     ws = text.split()
     if len(ws) <= size:
-        return [text] if len(ws) >= least else []
+        return [text] if ws else []
     out = []
     for at in range(0, len(ws), size - overlap):
-        if len(ws[at:at + size]) >= least:
-            out.append(" ".join(ws[at:at + size]))
-        if at + size >= len(ws):
+        rest = len(ws) - at - (size - overlap)
+        end = len(ws) if at + size < len(ws) and rest < least else at + size
+        out.append(" ".join(ws[at:end]))
+        if end >= len(ws):
             break
     return out
 
@@ -91,20 +106,33 @@ def packed(text, size=500, overlap=50, least=20):
         return ws[max(0, len(ws) - overlap):] if overlap else []
 
     def close():
-        if len(now) >= least:
+        if now:
             out.append(" ".join(now))
 
+    def windows(p):
+        starts = [a for a in range(0, len(p), size - overlap) if a == 0 or len(p) - a >= least]
+        for a, after in zip(starts, [*starts[1:], None]):
+            cut = after is None and len(p) - a - (size - overlap) > 0
+            out.append(" ".join(p[a:] if cut else p[a:a + size]))
+
     for p in paragraphs:
-        if len(p) > size:
+        if 0 < len(now) < least and len(now) + len(p) > size:
+            windows(now + p)
+            now = tail(now + p)
+        elif len(p) > size:
             close()
-            out.extend(" ".join(p[a:a + size]) for a in range(0, len(p), size - overlap) if len(p[a:a + size]) >= least)
+            windows(p)
             now = tail(p)
         elif len(now) + len(p) > size:
             close()
             now = tail(now) + p
         else:
             now = now + p
-    close()
+    if out and len(now) < least:
+        whole = " ".join(w for p in paragraphs for w in p)
+        out[-1] = whole[whole.rindex(out[-1]):]
+    else:
+        close()
     return out
 
 
