@@ -8,9 +8,10 @@ compared in the depth-first order of the tree: a path's overlap with the query
 is counted once for all sets that share it, and a subtree is left as soon as
 what remains of its paths cannot reach the overlap needed.
 
-Sets of a group link to one leader first, and what this joins is not compared
-again, so a group of thousands of near copies costs rows in proportion to it.
-Only pairs that stand in different components afterwards are compared in full.
+Sets are first compared in groups around one leader each, inside a task, and
+what this joins is not compared again: a group of thousands of near copies sends
+rows in proportion to it.  Only pairs of different groups that stand in
+different components afterwards are compared as pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.storage import written
 from ..operators.cluster import connected_components
@@ -34,10 +35,11 @@ _SLICES = 32
 TOKEN_BITS, SET_BITS = 26, 23
 
 #: A path shows 1 / EXTRA of its length more than the least, and two sets must share as many n-grams there.
-EXTRA = 32
+#: Half of that is given up again: the n-grams there that most sets have.
+EXTRA = 16
 
-#: Candidates of one query in one group of the comparison; more are dealt to several.
-GROUP = 2000
+#: N-grams of the sets that meet in one tree, about; larger groups are dealt to several.
+GROUP = 1 << 20
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +55,12 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         at_short = count[rows[at]] == few
         of = np.concatenate([of, rows[at][at_short]])
         grams = np.concatenate([grams, mixed(short[at_short] + np.uint64(few))])
-    order = np.lexsort((grams, of))
-    of, grams = of[order], grams[order]
+    if words > 1:  # short texts were added at the end
+        order = np.argsort(of, kind="stable")
+        of, grams = of[order], grams[order]
+    edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for begin, end in zip(edges, edges[1:]):
+        grams[begin:end].sort()
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
     return of[new], grams[new]
@@ -126,8 +132,12 @@ def pair_overlap(n, m, over: int, under: int):
 
 
 def _ordered(of: np.ndarray, grams: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((grams, sketch[_bucket(grams)], of))
-    return of[order], grams[order]
+    """Each row's n-grams, which come sorted, by their count and then by hash."""
+    counts, grams = sketch[_bucket(grams)], grams.copy()
+    edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for begin, end in zip(edges, edges[1:]):
+        grams[begin:end] = grams[begin:end][np.argsort(counts[begin:end], kind="stable")]
+    return of, grams
 
 
 def path_heads(documents: DataFrame, text: str, words: int, shared: Broadcast, over: int, under: int,
@@ -185,68 +195,147 @@ def full_paths(documents: DataFrame, wanted: DataFrame, key: str, text: str, wor
     return found.join(wanted.hint("merge"), "id").filter("p_key = set_key").select("set_key", "path")
 
 
-class Walk:
-    """The tree in depth-first order against one query: overlaps shared along the path."""
-
-    def __init__(self, query: np.ndarray, over: int, under: int, step: int = 64) -> None:
-        self.query, self.over, self.under, self.step = np.sort(query), over, under, step
-        self.path = np.zeros(0, np.uint64)
-        #: hits[d] is the overlap of the first d elements of the path; known up to ``depth``.
-        self.hits, self.depth = np.zeros(1, np.int64), 0
-
-    def links(self, path: np.ndarray) -> bool:
-        """Whether the next set in order reaches the threshold with the query."""
-        common = min(self.depth, len(path))
-        differ = np.flatnonzero(self.path[:common] != path[:common])
-        common = int(differ[0]) if len(differ) else common
-        hits = np.empty(len(path) + 1, np.int64)
-        hits[:common + 1] = self.hits[:common + 1]
-        need = pair_overlap(len(self.query), len(path), self.over, self.under)
-        depth = common
-        while depth < len(path) and hits[depth] + len(path) - depth >= need:
-            part = path[depth:depth + self.step]
-            found = np.searchsorted(self.query, part)
-            inside = self.query[np.minimum(found, len(self.query) - 1)] == part
-            hits[depth + 1:depth + 1 + len(part)] = hits[depth] + np.cumsum(inside)
-            depth += len(part)
-        self.path, self.hits, self.depth = path, hits, depth
-        return depth == len(path) and hits[depth] >= need
+class Tree:
+    """The prefix tree of some paths, ``step`` elements to a node, level by level.
 
+    Sorted paths that agree up to a level share its node, so a node is a run of
+    rows; its elements are counted against a query once for all of them.
+    """
 
-def verified(pairs: DataFrame, paths: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.  ``a`` is the query; its candidates are walked in tree order.
-
-    Rows are dealt by query and salt and stream in sorted order, the query
-    first: a task holds one query and one path.
+    def __init__(self, paths: list[np.ndarray], over: int, under: int, step: int = 16) -> None:
+        self.over, self.under = over, under
+        sizes = np.array([len(p) for p in paths], np.int64)
+        width = max(step, -(-int(sizes.max(initial=1)) // step) * step)
+        table = np.zeros((len(paths), width), np.uint64)
+        table[np.arange(width) < sizes[:, None]] = np.concatenate(paths) if len(paths) else []
+        order = np.lexsort(table[:, ::-1].T) if len(paths) < 3 else np.argsort(
+            np.ascontiguousarray(table.astype(">u8")).view(f"S{width * 8}")[:, 0], kind="stable")
+        table, self.sizes, self.order = table[order], sizes[order], order
+        differs = np.full(len(paths), -1)
+        if len(paths) > 1:
+            unequal = table[1:] != table[:-1]
+            differs[1:] = np.where(unequal.any(1), unequal.argmax(1), width)
+        #: Per level: elements of the nodes, node above, smallest and largest set below, node of each row.
+        self.levels = []
+        above = np.zeros(len(paths), np.int64)
+        for begin in range(0, width, step):
+            first = np.flatnonzero(differs < begin + step)
+            row_node = np.zeros(len(paths), np.int64)
+            row_node[first] = 1
+            row_node = np.cumsum(row_node) - 1
+            self.levels.append((
+                table[first, begin:begin + step], above[first], np.minimum.reduceat(self.sizes, first),
+                np.maximum.reduceat(self.sizes, first), begin + step))
+            above = row_node
+        self.leaf = above
+
+    def links(self, query: np.ndarray) -> np.ndarray:
+        """Positions, in the list given, of the paths that reach the threshold with the query."""
+        query = np.sort(query)
+        overlap, alive = np.zeros(1, np.int64), np.ones(1, bool)
+        for elements, above, least, most, depth in self.levels:
+            seen = np.flatnonzero(alive[above])
+            count = np.zeros(len(above), np.int64)
+            part = elements[seen]
+            at = np.minimum(np.searchsorted(query, part), len(query) - 1)
+            count[seen] = overlap[above[seen]] + ((query[at] == part) & (part != 0)).sum(1)
+            # A subtree is left if not even all that remains of its longest path is enough for its smallest set.
+            need = pair_overlap(len(query), least, self.over, self.under)
+            alive = alive[above] & (count + np.maximum(most - depth, 0) >= need)
+            overlap = count
+        reached = alive[self.leaf] & (overlap[self.leaf] >= pair_overlap(len(query), self.sizes, self.over, self.under))
+        return self.order[reached]
+
+
+def _rows_by_query(pairs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(a, salt, b, path) dealt by a and salt and sorted: the path of ``a`` first (b null), then those of its b.
+
+    Salts keep what meets at GROUP n-grams or so, whatever the number of pairs.
     """
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.join(paths.select(F.col("set_key").alias("b"), (F.length("path") / 8).alias("size")).hint("merge"), "b")
+    counts = sized.groupBy("a").agg(F.sum("size").alias("n"))
     salted = pairs.join(counts.hint("merge"), "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"))
     salted = written(salted, "ngram-pairs")
     asked = salted.select("a", "salt").distinct().join(paths.hint("merge"), F.col("a") == F.col("set_key")).select(
         "a", "salt", F.lit(None).cast("long").alias("b"), "path")
     found = salted.join(paths.hint("merge"), F.col("b") == F.col("set_key")).select("a", "salt", "b", "path")
-    rows = asked.unionByName(found).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull(), "path", "b")
+    return asked.unionByName(found).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull(), "b")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list[np.ndarray]]]:
+    """(a, salt, set keys, paths) of each group of rows; the query is the first."""
+    now, keys, paths = None, [], []
+    for batch in batches:
+        for a, salt, b, path in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(),
+                                    batch.column("b").to_pylist(), batch.column("path")):
+            if (a, salt) != now:
+                if now:
+                    yield *now, keys, paths
+                now, keys, paths = (a, salt), [], []
+            if not keys or b is not None:  # a set under two equal rows is one query
+                keys.append(a if b is None else b)
+                paths.append(np.frombuffer(path.as_buffer(), ">u8").astype(np.uint64))
+    if now:
+        yield *now, keys, paths
 
+
+def verified(pairs: DataFrame, paths: DataFrame, over: int, under: int) -> DataFrame:
+    """The pairs (a, b) whose sets link: a walks through the tree of its candidates."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, query, one = None, None, None
-        for batch in batches:
-            kept = []
-            for a, salt, b, path in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(),
-                                        batch.column("b").to_pylist(), batch.column("path")):
-                grams = np.frombuffer(path.as_buffer(), ">u8").astype(np.uint64)
-                if b is None:
-                    now, one = (a, salt), Walk(grams, over, under)
-                elif now == (a, salt) and one.links(grams):
-                    kept.append((a, b))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept)], names=["a", "b"])
+        for a, _, keys, paths_ in _by_group(batches):
+            hit = Tree(paths_[1:], over, under).links(paths_[0]) if len(keys) > 1 else []
+            if len(hit):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a] * len(hit), pa.int64()), pa.array([keys[1 + i] for i in hit], pa.int64())], names=["a", "b"])
+
+    return _rows_by_query(pairs, paths).mapInArrow(walk, "a long, b long")
 
-    return rows.mapInArrow(walk, "a long, b long")
 
+def star_links(stars: DataFrame, paths: DataFrame, over: int, under: int) -> DataFrame:
+    """(a, b, settled): links that join each group (leader a, sets b) as its sets' similarities do.
+
+    The leader walks through the tree of the group, then every set that is not
+    joined to it yet.  What is joined is not compared again and only links that
+    join are returned, so neither the links nor the rows sent are pairs.  All
+    pairs of a group and salt are settled afterwards; rows (b, null, group) tell
+    in which group a set was.
+    """
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, salt, keys, paths_ in _by_group(batches):
+            root = list(range(len(keys)))
 
-def _needed(n: Column | str) -> Column:
-    return F.lit(1) + F.floor(F.col(n) / EXTRA if isinstance(n, str) else n / EXTRA)
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            tree, made = Tree(paths_, over, under), []
+            for u in range(len(keys)):
+                if u and find(u) == find(0):
+                    continue
+                for v in tree.links(paths_[u]).tolist():
+                    x, y = find(u), find(v)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        made.append((keys[u], keys[v], None))
+            group = int(mixed(np.array([a], np.int64).view(np.uint64) + np.uint64(salt)).view(np.int64)[0])
+            made += [(b, None, group) for b in keys[1:]]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b", "settled"])
+
+    return _rows_by_query(stars, paths).mapInArrow(join, "a long, b long, settled long")
+
+
+def _needed(n: Column, m: Column, over: int, under: int) -> Column:
+    """Shared n-grams, among those left, of two sets of n and m that link; at least one."""
+    given_up = F.greatest(_given_up(n, over, under), _given_up(m, over, under))
+    return F.greatest(F.lit(1) + F.floor(F.least(n, m) / EXTRA) - given_up, F.lit(1))
+
+
+def _given_up(n: Column, over: int, under: int) -> Column:
+    return F.floor(F.floor(n * over / under) / (2 * EXTRA))
 
 
 def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, over: int = 4,
@@ -270,53 +359,82 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     tokens = written(
         path_heads(documents, text, words, shared, over, under).groupBy("token")
-        .agg(F.min("set_key").alias("leader"), F.max("set_key").alias("most")).filter("leader <> most").select("token", "leader"),
-        "ngram-tokens")
+        .agg(F.min("set_key").alias("least"), F.max("set_key").alias("most"), F.count(F.lit(1)).alias("rows"))
+        .filter("least <> most").select("token", "rows"), "ngram-tokens")
     several = spark.sparkContext.broadcast(bitmap(tokens, "token", TOKEN_BITS))
     heads = path_heads(documents, text, words, shared, over, under, several).groupBy("token", "set_key").agg(F.min("n").alias("n"))
-    heads = written(written(heads, "ngram-heads").join(tokens.hint("merge"), "token"), "ngram-shared")
-
-    # A set needs so many shared n-grams near its root to link with any partner.
-    enough = _needed(F.floor(F.col("n") * over / under))
-    able = written(heads.groupBy("set_key").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("shared")).filter(
-        F.col("shared") >= enough).select("set_key"), "ngram-able")
-    heads = written(heads.join(able.hint("merge"), "set_key"), "ngram-able-heads")
+    heads = written(heads, "ngram-heads").join(tokens.hint("merge"), "token")
+    heads = written(_left(heads, over, under), "ngram-left")
+
+    # The set whose n-grams most others have: the original of copies that differ more from each other than from it.
+    leaders = heads.groupBy("token").agg(
+        F.min("set_key").alias("least"), F.max("set_key").alias("most"), F.max_by("set_key", "score").alias("leader"))
+    leaders = written(leaders.filter("least <> most").select("token", "leader"), "ngram-leaders")
+    heads = written(heads.join(leaders.hint("merge"), "token"), "ngram-shared")
+    able = written(heads.select("set_key").distinct(), "ngram-able")
     paths = written(full_paths(
         documents, able.join(firsts.hint("merge"), "set_key").select(F.col("first").alias("id"), "set_key"), key, text, words, shared),
         "ngram-paths")
 
-    # First the sets of a group with its leader, then what is still apart.
-    stars = heads.filter("set_key <> leader").groupBy("set_key", "leader").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    stars = stars.filter(F.col("c") * 4 >= _needed("n")).select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
-    links = written(verified(stars, paths, over, under), "ngram-links")
+    # First every set with the leader of its that it shares most with, then what is still apart.
+    stars = heads.filter("set_key <> leader").groupBy("set_key", "leader").agg(F.count(F.lit(1)).alias("c"))
+    stars = stars.groupBy("set_key").agg(F.max(F.struct("c", "leader")).alias("best"))
+    stars = written(stars.select(F.col("best.leader").alias("a"), F.col("set_key").alias("b")), "ngram-stars")
+    made = written(star_links(stars, paths, over, under), "ngram-links")
+    links = made.filter("b IS NOT NULL").select("a", "b")
     joined = written(connected_components(links), "ngram-joined")
-    apart = _apart(heads, joined, over, under)
+    settled = made.filter("b IS NULL").select(F.col("a").alias("set_key"), "settled")
+    apart = _apart(heads, joined, settled, over, under)
     more = written(verified(apart, paths, over, under), "ngram-more")
     if more.limit(1).count():
         joined = written(connected_components(links.unionByName(more)), "ngram-components")
     return _labelled(sets, firsts, joined).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _apart(heads: DataFrame, joined: DataFrame, over: int, under: int) -> DataFrame:
-    """Pairs (a, b) of different components that share enough n-grams near the root to link."""
-    named = written(heads.select("token", "set_key", "n").join(
-        joined.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left").withColumn(
-            "component", F.coalesce("component", "set_key")), "ngram-named")
-    groups = named.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    groups = written(groups, "ngram-groups")
-    several = groups.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+def _left(heads: DataFrame, over: int, under: int) -> DataFrame:
+    """(token, set_key, n, score) without the n-grams of each path that most sets have.
+
+    Two sets that link share one n-gram more than 1 / EXTRA of the smaller near
+    the root.  Each gives up fewer than half as many, always those with most
+    rows, so they still share what is counted in ``_needed``: a passage that
+    thousands of texts quote does not make pairs of them.  Sets with too few
+    left to link with any partner go.
+    """
+    of_set = Window.partitionBy("set_key")
+    ranked = heads.withColumn("rank", F.row_number().over(of_set.orderBy(F.desc("rows"), "token")))
+    left = ranked.filter(F.col("rank") > _given_up(F.col("n"), over, under))
+    left = left.withColumn("left", F.count(F.lit(1)).over(of_set)).withColumn("score", F.sum("rows").over(of_set))
+    least, most = F.floor(F.col("n") * over / under), F.floor(F.col("n") * under / over)
+    return left.filter(F.col("left") >= F.greatest(
+        F.lit(1) + F.floor(least / EXTRA) - _given_up(most, over, under), F.lit(1))).select("token", "set_key", "n", "score")
+
+
+def _apart(heads: DataFrame, joined: DataFrame, settled: DataFrame, over: int, under: int) -> DataFrame:
+    """Pairs (a, b) of different components, not settled in a group, that share enough n-grams near the root to link."""
+    named = heads.select("token", "set_key", "n").join(joined.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left")
+    named = written(named.join(settled.hint("merge"), "set_key", "left").select(
+        "token", "set_key", "n", F.coalesce("component", "set_key").alias("component"),
+        F.coalesce("settled", "set_key").alias("settled")), "ngram-named")
+    groups = written(named.groupBy("token", "settled").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("x"), F.max("component").alias("y")), "ngram-groups")
+    # Only n-grams of several groups and several components are left.
+    several = groups.groupBy("token").agg(
+        F.min("settled").alias("f"), F.max("settled").alias("g"), F.min("x").alias("x"), F.max("y").alias("y")).filter(
+        "f <> g AND x <> y").select("token")
     several = written(several, "ngram-several")
     groups = written(groups.join(several.hint("merge"), "token"), "ngram-several-groups")
     named = written(named.join(several.hint("merge"), "token"), "ngram-several-rows")
-    # Rows meet the other components of their n-gram, then only those components' rows.
-    other = groups.select("token", F.col("component").alias("other"), "least", "most")
-    near = (F.col("n") * under >= F.col("least") * over) & (F.col("most") * under >= F.col("n") * over)
-    facing = named.join(other.hint("merge"), "token").filter((F.col("component") < F.col("other")) & near)
-    partner = named.select("token", F.col("component").alias("other"), F.col("set_key").alias("partner"), F.col("n").alias("m"))
+    # Rows meet the other groups of their n-gram, then only those groups' rows.
+    other = groups.select("token", F.col("settled").alias("other"), "least", "most", "x", "y")
+    facing = named.join(other.hint("merge"), "token").filter(
+        (F.col("settled") < F.col("other")) & ((F.col("component") != F.col("x")) | (F.col("component") != F.col("y")))
+        & (F.col("n") * under >= F.col("least") * over) & (F.col("most") * under >= F.col("n") * over))
+    partner = named.select("token", F.col("settled").alias("other"), F.col("component").alias("its"), F.col("set_key").alias("partner"),
+                           F.col("n").alias("m"))
     met = facing.join(partner.hint("merge"), ["token", "other"]).filter(
-        (F.col("n") * under >= F.col("m") * over) & (F.col("m") * under >= F.col("n") * over))
+        (F.col("component") != F.col("its")) & (F.col("n") * under >= F.col("m") * over) & (F.col("m") * under >= F.col("n") * over))
     pairs = met.groupBy("set_key", "partner").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
-    return written(pairs.filter(F.col("c") >= _needed(F.least("n", "m"))).select(
+    return written(pairs.filter(F.col("c") >= _needed(F.col("n"), F.col("m"), over, under)).select(
         F.col("set_key").alias("a"), F.col("partner").alias("b")), "ngram-apart")
 
 

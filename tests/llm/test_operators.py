@@ -339,11 +339,10 @@ def test_jaccard_components_equal_brute_force(spark, k, over, under):
 @settings(max_examples=100, deadline=None)
 def test_tree_walk_equals_plain_overlap(paths, threshold):
     over, under = threshold
-    arrays = sorted((np.array(sorted(p), np.uint64) for p in paths[1:]), key=lambda a: a.tolist())
-    walk, query = ngram_join.Walk(np.array(sorted(paths[0]), np.uint64), over, under, step=2), set(paths[0])
-    for path in arrays:
-        both = len(query & set(path.tolist()))
-        assert walk.links(path) == (under * both >= over * (len(query) + len(path) - both))
+    sets, query = [sorted(p) for p in paths[1:]], set(paths[0])
+    tree = ngram_join.Tree([np.array(p, np.uint64) + np.uint64(1) for p in sets], over, under, step=2)
+    want = [i for i, p in enumerate(sets) if under * len(query & set(p)) >= over * len(query | set(p))]
+    assert sorted(tree.links(np.array(sorted(query), np.uint64) + np.uint64(1)).tolist()) == want
 
 
 def test_jaccard_components_of_awkward_rows(docs, empty):
