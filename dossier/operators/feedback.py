@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from .keyed import latest_per_key
+from .keyed import latest_per_key, rank_by_digest
 
 # fixed values
 MIN_CONFIDENCE, MAX_ATTEMPTS, MIN_CLASS, RETRAIN_AT = 3, 3, 5, 30
@@ -107,28 +107,10 @@ def disagreement_rate(usable: DataFrame) -> DataFrame:
 def stratified_split(
     usable: DataFrame, label_col: str = "human_label", id_col: str = "file_id", share: float = HOLDOUT
 ) -> DataFrame:
-    """Add ``is_holdout``: the first round(share * n) rows of each label by MD5 of the id.
-
-    Ranks are counted by the first three hex digits: bucket totals (4096 per
-    label at most) give a row's offset, so no label is sorted in one task.
-    """
-    digest = F.md5(F.col(id_col).cast("string"))
-    rows = usable.withColumns({"_digest": digest, "_bucket": F.substring(digest, 1, 3)})
-    buckets = rows.groupBy(label_col, "_bucket").agg(F.count("*").alias("_n"))
-    by_label = W.partitionBy(label_col)
-    offsets = buckets.select(
-        label_col, "_bucket",
-        (F.sum("_n").over(by_label.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-        F.round(F.lit(share) * F.sum("_n").over(by_label)).cast("long").alias("_take"),
-    )
-    inside = W.partitionBy(label_col, "_bucket").orderBy("_digest", id_col)
-    return (
-        rows.withColumn("_row", F.row_number().over(inside))
-        # at most labels x 4096 rows
-        .join(F.broadcast(offsets), [label_col, "_bucket"])
-        .withColumn("is_holdout", F.col("_before") + F.col("_row") <= F.col("_take"))
-        .drop("_digest", "_bucket", "_before", "_take", "_row")
-    )
+    """Add ``is_holdout``: the first round(share * n) rows of each label by MD5 of the id."""
+    ranked = rank_by_digest(usable, label_col, id_col)
+    take = F.round(F.lit(share) * F.col("_size")).cast("long")
+    return ranked.withColumn("is_holdout", F.col("_rank") <= take).drop("_rank", "_size")
 
 
 def _class_stats(pred: DataFrame, truth_col: str, pred_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, rules
+from .keyed import rank_by_digest
 from .shapley import attribution_shapley
 
 # fixed values: forest settings
@@ -47,15 +48,19 @@ def train_importance_model(
     return forest.fit(train.select("features", "_class", "_weight"))
 
 
-train_candidate = train_importance_model
+def train_candidate(
+    rows: DataFrame, label_col: str = "human_label", trees: int = TREES, depth: int = DEPTH,
+) -> RandomForestClassificationModel:
+    """The forest of a retraining round: the same settings on human labels."""
+    return train_importance_model(rows, label_col, trees, depth)
 
 
 def cross_validate(
     rows: DataFrame, label_col: str = "boot_label", trees: int = TREES, depth: int = DEPTH,
 ) -> DataFrame:
-    """Accuracy per fold, min(5, n/2) folds; no rows under ten examples.
+    """Accuracy per fold, min(5, n/2) folds with equal shares of each label; no rows under ten examples.
 
-    Folds follow a hash of the file id, so no ordering of the corpus is needed.
+    Rows of a label are dealt to the folds in the order of a digest of the file id.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -63,7 +68,7 @@ def cross_validate(
     if n < 10:
         return spark.createDataFrame([], schema)
     folds = min(5, n // 2)
-    folded = rows.withColumn("_fold", F.pmod(F.xxhash64("file_id"), F.lit(folds)).cast("int"))
+    folded = rank_by_digest(rows, label_col, "file_id").withColumn("_fold", F.pmod("_rank", F.lit(folds)).cast("int"))
     evaluator = MulticlassClassificationEvaluator(
         labelCol="_class", predictionCol="prediction", metricName="accuracy"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed, rules
+from ..functions import fixed, text as tx, rules
 from ..functions.storage import written
 from . import cluster, vectors as vec
 
@@ -118,8 +118,8 @@ def signals(
     return vec.semantic_proximity(rows, file_vectors, centroid)
 
 
-def llm_rating_batch(rows: DataFrame, dup_paths: DataFrame, excerpts: DataFrame, max_words: int = 200) -> DataFrame:
-    """Files to be rated from outside, one row per distinct cache key.
+def rating_keys(rows: DataFrame, dup_paths: DataFrame, excerpts: DataFrame, max_words: int = 200) -> DataFrame:
+    """(file_id, cache_key, snippet) of every file to be rated from outside.
 
     Files that are no duplicates and have over 20 words; excerpt of 200 words,
     key = MD5 of the first 800 characters of the excerpt text.
@@ -129,20 +129,29 @@ def llm_rating_batch(rows: DataFrame, dup_paths: DataFrame, excerpts: DataFrame,
         .join(dup_paths.select("path").distinct(), "path", "left_anti").select("file_id")
     )
     text = F.coalesce("excerpt", F.lit(""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     return chosen.join(excerpts, "file_id", "left").select(
-        "file_id",
-        F.md5(F.substring(text, 1, 800)).alias("cache_key"),
-        F.array_join(F.slice(words, 1, max_words), " ").alias("snippet"),
+        "file_id", F.md5(F.substring(text, 1, 800)).alias("cache_key"),
+        F.array_join(F.slice(tx.words(text), 1, max_words), " ").alias("snippet"),
     )
 
 
-def apply_ratings(rows: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Map ratings 1..5 to 0..1; unrated files get 0.2."""
+def llm_rating_batch(keys: DataFrame) -> DataFrame:
+    """The requests: one row per distinct cache key, with the snippet of its smallest file."""
+    return keys.groupBy("cache_key").agg(
+        F.min("file_id").alias("file_id"), F.min_by("snippet", "file_id").alias("snippet"))
+
+
+def apply_ratings(rows: DataFrame, ratings: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Map ratings 1..5 to 0..1; unrated files get 0.2.
+
+    ``ratings`` holds (file_id, rating), or (cache_key, rating) with the
+    ``keys`` (file_id, cache_key): every file of a key gets its rating.
+    """
     value = F.least(F.greatest(F.col("rating").cast("double"), F.lit(1.0)), F.lit(5.0))
-    mapped = ratings.filter("rating IS NOT NULL").groupBy("file_id").agg(
-        F.max((value - 1) / 4).alias("s_llm_quality")
-    )
+    by = "file_id" if keys is None else "cache_key"
+    mapped = ratings.filter("rating IS NOT NULL").groupBy(by).agg(F.max((value - 1) / 4).alias("s_llm_quality"))
+    if keys is not None:
+        mapped = keys.select("file_id", "cache_key").join(mapped, "cache_key").select("file_id", "s_llm_quality")
     return rows.join(mapped, "file_id", "left").fillna({"s_llm_quality": 0.2})
 
 

@@ -208,7 +208,7 @@ class Corpus:
     def explanations(self) -> DataFrame:
         return written(explain.build_explanations(self.attributed), "file-explanations")
 
-    def forest(self, trees: int = 20, depth: int = 8):
+    def forest(self, trees: int = model.TREES, depth: int = model.DEPTH):
         key = (trees, depth)
         if key not in self._forests:
             rows = score.boot_label(score.boot_score(self.signals))

@@ -671,16 +671,20 @@ _oracle("semantic_proximity", "signals", "SELECT file_id, round(s_semantic_proxi
 for _name in ("s_content_richness", "s_recency", "s_type_importance", "s_uniqueness", "s_extraction_quality", "s_content_depth"):
     _oracle(_name, "signals7", f"SELECT file_id, round({_name}, 6) AS {_name} FROM signals7")
 _oracle("s_llm_quality", "signals8", "SELECT file_id, round(s_llm_quality, 6) AS s_llm_quality FROM signals8")
-_oracle("llm_rating_batch", "score_input dup_paths chunks", rf"""
+_stage("rating_keys", "score_input dup_paths chunks", f"""
  SELECT i.file_id, md5(substring(coalesce(t, ''), 1, 800)) AS cache_key,
   md5(array_to_string({_words("coalesce(t, '')")}[1:200], ' ')) AS snippet_hash
  FROM score_input i LEFT JOIN (SELECT file_id, string_agg(clean_text, ' ' ORDER BY chunk_index) AS t FROM chunks
   WHERE clean_status = 'SUCCESS' AND clean_text <> '' AND chunk_index < 3 GROUP BY file_id) USING (file_id)
  WHERE extracted_words > 20 AND path NOT IN (SELECT path FROM dup_paths)""")
-_oracle("llm_rating_applied", "files", """
- SELECT file_id, CASE WHEN doc_id IS NULL THEN 0.2::DOUBLE
-  ELSE (least(greatest(quality * 3 + toxic * 7, 1), 5) - 1) / 4.0::DOUBLE END AS s_llm_quality
- FROM files LEFT JOIN labels ON doc_id = file_id""")
+_oracle("llm_rating_batch", "rating_keys", """
+ SELECT cache_key, min(file_id) AS file_id, arg_min(snippet_hash, file_id) AS snippet_hash FROM rating_keys GROUP BY cache_key""")
+_oracle("llm_rating_applied", "files rating_keys", """
+ SELECT f.file_id, CASE WHEN l.doc_id IS NULL THEN 0.2::DOUBLE
+  ELSE (least(greatest(l.quality * 3 + l.toxic * 7, 1), 5) - 1) / 4.0::DOUBLE END AS s_llm_quality
+ FROM files f LEFT JOIN rating_keys k USING (file_id)
+ LEFT JOIN (SELECT cache_key, min(file_id) AS first FROM rating_keys GROUP BY cache_key) q ON q.cache_key = k.cache_key
+ LEFT JOIN labels l ON l.doc_id = q.first""")
 _oracle("signals", "signals", "SELECT file_id, " + ", ".join(f"round({s}, 6) AS {s}" for s in fixed.SIGNALS) + " FROM signals")
 _oracle("boot_score", "boot", "SELECT file_id, round(boot_score, 6) AS boot_score FROM boot")
 _oracle("boot_label", "boot", f"SELECT file_id, {_LABEL} AS boot_label FROM boot")

@@ -719,16 +719,21 @@ def s_llm_quality(c):
 
 @query
 def llm_rating_batch(c):
-    batch = score.llm_rating_batch(c.score_input, c.dup_paths, serve.top_chunk_excerpt(c.chunks))
-    return batch.select("file_id", "cache_key", F.md5("snippet").alias("snippet_hash"))
+    return score.llm_rating_batch(_rating_keys(c)).select("file_id", "cache_key", F.md5("snippet").alias("snippet_hash"))
+
+
+def _rating_keys(c: Corpus) -> DataFrame:
+    return score.rating_keys(c.score_input, c.dup_paths, serve.top_chunk_excerpt(c.chunks))
 
 
 @query
 def llm_rating_applied(c):
-    """Quality labels taken as outside ratings."""
-    ratings = c.table("labels").select(
+    """Quality labels taken as answers to the rating requests, given to all files of a key."""
+    keys = _rating_keys(c)
+    answers = c.table("labels").select(
         F.col("doc_id").alias("file_id"), (F.col("quality") * 3 + F.col("toxic") * 7).alias("rating"))
-    return score.apply_ratings(c.files.select("file_id"), ratings)
+    ratings = score.llm_rating_batch(keys).join(answers, "file_id").select("cache_key", "rating")
+    return score.apply_ratings(c.files.select("file_id"), ratings, keys)
 
 
 @query
@@ -756,7 +761,7 @@ def train_importance_model(c):
 @query
 def cross_validate(c):
     rows = score.boot_label(score.boot_score(c.signals))
-    return model.cross_validate(rows, trees=5, depth=5)
+    return model.cross_validate(rows)
 
 
 @query
