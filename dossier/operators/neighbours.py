@@ -19,6 +19,7 @@ from ..functions.vector import CANDIDATE_MARGIN, as_list_column, as_matrix, unit
 PAIR_SCHEMA = "id_1 string, id_2 string, similarity double"
 BLOCK_ROWS = 4096
 MAX_PARTS = 50_000
+PIVOTS = 8192  # rows on the driver and in every task
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -345,7 +346,7 @@ class Cells:
         self.rows = vectors.count()
         self.blocks = max(1, -(-self.rows // block_rows))
         if self.blocks > 1:
-            self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(1024, self.blocks)))
+            self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(PIVOTS, self.blocks)))
 
     def compare(self, vectors: DataFrame, emit: Callable, schema: str) -> DataFrame:
         """Meet all near vectors tile by tile; ``emit`` turns a tile into rows."""
@@ -445,51 +446,141 @@ def lsh_pairs(
     )
 
 
-def top_k_pairs(
-    queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
-    query_rows: int = 2048,
-) -> DataFrame:
-    """The k vectors nearest to each query (query_id, id, similarity, rank).
-
-    Blocks of queries meet blocks of vectors; each tile keeps k rows per query,
-    and a window over those candidates gives the exact answer.  Ties: smaller id.
+class _Places:
+    """Cells of the vectors to be searched: pivots, radii, and blocks of bounded rows in each cell."""
+
+    def __init__(self, vectors: DataFrame, block_rows: int):
+        rows = vectors.count()
+        self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(PIVOTS, max(1, -(-rows // block_rows)))))
+        pivots = self.pivots
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(max(1, len(pivots)), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += np.bincount(_nearest(batch, pivots)[1], minlength=len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["cell", "rows"])
+
+        # One row per pivot comes back to the driver.
+        sizes = np.zeros(max(1, len(pivots)), np.int64)
+        for r in vectors.select("vector").mapInArrow(counted, "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():
+            sizes[r["cell"]] = r["rows"]
+        self.blocks = np.maximum(1, -(-sizes // block_rows))
+
+    def residents(self, vectors: DataFrame) -> DataFrame:
+        """Every vector in its cell, once; a hot cell has several blocks."""
+        pivots, blocks = self.pivots, self.blocks
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    home = _nearest(batch, pivots)[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(home.astype(np.int64)), pa.array(blocks[home]), *batch.columns], names=["cell", "_blocks", "id", "vector"])
+
+        kind = vectors.schema["vector"].dataType.simpleString()
+        placed = vectors.select(F.col("id").cast("string").alias("id"), "vector").mapInArrow(
+            place, f"cell long, _blocks long, id string, vector {kind}")
+        return placed.select("cell", _bucket(F.col("id"), F.col("_blocks")).alias("block"), F.lit(False).alias("is_query"), "id",
+                             F.col("vector").cast("array<double>").alias("vector"))
+
+    def visits(self, queries: DataFrame, home: bool) -> DataFrame:
+        """Queries in the blocks of their home cell, or of every other cell that may hold something nearer than ``bound``.
+
+        A cell's vectors lie within its radius of the pivot, so none is nearer
+        to the query than their angle less that radius.
+        """
+        pivots, radii, blocks = self.pivots, self.radii, self.blocks
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cosine, nearest = _nearest(batch, pivots)
+                own = np.arange(len(pivots))[None, :] == nearest[:, None]
+                if home:
+                    goes = own
+                else:
+                    possible = np.cos(np.maximum(0.0, _angle(cosine) - radii[None, :]))
+                    goes = ~own & (possible >= batch.column("bound").to_numpy()[:, None] - 1e-9)
+                who, where = np.nonzero(goes)
+                many = blocks[where]
+                who, cell = np.repeat(who, many), np.repeat(where, many)
+                block = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+                for begin in range(0, len(who), 4096):
+                    part = slice(begin, begin + 4096)
+                    take = pa.array(who[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[part].astype(np.int64)), pa.array(block[part].astype(np.int32)),
+                         batch.column("id").take(take), batch.column("vector").take(take)], names=["cell", "block", "id", "vector"])
+
+        kind = queries.schema["vector"].dataType.simpleString()
+        placed = queries.select("id", "vector", "bound").mapInArrow(visit, f"cell long, block int, id string, vector {kind}")
+        return placed.select("cell", "block", F.lit(True).alias("is_query"), "id", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _best_in_blocks(residents: DataFrame, visits: DataFrame, k: int, parts: int) -> DataFrame:
+    """(query_id, id, similarity): the k nearest of every block to each query that visits it.
+
+    A block's vectors come first and are held; the queries stream past them.
     """
-    q_blocks = max(1, -(-queries.count() // query_rows))
-    v_blocks = max(1, -(-vectors.count() // block_rows))
-
-    same = queries.schema["vector"].dataType == vectors.schema["vector"].dataType
-
-    def spread(rows: DataFrame, is_query: bool) -> DataFrame:
-        vector = F.col("vector") if same else F.col("vector").cast("array<double>")
-        own = _bucket(F.col("id"), F.lit(q_blocks if is_query else v_blocks))
-        others = F.explode(F.sequence(F.lit(0), F.lit((v_blocks if is_query else q_blocks) - 1)))
-        a, b = ("_own", "_other") if is_query else ("_other", "_own")
-        return rows.select(
-            F.col("id").cast("string").alias("id"), vector.alias("vector"), F.lit(is_query).alias("is_query"), own.alias("_own"), others.alias("_other"),
-        ).select("id", "vector", "is_query", F.col(a).alias("a"), F.col(b).alias("b"))
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        vecs = unit_rows(as_matrix(group["vector"]))
-        ids = np.asarray(group["id"].to_pylist(), dtype=object)
-        is_query = group["is_query"].to_numpy().astype(bool)
-        q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        if not len(q) or not len(v):
-            return
-        v = v[np.argsort(ids[v], kind="stable")]
-        scores = np.round(vecs[q] @ vecs[v].T, 12)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(ids[q], best.shape[1]), pa.string()),
-                pa.array(ids[v][best.ravel()], pa.string()),
-                pa.array(np.take_along_axis(scores, best, axis=1).ravel()),
-            ],
-            names=["query_id", "id", "similarity"],
-        )
-
-    candidates = _by_tile(
-        spread(queries, True).unionByName(spread(vectors, False)), ["a", "b"], compare,
-        "query_id string, id string, similarity double", q_blocks * v_blocks,
-    )
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, known = None, [], [], None
+        for batch in batches:
+            keys = list(zip(batch.column("cell").to_pylist(), batch.column("block").to_pylist(), batch.column("is_query").to_pylist()))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                part, (cell, block, is_query) = batch.slice(begin, end - begin), keys[begin]
+                if (cell, block) != now:
+                    now, ids, held, known = (cell, block), [], [], None
+                if not is_query:
+                    ids += part.column("id").to_pylist()
+                    held.append(unit_rows(as_matrix(part.column("vector"))))
+                    continue
+                if not ids:
+                    continue
+                if known is None:
+                    order = np.argsort(np.asarray(ids, dtype=object), kind="stable")
+                    known = np.asarray(ids, dtype=object)[order], np.concatenate(held)[order]
+                scores = np.round(unit_rows(as_matrix(part.column("vector"))) @ known[1].T, 12)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), best.shape[1]))),
+                     pa.array(known[0][best.ravel()], pa.string()), pa.array(np.take_along_axis(scores, best, axis=1).ravel())],
+                    names=["query_id", "id", "similarity"])
+
+    rows = residents.unionByName(visits).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "is_query")
+    return rows.mapInArrow(search, "query_id string, id string, similarity double")
+
+
+def top_k_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k vectors nearest to each query (query_id, id, similarity, rank).  Exact; ties: smaller id.
+
+    A query first meets the cell of its nearest pivot.  The k-th similarity
+    found there bounds what other cells have to offer, and only those that may
+    hold something nearer are visited.  Queries go to the cells: a vector is
+    sent once in either pass, whatever the number of queries.
+    """
+    spark = vectors.sparkSession
+    places = _Places(vectors, block_rows)
+    asked = written(queries.select(
+        F.col("id").cast("string").alias("id"), "vector", F.lit(-1.0).alias("bound")), "knn-queries")
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if not len(places.pivots):
+        return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
+    residents = places.residents(vectors)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(places.blocks.sum()), MAX_PARTS))
+    first = nearest(_best_in_blocks(residents, places.visits(asked, home=True), k, parts))
+    if len(places.pivots) == 1:
+        return first
+    first = written(first, "knn-home")
+    bounds = written(first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("found")), "knn-bounds")
+    bounded = asked.drop("bound").join(bounds, "id", "left").select("id", "vector", F.coalesce("found", F.lit(-1.0)).alias("bound"))
+    others = _best_in_blocks(residents, places.visits(bounded, home=False), k, parts)
+    return nearest(first.drop("rank").unionByName(others))

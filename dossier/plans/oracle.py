@@ -553,9 +553,10 @@ _oracle("first_chunk_per_file", "chunks", """
  SELECT file_id, md5(substring(clean_text, 1, 1000)) AS preview_hash FROM chunks WHERE clean_status = 'SUCCESS' AND chunk_index = 0""")
 _oracle("latest_feedback_per_file", "latest_feedback", """
  SELECT file_id, feedback_id, human_label, reviewer_confidence, created_at FROM latest_feedback""")
-_oracle("best_hit_per_file", "scored", """
- SELECT file_id, chunk_id, round(score, 3) AS relevance, 'text of ' || chunk_id AS snippet FROM scored
- QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_id) = 1""")
+_oracle("best_hit_per_file", "scored chunks", f"""
+ SELECT s.file_id, s.chunk_id, round(score, 3) AS relevance, {_snip("coalesce(k.clean_text, '')")} AS snippet
+ FROM scored s LEFT JOIN chunks k ON k.chunk_id = s.chunk_id
+ QUALIFY row_number() OVER (PARTITION BY s.file_id ORDER BY score DESC, s.chunk_id) = 1""")
 _TOPCOLS = """file_id, name, ext, importance_score, label, round(s_llm_quality, 6) AS s_llm_quality,
  round(s_cluster_density, 6) AS s_cluster_density, round(s_semantic_proximity, 6) AS s_semantic_proximity"""
 _oracle("top_bottom_files", "scores", f"""

@@ -452,8 +452,7 @@ def latest_feedback_per_file(c):
 def best_hit_per_file(c):
     """Every chunk scored against the sample vector, best chunk per file."""
     hits = c.vectors.select("chunk_id", "file_id", vx.cosine_to(F.col("vector"), c.query_vector).alias("score"))
-    hits = hits.withColumn("clean_text", F.concat(F.lit("text of "), "chunk_id"))
-    return serve.best_hit_per_file(hits)
+    return serve.best_hit_per_file(hits.join(c.chunks.select("chunk_id", "clean_text"), "chunk_id", "left"))
 
 
 @query
@@ -927,8 +926,9 @@ def retrieval_context(c):
     """Context lines for every supplied vector taken as a question."""
     asked = c.vectors.select(F.col("chunk_id").alias("query_id"), "vector")
     near = vectors.knn_batch_join(asked, c.vectors.select("chunk_id", "vector"), 5)
-    hits = near.join(c.vectors.select("chunk_id", "file_id"), "chunk_id").select(
-        "query_id", "file_id", "chunk_id", F.col("similarity").alias("score"), F.lit("").alias("clean_text"))
+    hits = near.join(c.vectors.select("chunk_id", "file_id"), "chunk_id").join(
+        c.chunks.select("chunk_id", "clean_text"), "chunk_id", "left").select(
+        "query_id", "file_id", "chunk_id", F.col("similarity").alias("score"), "clean_text")
     best = serve.best_hit_per_file(hits, ("query_id",))
     return serve.retrieval_context(best, c.files, c.scores, c.chunks, asked)
 
