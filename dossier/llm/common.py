@@ -127,7 +127,7 @@ def ranked(table: DataFrame, key: str, order: list[str], buckets: int, name: str
     counts = counts.select(key, "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy(key, "bucket").orderBy(*order)
     return (
-        table.withColumn("inside", F.row_number().over(inside) - 1).join(counts, [key, "bucket"])
+        table.withColumn("inside", F.row_number().over(inside) - 1).join(counts.hint("merge"), [key, "bucket"])
         .withColumn(name, F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
     )
 

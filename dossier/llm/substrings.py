@@ -77,7 +77,7 @@ def later_units(units: DataFrame) -> DataFrame:
         units.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")),
         "unit-firsts")
-    return units.join(firsts, "digest").filter(
+    return units.join(firsts.hint("merge"), "digest").filter(
         ~F.col("id").eqNullSafe(F.col("first_id")) | (F.col("start") != F.col("first_start"))).drop("digest")
 
 
@@ -103,7 +103,7 @@ def dedup_units(documents: DataFrame, key: str = "doc_id", text: str = "text", u
             F.collect_set("number").alias("__numbers")), "unit-removed")
     own = [c for c in documents.columns if c not in ("removed", "n_chars_before")]
     joined = documents.select(*[F.col(f"`{c}`") for c in own]).join(
-        gone, F.col(f"`{key}`").eqNullSafe(F.col("__id")), "left")
+        gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")), "left")
     body = F.col(f"`{text}`")
     parts = F.split(body, separator)
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__numbers"))
