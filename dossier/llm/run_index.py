@@ -53,8 +53,14 @@ class RunIndex:
             moved[:max(0, total - by)] = rank[by:]
             return moved
 
-        order, rank, ranks = _dense(symbol)
-        reach, half = 1, None
+        # As many symbols as fit one word begin the doubling at once.
+        bits = int(count + 256).bit_length()
+        reach, keys = 1, symbol
+        while reach * 2 <= min(self.length, 63 // bits):
+            keys = (keys << (bits * reach)) | ahead(keys, reach)
+            reach *= 2
+        order, rank, ranks = _dense(keys)
+        half = None
         while True:
             if half is None and reach * 2 >= self.length:
                 half = (rank, ahead(rank, self.length - reach))

@@ -27,7 +27,7 @@ from .common import _BASE, _BYTE_VALUE, _INVERSE, _STEP, _powers, bitmap, bytes_
 from .run_index import RunIndex
 
 #: Bytes of a repeated string, and of the short strings that choose anchors.
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 32
 
 #: Bytes of contexts in one index.
 INDEX_BYTES = 1 << 20
@@ -195,18 +195,19 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     # Anchors with several contexts: the bytes of each context's first place.
     several = written(by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "suffix-several")
-    place = F.xxhash64("anchor", "id", "start")
-    wanted = written(by_context.join(several.hint("merge"), "anchor").select("anchor", "id", "start", "contexts"), "suffix-wanted")
-    index_marks = share(wanted.filter(F.col("contexts") <= contexts).select("anchor"), "anchor", ANCHOR_BITS)
+    firsts = by_context.join(several.hint("merge"), "anchor").filter(F.col("contexts") <= contexts)
+    wanted = written(firsts.select("anchor", "context", F.col("id").alias("w_id"), "start"), "suffix-wanted")
+    place = F.col("context").bitwiseXOR(F.col("start")).alias("place")
+    chosen_marks = share(wanted.select(place), "place", PLACE_BITS)
 
     def bodies(s: Stretches, skip: int) -> tuple:
-        i = np.flatnonzero(holds(index_marks.value, s.anchor))
+        i = np.flatnonzero(holds(chosen_marks.value, s.context ^ (s.start + skip)))
         raw = s.data.tobytes()
-        return i, s.anchor[i], s.start[i] + skip, [raw[b:b + c + length - 1] for b, c in zip(s.base[i], s.count[i])]
+        return i, s.context[i], s.start[i] + skip, [raw[b:b + c + length - 1] for b, c in zip(s.base[i], s.count[i])]
 
-    bodies_ = _parts(rows, length, gram, [("anchor", long_), ("start", long_), ("bytes", pa.binary())], bodies)
-    keep = wanted.filter(F.col("contexts") <= contexts).select("anchor", F.col("id").alias("w_id"), "start")
-    chosen = bodies_.join(keep.hint("merge"), ["anchor", "start"]).filter(F.col("id").eqNullSafe(F.col("w_id"))).drop("w_id")
+    bodies_ = _parts(rows, length, gram, [("context", long_), ("start", long_), ("bytes", pa.binary())], bodies)
+    chosen = bodies_.join(wanted.hint("merge"), ["context", "start"]).filter(
+        F.col("id").eqNullSafe(F.col("w_id"))).select("anchor", "id", "start", "bytes")
     spans = whole.unionByName(_spans_by_index(chosen, length))
 
     crowded = several.filter(F.col("contexts") > contexts).select("anchor")
