@@ -35,16 +35,14 @@ def reuse_clean_by_hash(content: DataFrame) -> DataFrame:
 
     The first row of a hash is taken, KEEP files before others and then by id.
     Rows whose hash is missing or an error code are cleaned on their own.
-    Copies collapse in the partial aggregate before the shuffle.  The cleaned
-    texts are written once, so that Spark can split a hot hash in the join back.
+    The first rows are found on hashes and ids; only then texts are shuffled.
+    The cleaned texts are written once, so that Spark can split a hot hash in
+    the join back.  An id is one row's.
     """
     usable = F.col("hash").isNotNull() & ~F.coalesce(F.col("hash"), F.lit("")).startswith("error")
     order = F.struct((F.col("phase1_status") != "KEEP").alias("later"), F.col("id"))
-    once = (
-        content.filter(usable).groupBy("hash")
-        .agg(F.min_by(F.struct("extracted_text", "extraction_method"), order).alias("_first"))
-        .select("hash", "_first.*")
-    )
+    first = content.filter(usable).groupBy("hash").agg(F.min(order).alias("_first")).select(F.col("_first.id").alias("id"))
+    once = content.join(written(first, "first-of-hash"), "id", "left_semi").select("hash", "extracted_text", "extraction_method")
     cleaned = written(clean_text(once).select("hash", "clean_text"), "clean-by-hash")
     shared = content.filter(usable).join(cleaned, "hash")
     return shared.unionByName(clean_text(content.filter(~usable)))
@@ -208,13 +206,15 @@ def chunk_documents(
     """Clean and chunk stored content into narrow chunk rows.
 
     Needs id, file_id, extracted_text, extraction_method, extraction_status,
-    language_hint, phase1_status.  Skipped, blank and emptied texts keep one
+    language_hint, phase1_status; a ``clean_text`` that is there already, as from
+    ``reuse_clean_by_hash``, is taken.  Skipped, blank and emptied texts keep one
     placeholder row.  No shuffle: every step is inside the row.
     """
     skipped = F.col("extraction_status").isin("FAILED", "SKIPPED") | (
         tx.strip(F.coalesce("extracted_text", F.lit(""))) == ""
     )
-    cleaned = clean_text(content).withColumn(
+    cleaned = content if "clean_text" in content.columns else clean_text(content)
+    cleaned = cleaned.withColumn(
         "clean_status",
         F.when(skipped, "SKIPPED").when(F.col("clean_text") == "", "FAILED").otherwise("SUCCESS"),
     )
@@ -242,7 +242,7 @@ def chunk_documents(
 
 
 def clean_summary(content: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: files per outcome with percentages, reused copies, chunks, words."""
+    """One row: files per outcome with percentages, copies that reuse a cleaned text, chunks, words."""
     reused = (
         content.filter(F.col("hash").isNotNull() & ~F.col("hash").startswith("error"))
         .groupBy("hash").agg(F.count("*").alias("n"))

@@ -50,7 +50,8 @@ def prepare(
     raw = texts.join(facts, "file_id").withColumn("id", F.col("file_id"))
     classified = stages.save("content_all", extract.extract_content(raw))
     content, refused = extract.extraction_filter(classified)
-    chunks = stages.save("chunks", chunk.chunk_documents(content))
+    cleaned = stages.save("content_clean", chunk.reuse_clean_by_hash(content))
+    chunks = stages.save("chunks", chunk.chunk_documents(cleaned))
     stages.report("inventory", inventory.inventory_summary(listed))
     stages.report("extraction", extract.extraction_summary(classified))
     stages.report("cleaning", chunk.clean_summary(content, chunks))
