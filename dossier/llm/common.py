@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 #: Bytes that separate words: space and the five ASCII line and tab characters.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])

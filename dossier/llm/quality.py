@@ -208,6 +208,8 @@ def filter_quality(documents: DataFrame, text: str = "text", threshold: float =
     as it came.
     """
     own = documents.columns
-    body = documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    counted = with_counts(body, "__text")
-    return judge(counted, fit(counted), threshold).filter("kept").select("__row.*")
+    # Under names that cannot clash, and with the text once.
+    body = documents.toDF(*[f"__{i}" for i in range(len(own))])
+    counted = with_counts(body, f"__{own.index(text)}")
+    kept = judge(counted, fit(counted), threshold).filter("kept")
+    return kept.select(*[F.col(f"__{i}").alias(name) for i, name in enumerate(own)])

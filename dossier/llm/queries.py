@@ -81,8 +81,8 @@ def op4_quality_rules(spark, sf_dir):
 # --- 5 -----------------------------------------------------------------------
 @query
 def op5_substring_dedup(spark, sf_dir):
-    """Documents without lines that stand in an earlier document; places refer to the original text."""
-    done = substrings.dedup_units(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents without sentences that stand in an earlier document; places refer to the original text."""
+    done = substrings.dedup_units(_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="sentence")
     places = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["first_id"]))
     return done.select(
         "doc_id", "n_chars_before", F.size("removed").cast("long").alias("n_removed"),
@@ -91,27 +91,34 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 ORACLE_SQL["op5_substring_dedup"] = r"""
-WITH split AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS number
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number
   FROM documents WHERE text IS NOT NULL),
+units AS (
+  SELECT doc_id, number, unnest(regexp_extract_all(line, '[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+')) AS unit,
+    generate_subscripts(regexp_extract_all(line, '[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+'), 1) AS part FROM lines),
 placed AS (
-  SELECT doc_id, number, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY number
+  SELECT doc_id, number, part, unit, number - 1 + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY number, part
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    array_to_string(regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[^\x09-\x0D\x20]+'), ' ') AS body,
-    len(regexp_extract_all(unit, '[^\x09-\x0D\x20]+')) AS words
-  FROM split),
+    regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS words
+  FROM units),
 later AS (
-  SELECT doc_id, number, start, start + length(unit) AS stop, first_value(doc_id) OVER w AS first_id FROM placed WHERE words >= 10
-  WINDOW w AS (PARTITION BY body ORDER BY doc_id, start) QUALIFY row_number() OVER w > 1),
+  SELECT doc_id, number, part, start, start + length(unit) AS stop, first_value(doc_id) OVER w AS first_id FROM placed
+  WHERE len(words) >= 8
+  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) QUALIFY row_number() OVER w > 1),
 gone AS (
   SELECT doc_id, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS chars,
-    string_agg(start || ':' || stop || ':' || first_id, ',' ORDER BY start) AS removed FROM later GROUP BY doc_id),
+    string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) || ':' || first_id, ',' ORDER BY start) AS removed
+  FROM later GROUP BY doc_id),
+left_over AS (
+  SELECT doc_id, number, string_agg(unit, '' ORDER BY part) AS line FROM units
+  WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.doc_id = units.doc_id AND l.number = units.number AND l.part = units.part)
+  GROUP BY doc_id, number),
 kept AS (
-  SELECT doc_id, string_agg(unit, chr(10) ORDER BY number) AS text FROM split
-  WHERE NOT EXISTS (SELECT 1 FROM later WHERE later.doc_id = split.doc_id AND later.number = split.number) GROUP BY doc_id)
+  SELECT doc_id, string_agg(coalesce(o.line, ''), chr(10) ORDER BY number) AS text
+  FROM lines LEFT JOIN left_over o USING (doc_id, number) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars_before, coalesce(g.n, 0) AS n_removed, coalesce(g.chars, 0) AS n_removed_chars,
-  coalesce(g.removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+  coalesce(g.removed, '') AS removed, k.text
 FROM documents d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 

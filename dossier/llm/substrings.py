@@ -1,8 +1,9 @@
-"""Operator 5: substring dedup by hashing whole lines or paragraphs."""
+"""Operator 5: substring dedup by hashing lines, paragraphs or the sentences of lines."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,50 +12,52 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.storage import written
 from .common import LOWER
 
-#: A unit of fewer words is never removed: short lines repeat in clean texts by chance.
-MIN_WORDS = 10
+#: A unit of fewer words is never removed: short ones repeat in clean texts by chance.
+MIN_WORDS = 8
 
-#: What separates units.
-SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+#: What a unit is.  A sentence ends with marks before white space, or with its line, and has the white space behind it.
+UNITS = {
+    "sentence": re.compile(r"(?m)[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+"),
+    "line": re.compile(r"[^\n]+"),
+    "paragraph": re.compile(r"(?:[^\n]|\n(?!\n))+"),
+}
 
 _FOLD = bytes(LOWER)
 _BATCH = 20_000
 
 
-def units_of(text: str, separator: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, start, end, 128-bit digest) of the units with enough words; offsets count characters.
+def units_of(text: str, unit: re.Pattern, min_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, 128-bit digest) of the units with enough words; offsets count characters.
 
     A unit is compared in lower case (A to Z), with runs of white space as one
     space and none outside.
     """
-    start = 0
-    for number, unit in enumerate(text.split(separator)):
-        words = unit.encode("utf-8", "replace").translate(_FOLD).split()
+    for found in unit.finditer(text):
+        words = found[0].encode("utf-8", "replace").translate(_FOLD).split()
         if len(words) >= min_words:
-            yield number, start, start + len(unit), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-        start += len(unit) + len(separator)
+            yield found.start(), found.end(), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def text_units(documents: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line",
                min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, number, start, end, digest) of every unit with at least ``min_words`` words.  Narrow."""
-    separator = SEPARATORS[unit]
+    """(id, start, end, digest) of every unit with at least ``min_words`` words.  Narrow."""
+    pattern = UNITS[unit]
     rows = documents.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    fields = [("number", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())]
+    fields = [("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, found = [], []
 
             def made() -> pa.RecordBatch:
-                columns = list(zip(*found)) or [()] * 4
+                columns = list(zip(*found)) or [()] * 3
                 return pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields))],
                     names=["id", *(n for n, _ in fields)])
 
             for i, value in enumerate(batch.column("text")):
                 if value.is_valid:
-                    for one in units_of(value.as_py(), separator, min_words):
+                    for one in units_of(value.as_py(), pattern, min_words):
                         row.append(i)
                         found.append(one)
                 if len(found) >= _BATCH:
@@ -63,7 +66,7 @@ def text_units(documents: DataFrame, key: str = "doc_id", text: str = "text", un
             yield made()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(find, f"id {kind}, number int, start long, end long, digest binary")
+    return rows.mapInArrow(find, f"id {kind}, start long, end long, digest binary")
 
 
 def later_units(units: DataFrame) -> DataFrame:
@@ -87,29 +90,40 @@ def dedup_units(documents: DataFrame, key: str = "doc_id", text: str = "text", u
 
     Adds ``removed``, an array of (start, end, first_id) with character offsets
     in the original text, sorted; ``n_chars_before``; and replaces the text by
-    the units left, joined by the separator.  Units are judged on the input.
+    what is left; line ends stay.  Units are judged on the input.  Lines are the
+    plain choice; sentences also find a passage that is pasted into a line.
 
     A null text stays null and an empty one empty, with nothing removed; of
     equal texts the one with the smallest key stays whole.  Rows that repeat a
-    key count as one document: a unit number that goes in one goes in all.  A
-    null key sorts before all others.  Other columns stay, but for those that
-    have an added name; an empty table stays empty.
+    key count as one document: a range that goes in one goes in all.  A null key
+    sorts before all others.  Other columns stay, but for those that have an
+    added name; an empty table stays empty.  Texts are shuffled once, to their
+    ranges, and the joins are sort-merge joins at every size.
     """
-    separator = SEPARATORS[unit]
     later = later_units(text_units(documents, key, text, unit, min_words))
     gone = written(
         later.groupBy(F.col("id").alias("__id")).agg(
-            F.array_sort(F.collect_set(F.struct("start", "end", "first_id"))).alias("removed"),
-            F.collect_set("number").alias("__numbers")), "unit-removed")
-    own = [c for c in documents.columns if c not in ("removed", "n_chars_before")]
-    joined = documents.select(*[F.col(f"`{c}`") for c in own]).join(
+            F.array_sort(F.collect_set(F.struct("start", "end", "first_id"))).alias("removed")), "unit-removed")
+    own = [f for f in documents.schema.fields if f.name not in ("removed", "n_chars_before")]
+    joined = documents.select(*[F.col(f"`{f.name}`") for f in own]).join(
         gone.hint("merge"), F.col(f"`{key}`").eqNullSafe(F.col("__id")), "left")
-    body = F.col(f"`{text}`")
-    parts = F.split(body, separator)
-    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__numbers"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__parts"), i)), separator)
-    return joined.withColumn("__parts", F.when(F.col("__id").isNotNull() | F.col("__numbers").isNotNull(), parts)).select(
-        *[F.col(f"`{c}`") for c in own if c != text],
-        F.when(F.col("__numbers").isNull(), body).otherwise(kept).alias(text),
-        F.coalesce(F.length(body), F.lit(0)).cast("long").alias("n_chars_before"),
-        F.coalesce("removed", F.array().cast(gone.schema["removed"].dataType)).alias("removed"))
+    joined = joined.withColumn("n_chars_before", F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long")).withColumn(
+        "removed", F.coalesce("removed", F.array().cast(gone.schema["removed"].dataType))).drop("__id")
+    names = joined.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            left = []
+            for value, removed in zip(batch.column(place), batch.column("removed")):
+                body, kept, at = value.as_py(), [], 0
+                for one in removed.as_py() if body is not None else ():
+                    kept.append(body[at:max(at, one["start"])])
+                    at = max(at, one["end"])
+                left.append(body if body is None else "".join(kept) + body[at:])
+            columns = list(batch.columns)
+            columns[place] = pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in joined.schema.fields)
+    return joined.mapInArrow(cut, ddl)

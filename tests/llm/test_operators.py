@@ -259,30 +259,41 @@ def unit_key(unit):
     return b" ".join(unit.encode().translate(FOLD).split())
 
 
-def test_unit_dedup_equals_brute_force(keyed):
+@pytest.mark.parametrize("unit", ["line", "sentence"])
+def test_unit_dedup_equals_brute_force(keyed, unit):
     seen, want = {}, {}
     for i, text in sorted(corpus.texts_by_id(keyed), key=lambda x: x[0]):
-        left, removed, at = [], [], 0
-        for unit in (text or "").split("\n"):
-            if len(unit_key(unit).split()) >= 10 and unit_key(unit) in seen:
-                removed.append((at, at + len(unit), seen[unit_key(unit)]))
-            else:
-                seen.setdefault(unit_key(unit), i)
-                left.append(unit)
-            at += len(unit) + 1
-        want[i] = (None if text is None else "\n".join(left), removed)
-    got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in substrings.dedup_units(keyed).collect()}
+        left, removed, at = "", [], 0
+        for line in (text or "").split("\n"):
+            pieces = [line] if unit == "line" else re.findall(r"[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+", line)
+            for piece in pieces:
+                if len(unit_key(piece).split()) >= substrings.MIN_WORDS and unit_key(piece) in seen:
+                    removed.append((at, at + len(piece), seen[unit_key(piece)]))
+                else:
+                    seen.setdefault(unit_key(piece), i)
+                    left += piece
+                at += len(piece)
+            left, at = left + "\n", at + 1
+        want[i] = (None if text is None else left[:-1], removed)
+    got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in substrings.dedup_units(keyed, unit=unit).collect()}
     assert got == want
-    for i, text in corpus.texts_by_id(keyed):
-        for start, end, _ in got[i][1]:
-            assert len(unit_key(text[start:end]).split()) >= 10
+
+
+def test_unit_dedup_finds_a_passage_inside_a_line(spark):
+    passage = " ".join(f"{' '.join(corpus.words(30 + i, 11))}. " for i in range(6))
+    rows = [(i, f"{' '.join(corpus.words(500 + i, 40))} {passage} {' '.join(corpus.words(900 + i, 40))}") for i in range(4)]
+    got = {r["doc_id"]: r for r in substrings.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), unit="sentence").collect()}
+    assert not got[0]["removed"]
+    for i in range(1, 4):
+        gone = sum(x["end"] - x["start"] for x in got[i]["removed"])
+        assert 0.7 * len(passage) < gone <= len(passage) + 6 and {x["first_id"] for x in got[i]["removed"]} == {0}
 
 
 def test_unit_dedup_of_paragraphs_and_empty_tables(spark, docs, empty):
     one, two = corpus.prose(11, 20).replace("\n", " "), corpus.prose(12, 20)
-    frame = spark.createDataFrame([(1, f"{one}\n\n{two}"), (2, f"{two}\n\nnew {one}\n\n{one.upper().replace('É', 'é')}")], "doc_id long, text string")
+    frame = spark.createDataFrame([(1, f"{one}\n\n{two}"), (2, f"{two}\n\nnew {one}\n\n{one}")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in substrings.dedup_units(frame, unit="paragraph").collect()}
-    assert got[1] == f"{one}\n\n{two}" and got[2].startswith(f"new {one}")
+    assert got[1] == f"{one}\n\n{two}" and got[2].strip() == f"new {one}"
     assert substrings.dedup_units(docs).count() == docs.count()
     assert substrings.dedup_units(empty).count() == 0
 
