@@ -54,6 +54,7 @@ def _lines(entries: Column, word: str) -> Column:
     )), "\n")
 
 
+# --- fixed values: the wording of the prompt and of the fallback texts ---------
 def explanation_prompt(rows: DataFrame) -> DataFrame:
     """Add ``prompt`` from top_signals and weak_signals."""
     return rows.withColumn("prompt", F.concat(

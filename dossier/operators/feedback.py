@@ -138,7 +138,7 @@ def gate_score(pred: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
     """One row: F1 per class weighted by the class's mean misclassification cost."""
     cost = F.lit(None).cast("double")
     for label, costs in fixed.CLASS_COSTS.items():
-        cost = F.when(F.col("label") == label, F.lit(sum(costs) / len(costs))).otherwise(cost)
+        cost = F.when(F.col("label") == label, F.lit(sum(costs.values()) / len(costs))).otherwise(cost)
     stats = _class_stats(pred, truth_col, pred_col).withColumn("cost", cost)
     return stats.agg((F.sum(F.col("f1") * F.col("cost")) / F.sum("cost")).alias("gate_score"))
 

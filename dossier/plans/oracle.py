@@ -322,7 +322,7 @@ _stage("class_stats", "usable", """
   (SELECT human_label AS label FROM usable UNION SELECT predicted_label FROM usable WHERE predicted_label IS NOT NULL)
  GROUP BY label""")
 _COST = "CASE label " + " ".join(
-    f"WHEN '{k}' THEN {sum(v)}::DOUBLE / {len(v)}" for k, v in fixed.CLASS_COSTS.items()) + " END"
+    f"WHEN '{k}' THEN {sum(v.values())}::DOUBLE / {len(v)}" for k, v in fixed.CLASS_COSTS.items()) + " END"
 _stage("gate", "class_stats", f"""
  SELECT sum(f1 * cost) / sum(cost) AS gate_score FROM (
   SELECT CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f1, {_COST} AS cost FROM class_stats)""")

@@ -19,10 +19,16 @@ from ..functions.storage import written
 from ..operators import inventory
 
 ENTRY = ("path string, is_folder boolean, size_bytes long, created_time timestamp_ntz, "
-         "modified_time timestamp_ntz, access_time timestamp_ntz")
+         "modified_time timestamp_ntz, access_time timestamp_ntz, error string")
 COLUMNS = [part.split()[0] for part in ENTRY.split(", ")]
 
 
+def _code(error: OSError) -> str:
+    """Error codes stand in for the hash."""
+    known = {PermissionError: "error_permission", FileNotFoundError: "error_not_found"}
+    return known.get(type(error), "error_locked")
+
+
 def _utc(seconds: float) -> datetime:
     return datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
 
@@ -30,19 +36,20 @@ def _utc(seconds: float) -> datetime:
 def _entries(folder: str) -> Iterator[tuple]:
     try:
         listing = os.scandir(folder)
-    except OSError:
+    except OSError as error:  # the folder itself, without size
+        yield folder, False, None, None, None, None, _code(error)
         return
     with listing:
         for entry in listing:
             try:
                 if entry.is_dir(follow_symlinks=False):
-                    yield entry.path, True, 0, None, None, None
+                    yield entry.path, True, 0, None, None, None, None
                 elif entry.is_file():
                     info = entry.stat()
                     created = getattr(info, "st_birthtime", info.st_ctime)
-                    yield (entry.path, False, info.st_size, _utc(created), _utc(info.st_mtime), _utc(info.st_atime))
-            except OSError:
-                continue
+                    yield (entry.path, False, info.st_size, _utc(created), _utc(info.st_mtime), _utc(info.st_atime), None)
+            except OSError as error:
+                yield entry.path, False, None, None, None, None, _code(error)
 
 
 def _list(batches: Iterator[pd.DataFrame], rows_per_batch: int = 10_000) -> Iterator[pd.DataFrame]:
@@ -52,14 +59,22 @@ def _list(batches: Iterator[pd.DataFrame], rows_per_batch: int = 10_000) -> Iter
             for entry in _entries(folder):
                 rows.append(entry)
                 if len(rows) >= rows_per_batch:
-                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    yield _frame(rows)
                     rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=COLUMNS)
+        yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).astype({"size_bytes": "Int64"})
 
 
 def walk_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` with size and its three times."""
+    """Every file below ``root`` with size and its three times.
+
+    A folder or entry that cannot be read is a row without size and times and
+    with an ``error`` code.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier = spark.createDataFrame([(os.path.abspath(root),)], "path string")
     levels = []
@@ -75,26 +90,24 @@ def walk_files(spark: SparkSession, root: str) -> DataFrame:
     return files
 
 
-def _digest(path: str) -> str:
-    # --- fixed values: error codes stand in for the hash ---------------------
+def _digest(path: str, error: str | None) -> str:
+    if error:
+        return error
     try:
         with open(path, "rb") as stream:
             return hashlib.file_digest(stream, "sha256").hexdigest()
-    except PermissionError:
-        return "error_permission"
-    except FileNotFoundError:
-        return "error_not_found"
-    except OSError:
-        return "error_locked"
+    except OSError as failed:
+        return _code(failed)
 
 
 def hash_files(files: DataFrame) -> DataFrame:
-    """Add ``hash``: SHA-256 of each file, read in pieces, of any length."""
+    """Add ``hash``: SHA-256 of each file, read in pieces, of any length, or the error code."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(hash=batch["path"].map(_digest))
+            yield batch.assign(hash=[_digest(p, e) for p, e in zip(batch["path"], batch["error"])])
 
+    files = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
     schema = files.schema.add("hash", "string")
     # spread by path, so one full folder does not become one task
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -104,5 +117,6 @@ def hash_files(files: DataFrame) -> DataFrame:
 def walk_inventory(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
     """Inventory of a folder tree, empty files included."""
     files = walk_files(spark, root)
-    files = hash_files(files) if with_hash else files.withColumn("hash", F.lit(None).cast("string"))
+    files = hash_files(files) if with_hash else files.withColumn("hash", F.col("error"))
+    files = files.drop("error")
     return inventory.inventory_row(files.withColumn("source_archive", F.lit("")), root=os.path.abspath(root))

@@ -37,6 +37,15 @@ def current_state(spark: SparkSession, target: str, key: str) -> DataFrame:
     return latest_per_key(spark.read.parquet(target), key, "batch").drop("batch")
 
 
+def compact(spark: SparkSession, target: str, key: str, compacted: str) -> None:
+    """Write the current state as the first batch of a new log, for a reader that need not see all batches.
+
+    Run it between streams; the next stream's batches go to the new folder, the
+    old one can be dropped.
+    """
+    current_state(spark, target, key).write.mode("errorifexists").parquet(f"{compacted}/batch=-1")
+
+
 def stream_feedback_latest(
     spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str,
     files_per_batch: int | None = None,

@@ -265,6 +265,12 @@ def test_archive_members(spark):
                    "/r/z.zip::top.json": ("top.json", ".json", 2, "/r/z.zip::.", 2)}
 
 
+def test_walk_tells_what_it_cannot_read(spark, tmp_path, monkeypatch):
+    assert list(walk._entries(str(tmp_path / "gone"))) == [(str(tmp_path / "gone"), False, None, None, None, None, "error_not_found")]
+    row = walk.walk_inventory(spark, str(tmp_path / "gone")).first()
+    assert row["hash"] == "error_not_found" and row["size_bytes"] is None and row["status"] == "REVIEW"
+
+
 def test_scan_and_walk_read_nested_files(spark, tmp_path):
     (tmp_path / "sub" / "deep").mkdir(parents=True)
     (tmp_path / "a.pdf").write_bytes(b"x")
