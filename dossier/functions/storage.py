@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,5 +35,25 @@ def written(frame: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``written`` has written inside.
+
+    For a run whose results are saved elsewhere by then.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            place = hadoop(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
