@@ -20,14 +20,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 _RNG = np.random.default_rng(20240229)
-_BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+ODD = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(kind: str, base: np.uint64, size: int) -> np.ndarray:
+def powers(kind: str, base: np.uint64, size: int) -> np.ndarray:
     """base ** 0, 1, 2 … modulo 2 ** 64, kept and grown as needed."""
     known = _POWERS.get(kind)
     if known is None or len(known) < size:
@@ -90,11 +90,11 @@ def spans_of(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each span of bytes; ``fold`` maps bytes to bytes first."""
-    value = _BYTE_VALUE if fold is None else _BYTE_VALUE[fold]
+    value = BYTE_VALUE if fold is None else BYTE_VALUE[fold]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * _powers("up", _BASE, len(data)), out=sums[1:])
+    np.cumsum(value[data] * powers("up", BASE, len(data)), out=sums[1:])
     size = (ends - starts).astype(np.uint64)
-    return mixed((sums[ends] - sums[starts]) * _powers("down", _INVERSE, len(data) + 1)[starts] + size * _STEP)
+    return mixed((sums[ends] - sums[starts]) * powers("down", INVERSE, len(data) + 1)[starts] + size * ODD)
 
 
 def window_hashes(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def window_hashes(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.n
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for k in range(size):
-        total = total * _STEP + hashes[k:k + n]
+        total = total * ODD + hashes[k:k + n]
     at = np.flatnonzero(rows[:n] == rows[size - 1:])
     return at, mixed(total[at])
 

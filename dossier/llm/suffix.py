@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.storage import written
-from .common import _BASE, _BYTE_VALUE, _INVERSE, _STEP, _powers, bitmap, bytes_of, holds, mixed, steps
+from .common import BASE, BYTE_VALUE, INVERSE, ODD, bitmap, bytes_of, holds, mixed, powers, steps
 from .run_index import RunIndex
 
 #: Bytes of a repeated string, and of the short strings that choose anchors.
@@ -49,8 +49,8 @@ class Stretches:
         self.data = data
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[data] * _powers("up", _BASE, n), out=self.sums[1:])
-        self.down = _powers("down", _INVERSE, n + 1)
+        np.cumsum(BYTE_VALUE[data] * powers("up", BASE, n), out=self.sums[1:])
+        self.down = powers("down", INVERSE, n + 1)
         windows = max(0, n - length + 1)
         if not windows:
             self.row = self.start = self.count = self.base = np.zeros(0, np.int64)
@@ -89,7 +89,7 @@ class Stretches:
     def hash(self, starts: np.ndarray, ends: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
         """64-bit hash of the bytes of each range."""
         size = (ends - starts + np.asarray(more) * 65536).astype(np.uint64)
-        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + size * _STEP).view(np.int64)
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + size * ODD).view(np.int64)
 
 
 def _parts(rows: DataFrame, length: int, gram: int, columns: list[tuple[str, pa.DataType]], choose) -> DataFrame:
