@@ -20,7 +20,7 @@ def test_extension(spark, name, ext):
 @pytest.mark.parametrize("ext,size,category,status", [
     (".key", 5, "Security", "KEEP"), (".KEY", 5, "Security", "REVIEW"), ("", 5, "Uncategorized", "REVIEW"),
     (".md5", 5, "Data", "DELETE_CANDIDATE"), (".pdf", 0, "Document", "DELETE_CANDIDATE"), (".pdf", 9, "Document", "KEEP"),
-    (".zip", 9, "Archive", "ARCHIVE"), (".8bf", 9, "Image", "REVIEW"), (".24022014", 9, "Backup", "REVIEW"),
+    (".zip", 9, "Archive", "ARCHIVE"), (".8bf", 9, "Uncategorized", "REVIEW"), (".20240131", 9, "Uncategorized", "REVIEW"),
     (".jspx", 9, "Code", "REVIEW"), (".unknown", 9, "Uncategorized", "REVIEW"),
 ])
 def test_category_and_status(spark, ext, size, category, status):
@@ -36,9 +36,12 @@ def test_own_mapping_overrides_and_extends(spark):
     assert got == {".pdf": "Image", ".abc": "Data", ".txt": "Document"}
 
 
-def test_no_extension_is_listed_twice():
-    listed = [e for group in fixed.CATEGORY_EXTENSIONS.values() for e in group.split()]
-    assert len(listed) == len(set(listed)) < 200
+def test_a_mapping_adds_to_the_built_in_list(spark):
+    assert len(fixed.CATEGORY_OF_EXTENSION) < 220 and all(e == e.lower() and e[0] == "." for e in fixed.CATEGORY_OF_EXTENSION)
+    more = spark.createDataFrame([(".8BF", "Image"), (".20240131", "Backup")], "extension string, category string")
+    rows = spark.createDataFrame([(".8bf",), (".20240131",), (".pdf",)], "extension string")
+    got = {r["extension"]: r["category"] for r in inventory.categorize_extension(rows, more).collect()}
+    assert got == {".8bf": "Image", ".20240131": "Backup", ".pdf": "Document"}
 
 
 @pytest.mark.parametrize("ext,category,route", [
@@ -310,10 +313,11 @@ def test_unreadable_files_get_an_error_code(spark):
 
 @pytest.mark.parametrize("content,ext,binary", [
     (b"\x00\x01\x02abc", ".bin", True), (b"\x00\x01\x02abc", ".txt", False), (b"plain text", ".bin", False), (b"", ".bin", False),
-    (b"a" * 8192 + b"\x00" * 99999, ".bin", False)])
+    (b"a" * 8192 + b"\x00" * 99999, ".bin", True)])
 def test_binary_guard(spark, content, ext, binary):
     rows = spark.createDataFrame([(content, ext)], "content binary, extension string")
     assert raw.binary_guard(rows).first()["is_binary"] is binary
+    assert raw.binary_guard(rows, first_bytes=8192).first()["is_binary"] is (binary and len(content) < 8192)
 
 
 def test_text_source_replaces_bad_bytes(spark):
