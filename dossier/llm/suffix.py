@@ -138,19 +138,53 @@ def _spans_by_index(rows: DataFrame, length: int) -> DataFrame:
             [pa.array([ids[i] for i in of], id_type), pa.array(begin + first), pa.array(begin + last + length - 1)],
             names=["id", "start", "end"])
 
+    def overlaid(ids: list, starts: list, texts: list, id_type: pa.DataType) -> pa.RecordBatch:
+        """Contexts of rows that repeat an id and lie over each other: each window by its first place."""
+        windows, first, rank = [], {}, 0
+        for i, (begin, text) in enumerate(zip(starts, texts)):
+            rank += i > 0 and ids[i] != ids[i - 1]
+            for at in range(len(text) - length + 1):
+                window, place = hash(text[at:at + length]), (rank, begin + at)
+                windows.append((window, place, i))
+                first[window] = min(first.get(window, place), place)
+        later = [(ids[i], place[1]) for window, place, i in windows if first[window] < place]
+        begin = np.array([b for _, b in later], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in later], id_type), pa.array(begin), pa.array(begin + length)], names=["id", "start", "end"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, texts, held, now, id_type = [], [], [], 0, None, pa.int64()
+        since, reach, over, seen = 0, 0, False, set()  # of this anchor: first entry, end of the id's windows, whether they meet, texts at this place
         for batch in batches:
             id_type = batch.column("id").type
             for anchor, id_, start, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "start", "bytes"))):
-                if anchor != now and held >= INDEX_BYTES:
-                    yield indexed(ids, starts, texts, id_type)
-                    ids, starts, texts, held = [], [], [], 0
+                if anchor != now:
+                    if over:
+                        yield overlaid(ids[since:], starts[since:], texts[since:], id_type)
+                        del ids[since:], starts[since:], texts[since:]
+                        held = sum(map(len, texts))
+                    if held >= INDEX_BYTES:
+                        yield indexed(ids, starts, texts, id_type)
+                        ids, starts, texts, held = [], [], [], 0
+                    since, over = len(ids), False
+                again = anchor == now and id_ == ids[-1]
+                if again and start == starts[-1]:
+                    if text in seen:  # rows that repeat an id: one place enters once
+                        continue
+                else:
+                    seen = set()
+                seen.add(text)
+                over = over or again and start < reach
+                end = start + len(text) - length + 1
+                reach = max(reach, end) if again else end
                 now = anchor
                 ids.append(id_)
                 starts.append(start)
                 texts.append(text)
                 held += len(text)
+        if over:
+            yield overlaid(ids[since:], starts[since:], texts[since:], id_type)
+            del ids[since:], starts[since:], texts[since:]
         if texts:
             yield indexed(ids, starts, texts, id_type)
 

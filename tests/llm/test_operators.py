@@ -96,6 +96,26 @@ def test_remove_repeats_of_one_letter_and_cut_texts(spark, monkeypatch):
     assert got == repeats(rows, 100)
 
 
+@pytest.mark.parametrize("contexts", [suffix.CONTEXTS, 1])
+def test_remove_repeats_of_rows_that_repeat_an_id(spark, contexts):
+    phrase, one, same = corpus.prose(70, 20)[:140], corpus.prose(71, 90), corpus.prose(72, 60)
+    rows = [(1, one[:200] + phrase[:40] + one[200:]), (2, corpus.prose(73, 50) + phrase + corpus.prose(74, 50))]
+    rows += [(3, corpus.prose(75, 50) + phrase[:40] + corpus.prose(76, 50))] * 2  # equal rows
+    rows += [(4, same + corpus.prose(77, 30)), (4, same + corpus.prose(78, 30)), (4, "x" * 30 + same), (5, phrase + same[50:])]
+    rows += [(None, corpus.prose(79, 40) + phrase[:40] + corpus.prose(80, 40))] * 2
+    order = [(-1 if i is None else i, (text or "").encode()) for i, text in rows]
+    first, gone = {}, {}
+    for i, body in order:
+        for s in range(len(body) - 99):
+            first[body[s:s + 100]] = min(first.get(body[s:s + 100], (i, s)), (i, s))
+    for i, body in order:
+        gone.setdefault(i, set()).update(
+            p for s in range(len(body) - 99) if first[body[s:s + 100]] < (i, s) for p in range(s, s + 100))
+    want = sorted((i, bytes(b for p, b in enumerate(body) if p not in gone[i])) for i, body in order)
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), contexts=contexts).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], bytes(r["kept"])) for r in got) == want
+
+
 def test_remove_repeats_keeps_rows_without_key_and_repeated_rows(docs, empty):
     got = suffix.remove_repeats(docs).collect()
     assert len(got) == docs.count()
