@@ -8,6 +8,7 @@ from ..functions.storage import written
 
 FILE_DUP_THRESHOLD = 0.85  # fixed value
 PAIR_THRESHOLD = 0.90  # fixed value
+BLOCK_FILES = 1000  # files of a class in one tile
 
 
 def _hashed_paths(files: DataFrame) -> DataFrame:
@@ -71,6 +72,58 @@ def file_redundancy(
         .filter("path_1 <> path_2").groupBy("path_1", "path_2")
         .agg(F.count("similarity").alias("shared_chunks"), F.avg("similarity").alias("avg_similarity"))
     )
+    return _rated(pairs, chunk_paths, file_threshold)
+
+
+def class_redundancy(
+    pairs: DataFrame, members: DataFrame, chunk_paths: DataFrame, file_threshold: float = FILE_DUP_THRESHOLD
+) -> DataFrame:
+    """``file_redundancy`` over all chunk pairs that ``pairs`` and the copies in ``members`` stand for.
+
+    ``pairs`` links the smallest ids of classes of equal vectors, ``members`` has
+    (chunk_id, class_id).  Two files share the product of their chunks in both
+    classes of a link, so what is joined are rows per file and class, never
+    pairs of copies.  A class of many files falls into blocks, and a task joins
+    tiles of two blocks.
+    """
+    paths = chunk_paths.select("chunk_id", "path")
+    held = written(
+        members.join(paths, "chunk_id", "left").groupBy("class_id", F.coalesce("path", F.lit("")).alias("path"))
+        .agg(F.count("*").alias("n")), "class-files")
+    classes = written(
+        held.groupBy("class_id").agg(F.count("*").alias("files"))
+        .withColumn("blocks", F.ceil(F.col("files") / BLOCK_FILES).cast("long")), "class-blocks")
+    blocked = written(
+        held.join(classes.hint("merge"), "class_id")
+        .select("class_id", F.pmod(F.xxhash64("path"), F.col("blocks")).alias("block"), "path", "n"), "class-file-blocks")
+    first, second = (classes.select(F.col("class_id").alias(f"class_{i}"), F.col("blocks").alias(f"_b{i}")) for i in (1, 2))
+    near = (  # a link of a copy to its class has no class as its second end
+        pairs.select(F.col("chunk_id_1").alias("class_1"), F.col("chunk_id_2").alias("class_2"),
+                     F.col("similarity_score").alias("similarity"))
+        .join(first, "class_1").join(second, "class_2")
+    )
+    copies = classes.filter("files > 1").select(
+        F.col("class_id").alias("class_1"), F.col("class_id").alias("class_2"), F.lit(1.0).alias("similarity"),
+        F.col("blocks").alias("_b1"), F.col("blocks").alias("_b2"))
+
+    def tiled(links: DataFrame) -> DataFrame:
+        return links.withColumn("block_1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b1") - 1))).withColumn(
+            "block_2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b2") - 1))).drop("_b1", "_b2")
+
+    tiles = written(tiled(near.select(*copies.columns)).unionByName(tiled(copies)), "class-tiles")
+    left = tiles.join(blocked.toDF("class_1", "block_1", "_p1", "_n1").hint("merge"), ["class_1", "block_1"])
+    both = left.join(blocked.toDF("class_2", "block_2", "_p2", "_n2").hint("merge"), ["class_2", "block_2"]).filter(
+        "CASE WHEN class_1 = class_2 THEN _p1 < _p2 ELSE _p1 <> _p2 END")
+    chunks = F.col("_n1") * F.col("_n2")
+    shared = (
+        both.groupBy(F.least("_p1", "_p2").alias("path_1"), F.greatest("_p1", "_p2").alias("path_2"))
+        .agg(F.sum(chunks).alias("shared_chunks"), F.sum(chunks * F.col("similarity")).alias("_similarity"))
+        .select("path_1", "path_2", "shared_chunks", (F.col("_similarity") / F.col("shared_chunks")).alias("avg_similarity"))
+    )
+    return _rated(shared, chunk_paths, file_threshold)
+
+
+def _rated(pairs: DataFrame, chunk_paths: DataFrame, file_threshold: float) -> DataFrame:
     counts = written(chunk_counts_per_path(chunk_paths), "path-counts")  # see exact_duplicate_groups
     size = F.greatest(F.coalesce("_n1", F.lit(1)), F.coalesce("_n2", F.lit(1)))
     return (

@@ -141,6 +141,18 @@ def _copy_links(vectors: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
+def class_members(vectors: DataFrame) -> DataFrame:
+    """(chunk_id, class_id): the smallest id with an equal vector, for every non-zero vector.
+
+    That id stands for its copies in ``near_duplicate_pairs``.  Ids and digests
+    are written, so both sides of the join are plain shuffles.
+    """
+    usable = vectors.filter(F.exists("vector", lambda x: x != 0))
+    ids = written(vx.with_digest(usable).select("chunk_id", *vx.DIGEST), "vector-digests")
+    first = written(ids.groupBy(*vx.DIGEST).agg(F.min("chunk_id").alias("class_id")), "vector-classes")
+    return ids.join(first.hint("merge"), vx.DIGEST).select("chunk_id", "class_id")
+
+
 def near_duplicate_pairs(
     vectors: DataFrame, threshold: float = 0.95, method: str = "exact",
     block_rows: int = neighbours.BLOCK_ROWS, **lsh,

@@ -166,7 +166,8 @@ class Corpus:
 
     @cached_property
     def redundancy(self) -> DataFrame:
-        return written(dedup.file_redundancy(self.sections, self.vector_paths, 0.40), "file-redundancy")
+        members = vectors.class_members(self.vectors)
+        return written(dedup.class_redundancy(self.pairs, members, self.vector_paths, 0.40), "file-redundancy")
 
     @property
     def chunked_files(self) -> DataFrame:

@@ -70,7 +70,8 @@ def find_duplicates(
     exact = stages.save("duplicate_files", dedup.exact_duplicate_pairs(paths))
     pairs = stages.save("duplicate_chunks", vectors.near_duplicate_pairs(chunk_vectors, pair_threshold, method))
     sections = stages.save("redundant_sections", dedup.chunk_to_path_map(pairs, paths))
-    redundancy = stages.save("file_redundancy", dedup.file_redundancy(sections, paths, file_threshold))
+    members = stages.save("duplicate_classes", vectors.class_members(chunk_vectors))
+    redundancy = stages.save("file_redundancy", dedup.class_redundancy(pairs, members, paths, file_threshold))
     advice = stages.save("merge_recommendations", dedup.recommendations(exact, redundancy, file_threshold))
     stages.report("duplicates", dedup.duplicates_summary(exact, sections, redundancy))
     return {"duplicate_files": exact, "duplicate_chunks": pairs, "redundant_sections": sections,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed, rules
-from dossier.operators import dedup, explain, extract, feedback, inventory, model, report, score, serve
+from dossier.operators import dedup, explain, extract, feedback, inventory, model, report, score, serve, vectors
 from dossier.sources import files as raw, tables, walk
 
 
@@ -98,6 +98,27 @@ def test_redundancy(spark):
     assert got["", "a"]["action"] == "DELETE duplicate"
 
 
+def test_redundancy_counts_every_pair_of_copies(spark, monkeypatch):
+    """Files share chunks first held by others; a near link holds for every copy; against all chunk pairs."""
+    monkeypatch.setattr(dedup, "BLOCK_FILES", 2)
+    e = [[1.0, 0.0, 0.0], [0.96, 0.28, 0.0], [0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [0.0, 0.0, 0.0]]
+    files = {"a": [0, 1, 2], "b": [0, 2, 4], "c": [0, 0, 3, 4], "d": [1, 3], "e": [0, 1], "f": [2], "g": [2, 3, 3]}
+    rows = [(f"{path}_{i}", path, e[v]) for path, held in files.items() for i, v in enumerate(held)]
+    table = spark.createDataFrame(rows, "chunk_id string, path string, vector array<double>")
+    want = {}
+    for i, (_, p, v) in enumerate(rows):
+        for _, q, w in rows[i + 1:]:
+            if p != q and (score := sum(x * y for x, y in zip(v, w))) >= 0.9:
+                want.setdefault((p, q), []).append(score)
+    got = {(r["path_1"], r["path_2"]): r for r in dedup.class_redundancy(
+        vectors.near_duplicate_pairs(table, 0.9), vectors.class_members(table), table.select("chunk_id", "path")).collect()}
+    assert set(got) == set(want) and ("f", "g") in got
+    for pair, scores in want.items():
+        assert got[pair]["shared_chunks"] == len(scores)
+        assert got[pair]["avg_similarity"] == pytest.approx(sum(scores) / len(scores))
+        assert got[pair]["redundancy_ratio"] == pytest.approx(len(scores) / max(len(files[p]) for p in pair))
+
+
 def test_ratio_may_exceed_one_and_average_on_the_edge_deletes(spark):
     sections = spark.createDataFrame([("a", "b", 0.85)] * 3, "path_1 string, path_2 string, similarity double")
     paths = spark.createDataFrame([("1_0", "a"), ("2_0", "b")], "chunk_id string, path string")
