@@ -864,7 +864,7 @@ def _training_rows(c: Corpus) -> DataFrame:
 def train_candidate(c):
     """Candidate trained on the training part, applied to the holdout."""
     rows = _training_rows(c)
-    forest = model.train_candidate(rows.filter("NOT is_holdout"), "human_label", trees=20, depth=8)
+    forest = model.train_candidate(rows.filter("NOT is_holdout"), "human_label")
     held = model.score_with_model(rows.filter("is_holdout"), forest)
     return held.select("file_id", "human_label", F.col("label").alias("predicted"), "confidence")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed, rules
 from dossier.operators import dedup, explain, extract, feedback, inventory, model, report, score, serve, vectors
+from dossier.plans import registry
 from dossier.sources import files as raw, tables, walk
 
 
@@ -415,3 +416,15 @@ def test_stream_ingest_resumes(spark, tmp_path):
     from dossier.operators import chunk
     want = {tuple(r) for r in chunk.chunk_documents(batch((1, 2, 3))).collect()}
     assert {tuple(r) for r in ingest.ingested(spark, target).select(*chunk.CHUNK_COLUMNS).collect()} == want
+
+
+def test_candidate_query_trains_the_forest_of_a_retraining_round(spark, monkeypatch):
+    asked, train = [], model.train_importance_model
+
+    def small(rows, label_col, trees, depth):
+        asked.append((trees, depth))
+        return train(rows, label_col, 2, 2)
+
+    monkeypatch.setattr(model, "train_importance_model", small)
+    registry.QUERIES["train_candidate"](spark, "/root/testdata/sf0.001")
+    assert asked == [(model.TREES, model.DEPTH)]
