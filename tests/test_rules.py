@@ -30,6 +30,97 @@ def test_category_and_status(spark, ext, size, category, status):
     assert (row["category"], row["status"]) == (category, status)
 
 
+KNOWN_EXTENSIONS = {
+    "Document": (
+        ".pdf .docx .doc .txt .rtf .odt .md .tex .wps .wpd .pages .epub .mobi .djvu .wri .cnt .diz .nfo .onetoc2 "
+        ".license"
+    ),
+    "Presentation": (
+        ".pptx .ppt .odp .ppsx .pps"
+    ),
+    "Security": (
+        ".key .pem .crt .cer .p12 .pfx .pub .rsa .sf .pk8 .der .keystore .password"
+    ),
+    "Spreadsheet": (
+        ".xlsx .xls .csv .ods .tsv .numbers .xlsm"
+    ),
+    "Image": (
+        ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .svg .ico .heic .heif .raw .cr2 .nef .psd .ai .eps .xcf .cur "
+        ".ani .skin .hdr .psp .icm .icc .cel .aco .acb .acv .atn .grd .pat .abr .asl .ahu .alv .blw .pqg .csf "
+        ".dbrush .dbrsb .8bi .8bx .8ba .8be .8me .8li .exv"
+    ),
+    "Video": (
+        ".mp4 .avi .mov .mkv .wmv .flv .webm .m4v .mpeg .mpg .3gp .ts .vob .rmvb"
+    ),
+    "Audio": (
+        ".mp3 .wav .flac .aac .ogg .wma .m4a .opus .aiff .mid .midi .au"
+    ),
+    "Archive": (
+        ".zip .rar .7z .tar .gz .bz2 .xz .cab .iso .tgz .z"
+    ),
+    "Executable": (
+        ".exe .msi .apk .app .dmg .deb .rpm .run .bat .cmd .com .swf .msu .msp .pkg .comppk"
+    ),
+    "System": (
+        ".dll .sys .drv .so .bin .dat .img .rom .bios .efi .mui .vxd .ovl .hlp .chm .ntf .mnu .cpi .pif .mbr .vfd "
+        ".sdb .hiv .dos .icl .inx .frp .mdl .gll .ilk .binary .ncb .pdb .tlb .lib .exp .dl_ .ex_ .nl_ .sy_ .fo_ "
+        ".ap_ .bin_sts .irs"
+    ),
+    "Code": (
+        ".csh .html .htm .css .js .jsx .tsx .php .asp .aspx .vue .svelte .scss .less .xsl .xsd .tld .xhtml .shtml "
+        ".coffee .ashx .master .webinfo .csproj .resx .script .py .java .c .cpp .cc .cxx .h .hpp .cs .go .rs .rb "
+        ".swift .kt .scala .r .m .pl .lua .dart .vb .asm .f90 .pas .sh .bash .zsh .fish .ps1 .psm1 .vbs .jar "
+        ".class .dex .aidl .war .ejb .gradle .pom .mf .jsp .jspx .jspf .sln"
+    ),
+    "Data": (
+        ".json .xml .yaml .yml .toml .parquet .xyz .tab .ado .md5 .rpt .lst .ins .lid .sif .vce .dir .act .zvt "
+        ".p3r .p3l .p3m .p3e .ple .iros .slc .rtc .eap .ilm .flp .eve .cha .hdt .whs .apl .mfm .shc .kys .rw "
+        ".enumerated .sp3"
+    ),
+    "Config": (
+        ".ini .conf .cfg .env .properties .reg .plist .config .prefs .policy .manifest .inf .adm .pro .lang "
+        ".strings .store .info .sitemap .jdbc .tpl .map .tag .refresh .lookup .mappings .access .marker .component "
+        ".exsd .e4xmi .iml .suo .vsmdi .vspscc .vssscc .user .settings .ppd .slf .lock .exclude .oem .pdsync "
+        ".pdsyncu"
+    ),
+    "Database": (
+        ".sql .db .sqlite .sqlite3 .mdb .accdb .dbf .mdf .ldf .sdf .wdb .dbd"
+    ),
+    "Font": (
+        ".ttf .otf .woff .woff2 .eot .fon"
+    ),
+    "3D": (
+        ".obj .fbx .stl .blend .dae .3ds"
+    ),
+    "CAD": (
+        ".dwg .dxf .step .stp .iges .drw"
+    ),
+    "Temp": (
+        ".tmp .temp .cache"
+    ),
+    "Log": (
+        ".log"
+    ),
+    "Backup": (
+        ".bak .old .orig .v20150204-1700 .201503100339-release-e44 .24022014"
+    ),
+    "Shortcut": (
+        ".lnk .url .desktop .webloc"
+    ),
+    "VirtualMachine": (
+        ".vmdk .vhd .vhdx .ova .ovf .qcow2"
+    ),
+}
+
+
+def test_every_known_extension_has_its_category(spark):
+    """Against a literal list that is not made from ``fixed``."""
+    want = {e: c for c, listed in KNOWN_EXTENSIONS.items() for e in listed.split()}
+    rows = spark.createDataFrame([(e,) for e in want], "extension string")
+    got = {r["extension"]: r["category"] for r in inventory.categorize_extension(rows).collect()}
+    assert got == want and len(want) == 397
+
+
 def test_own_mapping_overrides_and_extends(spark):
     rows = spark.createDataFrame([(".pdf",), (".abc",), (".txt",)], "extension string")
     own = spark.createDataFrame([(".abc", "Data"), (".pdf", "Image")], "extension string, category string")
