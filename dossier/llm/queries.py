@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.storage import shared_folder, written
-from . import chat, decontaminate, lines, ngram_join, packing, quality, shards, substrings, suffix, warc
+from . import chat, decontaminate, fill_middle, lines, ngram_join, packing, quality, shards, substrings, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -280,3 +280,30 @@ SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(c.bytes, 0) AS BIGINT)
   sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
 FROM hexed d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+
+
+# --- 11 ----------------------------------------------------------------------
+@query
+def op11_fill_middle(spark, sf_dir):
+    """All documents with prefix, suffix and middle in another order, and restored from that."""
+    return fill_middle.round_trip(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_fill_middle"] = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS u, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS v FROM hashed),
+formed AS (
+  SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR u >= 90 THEN 'plain'
+      WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (
+  SELECT doc_id, text, n, a, b, form, '<P>' || substr(text, 1, a) AS p, '<S>' || substr(text, b + 1) AS s,
+    '<M>' || substr(text, a + 1, b - a) AS m FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
