@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.storage import shared_folder, written
-from . import chat, decontaminate, fill_middle, lines, ngram_join, packing, quality, shards, substrings, suffix, warc
+from . import chat, decontaminate, fill_middle, hamming_join, lines, ngram_join, packing, quality, shards, spelling, substrings, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -307,3 +307,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+# --- 12 ----------------------------------------------------------------------
+@query
+def op12_minhash_near_dedup(spark, sf_dir):
+    """Components of all documents whose sets of 4-word n-grams have similarity 0.8 or more; the smallest id is kept."""
+    found = hamming_join.near_duplicates(_table(spark, sf_dir, "documents"), words=4, over=4, under=5)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+ORACLE_SQL["op12_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+each AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM words),
+runs AS (
+  SELECT doc_id, n, pos, word || coalesce(' ' || lead(word, 1) OVER w, '') || coalesce(' ' || lead(word, 2) OVER w, '')
+    || coalesce(' ' || lead(word, 3) OVER w, '') AS gram
+  FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+grams AS (SELECT DISTINCT doc_id, hash(gram) AS gram FROM runs WHERE pos <= greatest(1, n - 3)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common FROM grams a JOIN grams b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * n_common >= 80 * (s.n + t.n - n_common)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+labels AS (
+  SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id
+  FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) r ON r.x = d.doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labels
+"""
+
+
+# --- 13 ----------------------------------------------------------------------
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """All words of five letters or more with their near words, forms and roots."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
