@@ -23,12 +23,9 @@ def stem(name: Column) -> Column:
 def category(ext: Column) -> Column:
     """Category of an extension, or the default."""
     ext = F.lower(F.coalesce(ext, F.lit("")))
-    members: dict[str, list[str]] = {}
-    for extension, name in (fixed.CATEGORY_OF_EXTENSION | fixed.CATEGORY_OF_RARER_EXTENSION).items():
-        members.setdefault(name, []).append(extension)
     result = F.lit(fixed.DEFAULT_CATEGORY)
-    for name, extensions in members.items():
-        result = F.when(ext.isin(extensions), name).otherwise(result)
+    for name, extensions in fixed.EXTENSIONS_OF_CATEGORY.items():
+        result = F.when(ext.isin(extensions.split()), name).otherwise(result)
     return result
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..functions import fixed
 from .corpus import AS_OF, CLUSTER_EPS, EXTENSIONS, PAIR_THRESHOLD
 
@@ -142,13 +144,34 @@ _stage("content", "all_content", f"""
  SELECT * FROM all_content WHERE category NOT IN ({_quoted(fixed.REVIEW_CATEGORIES)}) AND ({_REASON}) IS NULL""")
 
 
+_ATTRIBUTES = r"""(?:[^>=]|=\s*(?:"[^"]*"|''[^'']*'')?)*"""
+_RAW = rf"<(?:script|style)(?:[\s/]{_ATTRIBUTES})?>"
+_RAW_END = r"</(?:script|style)(?:[\s/][^>]*)?>"
+_TOKEN = (rf"(?is)<!--.*?--\s*>|<!\[CDATA\[.*?\]\s*\]\s*>|<!\[.*?\]\s*>|<[!?/][^>]*>|{_RAW}.*?{_RAW_END}"
+          rf"|<[a-z]{_ATTRIBUTES}>|[^<]+|<")
+_NAMED = "(SELECT MAP {%s} AS meant) AS named" % ", ".join(f"'{n}': {_literal(meant)}" for n, meant in sorted(html5.items()))
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)|[^&]+|&"
+
+
 def _html(text: str) -> str:
-    """Markup off both ends, then as one space; references decoded in order."""
-    markup = "(?:<!--.*?-->|<[a-zA-Z/!?][^>]*>)+"
-    text = f"regexp_replace(regexp_replace({text}, '(?s)^{markup}|{markup}$', '', 'g'), '(?s){markup}', ' ', 'g')"
-    for reference, meant in fixed.HTML_REFERENCES:
-        text = f"replace({text}, '{reference}', {_literal(meant)})"
-    return text
+    """Tokens of the page; markup ends a text node, raw bodies keep their ampersands; then references one by one.
+
+    References come from the standard table of names, which is the row ``named``
+    of the query around, and from their code points.
+    """
+    end, ampersand = "chr(57344)", "chr(57345)"
+    token = (f"CASE WHEN regexp_matches(t, '(?is)^{_RAW}.*{_RAW_END}$') THEN {end} || "
+             f"replace(regexp_extract(t, '(?is)^{_RAW}(.*){_RAW_END}$', 1), '&', {ampersand}) || {end} "
+             f"WHEN t <> '<' AND starts_with(t, '<') THEN {end} ELSE t END")
+    tokens = f"array_to_string(list_transform(regexp_extract_all({text}, '{_TOKEN}'), lambda t: {token}), '')"
+    nodes = f"array_to_string(list_filter(string_split({tokens}, {end}), lambda x: x <> ''), ' ')"
+    short = "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True))
+    prefix = f"regexp_extract(r, '^&({short})', 1)"
+    meant = (f"CASE WHEN starts_with(r, '&#x') OR starts_with(r, '&#X') THEN chr(CAST('0x' || rtrim(r[4:], ';') AS INT)) "
+             f"WHEN starts_with(r, '&#') THEN chr(CAST(rtrim(r[3:], ';') AS INT)) WHEN starts_with(r, '&') AND r <> '&' THEN "
+             f"coalesce(named.meant[r[2:]], named.meant[{prefix}] || r[2 + length({prefix}):], r) ELSE r END")
+    return (f"replace(array_to_string(list_transform(regexp_extract_all({nodes}, '{_REFERENCE}'), lambda r: {meant}), ''), "
+            f"{ampersand}, '&')")
 
 
 def _clean(text: str, method: str) -> str:
@@ -162,7 +185,7 @@ def _clean(text: str, method: str) -> str:
 _stage("cleaned", "content", f"""
  SELECT *, CASE WHEN {_strip('extracted_text')} = '' THEN 'SKIPPED' WHEN clean_text = '' THEN 'FAILED'
    ELSE 'SUCCESS' END AS clean_status, {_words('clean_text')} AS ws
- FROM (SELECT *, {_clean('extracted_text', 'extraction_method')} AS clean_text FROM content)""")
+ FROM (SELECT *, {_clean('extracted_text', 'extraction_method')} AS clean_text FROM content, {_NAMED})""")
 _stage("chunks", "cleaned", f"""
  SELECT id || '_' || i AS chunk_id, file_id, i AS chunk_index,
   CASE WHEN clean_status = 'SUCCESS' THEN len(parts) ELSE 0 END AS chunk_total, part AS clean_text,
@@ -585,8 +608,8 @@ _oracle("recommendations", "duplicate_files redundancy", """
  FROM redundancy""")
 _oracle("fix_encoding", "", f"SELECT doc_id, md5({_encoding(_DIRTY)}) AS text_hash FROM documents")
 _oracle("strip_html", "", f"""
- SELECT page_id, length(t)::INTEGER AS chars, md5(t) AS text_hash FROM (SELECT page_id, {_html('html')} AS t FROM pages)""")
-_oracle("clean_html_pages", "", f"SELECT page_id, md5({_clean('html', chr(39) + 'plain_text_read' + chr(39))}) AS text_hash FROM pages")
+ SELECT page_id, length(t)::INTEGER AS chars, md5(t) AS text_hash FROM (SELECT page_id, {_html('html')} AS t FROM pages, {_NAMED})""")
+_oracle("clean_html_pages", "", f"SELECT page_id, md5({_clean('html', chr(39) + 'plain_text_read' + chr(39))}) AS text_hash FROM pages, {_NAMED}")
 _oracle("strip_html_tags", "", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_hash FROM pages")
 _oracle("remove_ocr_noise", "", f"SELECT doc_id, md5({_ocr(_DIRTY)}) AS text_hash FROM documents")
 _oracle("normalize_unicode", "", """
@@ -596,15 +619,15 @@ _oracle("remove_boilerplate", "", f"SELECT doc_id, md5({_boilerplate(_NOISY)}) A
 _LOOSE = "replace(text, chr(10), " + _literal(" \t\r\n\r\n\n\n  ") + ")"
 _oracle("normalize_whitespace", "", f"SELECT doc_id, md5({_whitespace(_LOOSE)}) AS text_hash FROM documents")
 _RAWCLEAN = _clean("extracted_text", "extraction_method")
-_oracle("clean_text", "raw_content", f"SELECT file_id, md5({_RAWCLEAN}) AS text_hash FROM raw_content")
+_oracle("clean_text", "raw_content", f"SELECT file_id, md5({_RAWCLEAN}) AS text_hash FROM raw_content, {_NAMED}")
 _oracle("reuse_clean_by_hash", "all_content", f"""
  SELECT file_id, md5(CASE WHEN hash LIKE 'error%' THEN clean ELSE first_value(clean) OVER (
   PARTITION BY hash ORDER BY phase1_status <> 'KEEP', id) END) AS text_hash
- FROM (SELECT *, {_RAWCLEAN} AS clean FROM all_content)""")
+ FROM (SELECT *, {_RAWCLEAN} AS clean FROM all_content, {_NAMED})""")
 _oracle("chunk_sliding", "raw_content", f"""
  SELECT file_id, (generate_subscripts(parts, 1) - 1)::INTEGER AS chunk_index, md5(unnest(parts)) AS text_hash FROM (
   SELECT file_id, CASE WHEN len(ws) <= 500 THEN CASE WHEN len(ws) > 0 THEN [t] ELSE [] END ELSE {_windows('ws')} END AS parts
-  FROM (SELECT *, {_words('t')} AS ws FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content)))""")
+  FROM (SELECT *, {_words('t')} AS ws FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content, {_NAMED})))""")
 _CHUNKS = """SELECT chunk_id, file_id, chunk_index, chunk_total, clean_char_count, clean_word_count, language, clean_status,
  md5(clean_text) AS text_hash FROM chunks"""
 _RUN = "CASE WHEN {1} > 0 THEN [{{'f': {0}, 'n': {1}}}] ELSE [] END"
@@ -627,7 +650,7 @@ _oracle("chunk_paragraphs", "raw_content", f"""
     'last': acc.last + x.c, 'c': 0::BIGINT}},
    {{'runs': []::STRUCT(f BIGINT, n BIGINT)[], 'first': 0::BIGINT, 'last': 0::BIGINT, 'c': 0::BIGINT}}) AS done
   FROM (SELECT file_id, {_words('t')} AS ws, list_filter(list_transform(string_split(t, chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS paras
-   FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content))
+   FROM (SELECT file_id, {_RAWCLEAN} AS t FROM raw_content, {_NAMED}))
   WHERE len(ws) > 500 AND len(paras) > 1))""")
 _oracle("embed_truncate", "chunks", """
  SELECT chunk_id, 256 AS dims, CASE WHEN regexp_matches(clean_text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm

@@ -21,7 +21,7 @@ def test_extension(spark, name, ext):
 @pytest.mark.parametrize("ext,size,category,status", [
     (".key", 5, "Security", "KEEP"), (".KEY", 5, "Security", "REVIEW"), ("", 5, "Uncategorized", "REVIEW"),
     (".md5", 5, "Data", "DELETE_CANDIDATE"), (".pdf", 0, "Document", "DELETE_CANDIDATE"), (".pdf", 9, "Document", "KEEP"),
-    (".zip", 9, "Archive", "ARCHIVE"), (".8bf", 9, "Uncategorized", "REVIEW"), (".20240131", 9, "Uncategorized", "REVIEW"),
+    (".zip", 9, "Archive", "ARCHIVE"), (".8bf", 9, "Image", "REVIEW"), (".20240131", 9, "Uncategorized", "REVIEW"),
     (".jspx", 9, "Code", "REVIEW"), (".unknown", 9, "Uncategorized", "REVIEW"),
 ])
 def test_category_and_status(spark, ext, size, category, status):
@@ -47,7 +47,7 @@ KNOWN_EXTENSIONS = {
     "Image": (
         ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .svg .ico .heic .heif .raw .cr2 .nef .psd .ai .eps .xcf .cur "
         ".ani .skin .hdr .psp .icm .icc .cel .aco .acb .acv .atn .grd .pat .abr .asl .ahu .alv .blw .pqg .csf "
-        ".dbrush .dbrsb .8bi .8bx .8ba .8be .8me .8li .exv"
+        ".dbrush .dbrsb .8bf .8bi .8bx .8ba .8be .8me .8li .exv"
     ),
     "Video": (
         ".mp4 .avi .mov .mkv .wmv .flv .webm .m4v .mpeg .mpg .3gp .ts .vob .rmvb"
@@ -118,7 +118,7 @@ def test_every_known_extension_has_its_category(spark):
     want = {e: c for c, listed in KNOWN_EXTENSIONS.items() for e in listed.split()}
     rows = spark.createDataFrame([(e,) for e in want], "extension string")
     got = {r["extension"]: r["category"] for r in inventory.categorize_extension(rows).collect()}
-    assert got == want and len(want) == 397
+    assert got == want and len(want) == 398
 
 
 def test_own_mapping_overrides_and_extends(spark):
@@ -129,11 +129,12 @@ def test_own_mapping_overrides_and_extends(spark):
 
 
 def test_a_mapping_adds_to_the_built_in_list(spark):
-    assert len(fixed.CATEGORY_OF_EXTENSION) < 220 and all(e == e.lower() and e[0] == "." for e in fixed.CATEGORY_OF_EXTENSION)
-    more = spark.createDataFrame([(".8BF", "Image"), (".20240131", "Backup")], "extension string, category string")
-    rows = spark.createDataFrame([(".8bf",), (".20240131",), (".pdf",)], "extension string")
+    known = " ".join(fixed.EXTENSIONS_OF_CATEGORY.values()).split()
+    assert len(known) == len(set(known)) == 398 and all(e == e.lower() and e[0] == "." for e in known)
+    more = spark.createDataFrame([(".8BX", "Data"), (".20240131", "Backup")], "extension string, category string")
+    rows = spark.createDataFrame([(".8bf",), (".8bx",), (".20240131",), (".pdf",)], "extension string")
     got = {r["extension"]: r["category"] for r in inventory.categorize_extension(rows, more).collect()}
-    assert got == {".8bf": "Image", ".20240131": "Backup", ".pdf": "Document"}
+    assert got == {".8bf": "Image", ".8bx": "Data", ".20240131": "Backup", ".pdf": "Document"}
 
 
 @pytest.mark.parametrize("ext,category,route", [

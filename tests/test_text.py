@@ -2,11 +2,14 @@
 
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed, text as tx
+from dossier.functions.markup import html_text
 from dossier.operators import chunk
 
 
@@ -48,6 +51,65 @@ def test_html_text_keeps_tails(spark, html, text):
     assert one(spark, html, tx.strip_html) == text
 
 
+class StandardParser(HTMLParser):
+    """What the standard library's parser hands over as text."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts = []
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def standard_text(page):
+    parser = StandardParser()
+    parser.feed(page)
+    parser.close()
+    return " ".join(parser.parts)
+
+
+@pytest.mark.parametrize("page,text", [
+    ("a &middot; b&#8212;c&#x2014;d &copy 5 &notit; &am &#150;", "a \u00b7 b\u2014c\u2014d \u00a9 5 \u00acit; &am \u2013"),
+    ("<a title=\"x>y\">link</a> <a title='p>q' b>r</a>", "link   r"), ("<p it's>q</p>", "q"),
+    ("<script>var t='</p>'; a<b&amp;c</script><STYLE x='>'>p>a{}</STYLE >z", "var t='</p>'; a<b&amp;c p>a{} z"),
+    ("x<!-- a > b -- c -->y<!DOCTYPE html><?php 1 ?><![CDATA[ k ]]>z", "x y z"),
+    ("<!-- open <b>x</b> <!-- y", "<!-- open  x  <!-- y"), ("1 < 2 &lt;b&gt; <3", "1 < 2 <b> <3"), ("</ p>a</>b", "a b"),
+])
+def test_markup_and_references(spark, page, text):
+    assert one(spark, page, tx.strip_html) == text
+
+
+def test_pages_equal_the_standard_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", tx.strip_html(F.col("html")).alias("text")).collect()
+    assert len(pages) == 250
+    for row in pages:
+        assert row["text"] == standard_text(row["html"])
+
+
+PIECES = st.sampled_from(["<p>", "</p>", "<br/>", "<a href='x>y'>", '<i a="1" b=">" c>', "<!-- c -->", "<!-- <b> > -->", "<!doctype x>",
+                          "<script>if(a<b)'</p>'&amp;</script>", "<style a>q>r</style>", "&amp;", "&copy", "&#233;", "&nosuch;", "&", "é", " ",
+                          "text", ">", "\n", "<?x y?>", "</b >", "\x00", "="])
+
+
+@given(st.lists(PIECES, max_size=12).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_text_equals_the_standard_parser(page):
+    assert html_text(page) == standard_text(page)
+
+
+@given(st.lists(PIECES | st.sampled_from(["<", "< ", "<1"]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_a_bare_bracket_stays_in_its_text_node(page):
+    """The standard parser hands it over as a node of its own."""
+    assert "".join(html_text(page).split()) == "".join(standard_text(page).split())
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<!--", "<script>", '<a b="', "<![ ", "</", "<x <!", "&", "<a b=", "<p>"])
+def test_open_markup_takes_linear_time(unit):
+    assert len(html_text(unit * 100_000)) <= len(unit) * 100_000 + 100_000
+
+
 @pytest.mark.parametrize("end", ["\r\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029"])
 def test_boilerplate_at_any_line_end(spark, end):
     assert one(spark, f"first{end}Page 3 of 9{end}last", tx.remove_boilerplate) == "first\nlast"
