@@ -75,6 +75,79 @@ def file_redundancy(
     return _rated(pairs, chunk_paths, file_threshold)
 
 
+def class_files(members: DataFrame, chunk_paths: DataFrame) -> DataFrame:
+    """(class_id, path, n): how many chunks of a file are in a class of equal vectors.
+
+    With ``class_links`` this is the stored form of all chunk pairs: its rows
+    follow the chunks, however many files share a class.  The path of a chunk
+    without one is ''.
+    """
+    paths = chunk_paths.select("chunk_id", "path")
+    return (
+        members.join(paths, "chunk_id", "left").groupBy("class_id", F.coalesce("path", F.lit("")).alias("path"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def class_links(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """(class_1, class_2, similarity) between the classes of ``files``.
+
+    ``pairs`` links the smallest ids of classes; a link of a copy to its class
+    has no class as its second end and is left out.
+    """
+    classes = written(files.select("class_id").distinct(), "class-ids")
+    first, second = (classes.select(F.col("class_id").alias(f"class_{i}")) for i in (1, 2))
+    links = pairs.select(F.col("chunk_id_1").alias("class_1"), F.col("chunk_id_2").alias("class_2"),
+                         F.col("similarity_score").alias("similarity"))
+    return links.join(first.hint("merge"), "class_1", "left_semi").join(second.hint("merge"), "class_2", "left_semi").select(
+        "class_1", "class_2", "similarity")
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("class_2").alias("class_1"), F.col("class_1").alias("class_2"), "similarity"))
+
+
+def linked_paths(files: DataFrame, links: DataFrame) -> DataFrame:
+    """(path) of the files that share a class with another file, or have a link to one.
+
+    These are the files of ``class_redundancy`` without its pairs.  A class
+    needs only the smallest and the largest path it reaches: a file has another
+    one there unless it is both.  Rows follow the chunks and links.
+    """
+    spans = written(files.groupBy("class_id").agg(F.min("path").alias("least"), F.max("path").alias("most")), "class-spans")
+    reached = (
+        _both_ways(links).join(spans.withColumnRenamed("class_id", "class_2").hint("merge"), "class_2")
+        .select(F.col("class_1").alias("class_id"), "least", "most")
+    )
+    reach = written(spans.unionByName(reached).groupBy("class_id").agg(
+        F.min("least").alias("least"), F.max("most").alias("most")), "class-reach")
+    return files.join(reach.hint("merge"), "class_id").filter("least < path OR path < most").select("path").distinct()
+
+
+def redundancy_of_paths(
+    paths: DataFrame, files: DataFrame, links: DataFrame, chunk_paths: DataFrame, file_threshold: float = FILE_DUP_THRESHOLD
+) -> DataFrame:
+    """The rows of ``class_redundancy`` that name one of ``paths`` (path).
+
+    Only the classes of those files are expanded, so the work follows the pairs
+    that are asked for.
+    """
+    asked = written(files.join(paths.select("path").distinct().hint("merge"), "path", "left_semi"), "asked-files")
+    to = _both_ways(links).unionByName(
+        asked.select(F.col("class_id").alias("class_1"), F.col("class_id").alias("class_2"), F.lit(1.0).alias("similarity")).distinct())
+    near = written(
+        asked.select(F.col("class_id").alias("class_1"), F.col("path").alias("_p1"), F.col("n").alias("_n1"))
+        .join(written(to, "class-steps").hint("merge"), "class_1").select("class_2", "_p1", "_n1", "similarity"), "asked-classes")
+    met = near.join(files.toDF("class_2", "_p2", "_n2").hint("merge"), "class_2").filter("_p1 <> _p2")
+    chunks = F.col("_n1") * F.col("_n2")
+    shared = met.groupBy("_p1", "_p2").agg(F.sum(chunks).alias("shared_chunks"), F.sum(chunks * F.col("similarity")).alias("_similarity"))
+    # A pair of two files asked for is found from either.
+    pairs = shared.groupBy(F.least("_p1", "_p2").alias("path_1"), F.greatest("_p1", "_p2").alias("path_2")).agg(
+        F.min("shared_chunks").alias("shared_chunks"), F.min("_similarity").alias("_similarity"))
+    return _rated(pairs.select("path_1", "path_2", "shared_chunks", (F.col("_similarity") / F.col("shared_chunks")).alias(
+        "avg_similarity")), chunk_paths, file_threshold)
+
+
 def class_redundancy(
     pairs: DataFrame, members: DataFrame, chunk_paths: DataFrame, file_threshold: float = FILE_DUP_THRESHOLD
 ) -> DataFrame:
@@ -84,12 +157,17 @@ def class_redundancy(
     (chunk_id, class_id).  Two files share the product of their chunks in both
     classes of a link, so what is joined are rows per file and class, never
     pairs of copies.  A class of many files falls into blocks, and a task joins
-    tiles of two blocks.
+    tiles of two blocks.  The result has a row for every pair of files that
+    share a class: as the square of a class's files.
     """
-    paths = chunk_paths.select("chunk_id", "path")
-    held = written(
-        members.join(paths, "chunk_id", "left").groupBy("class_id", F.coalesce("path", F.lit("")).alias("path"))
-        .agg(F.count("*").alias("n")), "class-files")
+    files = written(class_files(members, chunk_paths), "class-files")
+    return expanded_redundancy(files, written(class_links(pairs, files), "class-links"), chunk_paths, file_threshold)
+
+
+def expanded_redundancy(
+    held: DataFrame, links: DataFrame, chunk_paths: DataFrame, file_threshold: float = FILE_DUP_THRESHOLD
+) -> DataFrame:
+    """All file pairs of the stored form (``class_files`` and ``class_links``, both written)."""
     classes = written(
         held.groupBy("class_id").agg(F.count("*").alias("files"))
         .withColumn("blocks", F.ceil(F.col("files") / BLOCK_FILES).cast("long")), "class-blocks")
@@ -97,11 +175,7 @@ def class_redundancy(
         held.join(classes.hint("merge"), "class_id")
         .select("class_id", F.pmod(F.xxhash64("path"), F.col("blocks")).alias("block"), "path", "n"), "class-file-blocks")
     first, second = (classes.select(F.col("class_id").alias(f"class_{i}"), F.col("blocks").alias(f"_b{i}")) for i in (1, 2))
-    near = (  # a link of a copy to its class has no class as its second end
-        pairs.select(F.col("chunk_id_1").alias("class_1"), F.col("chunk_id_2").alias("class_2"),
-                     F.col("similarity_score").alias("similarity"))
-        .join(first, "class_1").join(second, "class_2")
-    )
+    near = links.join(first, "class_1").join(second, "class_2")
     copies = classes.filter("files > 1").select(
         F.col("class_id").alias("class_1"), F.col("class_id").alias("class_2"), F.lit(1.0).alias("similarity"),
         F.col("blocks").alias("_b1"), F.col("blocks").alias("_b2"))
@@ -141,11 +215,28 @@ def _rated(pairs: DataFrame, chunk_paths: DataFrame, file_threshold: float) -> D
 def duplicate_paths(duplicate_files: DataFrame, redundancy: DataFrame) -> DataFrame:
     """Every path on either side of an exact pair or of a pair marked for deletion."""
     marked = redundancy.filter("action = 'DELETE duplicate'")
-    sides = F.explode(F.array("path_1", "path_2")).alias("path")
-    return (
-        duplicate_files.select(sides).unionByName(marked.select(sides))
-        .filter("path <> ''").distinct()
-    )
+    return _either_side(duplicate_files, marked.select(F.explode(F.array("path_1", "path_2")).alias("path")))
+
+
+def _either_side(duplicate_files: DataFrame, marked: DataFrame) -> DataFrame:
+    exact = duplicate_files.select(F.explode(F.array("path_1", "path_2")).alias("path"))
+    return exact.unionByName(marked).filter("path <> ''").distinct()
+
+
+def class_duplicate_paths(
+    duplicate_files: DataFrame, files: DataFrame, links: DataFrame, chunk_paths: DataFrame,
+    pair_threshold: float = PAIR_THRESHOLD, file_threshold: float = FILE_DUP_THRESHOLD,
+) -> DataFrame:
+    """``duplicate_paths`` from the stored form (``class_files`` and ``class_links``).
+
+    No chunk pair is below ``pair_threshold``, so with a file threshold of at
+    most that every pair of files is marked, whatever its average, and a file is
+    marked if it has any pair: no pair is made.  Above it averages decide, and
+    pairs are made.
+    """
+    if file_threshold <= pair_threshold:
+        return _either_side(duplicate_files, linked_paths(files, links))
+    return duplicate_paths(duplicate_files, expanded_redundancy(files, links, chunk_paths, file_threshold))
 
 
 def recommendations(

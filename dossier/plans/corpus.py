@@ -169,6 +169,21 @@ class Corpus:
         members = vectors.class_members(self.vectors)
         return written(dedup.class_redundancy(self.pairs, members, self.vector_paths, 0.40), "file-redundancy")
 
+    @cached_property
+    def strict_class_files(self) -> DataFrame:
+        """The stored form of file pairs at the default thresholds."""
+        return written(dedup.class_files(vectors.class_members(self.vectors), self.vector_paths), "class-files")
+
+    @cached_property
+    def strict_class_links(self) -> DataFrame:
+        pairs = vectors.near_duplicate_pairs(self.vectors, dedup.PAIR_THRESHOLD)
+        return written(dedup.class_links(pairs, self.strict_class_files), "class-links")
+
+    @property
+    def strict_dup_paths(self) -> DataFrame:
+        return dedup.class_duplicate_paths(
+            self.duplicate_files, self.strict_class_files, self.strict_class_links, self.vector_paths)
+
     @property
     def chunked_files(self) -> DataFrame:
         """Files that reached chunking; duplicates are looked for among these."""

@@ -63,19 +63,32 @@ def prepare(
 def find_duplicates(
     stages: Stages, files: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     pair_threshold: float = dedup.PAIR_THRESHOLD, file_threshold: float = dedup.FILE_DUP_THRESHOLD,
-    method: str = "exact",
+    method: str = "exact", all_pairs: bool = False,
 ) -> dict[str, DataFrame]:
-    """Exact and near duplicates of the chunked files, with recommendations."""
+    """Exact and near duplicates of the chunked files.
+
+    Stored are files per class of equal vectors and links between classes, which
+    grow with the chunks; ``dedup.redundancy_of_paths`` lists the pairs of given
+    files from them.  ``all_pairs`` writes the whole pair table and the
+    recommendations as well, which grow with the square of the files that
+    share a chunk.
+    """
     paths = chunks.select("chunk_id", "file_id").join(files.select("file_id", "path", "hash"), "file_id")
     exact = stages.save("duplicate_files", dedup.exact_duplicate_pairs(paths))
     pairs = stages.save("duplicate_chunks", vectors.near_duplicate_pairs(chunk_vectors, pair_threshold, method))
-    sections = stages.save("redundant_sections", dedup.chunk_to_path_map(pairs, paths))
-    members = stages.save("duplicate_classes", vectors.class_members(chunk_vectors))
-    redundancy = stages.save("file_redundancy", dedup.class_redundancy(pairs, members, paths, file_threshold))
-    advice = stages.save("merge_recommendations", dedup.recommendations(exact, redundancy, file_threshold))
-    stages.report("duplicates", dedup.duplicates_summary(exact, sections, redundancy))
-    return {"duplicate_files": exact, "duplicate_chunks": pairs, "redundant_sections": sections,
-            "file_redundancy": redundancy, "merge_recommendations": advice}
+    held = stages.save("duplicate_class_files", dedup.class_files(vectors.class_members(chunk_vectors), paths))
+    links = stages.save("duplicate_class_links", dedup.class_links(pairs, held))
+    marked = stages.save("duplicate_paths", dedup.class_duplicate_paths(
+        exact, held, links, paths, pair_threshold, file_threshold))
+    found = {"duplicate_files": exact, "duplicate_chunks": pairs, "duplicate_class_files": held, "duplicate_class_links": links,
+             "duplicate_paths": marked}
+    if all_pairs:
+        sections = stages.save("redundant_sections", dedup.chunk_to_path_map(pairs, paths))
+        redundancy = stages.save("file_redundancy", dedup.expanded_redundancy(held, links, paths, file_threshold))
+        advice = stages.save("merge_recommendations", dedup.recommendations(exact, redundancy, file_threshold))
+        stages.report("duplicates", dedup.duplicates_summary(exact, sections, redundancy))
+        found |= {"redundant_sections": sections, "file_redundancy": redundancy, "merge_recommendations": advice}
+    return found
 
 
 def score_files(
@@ -87,9 +100,8 @@ def score_files(
     """Signals, model scores and labels; a forest is trained when none is deployed."""
     file_vectors = stages.save("file_vectors", vectors.file_embedding_mean(chunk_vectors))
     clusters = stages.save("clusters", cluster.dbscan_cluster(file_vectors, eps))
-    dup_paths = dedup.duplicate_paths(duplicates["duplicate_files"], duplicates["file_redundancy"])
     signals = stages.save("signals", score.signals(
-        files, content, chunks, dup_paths, file_vectors, clusters, as_of, ratings))
+        files, content, chunks, duplicates["duplicate_paths"], file_vectors, clusters, as_of, ratings))
     if deployed is None:
         deployed = model.train_importance_model(
             score.boot_label(score.boot_score(signals)), "boot_label", trees, depth)
@@ -119,12 +131,14 @@ def run(
     spark: SparkSession, files: DataFrame, texts: DataFrame, out: str, as_of: str, root: str = "",
     embed: Callable[[DataFrame], DataFrame] = vectors.embed_text, trees: int = model.TREES,
     depth: int = model.DEPTH, pair_threshold: float = dedup.PAIR_THRESHOLD, eps: float = 0.3,
-    pair_method: str = "exact", mapping: DataFrame | None = None,
+    pair_method: str = "exact", mapping: DataFrame | None = None, all_pairs: bool = False,
 ) -> dict[str, DataFrame]:
     """Files and texts in, every result table out.
 
     ``mapping`` (extension, category) adds to the built-in extension list;
-    ``pair_method`` chooses the near-duplicate search.
+    ``pair_method`` chooses the near-duplicate search; ``all_pairs`` writes all
+    pairs of files, see ``find_duplicates``.  Without it ``duplicates_found``
+    counts the files that have a duplicate instead of the pairs.
     """
     stages = Stages(spark, out)
     with temporary(spark):
@@ -132,12 +146,14 @@ def run(
         good = base["chunks"].filter("clean_status = 'SUCCESS'").select("chunk_id", "file_id", "clean_text")
         chunk_vectors = stages.save("chunk_vectors", embed(good).select("chunk_id", "file_id", "vector"))
         duplicates = find_duplicates(
-            stages, base["files"], base["chunks"], chunk_vectors, pair_threshold, method=pair_method)
+            stages, base["files"], base["chunks"], chunk_vectors, pair_threshold, method=pair_method,
+            all_pairs=all_pairs)
         scores, deployed = score_files(
             stages, base["files"], base["content"], base["chunks"], chunk_vectors, duplicates, as_of, eps,
             trees=trees, depth=depth)
         explanations = explain_files(stages, scores, deployed)
-        stages.report("kpis", report.kpis(base["files"], scores, duplicates["file_redundancy"]))
+        stages.report("kpis", report.kpis(
+            base["files"], scores, duplicates["file_redundancy" if all_pairs else "duplicate_paths"]))
         return {**base, **duplicates, "chunk_vectors": chunk_vectors, "file_scores": scores,
                 "file_explanations": explanations}
 

@@ -204,32 +204,40 @@ _stage("file_vectors", "vectors", """
   SELECT file_id, pos, avg(x) AS m FROM (
    SELECT file_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM vectors) GROUP BY ALL)
  GROUP BY file_id""")
-_stage("pairs", "vectors", f"""
+
+
+def _pair_stages(prefix: str, pair_threshold: float, file_threshold: float) -> None:
+    """All pairs of chunks, those across files, and the pairs of files, under names with a prefix."""
+    _stage(f"{prefix}pairs", "vectors", f"""
  SELECT a.chunk_id AS chunk_id_1, b.chunk_id AS chunk_id_2, list_cosine_similarity(a.vector, b.vector) AS similarity_score
  FROM vectors a JOIN vectors b ON a.chunk_id < b.chunk_id
- WHERE list_cosine_similarity(a.vector, b.vector) >= {PAIR_THRESHOLD}""")
-_stage("sections", "pairs vector_paths", """
+ WHERE list_cosine_similarity(a.vector, b.vector) >= {pair_threshold}""")
+    _stage(f"{prefix}sections", f"{prefix}pairs vector_paths", f"""
  SELECT * FROM (SELECT chunk_id_1, chunk_id_2, coalesce(p.path, '') AS path_1, coalesce(q.path, '') AS path_2,
-  similarity_score AS similarity FROM pairs LEFT JOIN vector_paths p ON p.chunk_id = chunk_id_1
+  similarity_score AS similarity FROM {prefix}pairs LEFT JOIN vector_paths p ON p.chunk_id = chunk_id_1
   LEFT JOIN vector_paths q ON q.chunk_id = chunk_id_2) WHERE path_1 <> path_2""")
-_stage("path_counts", "vector_paths", "SELECT path, count(*) AS n FROM vector_paths GROUP BY path")
-_stage("redundancy", "sections path_counts", """
+    _stage(f"{prefix}redundancy", f"{prefix}sections path_counts", f"""
  SELECT path_1, path_2, shared_chunks, avg_similarity,
   shared_chunks / greatest(coalesce(p.n, 1), coalesce(q.n, 1))::DOUBLE AS redundancy_ratio,
-  CASE WHEN avg_similarity >= 0.40::DOUBLE THEN 'DELETE duplicate' ELSE 'REVIEW' END AS action
+  CASE WHEN avg_similarity >= {file_threshold}::DOUBLE THEN 'DELETE duplicate' ELSE 'REVIEW' END AS action
  FROM (SELECT least(path_1, path_2) AS path_1, greatest(path_1, path_2) AS path_2, count(*) AS shared_chunks,
-   avg(similarity) AS avg_similarity FROM sections GROUP BY 1, 2)
+   avg(similarity) AS avg_similarity FROM {prefix}sections GROUP BY 1, 2)
  LEFT JOIN path_counts p ON p.path = path_1 LEFT JOIN path_counts q ON q.path = path_2""")
+    _stage(f"{prefix}dup_paths", f"duplicate_files {prefix}redundancy", f"""
+ SELECT path_1 AS path FROM duplicate_files UNION SELECT path_2 FROM duplicate_files
+ UNION SELECT path_1 FROM {prefix}redundancy WHERE action = 'DELETE duplicate' AND path_1 <> ''
+ UNION SELECT path_2 FROM {prefix}redundancy WHERE action = 'DELETE duplicate' AND path_2 <> ''""")
+
+
+_stage("path_counts", "vector_paths", "SELECT path, count(*) AS n FROM vector_paths GROUP BY path")
 _stage("chunked", "files chunks", """
  SELECT DISTINCT hash, path FROM files WHERE hash NOT LIKE 'error%' AND file_id IN (SELECT file_id FROM chunks)""")
 _stage("dup_groups", "chunked", """
  SELECT hash, count(*) AS copies, min(path) AS primary_path FROM chunked GROUP BY hash HAVING count(*) > 1""")
 _stage("duplicate_files", "chunked dup_groups", """
  SELECT hash, primary_path AS path_1, path AS path_2 FROM chunked JOIN dup_groups USING (hash) WHERE path <> primary_path""")
-_stage("dup_paths", "duplicate_files redundancy", """
- SELECT path_1 AS path FROM duplicate_files UNION SELECT path_2 FROM duplicate_files
- UNION SELECT path_1 FROM redundancy WHERE action = 'DELETE duplicate' AND path_1 <> ''
- UNION SELECT path_2 FROM redundancy WHERE action = 'DELETE duplicate' AND path_2 <> ''""")
+_pair_stages("", PAIR_THRESHOLD, 0.40)
+_pair_stages("strict_", 0.90, 0.85)
 _stage("near", "file_vectors", f"""
  SELECT a.file_id AS a, b.file_id AS b FROM file_vectors a JOIN file_vectors b ON a.file_id <> b.file_id
  WHERE list_cosine_similarity(a.vector, b.vector) >= {1.0 - CLUSTER_EPS}""")
@@ -600,6 +608,14 @@ _oracle("latest_promoted_model", "versions", """
  SELECT version, gate_score, (SELECT max(version) + 1 FROM versions) AS next_version FROM versions WHERE promoted
  ORDER BY trained_at DESC, version DESC LIMIT 1""")
 _oracle("duplicate_paths", "dup_paths", "SELECT path FROM dup_paths")
+_oracle("duplicate_paths_default", "strict_dup_paths", "SELECT path FROM strict_dup_paths")
+_oracle("s_uniqueness_default", "score_input strict_dup_paths", """
+ SELECT file_id, CASE WHEN path IN (SELECT path FROM strict_dup_paths) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS s_uniqueness
+ FROM score_input""")
+_oracle("redundancy_of_paths", "strict_redundancy files", """
+ SELECT * REPLACE (round(avg_similarity, 6) AS avg_similarity, round(redundancy_ratio, 6) AS redundancy_ratio)
+ FROM strict_redundancy WHERE path_1 IN (SELECT path FROM files WHERE file_id % 50 = 0)
+  OR path_2 IN (SELECT path FROM files WHERE file_id % 50 = 0)""")
 _oracle("recommendations", "duplicate_files redundancy", """
  SELECT 'exact_duplicate' AS rec_type, 'HIGH' AS severity, path_1 AS primary_id, path_2 AS duplicate_id, 'Delete one copy' AS action,
   'Identical files (hash=' || hash[1:12] || '…)' AS details FROM duplicate_files

@@ -493,6 +493,20 @@ def duplicate_paths(c):
     return c.dup_paths
 
 
+@query
+def duplicate_paths_default(c):
+    """At the default thresholds: from files per class and links of classes, without a pair of files."""
+    return c.strict_dup_paths
+
+
+@query
+def redundancy_of_paths(c):
+    """Pairs of every file whose id is divisible by 50 with any other, at the default thresholds."""
+    asked = c.files.filter("file_id % 50 = 0").select("path")
+    return dedup.redundancy_of_paths(asked, c.strict_class_files, c.strict_class_links, c.vector_paths).withColumns(
+        {x: F.round(x, 6) for x in ("avg_similarity", "redundancy_ratio")})
+
+
 @query
 def recommendations(c):
     return dedup.recommendations(c.duplicate_files, c.redundancy, 0.40)
@@ -700,6 +714,12 @@ def s_uniqueness(c):
     return score.s_uniqueness(c.score_input, c.dup_paths).select("file_id", "s_uniqueness")
 
 
+@query
+def s_uniqueness_default(c):
+    """With the duplicate paths of the default thresholds."""
+    return score.s_uniqueness(c.score_input, c.strict_dup_paths).select("file_id", "s_uniqueness")
+
+
 @query
 def s_extraction_quality(c):
     return score.s_extraction_quality(c.score_input).select("file_id", "s_extraction_quality")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.operators import dedup
 from dossier.plans import governance
 from dossier.plans.corpus import AS_OF, corpus
 
@@ -37,6 +38,22 @@ def test_reports_are_written(spark, result):
     assert {r["label"] for r in spark.read.json(f"{out}/reports/labels").collect()} >= {"TOTAL"}
 
 
+def test_duplicates_are_stored_without_pairs(spark, result):
+    """The pairs of given files come from the stored form, equal to the whole pair table."""
+    _, tables = result
+    assert "file_redundancy" not in tables
+    paths = tables["chunks"].join(tables["files"].select("file_id", "path"), "file_id").select("chunk_id", "path")
+    whole = dedup.expanded_redundancy(tables["duplicate_class_files"], tables["duplicate_class_links"], paths).cache()
+    some = whole.select(F.col("path_1").alias("path")).distinct().orderBy("path").limit(3).cache()
+    got = dedup.redundancy_of_paths(some, tables["duplicate_class_files"], tables["duplicate_class_links"], paths)
+    names = [r[0] for r in some.collect()]
+    want = whole.filter(F.col("path_1").isin(names) | F.col("path_2").isin(names))
+    key = lambda r: (r["path_1"], r["path_2"], r["shared_chunks"], round(r["avg_similarity"], 9), r["action"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) != []
+    marked = {r[0] for r in dedup.duplicate_paths(tables["duplicate_files"], whole).collect()}
+    assert {r[0] for r in tables["duplicate_paths"].collect()} == marked
+
+
 def retrained(spark, tmp_path, **options):
     data = corpus(spark, "/root/testdata/sf0.01")
     scores = data.scores

@@ -1,6 +1,7 @@
 """Classification, redundancy, scoring and feedback on hand-written rows."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -212,6 +213,46 @@ def test_redundancy_counts_every_pair_of_copies(spark, monkeypatch):
         assert got[pair]["redundancy_ratio"] == pytest.approx(len(scores) / max(len(files[p]) for p in pair))
 
 
+def test_paths_and_their_pairs_without_the_pair_table(spark, monkeypatch):
+    """Random classes, links and unknown paths: the stored form gives what the whole pair table does."""
+    monkeypatch.setattr(dedup, "BLOCK_FILES", 3)
+    rng = random.Random(6)
+    basis = [[float(i == j) for j in range(6)] for i in range(6)]
+    basis += [[0.96 * x + 0.28 * y for x, y in zip(basis[0], basis[1])], [0.95 * x + 0.3122499 * y for x, y in zip(basis[2], basis[3])]]
+    rows = [(f"{i}", rng.choice(["", None, *(f"p{k}" for k in range(14))]), basis[rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 7])]) for i in range(40)]
+    rows += [("own0", "alone", [0.0, 0.6, 0.0, 0.0, 0.8, 0.0]), ("own1", "alone", [0.0, 0.6, 0.0, 0.0, 0.8, 0.0]), ("zero", "z", [0.0] * 6)]
+    table = spark.createDataFrame(rows, "chunk_id string, path string, vector array<double>")
+    paths = table.select("chunk_id", "path")
+    pairs, members = vectors.near_duplicate_pairs(table, 0.9).cache(), vectors.class_members(table)
+    whole = dedup.class_redundancy(pairs, members, paths, 0.85).cache()
+    held = dedup.class_files(members, paths).cache()
+    links = dedup.class_links(pairs, held).cache()
+    exact = spark.createDataFrame([("h", "x1", "x2")], "hash string, path_1 string, path_2 string")
+    fast = dedup.class_duplicate_paths(exact, held, links, paths)
+    assert {r[0] for r in fast.collect()} == {r[0] for r in dedup.duplicate_paths(exact, whole).collect()} > {"x1", "x2"}
+    assert "alone" not in {r[0] for r in fast.collect()}
+    slow = dedup.class_duplicate_paths(exact, held, links, paths, 0.90, 0.97)
+    general = dedup.class_redundancy(pairs, members, paths, 0.97)
+    assert {r[0] for r in slow.collect()} == {r[0] for r in dedup.duplicate_paths(exact, general).collect()}
+    asked = spark.createDataFrame([("p3",), ("p5",), ("p3",), ("",), ("nowhere",)], "path string")
+    got = dedup.redundancy_of_paths(asked, held, links, paths).collect()
+    want = whole.filter("path_1 IN ('p3', 'p5', '') OR path_2 IN ('p3', 'p5', '')").collect()
+    plain = lambda found: {(r["path_1"], r["path_2"]): (r["shared_chunks"], round(r["avg_similarity"], 9), round(r["redundancy_ratio"], 9),
+                                                       r["action"]) for r in found}
+    assert len(got) == len(want) > 10 and plain(got) == plain(want)
+    assert dedup.linked_paths(held.filter("false"), links.filter("false")).count() == 0
+
+
+def test_marking_paths_makes_rows_in_proportion(spark):
+    """A class of n files: joins give rows per file, not per pair."""
+    held = spark.range(3000).select(F.lit("c").alias("class_id"), F.format_string("p%d", "id").alias("path"), F.lit(1).cast("long").alias("n"))
+    links = spark.createDataFrame([], "class_1 string, class_2 string, similarity double")
+    marked = dedup.linked_paths(held, links)
+    assert marked.count() == 3000
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_ratio_may_exceed_one_and_average_on_the_edge_deletes(spark):
     sections = spark.createDataFrame([("a", "b", 0.85)] * 3, "path_1 string, path_2 string, similarity double")
     paths = spark.createDataFrame([("1_0", "a"), ("2_0", "b")], "chunk_id string, path string")
