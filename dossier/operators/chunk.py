@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, text as tx
@@ -201,10 +203,13 @@ CHUNK_COLUMNS = (
 
 def chunk_documents(
     content: DataFrame, chunk_size: int = fixed.CHUNK_WORDS, overlap: int = fixed.CHUNK_OVERLAP,
-    min_words: int = fixed.CHUNK_MIN_WORDS,
+    min_words: int = fixed.CHUNK_MIN_WORDS, detect: Callable[[Column], Column] = tx.detect_language,
 ) -> DataFrame:
     """Clean and chunk stored content into narrow chunk rows.
 
+    ``detect`` names the language of a chunk without a hint; a fitted
+    ``language.detector`` is better than the word lists, on short chunks above all.
+
     Needs id, file_id, extracted_text, extraction_method, extraction_status,
     language_hint, phase1_status; a ``clean_text`` that is there already, as from
     ``reuse_clean_by_hash``, is taken.  Skipped, blank and emptied texts keep one
@@ -237,7 +242,7 @@ def chunk_documents(
         "clean_char_count": F.char_length(text).cast("long"),
         "clean_word_count": tx.word_count(text),
         "language": F.when(F.col("clean_status") != "SUCCESS", "")
-        .when(hint != "", hint).otherwise(tx.detect_language(text)),
+        .when(hint != "", hint).otherwise(detect(F.when(hint == "", text))),
     }).select(*CHUNK_COLUMNS)
 
 

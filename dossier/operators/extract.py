@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, rules, text as tx
@@ -68,11 +70,13 @@ def extraction_filter(content: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 
-def extract_content(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
+def extract_content(
+    raw: DataFrame, max_chars: int | None = None, detect: Callable[[Column], Column] = tx.detect_language,
+) -> DataFrame:
     """Sanitise, flag, count and classify raw text in one narrow pass.
 
     Texts are kept whole unless the caller sets ``max_chars``.  Without a
-    ``language_hint`` column the language is detected.
+    ``language_hint`` column the language is detected by ``detect``.
     """
     clean = db_text_sanitize(raw)
     clean = clean if max_chars is None else truncate_text(clean, max_chars)
@@ -80,7 +84,7 @@ def extract_content(raw: DataFrame, max_chars: int | None = None) -> DataFrame:
     if "language_hint" in raw.columns:
         return content
     return content.withColumn(
-        "language_hint", tx.detect_language(F.coalesce("extracted_text", F.lit(""))))
+        "language_hint", detect(F.coalesce("extracted_text", F.lit(""))))
 
 
 def extraction_summary(content: DataFrame) -> DataFrame:

@@ -19,7 +19,9 @@ from ..functions.vector import CANDIDATE_MARGIN, as_list_column, as_matrix, unit
 PAIR_SCHEMA = "id_1 string, id_2 string, similarity double"
 BLOCK_ROWS = 4096
 MAX_PARTS = 50_000
-PIVOTS = 8192  # rows on the driver and in every task
+PIVOTS = 8192  # of one level: rows on the driver or in a task
+FIRST_PIVOTS = 1024  # of the first level, while their square covers the cells needed
+DEEP_BLOCKS = 4  # a cell of more blocks than this gets pivots of its own
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -273,30 +275,32 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
 
-def _measured(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots that have residents, widest cell first, and each cell's angular radius.
+def _measured(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots that have residents, widest cell first, and each cell's angular radius and rows.
 
     One row per pivot comes back to the driver; pivots are bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widest = np.full(len(pivots), -1.0)
+        widest, rows = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
         for batch in batches:
             if batch.num_rows:
                 cosine, home = _nearest(batch, pivots)
                 np.maximum.at(widest, home, _angle(cosine[np.arange(len(home)), home]))
-        used = np.flatnonzero(widest >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(widest[used])], names=["cell", "radius"])
+                rows += np.bincount(home, minlength=len(rows))
+        used = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(widest[used]), pa.array(rows[used])], names=["cell", "radius", "rows"])
 
-    radii = (
-        vectors.select("vector").mapInArrow(run, "cell long, radius double")
-        .groupBy("cell").agg(F.max("radius").alias("radius")).orderBy(F.desc("radius"), "cell").collect()
+    found = (
+        vectors.select("vector").mapInArrow(run, "cell long, radius double, rows long")
+        .groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("rows").alias("rows")).orderBy(F.desc("radius"), "cell").collect()
     )
-    return pivots[[r["cell"] for r in radii]], np.asarray([r["radius"] for r in radii])
+    return pivots[[r["cell"] for r in found]], np.asarray([r["radius"] for r in found]), np.asarray([r["rows"] for r in found], np.int64)
 
 
 def _assign_cells(
-    vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, threshold: float
+    vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, threshold: float, visits: bool = True
 ) -> DataFrame:
     """Give every vector its home cell and the later cells it must visit.
 
@@ -306,6 +310,7 @@ def _assign_cells(
     - all residents of j lie within the cell's radius, so x must lie within
       that radius plus the angle of the threshold.
     Cells are ordered widest first: vectors visit the tighter of two cells.
+    Without ``visits`` only home cells are given.
     """
     reach = np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
     limits = np.cos(np.minimum(np.pi, radii + np.arccos(threshold) + 1e-6))
@@ -317,10 +322,12 @@ def _assign_cells(
                 continue
             cosine, home = _nearest(batch, pivots)
             rows = np.arange(len(home))
-            gap = cosine[rows, home][:, None] - cosine
-            visits = (gap <= reach * spread[home] + 1e-6) & (cosine >= limits[None, :] - 1e-9)
-            visits &= np.arange(len(pivots))[None, :] > home[:, None]
-            who, where = np.nonzero(visits)
+            who = where = np.zeros(0, np.int64)
+            if visits:
+                gap = cosine[rows, home][:, None] - cosine
+                goes = (gap <= reach * spread[home] + 1e-6) & (cosine >= limits[None, :] - 1e-9)
+                goes &= np.arange(len(pivots))[None, :] > home[:, None]
+                who, where = np.nonzero(goes)
             take = pa.array(np.concatenate([rows, who]))
             place = [
                 pa.array(np.concatenate([home, where]).astype(np.int64)),
@@ -336,28 +343,163 @@ def _assign_cells(
     return vectors.select(*carried).mapInArrow(run, ", ".join(["cell long, visitor boolean", *kinds]))
 
 
+class _DeepCells:
+    """The second level: cells of many blocks get pivots of their own.
+
+    Pivots are rows like others, drawn by a hash of the id at one per block, and
+    stay in a table: what a task holds are the pivots of one cell, at most
+    PIVOTS of them.  A cell's rows are dealt over several tasks by salt, and its
+    pivots go to each of them.
+    """
+
+    SUB_BITS = 20
+
+    def __init__(self, vectors: DataFrame, pivots: np.ndarray, radii: np.ndarray, sizes: np.ndarray, block_rows: int):
+        # Per deep cell: the share of its rows to draw as pivots, and over how many tasks its rows go.  At most PIVOTS rows.
+        deep = [
+            (int(c), float(min(PIVOTS, -(-sizes[c] // block_rows)) / sizes[c]), int(-(-sizes[c] // (64 * block_rows))))
+            for c in np.flatnonzero(sizes > DEEP_BLOCKS * block_rows)
+        ]
+        self.deep = F.broadcast(vectors.sparkSession.createDataFrame(deep, "cell long, share double, salts int"))
+        homes = _assign_cells(vectors.select("id", "vector"), pivots, radii, 1.0, visits=False).join(self.deep.drop("salts"), "cell")
+        drawn = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+        self.pivots = written(homes.filter(drawn).select("cell", F.xxhash64("id").alias("sub"), "vector"), "deep-pivots")
+        measured = self._met(homes.select("cell", "visitor", "id", "vector"), None)
+        self.radii = written(measured.groupBy("cell", "sub").agg(F.max("radius").alias("radius")), "deep-radii")
+
+    def placed(self, rows: DataFrame, threshold: float) -> DataFrame:
+        """Rows (cell, visitor, …) of deep cells in sub-cells, and those of other cells as they are."""
+        whole = rows.join(self.deep, "cell", "left_anti").withColumn("cell", F.shiftleft("cell", self.SUB_BITS))
+        return whole.unionByName(self._met(rows.join(self.deep.select("cell"), "cell", "left_semi"), threshold))
+
+    def _met(self, rows: DataFrame, threshold: float | None) -> DataFrame:
+        """Rows meet the pivots of their cell: for the sub-cells to be in, or, without a threshold, for the radii of these."""
+        carried = [c for c in rows.columns if c not in ("cell", "visitor")]
+        pivots = self.pivots.withColumn("radius", F.lit(0.0)) if threshold is None else self.pivots.join(
+            self.radii.hint("merge"), ["cell", "sub"])
+        pivots = pivots.join(self.deep.drop("share"), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        empty = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("visitor", *carried) if c != "vector"}
+        rows = rows.join(self.deep.drop("share"), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+        both = pivots.select("cell", "salt", F.lit(False).alias("is_row"), "sub", "radius", "vector", *[v.alias(c) for c, v in empty.items()])
+        both = both.unionByName(rows.select(
+            "cell", "salt", F.lit(True).alias("is_row"), F.lit(None).cast("long").alias("sub"), F.lit(None).cast("double").alias("radius"),
+            "vector", *empty))
+        dealt = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "is_row", "sub")
+        if threshold is None:
+            return dealt.mapInArrow(_measure_deep, "cell long, sub long, radius double")
+        kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
+        return dealt.mapInArrow(_place_deep(threshold, carried, self.SUB_BITS), ", ".join(["cell long, visitor boolean", *kinds]))
+
+
+def _cell_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table | None, pa.RecordBatch]]:
+    """(cell, pivots, rows): the rows of a cell and salt, batch by batch, with the pivots that came before them."""
+    now, pivots = None, []
+    for batch in batches:
+        keys = list(zip(batch.column("cell").to_pylist(), batch.column("salt").to_pylist(), batch.column("is_row").to_pylist()))
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for begin, end in zip(edges, edges[1:]):
+            if begin == end:
+                continue
+            part, (cell, salt, is_row) = batch.slice(begin, end - begin), keys[begin]
+            if (cell, salt) != now:
+                now, pivots = (cell, salt), []
+            if is_row:
+                if len(pivots) > 1:
+                    pivots = [pa.concat_tables(pivots).combine_chunks()]
+                yield cell, pivots[0] if pivots else None, part
+            else:
+                pivots.append(pa.Table.from_batches([part]))
+
+
+def _measure_deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cell, pivots, rows in _cell_runs(batches):
+        if pivots is not None:
+            cosine, home = _nearest(rows, unit_rows(as_matrix(pivots["vector"])))
+            widest = np.full(pivots.num_rows, -1.0)
+            np.maximum.at(widest, home, _angle(cosine[np.arange(len(home)), home]))
+            used = np.flatnonzero(widest >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(used), cell)), pivots["sub"].combine_chunks().take(pa.array(used)), pa.array(widest[used])],
+                names=["cell", "sub", "radius"])
+
+
+def _place_deep(threshold: float, carried: list[str], bits: int) -> Callable:
+    """Residents go to the sub-cell of their nearest pivot and to the tighter ones that may hold a partner, visitors to all of those.
+
+    The bounds are those of ``_assign_cells``; both hold for a visitor too.
+    """
+    reach = np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for cell, table, rows in _cell_runs(batches):
+            if table is None:  # no pivot drawn: the cell stays whole
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rows.num_rows, cell << bits)), rows.column("visitor"), *[rows.column(c) for c in carried]],
+                    names=["cell", "visitor", *carried])
+                continue
+            if held is not table:
+                held = table
+                pivots, radii = unit_rows(as_matrix(table["vector"])), table["radius"].to_numpy()
+                limits = np.cos(np.minimum(np.pi, radii + np.arccos(threshold) + 1e-6))
+                rank = np.lexsort((np.arange(len(radii)), -radii)).argsort()  # widest first
+            for begin in range(0, rows.num_rows, 1024):
+                part = rows.slice(begin, 1024)
+                cosine, home = _nearest(part, pivots)
+                row = np.arange(len(home))
+                apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots[home] @ pivots.T))
+                goes = (cosine[row, home][:, None] - cosine <= reach * apart + 1e-6) & (cosine >= limits[None, :] - 1e-9)
+                visitor = part.column("visitor").to_numpy(zero_copy_only=False).astype(bool)
+                goes &= visitor[:, None] | (rank[None, :] > rank[home][:, None])
+                goes[row[~visitor], home[~visitor]] = True
+                who, where = np.nonzero(goes)
+                take = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((cell << bits) + 1 + where), pa.array(visitor[who] | (where != home[who])),
+                     *[part.column(c).take(take) for c in carried]], names=["cell", "visitor", *carried])
+
+    return run
+
+
 class Cells:
-    """Where vectors fall: pivots, cell radii and block count, found once for several passes."""
+    """Where vectors fall: pivots, cell radii and block count, found once for several passes.
+
+    The number of cells follows the rows, so that a cell is about one block: up
+    to FIRST_PIVOTS cells or the square root of those needed at the first level,
+    and pivots of its own for a cell that is still many blocks.  A vector is
+    compared with the pivots of the first level and those of the deep cells it
+    is in, never with all.
+    """
 
     def __init__(self, vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS):
         if not 0.0 < threshold <= 1.0:
             raise ValueError("threshold must lie in (0, 1]")
-        self.threshold, self.block_rows = threshold, block_rows
+        self.threshold, self.block_rows, self.deep = threshold, block_rows, None
         self.rows = vectors.count()
         self.blocks = max(1, -(-self.rows // block_rows))
         if self.blocks > 1:
-            self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(PIVOTS, self.blocks)))
+            self.pivots, self.radii, sizes = _measured(vectors, _pivots(vectors, first_pivots(self.blocks)))
+            if (sizes > DEEP_BLOCKS * block_rows).any():
+                self.deep = _DeepCells(vectors, self.pivots, self.radii, sizes, block_rows)
+
+    def placed(self, vectors: DataFrame) -> DataFrame:
+        """(cell, visitor, id, vector, …): every vector in its home cell and in those it must visit."""
+        if self.blocks == 1:  # a single cell without visitors
+            return vectors.select(F.lit(0).cast("long").alias("cell"), F.lit(False).alias("visitor"), "*")
+        rows = _assign_cells(vectors, self.pivots, self.radii, self.threshold)
+        return rows if self.deep is None else self.deep.placed(rows, self.threshold)
 
     def compare(self, vectors: DataFrame, emit: Callable, schema: str) -> DataFrame:
         """Meet all near vectors tile by tile; ``emit`` turns a tile into rows."""
-        if self.blocks > 1:
-            placed = _assign_cells(vectors, self.pivots, self.radii, self.threshold)
-        else:  # a single cell without visitors
-            placed = vectors.select(F.lit(0).cast("long").alias("cell"), F.lit(False).alias("visitor"), "*")
-        spread = tiles(placed, self.block_rows, self.rows)
+        spread = tiles(self.placed(vectors), self.block_rows, self.rows)
         return _by_tile(spread, TILE_KEYS, emit(self.threshold), schema, self.blocks)
 
 
+def first_pivots(blocks: int) -> int:
+    """Cells of the first level."""
+    return min(blocks, PIVOTS, max(FIRST_PIVOTS, int(np.ceil(np.sqrt(blocks)))))
+
+
 def exact_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All unordered pairs of (id, vector) rows with cosine >= threshold, each once.
 
@@ -451,20 +593,8 @@ class _Places:
 
     def __init__(self, vectors: DataFrame, block_rows: int):
         rows = vectors.count()
-        self.pivots, self.radii = _measured(vectors, _pivots(vectors, min(PIVOTS, max(1, -(-rows // block_rows)))))
-        pivots = self.pivots
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(max(1, len(pivots)), np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    total += np.bincount(_nearest(batch, pivots)[1], minlength=len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["cell", "rows"])
-
         # One row per pivot comes back to the driver.
-        sizes = np.zeros(max(1, len(pivots)), np.int64)
-        for r in vectors.select("vector").mapInArrow(counted, "cell long, rows long").groupBy("cell").agg(F.sum("rows").alias("rows")).collect():
-            sizes[r["cell"]] = r["rows"]
+        self.pivots, self.radii, sizes = _measured(vectors, _pivots(vectors, min(PIVOTS, max(1, -(-rows // block_rows)))))
         self.blocks = np.maximum(1, -(-sizes // block_rows))
 
     def residents(self, vectors: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.storage import written
-from ..operators import chunk, cluster, dedup, explain, extract, inventory, model, score, vectors
+from ..operators import chunk, cluster, dedup, explain, extract, inventory, language, model, score, vectors
 
 AS_OF = "2026-01-01 00:00:00"
 PAIR_THRESHOLD = 0.35  # the supplied vectors are near random; none reach 0.7
@@ -106,6 +106,10 @@ class Corpus:
         kept = inventory.quarantine_split(self.all_content)[0]
         return extract.extraction_filter(kept)[0]
 
+    @cached_property
+    def languages(self) -> language.LanguageModel:
+        return language.fit(self.texts("documents"))
+
     @cached_property
     def chunks(self) -> DataFrame:
         return written(chunk.chunk_documents(self.content), "chunks")

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import fixed
+from ..functions import fixed, text
 from ..functions.storage import temporary
-from ..operators import chunk, cluster, dedup, explain, extract, feedback, inventory, model, report, score, vectors
+from ..operators import chunk, cluster, dedup, explain, extract, feedback, inventory, language, model, report, score, vectors
 from ..sources import tables
 
 
@@ -37,6 +37,7 @@ class Stages:
 
 def prepare(
     stages: Stages, files: DataFrame, texts: DataFrame, root: str = "", mapping: DataFrame | None = None,
+    languages: language.LanguageModel | None = None,
 ) -> dict[str, DataFrame]:
     """Inventory, extraction outcome and chunks.
 
@@ -44,15 +45,16 @@ def prepare(
     source_archive.  ``texts``: file_id, extracted_text, extraction_method and,
     if known, language_hint.
     """
+    detect = text.detect_language if languages is None else language.detector(languages, stages.spark)
     listed = stages.save("files_all", inventory.inventory_row(files, root, mapping))
     kept, held = inventory.quarantine_split(listed)
     facts = kept.select("file_id", "extension", "category", "is_empty", "source_archive", "hash",
                         F.col("status").alias("phase1_status"))
     raw = texts.join(facts, "file_id").withColumn("id", F.col("file_id"))
-    classified = stages.save("content_all", extract.extract_content(raw))
+    classified = stages.save("content_all", extract.extract_content(raw, detect=detect))
     content, refused = extract.extraction_filter(classified)
     cleaned = stages.save("content_clean", chunk.reuse_clean_by_hash(content))
-    chunks = stages.save("chunks", chunk.chunk_documents(cleaned))
+    chunks = stages.save("chunks", chunk.chunk_documents(cleaned, detect=detect))
     stages.report("inventory", inventory.inventory_summary(listed))
     stages.report("extraction", extract.extraction_summary(classified))
     stages.report("cleaning", chunk.clean_summary(content, chunks))
@@ -132,17 +134,19 @@ def run(
     embed: Callable[[DataFrame], DataFrame] = vectors.embed_text, trees: int = model.TREES,
     depth: int = model.DEPTH, pair_threshold: float = dedup.PAIR_THRESHOLD, eps: float = 0.3,
     pair_method: str = "exact", mapping: DataFrame | None = None, all_pairs: bool = False,
+    languages: language.LanguageModel | None = None,
 ) -> dict[str, DataFrame]:
     """Files and texts in, every result table out.
 
     ``mapping`` (extension, category) adds to the built-in extension list;
     ``pair_method`` chooses the near-duplicate search; ``all_pairs`` writes all
     pairs of files, see ``find_duplicates``.  Without it ``duplicates_found``
-    counts the files that have a duplicate instead of the pairs.
+    counts the files that have a duplicate instead of the pairs.  ``languages`` is a
+    fitted ``language.LanguageModel``; without one, function words decide.
     """
     stages = Stages(spark, out)
     with temporary(spark):
-        base = prepare(stages, files, texts, root, mapping)
+        base = prepare(stages, files, texts, root, mapping, languages)
         good = base["chunks"].filter("clean_status = 'SUCCESS'").select("chunk_id", "file_id", "clean_text")
         chunk_vectors = stages.save("chunk_vectors", embed(good).select("chunk_id", "file_id", "vector"))
         duplicates = find_duplicates(

@@ -673,7 +673,26 @@ _oracle("embed_truncate", "chunks", """
  FROM chunks WHERE clean_status = 'SUCCESS'""")
 _oracle("chunk_documents", "chunks", _CHUNKS)
 _oracle("stream_ingest", "chunks", _CHUNKS)
-_oracle("detect_language", "", f"SELECT doc_id, {_language('text')} AS language FROM documents")
+_stage("doc_words", "", r"""
+ SELECT doc_id, lang, word, count(*) AS n FROM (
+  SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL""")
+_stage("word_grams", "doc_words", """
+ SELECT word, substr(padded, i::INT, 3) AS gram, count(*) AS n FROM (
+  SELECT word, ' ' || word || ' ' AS padded, unnest(range(1, length(word) + 1)) AS i FROM (SELECT DISTINCT word FROM doc_words))
+ GROUP BY ALL""")
+_stage("gram_counts", "doc_words word_grams", """
+ SELECT lang, gram, sum(d.n * g.n) AS n FROM (SELECT lang, word, sum(n) AS n FROM doc_words WHERE lang <> '' GROUP BY ALL) d
+ JOIN word_grams g USING (word) GROUP BY ALL""")
+_stage("gram_model", "gram_counts", """
+ SELECT gram, lang, ln((coalesce(n, 0) + 1)::DOUBLE / sum(coalesce(n, 0) + 1) OVER (PARTITION BY lang)) AS logp
+ FROM (SELECT gram FROM gram_counts GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT 20000)
+ CROSS JOIN (SELECT DISTINCT lang FROM gram_counts) LEFT JOIN gram_counts USING (gram, lang)""")
+_oracle("language_model", "gram_model", "SELECT gram, lang, round(logp, 6) AS logp FROM gram_model")
+_oracle("detect_language", "doc_words word_grams gram_model", """
+ SELECT doc_id, CASE WHEN length(text) < 50 THEN '' ELSE coalesce(best, '') END AS language FROM documents LEFT JOIN (
+  SELECT doc_id, m.lang AS best FROM doc_words d JOIN word_grams g USING (word) JOIN gram_model m USING (gram) GROUP BY doc_id, m.lang
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(d.n * g.n * logp) DESC, m.lang) = 1) USING (doc_id)""")
+_oracle("detect_language_words", "", f"SELECT doc_id, {_language('text')} AS language FROM documents")
 
 
 def _long(key: str, array: str, source: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, DoubleType, FloatType
 from ..functions import fixed, text as tx, vector as vx
 from ..functions.storage import shared_folder
 from ..operators import (
-    chunk, cluster, dedup, explain, extract, feedback, inventory, model, report, score, serve, vectors,
+    chunk, cluster, dedup, explain, extract, feedback, inventory, language, model, report, score, serve, vectors,
 )
 from ..sources import files as raw, tables, walk
 from ..streaming import feedback as feedback_stream, ingest
@@ -608,9 +608,23 @@ def chunk_documents(c):
 
 @query
 def detect_language(c):
+    """By the character n-gram model of all labelled documents."""
+    detect = language.detector(c.languages, c.spark)
+    return c.texts("documents").select("doc_id", detect(F.col("text")).alias("language"))
+
+
+@query
+def detect_language_words(c):
+    """By function words, where no model is fitted."""
     return c.texts("documents").select("doc_id", tx.detect_language(F.col("text")).alias("language"))
 
 
+@query
+def language_model(c):
+    """Log probabilities of letter runs by language."""
+    return c.languages.table(c.spark).withColumn("logp", F.round("logp", 6))
+
+
 @query
 def embed_truncate(c):
     """Chunk vectors of whole texts, without an input limit."""

@@ -75,12 +75,52 @@ def test_banding_meets_its_recall():
 def test_exact_pairs_prune_visits_between_far_clusters(spark):
     matrix = clustered(5, 40, 10, dims=64, noise=0.05)
     table = frame(spark, matrix, "id")
-    pivots, radii = neighbours._measured(table, neighbours._pivots(table, 40))
+    pivots, radii, _ = neighbours._measured(table, neighbours._pivots(table, 40))
     cells = neighbours._assign_cells(table, pivots, radii, 0.95)
     visits = cells.filter("visitor").count()
     assert visits < len(matrix) * len(pivots) / 2 / 10  # far below visiting every later cell
 
 
+def deep(monkeypatch, first=3, blocks=2):
+    monkeypatch.setattr(neighbours, "FIRST_PIVOTS", first)
+    monkeypatch.setattr(neighbours, "DEEP_BLOCKS", blocks)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_pairs_of_two_levels_equal_brute_force(spark, monkeypatch, threshold):
+    deep(monkeypatch)
+    rng = np.random.default_rng(8)
+    matrix = np.vstack([clustered(1, 20, 15), clustered(3, 1, 150, noise=0.05), rng.standard_normal((100, 24))])
+    cells = neighbours.Cells(frame(spark, matrix, "id"), threshold, 16)
+    assert cells.deep is not None
+    assert found(cells.compare(frame(spark, matrix, "id"), neighbours._emit_pairs, neighbours.PAIR_SCHEMA)) == brute(matrix, threshold)
+
+
+def test_a_cell_without_a_drawn_pivot_stays_whole(spark, monkeypatch):
+    deep(monkeypatch)
+    matrix = clustered(1, 20, 15)
+    table = frame(spark, matrix, "id")
+    cells = neighbours.Cells(table, 0.8, 16)
+    cells.deep.pivots = cells.deep.pivots.filter("cell > 0")
+    assert found(cells.compare(table, neighbours._emit_pairs, neighbours.PAIR_SCHEMA)) == brute(matrix, 0.8)
+
+
+def test_cells_grow_in_number_and_not_in_rows(spark, monkeypatch):
+    """400, 4000 and 40000 rows in blocks of 25: a cell stays near a block, and no vector meets all pivots."""
+    deep(monkeypatch, first=4, blocks=4)
+    most = []
+    for times in (1, 10, 100):
+        table = frame(spark, clustered(4, 400, times, dims=8, noise=0.05), "id").cache()
+        cells = neighbours.Cells(table, 0.999, 25)
+        homes = cells.placed(table).filter("NOT visitor").groupBy("cell").count()
+        found_ = homes.agg(F.max("count").alias("most"), F.avg("count").alias("mean"), F.sum("count").alias("rows")).first()
+        assert found_["rows"] == 400 * times and found_["mean"] <= 2 * 25
+        most.append(found_["most"])
+        assert len(cells.pivots) <= max(4, np.ceil(np.sqrt(400 * times / 25)))
+    assert max(most) <= 12 * 25
+    assert neighbours.first_pivots(10 ** 4) == 100 and neighbours.first_pivots(10 ** 9) == neighbours.PIVOTS
+
+
 def test_copies_are_linked_as_a_star(spark):
     base = clustered(7, 5, 4)
     matrix = np.vstack([base, np.repeat(base[:1], 100, axis=0)])

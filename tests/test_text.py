@@ -4,13 +4,14 @@ import random
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed, text as tx
 from dossier.functions.markup import html_text
-from dossier.operators import chunk
+from dossier.operators import chunk, language
 
 
 def one(spark, value, function):
@@ -271,6 +272,70 @@ def test_language(spark, text, code):
     assert one(spark, text, tx.detect_language) == code
 
 
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").cache()
+
+
+@pytest.fixture(scope="module")
+def languages(labelled):
+    """Fitted on every second document."""
+    return language.fit(labelled.filter("doc_id % 2 = 0"))
+
+
+def share_right(rows, detect):
+    return rows.select(F.avg((detect(F.col("text")) == F.col("lang")).cast("double"))).first()[0]
+
+
+def test_language_model_on_documents_outside_the_fit(spark, labelled, languages):
+    held = labelled.filter("doc_id % 2 = 1")
+    detect = language.detector(languages, spark)
+    assert share_right(held.filter("length(text) >= 200"), detect) > 0.98
+    for size, least in ((200, 0.98), (100, 0.95), (50, 0.9)):  # cuts out of the middle, without most of the punctuation
+        cut = held.filter("length(text) >= 400").withColumn("text", F.regexp_replace(F.expr(f"substring(text, 150, {size})"), "[.,;:!?]", "x"))
+        right = share_right(cut, detect)
+        assert right > least and right >= share_right(cut, tx.detect_language), size
+
+
+def test_language_model_equals_its_definition(spark, labelled, languages):
+    counts = {}
+    for r in labelled.filter("doc_id % 2 = 0").collect():
+        for word in re.findall(r"[^\W\d_]+", r["text"].lower()):
+            for i in range(len(word)):
+                key = (r["lang"], f" {word} "[i:i + 3])
+                counts[key] = counts.get(key, 0) + 1
+    totals = {}
+    for (_, gram), n in counts.items():
+        totals[gram] = totals.get(gram, 0) + n
+    kept = sorted(sorted(totals), key=lambda g: -totals[g])[:language.GRAMS]
+    assert languages.grams == sorted(kept) and languages.languages == sorted({lang for lang, _ in counts})
+    for j, lang in enumerate(languages.languages):
+        n = np.array([counts.get((lang, g), 0) + 1 for g in languages.grams])
+        assert np.allclose(languages.logp[:, j], np.log(n / n.sum()))
+    assert languages.table(spark).count() == len(languages.grams) * len(languages.languages)
+
+
+def test_language_of_awkward_texts(spark, languages):
+    detect = language.detector(languages, spark)
+    for text, code in ((None, ""), ("", ""), ("the and of", ""), ("1234 5678 " * 20, ""), ("\u4e2d" * 80, "")):
+        assert one(spark, text, detect) == code
+    long_ = "the house and the garden of the king " * 30_000
+    assert one(spark, long_, detect) == "en"
+    small = language.fit(spark.createDataFrame([("aaa bbb", "x"), ("ccc", None), (None, "y"), ("ddd", "")], "text string, lang string"), grams=2)
+    assert small.grams == [" aa", " bb"] and small.languages == ["x"]
+    nothing = language.fit(spark.createDataFrame([], "text string, lang string"))
+    assert one(spark, "a text of more than fifty characters without any model", language.detector(nothing, spark)) == ""
+
+
+def test_chunks_take_the_detector(spark, languages):
+    rows = spark.createDataFrame([(1, 1, "la casa y el perro en la calle del pueblo donde vive mi hermana " * 3, "markitdown", "SUCCESS", "", "KEEP"),
+                                  (2, 2, "the house " * 20, "markitdown", "SUCCESS", "fr", "KEEP")],
+                                 "id long, file_id long, extracted_text string, extraction_method string, extraction_status string, "
+                                 "language_hint string, phase1_status string")
+    got = {r["file_id"]: r["language"] for r in chunk.chunk_documents(rows, detect=language.detector(languages, spark)).collect()}
+    assert got == {1: "es", 2: "fr"}
+
+
 @pytest.mark.parametrize("text,want", [
     ("  short ", "short"), ("a" * 241, "a" * 240 + "…"), ("word " * 60, ("word " * 48).strip() + "…"), (None, "")])
 def test_snippet(spark, text, want):
