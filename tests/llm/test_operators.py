@@ -279,26 +279,73 @@ def unit_key(unit):
     return b" ".join(unit.encode().translate(FOLD).split())
 
 
-@pytest.mark.parametrize("unit", ["line", "sentence"])
-def test_unit_dedup_equals_brute_force(keyed, unit):
-    seen, want = {}, {}
-    for i, text in sorted(corpus.texts_by_id(keyed), key=lambda x: x[0]):
-        left, removed, at = "", [], 0
+def unit_rule(rows, unit, least):
+    """(text left, removed) of each id by the definition: all runs of units, those that are as short as they can be from one end."""
+    places, runs_, texts = {}, [], {}
+    for i, text in sorted(rows, key=lambda x: x[0]):
+        units, at = [], 0
         for line in (text or "").split("\n"):
-            pieces = [line] if unit == "line" else re.findall(r"[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+", line)
-            for piece in pieces:
-                if len(unit_key(piece).split()) >= substrings.MIN_WORDS and unit_key(piece) in seen:
-                    removed.append((at, at + len(piece), seen[unit_key(piece)]))
-                else:
-                    seen.setdefault(unit_key(piece), i)
-                    left += piece
+            for piece in [line] if unit == "line" else re.findall(r"[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+", line):
+                if unit_key(piece):
+                    units.append((at, at + len(piece), unit_key(piece).split()))
                 at += len(piece)
-            left, at = left + "\n", at + 1
-        want[i] = (None if text is None else left[:-1], removed)
+            at += 1
+        texts[i] = (text, units)
+        enough = lambda x, y: sum(len(u[2]) for u in units[x:y + 1]) >= least
+        pairs = [(x, y) for x in range(len(units)) for y in range(x, min(len(units), x + least))
+                 if enough(x, y) and not (enough(x, y - 1) and enough(x + 1, y))]
+        if units and not enough(0, len(units) - 1):
+            pairs = [(0, len(units) - 1)]
+        runs_ += [(i, units[x][0], units[y][1], b" ".join(w for u in units[x:y + 1] for w in u[2]), x, y) for x, y in pairs]
+    gone = {i: {} for i in texts}
+    for i, start, end, body, x, y in sorted(runs_):
+        first, stop = places.setdefault(body, (i, end))
+        if first != i or start >= stop:
+            for u in range(x, y + 1):
+                gone[i][u] = min(gone[i].get(u, first), first)
+    out = {}
+    for i, (text, units) in texts.items():
+        removed = [(units[u][0], units[u][1], gone[i][u]) for u in sorted(gone[i])]
+        left, at = "", 0
+        for start, end, _ in removed:
+            left, at = left + text[at:start], end
+        out[i] = (None if text is None else left + text[at:], removed)
+    return out
+
+
+@pytest.mark.parametrize("unit", ["line", "sentence"])
+def test_unit_dedup_equals_brute_force(keyed, unit):
+    want = unit_rule(corpus.texts_by_id(keyed), unit, substrings.MIN_WORDS)
     got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in substrings.dedup_units(keyed, unit=unit).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("unit, least", [("sentence", 6), ("line", 5), ("sentence", 16)])
+def test_runs_of_short_units_equal_brute_force(spark, unit, least):
+    """Few words, short units of every kind, so that runs repeat, overlap and end early."""
+    rng, rows = random.Random(least), []
+    for i in range(60):
+        words_ = [rng.choice(["a", "B", "c.", "d!", "e\n", "f.\n\n", " ", "\n \n", "..."]) for _ in range(rng.randrange(0, 40))]
+        rows.append((i, None if i % 20 == 7 else " ".join(words_)))
+    rows += [(100 + i, rows[i][1]) for i in (3, 4, 5)]
+    got = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]])
+           for r in substrings.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), unit=unit, min_words=least).collect()}
+    assert got == unit_rule(rows, unit, least)
+
+
+def test_passage_of_short_sentences_and_copies_go_whole(spark):
+    passage = " ".join(" ".join(corpus.words(60 + i, 4)).replace(".", "") + "." for i in range(13))  # 52 words in sentences of four
+    rows = [(i, f"{' '.join(corpus.words(700 + i, 30))}. {passage} {' '.join(corpus.words(800 + i, 30))}") for i in range(3)]
+    rows += [(10, passage.replace(". ", ".\n")), (11, "Two words."), (12, "two  WORDS."), (13, corpus.prose(5, 90)), (14, corpus.prose(5, 90))]
+    got = {r["doc_id"]: r for r in substrings.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), unit="sentence").collect()}
+    assert not got[0]["removed"] and not got[11]["removed"] and not got[13]["removed"]
+    for i in (1, 2):
+        assert passage not in got[i]["text"] and len(got[i]["removed"]) == 13
+        assert sum(x["end"] - x["start"] for x in got[i]["removed"]) == len(passage) + 1
+    for i in (10, 12, 14):  # copies lose all their words
+        assert got[i]["text"].split() == []
+
+
 def test_unit_dedup_finds_a_passage_inside_a_line(spark):
     passage = " ".join(f"{' '.join(corpus.words(30 + i, 11))}. " for i in range(6))
     rows = [(i, f"{' '.join(corpus.words(500 + i, 40))} {passage} {' '.join(corpus.words(900 + i, 40))}") for i in range(4)]
