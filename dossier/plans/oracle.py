@@ -427,7 +427,8 @@ _oracle("binary_guard", "all_files", f"""
 _NEW = "SELECT file_id, action AS status, event_id AS batch FROM actions"
 _LAST = f"SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY batch DESC) = 1"
 _FIRST = f"SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY batch) = 1"
-_oracle("upsert_by_key", "files actions", f"""
+for _name in ("upsert_by_key", "upsert_buckets"):
+    _oracle(_name, "files actions", f"""
  SELECT coalesce(n.file_id, f.file_id) AS file_id, coalesce(n.status, f.status) AS status, coalesce(n.batch, -1) AS batch
  FROM files f FULL JOIN ({_LAST}) n ON n.file_id = f.file_id""")
 _oracle("upsert_by_key_columns", "files actions", f"""

@@ -122,6 +122,17 @@ def upsert_by_key_columns(c):
     return tables.upsert_by_key(old, new, "file_id", "batch", update=("status",))
 
 
+@query
+def upsert_buckets(c):
+    """The same merge into a table of 32 hash buckets, in place."""
+    path = _scratch(c, "bucketed")
+    old = c.files.select("file_id", "status", F.lit(-1).cast("long").alias("batch"))
+    new = c.actions.select("file_id", F.col("action").alias("status"), F.col("event_id").alias("batch"))
+    tables.write_bucketed(old, path, "file_id", 32)
+    tables.upsert_buckets(c.spark, path, new, "file_id", "batch", 32)
+    return c.spark.read.parquet(path).select("file_id", "status", "batch")
+
+
 @query
 def insert_ignore(c):
     old = c.files.select("file_id", "status", F.lit(-1).cast("long").alias("batch"))

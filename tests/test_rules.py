@@ -3,6 +3,7 @@
 import io
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -519,6 +520,72 @@ def test_context_without_hits(spark):
     assert serve.retrieval_context(hits, names, scores, chunks, asked).first()["context"] == "No matching files were found."
 
 
+def test_upsert_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "table")
+    old = spark.createDataFrame([(i, f"v{i}", 0, i % 3) for i in range(200)], "k long, v string, n long, extra long")
+    tables.write_bucketed(old, path, "k", 16)
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(3, "x", 1, None), (3, "y", 2, 7), (500, "z", 1, 8), (3, "w", 0, 9)], old.schema)
+    touched = tables.upsert_buckets(spark, path, new, "k", "n", 16)
+    after = files()
+    gone = {f.split("/")[0] for f in before if after.get(f) != before[f]}
+    assert 1 <= len(gone) <= touched <= 2 and len(set(before) & set(after)) >= len(before) * 13 // 16
+    read = lambda: {tuple(r) for r in spark.read.parquet(path).select(*old.columns).collect()}
+    want = {tuple(r) for r in tables.upsert_by_key(old, new, "k", "n").collect()}
+    assert read() == want and (3, "y", 2, 7) in want
+    tables.upsert_buckets(spark, path, new, "k", "n", 16)  # a repeated run changes nothing
+    assert read() == want
+    part = spark.createDataFrame([(4, "only", 5, 99), (501, "all", 5, 99)], old.schema)
+    tables.upsert_buckets(spark, path, part, "k", "n", 16, update=("v",))
+    assert {(4, "only", 0, 1), (501, "all", 5, 99)} <= read() and len(read()) == 202
+    assert tables.upsert_buckets(spark, path, part.filter("false"), "k", "n", 16) == 0 and len(read()) == 202
+
+
+def test_upsert_into_an_empty_bucketed_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0), (None, "b", 0)], "k long, v string, n long")
+    tables.write_bucketed(rows.filter("false"), str(tmp_path / "t"), "k", 4)
+    tables.upsert_buckets(spark, str(tmp_path / "t"), rows, "k", "n", 4)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("k", "v", "n").collect()} == {(1, "a", 0), (None, "b", 0)}
+
+
+def test_change_log_is_read_from_a_snapshot_and_few_batches(spark, tmp_path, monkeypatch):
+    from dossier.streaming.feedback import ChangeLog, current_state
+
+    target = str(tmp_path / "log")
+    log = ChangeLog(spark, target, "k", every=10)
+    want = {}
+
+    def save(n):
+        rows = [(k, n * 100 + k) for k in (n % 7, n % 5 + 20)]
+        want.update(rows)
+        log.save(spark.createDataFrame(rows, "k long, v long").coalesce(1), n)
+
+    for n in range(100):
+        save(n)
+    assert log.snapshot() == 99 and len(log._parts()) == 1
+    for n in range(100, 105):
+        save(n)
+    assert len(log._parts()) == 6 and len(log.state().inputFiles()) <= 5 + 8 * 2
+    read = lambda: {tuple(r) for r in current_state(spark, target, "k").collect()}
+    assert read() == set(want.items())
+    assert len(list(Path(target).glob("batch=*"))) <= 25 and len(list(Path(target, "_snapshots").glob("upto=*"))) == 2
+    # The run dies after a snapshot is written and before its manifest is: nothing is lost, and the repeated batch goes on.
+    for n in range(105, 109):
+        save(n)
+    with monkeypatch.context() as broken:
+        broken.setattr(ChangeLog, "_name", lambda self, batch: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            save(109)
+    assert log.snapshot() == 99 and read() == set(want.items())
+    Path(target, "_manifests", "109").write_text('{"upto"')  # or while it is
+    assert log.snapshot() == 99 and read() == set(want.items())
+    save(109)
+    assert log.snapshot() == 109 and read() == set(want.items()) and len(log._parts()) == 1
+    save(109)
+    assert read() == set(want.items())
+
+
 def test_streamed_latest_equals_batch_over_several_batches(spark, tmp_path):
     from dossier.operators.keyed import latest_per_key
     from dossier.streaming import feedback as stream
@@ -551,6 +618,26 @@ def test_stream_ingest_resumes(spark, tmp_path):
     assert {tuple(r) for r in ingest.ingested(spark, target).select(*chunk.CHUNK_COLUMNS).collect()} == want
 
 
+def test_stream_ingest_chunks_a_row_once(spark, tmp_path):
+    """Rows come again in another file, in the same batch and after a restart."""
+    from dossier.operators import chunk
+    from dossier.streaming import ingest
+
+    schema = ("id long, file_id long, extracted_text string, extraction_method string, extraction_status string, "
+              "language_hint string, phase1_status string")
+
+    def batch(ids):
+        return spark.createDataFrame([(i, i or 0, f"text {i} " * 300, "markitdown", "SUCCESS", "en", "") for i in ids], schema)
+
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for ids in ((1, 2, 2), (2, 3, 1), (3, 4, None), (1, 4, None, 5)):
+        batch(ids).coalesce(1).write.mode("append").parquet(source)
+        ingest.stream_ingest(spark, source, spark.read.schema(schema).parquet(source).schema, target, state).awaitTermination()
+    got = [tuple(r) for r in ingest.ingested(spark, target).select(*chunk.CHUNK_COLUMNS).collect()]
+    want = {tuple(r) for r in chunk.chunk_documents(batch((1, 2, 3, 4, 5, None))).collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_candidate_query_trains_the_forest_of_a_retraining_round(spark, monkeypatch):
     asked, train = [], model.train_importance_model
 
