@@ -611,11 +611,11 @@ class _Places:
         kind = vectors.schema["vector"].dataType.simpleString()
         placed = vectors.select(F.col("id").cast("string").alias("id"), "vector").mapInArrow(
             place, f"cell long, _blocks long, id string, vector {kind}")
-        return placed.select("cell", _bucket(F.col("id"), F.col("_blocks")).alias("block"), F.lit(False).alias("is_query"), "id",
-                             F.col("vector").cast("array<double>").alias("vector"))
+        return placed.select("cell", _bucket(F.col("id"), F.col("_blocks")).alias("block"), F.lit(False).alias("is_query"),
+                             F.lit(None).cast("double").alias("bound"), "id", F.col("vector").cast("array<double>").alias("vector"))
 
-    def visits(self, queries: DataFrame, home: bool) -> DataFrame:
-        """Queries in the blocks of their home cell, or of every other cell that may hold something nearer than ``bound``.
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """Queries (id, vector, bound) in the blocks of every cell that may hold something as near as ``bound``.
 
         A cell's vectors lie within its radius of the pivot, so none is nearer
         to the query than their angle less that radius.
@@ -626,14 +626,9 @@ class _Places:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                cosine, nearest = _nearest(batch, pivots)
-                own = np.arange(len(pivots))[None, :] == nearest[:, None]
-                if home:
-                    goes = own
-                else:
-                    possible = np.cos(np.maximum(0.0, _angle(cosine) - radii[None, :]))
-                    goes = ~own & (possible >= batch.column("bound").to_numpy()[:, None] - 1e-9)
-                who, where = np.nonzero(goes)
+                cosine, _ = _nearest(batch, pivots)
+                possible = np.cos(np.maximum(0.0, _angle(cosine) - radii[None, :]))
+                who, where = np.nonzero(possible >= batch.column("bound").to_numpy()[:, None] - 1e-9)
                 many = blocks[where]
                 who, cell = np.repeat(who, many), np.repeat(where, many)
                 block = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
@@ -641,12 +636,86 @@ class _Places:
                     part = slice(begin, begin + 4096)
                     take = pa.array(who[part])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell[part].astype(np.int64)), pa.array(block[part].astype(np.int32)),
-                         batch.column("id").take(take), batch.column("vector").take(take)], names=["cell", "block", "id", "vector"])
+                        [pa.array(cell[part].astype(np.int64)), pa.array(block[part].astype(np.int32)), batch.column("bound").take(take),
+                         batch.column("id").take(take), batch.column("vector").take(take)], names=["cell", "block", "bound", "id", "vector"])
 
         kind = queries.schema["vector"].dataType.simpleString()
-        placed = queries.select("id", "vector", "bound").mapInArrow(visit, f"cell long, block int, id string, vector {kind}")
-        return placed.select("cell", "block", F.lit(True).alias("is_query"), "id", F.col("vector").cast("array<double>").alias("vector"))
+        return queries.select("id", "vector", "bound").mapInArrow(visit, f"cell long, block int, bound double, id string, vector {kind}").select(
+            "cell", "block", F.lit(True).alias("is_query"), "bound", "id", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _bounded(queries: DataFrame, sample: np.ndarray, k: int) -> DataFrame:
+    """Queries with ``bound``: their k-th similarity in a sample of the vectors, which the whole cannot fall below."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.full(batch.num_rows, -1.0)
+            if batch.num_rows and len(sample) >= k:
+                scores = unit_rows(as_matrix(batch.column("vector"))) @ sample.T
+                bound = np.round(np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k], 12)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(bound)], names=["id", "vector", "bound"])
+
+    return queries.mapInArrow(run, f"id string, vector {queries.schema['vector'].dataType.simpleString()}, bound double")
+
+
+class MaxWeightIndex:
+    """The vectors of one block in short runs, with the largest and smallest weight of a run in every dimension.
+
+    Vectors nearest to the same one of the block stand together, so a run has few
+    dimensions that are not zero, and only those are multiplied.  A query's
+    score in a run is at most the sum of its weights times those extremes; runs
+    are taken best bound first, and those that cannot reach the k-th score known
+    by then are left.
+    """
+
+    RUN = 64
+
+    def __init__(self, ids: list[str], vectors: np.ndarray):
+        self.ids = np.asarray(ids, dtype=object)
+        near = (vectors @ vectors[::self.RUN].T).argmax(axis=1)
+        order = np.lexsort((self.ids, near))
+        self.ids, vectors, near = self.ids[order], vectors[order], near[order]
+        self.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        place = np.arange(len(near)) - np.searchsorted(near, near)
+        starts = np.flatnonzero(place % self.RUN == 0)
+        ends = np.append(starts[1:], len(near))
+        self.tops, self.lows = np.maximum.reduceat(vectors, starts), np.minimum.reduceat(vectors, starts)
+        self.runs = []
+        for i, (begin, end) in enumerate(zip(starts, ends)):
+            dims = np.flatnonzero((self.tops[i] != 0) | (self.lows[i] != 0))
+            self.runs.append((begin, dims, np.ascontiguousarray(vectors[begin:end, dims])))
+        self.visited = self.offered = 0
+
+    def search(self, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k best rows of every query that are not below its ``bound``; ties to the smaller id."""
+        most = np.maximum(queries, 0) @ self.tops.T + np.minimum(queries, 0) @ self.lows.T
+        known = bound.copy()
+        first = most.argmax(axis=1)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def visit(i: int, asking: np.ndarray, lift: bool) -> None:
+            begin, dims, held = self.runs[i]
+            scores = np.round(queries[np.ix_(asking, dims)] @ held.T, 12)
+            if lift and scores.shape[1] >= k:
+                kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                known[asking] = np.maximum(known[asking], kth)
+            q, row = np.nonzero(scores >= known[asking][:, None] - 1e-11)
+            found.append((asking[q], begin + row, scores[q, row]))
+            self.visited += len(asking)
+
+        self.offered += most.size
+        for i in np.unique(first):
+            visit(i, np.flatnonzero((first == i) & (most[:, i] >= known - 1e-9)), lift=True)
+        order = np.argsort(-most.max(axis=0), kind="stable")
+        for i in order:
+            asking = np.flatnonzero((first != i) & (most[:, i] >= known - 1e-9))
+            if len(asking):
+                visit(i, asking, lift=True)
+        none = np.zeros(0, np.int64)
+        q, row, score = (np.concatenate(x) for x in zip((none, none, none.astype(float)), *found))
+        order = np.lexsort((self.rank[row], -score, q))
+        q, row, score = q[order], row[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[place < k], row[place < k], score[place < k]
 
 
 def _best_in_blocks(residents: DataFrame, visits: DataFrame, k: int, parts: int) -> DataFrame:
@@ -655,7 +724,7 @@ def _best_in_blocks(residents: DataFrame, visits: DataFrame, k: int, parts: int)
     A block's vectors come first and are held; the queries stream past them.
     """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, known = None, [], [], None
+        now, ids, held, index = None, [], [], None
         for batch in batches:
             keys = list(zip(batch.column("cell").to_pylist(), batch.column("block").to_pylist(), batch.column("is_query").to_pylist()))
             edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
@@ -664,53 +733,41 @@ def _best_in_blocks(residents: DataFrame, visits: DataFrame, k: int, parts: int)
                     continue
                 part, (cell, block, is_query) = batch.slice(begin, end - begin), keys[begin]
                 if (cell, block) != now:
-                    now, ids, held, known = (cell, block), [], [], None
+                    now, ids, held, index = (cell, block), [], [], None
                 if not is_query:
                     ids += part.column("id").to_pylist()
                     held.append(unit_rows(as_matrix(part.column("vector"))))
                     continue
                 if not ids:
                     continue
-                if known is None:
-                    order = np.argsort(np.asarray(ids, dtype=object), kind="stable")
-                    known = np.asarray(ids, dtype=object)[order], np.concatenate(held)[order]
-                scores = np.round(unit_rows(as_matrix(part.column("vector"))) @ known[1].T, 12)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                index = index or MaxWeightIndex(ids, np.concatenate(held))
+                q, row, score = index.search(unit_rows(as_matrix(part.column("vector"))), part.column("bound").to_numpy(), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), best.shape[1]))),
-                     pa.array(known[0][best.ravel()], pa.string()), pa.array(np.take_along_axis(scores, best, axis=1).ravel())],
+                    [part.column("id").take(pa.array(q)), pa.array(index.ids[row], pa.string()), pa.array(score)],
                     names=["query_id", "id", "similarity"])
 
     rows = residents.unionByName(visits).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "is_query")
     return rows.mapInArrow(search, "query_id string, id string, similarity double")
 
 
+#: Vectors that give every query its first bound: rows on the driver and in every task.
+BOUND_SAMPLE = 4096
+
+
 def top_k_pairs(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k vectors nearest to each query (query_id, id, similarity, rank).  Exact; ties: smaller id.
 
-    A query first meets the cell of its nearest pivot.  The k-th similarity
-    found there bounds what other cells have to offer, and only those that may
-    hold something nearer are visited.  Queries go to the cells: a vector is
-    sent once in either pass, whatever the number of queries.
+    A sample of fixed size gives every query a similarity that its k-th nearest
+    cannot fall below.  The query visits the cells that may hold as much, and in
+    a cell's blocks the runs that may, best first.  Queries go to the cells: a
+    vector is sent once, whatever the number of queries.
     """
     spark = vectors.sparkSession
     places = _Places(vectors, block_rows)
-    asked = written(queries.select(
-        F.col("id").cast("string").alias("id"), "vector", F.lit(-1.0).alias("bound")), "knn-queries")
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-
-    def nearest(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
     if not len(places.pivots):
         return spark.createDataFrame([], "query_id string, id string, similarity double, rank int")
-    residents = places.residents(vectors)
+    asked = _bounded(queries.select(F.col("id").cast("string").alias("id"), "vector"), _pivots(vectors, BOUND_SAMPLE), k)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(places.blocks.sum()), MAX_PARTS))
-    first = nearest(_best_in_blocks(residents, places.visits(asked, home=True), k, parts))
-    if len(places.pivots) == 1:
-        return first
-    first = written(first, "knn-home")
-    bounds = written(first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("similarity").alias("found")), "knn-bounds")
-    bounded = asked.drop("bound").join(bounds, "id", "left").select("id", "vector", F.coalesce("found", F.lit(-1.0)).alias("bound"))
-    others = _best_in_blocks(residents, places.visits(bounded, home=False), k, parts)
-    return nearest(first.drop("rank").unionByName(others))
+    found = _best_in_blocks(places.residents(vectors), places.visits(asked), k, parts)
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -146,6 +146,50 @@ def test_threshold_ties_are_kept(spark):
     assert ("v00000", "v00001") in found(neighbours.exact_pairs(frame(spark, matrix, "id"), 0.6))
 
 
+def sparse_texts(seed, rows, dims=256, words=40, topics=30):
+    """Hashed word counts of texts that share most words with their topic."""
+    rng, common = np.random.default_rng(seed), np.random.default_rng(0).integers(0, dims, (topics, 12))
+    out = np.zeros((rows, dims))
+    for i, topic in enumerate(rng.integers(0, topics, rows)):
+        np.add.at(out[i], np.concatenate([rng.choice(common[topic], words * 3 // 4), rng.integers(0, dims, words // 4)]), 1.0)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def test_runs_that_cannot_hold_a_better_one_are_left():
+    known, asked, k = sparse_texts(1, 4096), sparse_texts(2, 200), 5
+    ids = [f"v{i:05d}" for i in range(len(known))]
+    index = neighbours.MaxWeightIndex(ids, known)
+    bound = np.sort(np.round(asked @ known[:200].T, 12), axis=1)[:, -k]
+    q, row, score = index.search(asked, bound, k)
+    scores = np.round(asked @ known.T, 12)
+    for i in range(len(asked)):
+        want = sorted(range(len(ids)), key=lambda j: (-scores[i, j], ids[j]))[:k]
+        assert [index.ids[r] for r in row[q == i]] == [ids[j] for j in want]
+    assert index.visited < 0.5 * index.offered
+    assert sum(len(dims) for _, dims, _ in index.runs) < 0.9 * known.shape[1] * len(index.runs)
+
+
+def test_search_in_a_block_below_the_bound_finds_nothing():
+    index = neighbours.MaxWeightIndex(["a", "b"], np.array([[1.0, 0.0], [0.0, 0.0]]))
+    q, row, score = index.search(np.array([[0.0, 1.0], [1.0, 0.0], [-1.0, 0.0]]), np.array([0.5, 0.5, -1.0]), 2)
+    assert list(zip(q, index.ids[row], score)) == [(1, "a", 1.0), (2, "b", 0.0), (2, "a", -1.0)]
+
+
+@pytest.mark.parametrize("sample", [3, 50, 4096])
+def test_top_k_of_sparse_queries_with_ties_and_zeros(spark, monkeypatch, sample):
+    monkeypatch.setattr(neighbours, "BOUND_SAMPLE", sample)
+    known = np.vstack([sparse_texts(3, 300, 32, 6, 5), np.zeros((3, 32)), sparse_texts(3, 40, 32, 6, 5)])  # the last repeat the first
+    asked = np.vstack([sparse_texts(4, 40, 32, 3, 5), np.zeros((1, 32)), -sparse_texts(5, 5, 32, 3, 5)])
+    got = neighbours.top_k_pairs(frame(spark, asked, "id"), frame(spark, known, "id"), 7, 32).collect()
+    scores = np.round(asked @ known.T, 12)
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+    for i in range(len(asked)):
+        want = sorted(range(len(known)), key=lambda j: (-scores[i, j], j))[:7]
+        assert [(n, x) for n, x, _ in sorted(by[f"v{i:05d}"])] == [(n + 1, f"v{j:05d}") for n, j in enumerate(want)]
+
+
 @pytest.mark.parametrize("block", [16, 4096])
 def test_lsh_pairs_are_exact_and_nearly_complete(spark, block):
     matrix = clustered(11, 20, 15, noise=0.08)
