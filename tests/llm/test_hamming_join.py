@@ -8,7 +8,6 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -81,9 +80,8 @@ def test_distance_follows_similarity():
     assert 7 < np.mean(apart) < 9 and max(apart) <= hj.DISTANCE
 
 
-@pytest.mark.parametrize("words", [1, 4])
-def test_components_of_random_near_copies(spark, words):
-    rng, texts = random.Random(words), []
+def test_components_of_random_near_copies(spark):
+    rng, texts = random.Random(4), []
     for family in range(12):
         base = corpus.words(family, rng.randrange(3, 120))
         for _ in range(rng.randrange(1, 9)):
@@ -92,7 +90,7 @@ def test_components_of_random_near_copies(spark, words):
                 copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
             texts.append(" ".join(copy) if rng.random() < 0.8 else " ".join(copy).upper())
     texts += ["", None, "  \n", "one", "one two", "ONE", "one two three", "a b c d", "a b c d e"]
-    got = compared(spark, texts, words)
+    got = compared(spark, texts)
     assert len({c for _, c in got.values()}) < len(texts) - 8
 
 
@@ -128,7 +126,7 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert set(ids) == {i for i, c in want.items() if c[1] == i} | {None}
-    assert hj.near_duplicates(docs.filter("false")).count() == 0 and hj.one_per_component(docs.filter("false")).count() == 0
+    assert hj.one_per_component(docs.filter("false")).count() == 0
 
 
 def test_keys_of_other_types_and_names(spark):

@@ -633,6 +633,21 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, empty):
     assert packed.select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
 
 
+def test_pipeline_stages_give_other_columns_back(spark):
+    """Columns with the names that operators add keep their own values."""
+    import corpus_pipeline
+
+    names = "removed items spans runs n_words n_lines n_removed_lines contaminated n_hit kept quality votes n_items id token".split()
+    text = corpus.prose(77, 120)
+    rows = [(i, text if i < 2 else corpus.prose(80 + i, 150), i, *(f"mine-{i}-{n}" for n in names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, "/root/testdata/sf0.001")
+        assert done.dtypes == docs.dtypes, name
+        got = {r["doc_id"]: tuple(r[n] for n in names) for r in done.collect()}
+        assert got and all(v == tuple(f"mine-{i}-{n}" for n in names) for i, v in got.items()), name
+
+
 def test_pipeline_equals_its_stages_in_brute_force(spark):
     """Kept documents of the filtering stages on the smallest tables."""
     import corpus_pipeline
