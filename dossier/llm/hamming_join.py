@@ -7,12 +7,16 @@ twice in every chunk, so some chunk differs in one value at most (pigeonhole).
 Every chunk therefore gives a key for each value left out: all pairs within the
 distance meet under a key, none is left to chance.  What is left to chance is
 the signature: two sets at similarity 0.8 lie further apart than 19 of 40 with
-probability 3e-5, which no cap or bucket size changes.
-
-What meets is compared by signature and then confirmed on full sets.  Sets go to
-the nearest leader of the keys they share first and are settled with its group
-inside a task, so a group of thousands of copies is not written out as pairs;
-only what is in different groups and components after that is compared as pairs.
+probability 2e-5, which no cap or bucket size changes.
+
+What meets is compared by signature and then confirmed on full sets, and no pair
+leaves its task.  Every key has a leader, the set whose keys most others have.
+Sets first go to the nearest leader of their keys and are joined with its group
+inside a task, which puts most copies into one component.  Keys with several
+components after that send all their sets to their leader: any two sets that
+share a key meet there.  Signatures alone tell which sets have a near one of
+another component, and only those come with their full sets.  Large groups are
+dealt out in tiles of two blocks; a task returns the links that join components.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.storage import written
 from ..operators.cluster import connected_components
+from . import ngram_join
 from .common import BASE, bitmap, holds, mixed, steps
 from .ngram_join import SKETCH_BITS, _by_group, _labelled, _rows_by_query, _set_keys, full_paths, pair_overlap, shingle_sets
 
@@ -132,11 +137,12 @@ def _linked(one: np.ndarray, others: list[np.ndarray], over: int, under: int) ->
 
 
 def _settled(stars: DataFrame, paths: DataFrame, over: int, under: int) -> DataFrame:
-    """(a, b, settled): links that join every group (leader a, sets b) as the similarities of its sets do.
+    """(a, b, settled, root): links that join every group (leader a, sets b) as the similarities of its sets do.
 
     The leader is compared with all, then every set not joined to it with those
     of other components within the distance.  Links returned join two components
-    each; rows (b, null, group) say in which group a set was.
+    each; rows (b, null, group, root) say in which group a set was and which of
+    it names its part.
     """
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, salt, keys, sets in _by_group(batches):
@@ -160,73 +166,97 @@ def _settled(stars: DataFrame, paths: DataFrame, over: int, under: int) -> DataF
                             if root[u] != root[v]:
                                 unite(int(u), int(v))
             group = int(mixed(np.array([a], np.int64).view(np.uint64) + np.uint64(salt)).view(np.int64)[0])
-            made += [(b, None, group) for b in keys[1:]]
+            made = [(*x, None) for x in made] + [(b, None, group, keys[r]) for b, r in zip(keys[1:], root[1:])]
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b", "settled", "root"])
 
-    return _rows_by_query(stars, paths).mapInArrow(join, "a long, b long, settled long")
+    return _rows_by_query(stars, paths).mapInArrow(join, "a long, b long, settled long, root long")
 
 
-def _confirmed(pairs: DataFrame, paths: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, _, keys, sets in _by_group(batches):
-            hit = np.flatnonzero(_linked(sets[0], sets[1:], over, under)) + 1 if len(keys) > 1 else []
-            if len(hit):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a] * len(hit), pa.int64()), pa.array([keys[i] for i in hit], pa.int64())], names=["a", "b"])
+def _tiled(members: DataFrame, weight: str, limit: int) -> DataFrame:
+    """Rows (a, …) with tile (i, j) and their ``block``: the blocks of a group hold ``limit`` of ``weight`` or so.
 
-    return _rows_by_query(pairs, paths).mapInArrow(compare, "a long, b long")
+    Any two rows of a group share a tile.  Rows are dealt by tile and come sorted by it.
+    """
+    counts = written(members.groupBy("a").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("blocks")), "hamming-counts")
+    blocked = members.join(counts.hint("merge"), "a").withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
+    tiled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return tiled.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+
+class _Tile:
+    """The rows of one tile and which of them are to be compared."""
+
+    def __init__(self, tile: tuple, rows: list[dict], over: int, under: int) -> None:
+        self.leader, self.diagonal, self.over, self.under = tile[0], tile[1] == tile[2], over, under
+        self.keys, self.n, self.component, self.settled, self.block = (
+            np.array([r[name] for r in rows], np.int64) for name in ("set_key", "n", "component", "settled", "block"))
+        self.values = np.frombuffer(b"".join(r["signature"] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
+
+    def near(self, u: int) -> np.ndarray:
+        """Later rows within DISTANCE of row ``u`` that are in another component, not compared before and of a size that can link."""
+        n = self.n[u:] if self.diagonal else self.n
+        rows = slice(u, None) if self.diagonal else slice(None)
+        may = (self.component[rows] != self.component[u]) & (self.settled[rows] != self.settled[u])
+        may &= (n * self.under >= n[0 if self.diagonal else u] * self.over) & (n[0 if self.diagonal else u] * self.under >= n * self.over)
+        if not self.diagonal:
+            may &= self.block > self.block[u]
+        other = np.flatnonzero(may) + (u if self.diagonal else 0)
+        return other[(self.values[other] != self.values[u]).sum(1) <= DISTANCE] if len(other) else other
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """((a, i, j), rows) of rows sorted by tile."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            tile = row["a"], row["i"], row["j"]
+            if tile != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = tile, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _with_partners(members: DataFrame, over: int, under: int) -> DataFrame:
+    """(a, set_key) of the members that have a near set of another component in their group."""
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, rows in _tiles(batches):
+            t = _Tile(tile, rows, over, under)
+            found = np.zeros(len(rows), bool)
+            for u in range(len(rows)):
+                near = t.near(u)
+                found[near] = True
+                found[u] |= len(near) > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(found.sum(), t.leader, np.int64)), pa.array(t.keys[found])], names=["a", "set_key"])
 
+    return _tiled(members.withColumn("one", F.lit(1)), "one", BLOCK).mapInArrow(flag, "a long, set_key long").distinct()
 
-def _apart(named: DataFrame, over: int, under: int) -> DataFrame:
-    """Pairs (a, b) within DISTANCE that share a key and are in different components and groups.
 
-    Rows of a key are dealt to blocks by hash; a task sees two blocks at a time,
-    however many rows the key has.
-    """
-    counts = written(named.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "hamming-counts")
-    blocked = named.join(counts.hint("merge"), "token").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("set_key"), "blocks").cast("int"))
-    tiled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "n", "component",
-        "settled", "signature")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def pairs() -> pa.RecordBatch:
-            set_key, n, component, settled = (np.array([r[k] for r in rows], np.int64) for k in range(1, 5))
-            block = np.array([r[0] for r in rows])
-            values = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
-            same_tile = now[1] == now[2]
-            found = []
+def _joining(members: DataFrame, over: int, under: int) -> DataFrame:
+    """(a, b): links between near members, confirmed on their full sets, that join the components of a tile."""
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, rows in _tiles(batches):
+            t = _Tile(tile, rows, over, under)
+            sets = [np.frombuffer(r["path"], ">u8").astype(np.uint64) for r in rows]
+            made = []
             for u in range(len(rows)):
-                # Every pair once: later rows of one block, or the rows of the other block.
-                may = (np.arange(len(rows)) > u) if same_tile else (block > block[u])
-                may &= (component != component[u]) & (settled != settled[u])
-                may &= (n * under >= n[u] * over) & (n[u] * under >= n * over)
-                other = np.flatnonzero(may)
-                if len(other):
-                    other = other[(values[other] != values[u]).sum(1) <= DISTANCE]
-                    found += [(min(set_key[u], set_key[v]), max(set_key[u], set_key[v])) for v in other]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (
-                "token", "i", "j", "block", "set_key", "n", "component", "settled", "signature")]
-            for token, i, j, *row in zip(*columns):
-                if (token, i, j) != now:
-                    if len(rows) > 1:
-                        yield pairs()
-                    now, rows = (token, i, j), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield pairs()
+                near = t.near(u)
+                if not len(near):
+                    continue
+                for v in near[_linked(sets[u], [sets[v] for v in near], over, under)]:
+                    if t.component[u] != t.component[v]:
+                        t.component[t.component == t.component[v]] = t.component[u]
+                        made.append((t.keys[u], t.keys[v]))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b"])
 
-    dealt = tiled.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    sized = members.withColumn("grams", F.length("path") / 8)
+    return _tiled(sized, "grams", ngram_join.GROUP).drop("grams").mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, over: int = 4,
@@ -259,11 +289,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     scored = heads.withColumn("score", F.sum("rows").over(Window.partitionBy("set_key")))
     leaders = written(scored.groupBy("token").agg(F.max_by(F.struct("set_key", "n"), F.struct("score", "set_key")).alias("l")).select(
         "token", F.col("l.set_key").alias("a"), F.col("l.n").alias("m")), "hamming-leaders")
-    may = heads.join(leaders.hint("merge"), "token").filter(
+    groups = written(heads.join(leaders.hint("merge"), "token").select("a", "m", "set_key", "n").distinct(), "hamming-groups")
+    may = groups.filter(
         (F.col("set_key") != F.col("a")) & (F.col("n") * under >= F.col("m") * over) & (F.col("m") * under >= F.col("n") * over))
-    may = written(may.select("a", F.col("set_key").alias("b")).distinct(), "hamming-may")
-    stars = written(_near(may, sets).groupBy("b").agg(F.min(F.struct("distance", "a")).alias("best")).select(
-        F.col("best.a").alias("a"), "b"), "hamming-stars")
+    stars = written(_near(may.select("a", F.col("set_key").alias("b")), sets).groupBy("b").agg(
+        F.min(F.struct("distance", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "hamming-stars")
 
     # Sets in order of hash; with no counts to sort by, that is the order paths come in.
     unsorted = spark.sparkContext.broadcast(np.zeros(1 << SKETCH_BITS, np.int8))
@@ -275,24 +305,31 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     paths = full_sets(stars.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
     made = written(_settled(stars, paths, over, under), "hamming-links")
     links = made.filter("b IS NOT NULL").select("a", "b")
-    joined = written(connected_components(links), "hamming-joined")
-    settled = made.filter("b IS NULL").select(F.col("a").alias("set_key"), "settled")
-
-    labels = written(sets.select("set_key", "signature").join(joined.withColumnRenamed("node", "set_key").hint("merge"), "set_key", "left")
-                     .join(settled.hint("merge"), "set_key", "left").select(
-        "set_key", "signature", F.coalesce("component", "set_key").alias("component"),
-        F.coalesce("settled", "set_key").alias("settled")), "hamming-labels")
-    named = written(heads.select("token", "set_key", "n").join(
-        labels.select("set_key", "component").hint("merge"), "set_key"), "hamming-named")
-    open_ = written(named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(
-        "token"), "hamming-open")
-    facing = written(named.join(open_.hint("merge"), "token").select("token", "set_key", "n"), "hamming-facing")
-    facing = written(facing.join(labels.hint("merge"), "set_key"), "hamming-rows-apart")
-    pairs = written(_apart(facing, over, under), "hamming-pairs")
-    if pairs.limit(1).count():
-        more_sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
-        more = written(_confirmed(pairs, more_sets, over, under), "hamming-more")
-        joined = written(connected_components(links.unionByName(more)), "hamming-components")
+    # What is joined so far, by names that follow each other a few steps: equal names are one component, if not the other way round.
+    names = written(made.filter("b IS NULL").select(F.col("a").alias("set_key"), "settled", "root"), "hamming-names")
+    for _ in range(2):
+        onward = names.select(F.col("set_key").alias("root"), F.col("root").alias("further"))
+        names = written(names.join(onward.hint("merge"), "root", "left").select(
+            "set_key", "settled", F.coalesce("further", "root").alias("root")), "hamming-names")
+    labels = written(sets.select("set_key", "n", "signature").join(names.hint("merge"), "set_key", "left").select(
+        "set_key", "n", "signature", F.coalesce("root", "set_key").alias("component"), F.coalesce("settled", "set_key").alias("settled")),
+        "hamming-labels")
+
+    members = written(groups.select("a", "set_key").join(labels.hint("merge"), "set_key"), "hamming-members")
+    several = written(members.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select(
+        "a"), "hamming-open")
+    asked = written(_with_partners(members.join(several.hint("merge"), "a"), over, under), "hamming-partners")
+    if asked.limit(1).count():
+        more_sets = full_sets(asked.select("set_key").distinct())
+        facing = written(members.join(asked.hint("merge"), ["a", "set_key"]).join(more_sets.hint("merge"), "set_key"), "hamming-facing")
+        links = links.unionByName(written(_joining(facing, over, under), "hamming-more"))
+    # Components of names, then of sets.
+    named = labels.select("set_key", "component")
+    edges = links.join(named.toDF("a", "x").hint("merge"), "a").join(named.toDF("b", "y").hint("merge"), "b").filter("x <> y")
+    edges = written(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "hamming-edges")
+    joined = written(connected_components(edges), "hamming-components").withColumnRenamed("node", "root").withColumnRenamed("component", "whole")
+    joined = named.join(joined.hint("merge"), named["component"] == joined["root"], "left").select(
+        F.col("set_key").alias("node"), F.coalesce("whole", "component").alias("component"))
     return _labelled(rows.select("id", "n", "set_key"), sets.select("set_key", "first"), joined).select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

@@ -94,25 +94,41 @@ ORACLE_SQL["op5_substring_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number
   FROM documents WHERE text IS NOT NULL),
-units AS (
-  SELECT doc_id, number, unnest(regexp_extract_all(line, '[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+')) AS unit,
+pieces AS (
+  SELECT doc_id, number, unnest(regexp_extract_all(line, '[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+')) AS piece,
     generate_subscripts(regexp_extract_all(line, '[^\n]*?[.!?]+(?:[ \t\r]+|$)|[^\n]+'), 1) AS part FROM lines),
 placed AS (
-  SELECT doc_id, number, part, unit, number - 1 + coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY number, part
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    regexp_extract_all(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS words
-  FROM units),
+  SELECT doc_id, number, part, piece, CAST(number - 1 + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY number, part
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS words
+  FROM pieces),
+units AS (
+  SELECT doc_id, number, part, start, start + length(piece) AS stop, row_number() OVER w AS u, words,
+    sum(len(words)) OVER w - len(words) AS a, sum(len(words)) OVER w AS b
+  FROM placed WHERE len(words) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY number, part)),
+texts AS (SELECT doc_id, max(u) AS last, max(b) AS n FROM units GROUP BY doc_id),
+spans AS (
+  SELECT doc_id, x.u AS i, min(y.u) AS j FROM units x JOIN units y USING (doc_id)
+  WHERE y.u BETWEEN x.u AND x.u + 15 AND y.b >= x.a + 16 GROUP BY ALL
+  UNION SELECT doc_id, max(x.u), y.u FROM units x JOIN units y USING (doc_id)
+  WHERE y.u BETWEEN x.u AND x.u + 15 AND y.b >= x.a + 16 GROUP BY doc_id, y.u
+  UNION SELECT doc_id, 1, last FROM texts WHERE n < 16),
+runs AS (
+  SELECT doc_id, i, j, min(start) AS start, max(stop) AS stop, string_agg(array_to_string(words, ' '), ' ' ORDER BY u) AS body
+  FROM spans JOIN units USING (doc_id) WHERE u BETWEEN i AND j GROUP BY ALL),
 later AS (
-  SELECT doc_id, number, part, start, start + length(unit) AS stop, first_value(doc_id) OVER w AS first_id FROM placed
-  WHERE len(words) >= 8
-  WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) QUALIFY row_number() OVER w > 1),
+  SELECT doc_id, i, j, start, first_value(doc_id) OVER w AS first_id, first_value(stop) OVER w AS first_stop FROM runs
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id, start)),
+gone_units AS (
+  SELECT u.doc_id, u.number, u.part, u.start, u.stop, min(l.first_id) AS first_id FROM later l JOIN units u ON u.doc_id = l.doc_id
+  AND u.u BETWEEN l.i AND l.j WHERE l.doc_id <> l.first_id OR l.start >= l.first_stop GROUP BY ALL),
 gone AS (
   SELECT doc_id, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS chars,
-    string_agg(CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) || ':' || first_id, ',' ORDER BY start) AS removed
-  FROM later GROUP BY doc_id),
+    string_agg(start || ':' || stop || ':' || first_id, ',' ORDER BY start) AS removed
+  FROM gone_units GROUP BY doc_id),
 left_over AS (
-  SELECT doc_id, number, string_agg(unit, '' ORDER BY part) AS line FROM units
-  WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.doc_id = units.doc_id AND l.number = units.number AND l.part = units.part)
+  SELECT doc_id, number, string_agg(piece, '' ORDER BY part) AS line FROM pieces
+  WHERE NOT EXISTS (SELECT 1 FROM gone_units l WHERE l.doc_id = pieces.doc_id AND l.number = pieces.number AND l.part = pieces.part)
   GROUP BY doc_id, number),
 kept AS (
   SELECT doc_id, string_agg(coalesce(o.line, ''), chr(10) ORDER BY number) AS text
