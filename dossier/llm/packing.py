@@ -57,7 +57,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all")
-        except Exception:  # the pattern matcher's limit on long white space
+        except ValueError as error:
+            if "backtracking" not in str(error):  # the pattern matcher's limit on long white space
+                raise
             return self.slow(text)
 
 

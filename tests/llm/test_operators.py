@@ -148,6 +148,20 @@ def test_encoders_agree(text):
     assert encoder.ids(text).tolist() == encoder.slow(text).tolist()
 
 
+def test_ids_are_those_of_the_json_vocabulary_on_all_documents(spark):
+    encoder = packing.Encoder.here()
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert len(texts) == 1000 and all((encoder.ids(t) == encoder.slow(t)).all() for t in texts)
+
+
+def test_long_white_space_goes_to_the_json_vocabulary():
+    encoder = packing.Encoder.here()
+    text = " " * 1_500_000 + "x"
+    with pytest.raises(ValueError, match="backtracking"):
+        encoder.fast.encode_to_numpy(text, allowed_special="all")
+    assert (encoder.ids(text) == encoder.slow(text)).all()
+
+
 def test_encoders_agree_on_special_and_long_texts():
     encoder = packing.Encoder.here()
     for text in ("x<|endoftext|>y", "<|endoftext|>", " " * 3000 + "a", "\n" * 2000, "é" * 1500, "ab" * 2000, "　  x"):
