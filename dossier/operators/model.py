@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, rules
+from .forest import Forest, grow
 from .keyed import rank_by_digest
 from .shapley import attribution_shapley
 
@@ -33,7 +31,7 @@ def class_weights(rows: DataFrame, label_col: str = "label") -> DataFrame:
 def train_importance_model(
     rows: DataFrame, label_col: str = "boot_label", trees: int = TREES, depth: int = DEPTH,
     seed: int = SEED,
-) -> RandomForestClassificationModel:
+) -> Forest:
     """Random forest on the nine signals with balanced class weights."""
     weights = class_weights(rows.select(F.col(label_col).alias("label")))
     train = features(rows).withColumn("_class", rules.label_index(F.col(label_col)).cast("double"))
@@ -41,16 +39,12 @@ def train_importance_model(
     train = train.join(
         F.broadcast(weights.select(F.col("label").alias(label_col), F.col("weight").alias("_weight"))), label_col
     )
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="_class", weightCol="_weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=LEAF, seed=seed, maxMemoryInMB=512,
-    )
-    return forest.fit(train.select("features", "_class", "_weight"))
+    return grow(train, trees, depth, LEAF, seed)
 
 
 def train_candidate(
     rows: DataFrame, label_col: str = "human_label", trees: int = TREES, depth: int = DEPTH,
-) -> RandomForestClassificationModel:
+) -> Forest:
     """The forest of a retraining round: the same settings on human labels."""
     return train_importance_model(rows, label_col, trees, depth)
 
@@ -69,25 +63,18 @@ def cross_validate(
         return spark.createDataFrame([], schema)
     folds = min(5, n // 2)
     folded = rank_by_digest(rows, label_col, "file_id").withColumn("_fold", F.pmod("_rank", F.lit(folds)).cast("int"))
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol="_class", predictionCol="prediction", metricName="accuracy"
-    )
     results = []
     for fold in range(folds):
         model = train_importance_model(folded.filter(F.col("_fold") != fold), label_col, trees, depth)
-        held = features(folded.filter(F.col("_fold") == fold)).withColumn(
-            "_class", rules.label_index(F.col(label_col)).cast("double")
-        )
-        results.append((fold, float(evaluator.evaluate(model.transform(held)))))
+        held = probabilities(folded.filter(F.col("_fold") == fold), model)
+        right = held.select(F.avg((_arg_max_label(F.col("probability")) == F.col(label_col)).cast("double"))).first()[0]
+        results.append((fold, float(right)))
     return spark.createDataFrame(results, schema)
 
 
-def probabilities(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    """Add ``probability`` as four values by class id; classes never seen get 0."""
-    array = vector_to_array("probability")
-    padded = F.slice(F.concat(array, F.array(*[F.lit(0.0)] * len(fixed.LABELS))), 1, len(fixed.LABELS))
-    scored = model.transform(features(rows)).withColumn("probability", padded)
-    return scored.drop("features", "rawPrediction", "prediction")
+def probabilities(rows: DataFrame, model: Forest) -> DataFrame:
+    """Add ``probability`` as four values by class id; classes never seen get 0.  Missing signals become 0."""
+    return rows.fillna(0.0, list(fixed.SIGNALS)).withColumn("probability", model.column(rows.sparkSession))
 
 
 def _importance(probability: Column) -> Column:
@@ -110,18 +97,18 @@ def score_from_probabilities(rows: DataFrame) -> DataFrame:
     })
 
 
-def score_with_model(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def score_with_model(rows: DataFrame, model: Forest) -> DataFrame:
     return score_from_probabilities(probabilities(rows, model))
 
 
-def decision_confidence(rows: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+def decision_confidence(rows: DataFrame, model: Forest | None) -> DataFrame:
     """Add ``confidence``: largest class probability, 0.5 without a model."""
     if model is None:
         return rows.withColumn("confidence", F.lit(0.5))
     return probabilities(rows, model).withColumn("confidence", F.array_max("probability"))
 
 
-def feature_importance(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
+def feature_importance(model: Forest, rows: DataFrame) -> DataFrame:
     """Importance per signal, 4 decimals (nine rows)."""
     values = [(name, round(float(v), 4)) for name, v in zip(fixed.SIGNALS, model.featureImportances.toArray())]
     return rows.sparkSession.createDataFrame(values, "signal string, importance double")
@@ -143,6 +130,6 @@ def attribution_proxy(rows: DataFrame) -> DataFrame:
     return scaled.withColumn("attribution", F.array(*[share(s) for s in fixed.SIGNALS])).drop("_bounds")
 
 
-def attributions(rows: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+def attributions(rows: DataFrame, model: Forest | None) -> DataFrame:
     """Shapley values of the model for every file; without a model every file gets the proxy."""
     return attribution_proxy(rows) if model is None else attribution_shapley(rows, model)

@@ -9,51 +9,20 @@ walk splits only where file and background part.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.storage import shared_folder
+from .forest import Forest, Tree
 
 #: Rows of one walk.
 STEP = 2000
 
 
-@dataclass
-class Tree:
-    """Nodes in arrays; a leaf has no child (-1)."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    probability: np.ndarray
-
-
-def forest_trees(spark: SparkSession, model: RandomForestClassificationModel) -> list[Tree]:
-    """The trees of a fitted forest.  Bounded by its settings, and held by the driver already."""
-    folder = f"{shared_folder(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
-    model.write().save(folder)
-    nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").toPandas()
-    trees = []
-    for _, tree in nodes.groupby("treeID", sort=True):
-        split = tree["split"].tolist()
-        stats = np.array([np.asarray(s, float) for s in tree["impurityStats"]])
-        stats = np.pad(stats, ((0, 0), (0, max(0, len(fixed.LABELS) - stats.shape[1]))))[:, :len(fixed.LABELS)]
-        trees.append(Tree(
-            np.array([s["featureIndex"] for s in split]),
-            np.array([s["leftCategoriesOrThreshold"][0] if len(s["leftCategoriesOrThreshold"]) else 0.0 for s in split]),
-            tree["leftChild"].to_numpy(), tree["rightChild"].to_numpy(), stats / np.maximum(stats.sum(1, keepdims=True), 1e-300)))
-    return trees
-
-
 def _weights(signals: int) -> tuple[np.ndarray, np.ndarray]:
     """Value of a member of A and of B by (|A|, |B|)."""
     inside, outside = np.zeros((signals + 1,) * 2), np.zeros((signals + 1,) * 2)
@@ -98,7 +67,7 @@ def shapley_values(x: np.ndarray, background: np.ndarray, trees: list[Tree]) ->
     return total / len(trees)
 
 
-def attribution_shapley(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def attribution_shapley(rows: DataFrame, model: Forest) -> DataFrame:
     """Add ``attribution``: mean absolute Shapley value of each signal over the classes.
 
     Absent signals stand at their corpus mean.  Every file is judged the same
@@ -108,7 +77,7 @@ def attribution_shapley(rows: DataFrame, model: RandomForestClassificationModel)
     filled = rows.fillna(0.0, list(fixed.SIGNALS)).drop("attribution")
     means = filled.agg(*[F.avg(s) for s in fixed.SIGNALS]).first()
     background = np.array([m or 0.0 for m in means])
-    trees = spark.sparkContext.broadcast(forest_trees(spark, model))
+    trees = spark.sparkContext.broadcast(model.trees)
     names = filled.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

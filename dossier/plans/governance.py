@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, text
 from ..functions.storage import temporary
 from ..operators import chunk, cluster, dedup, explain, extract, feedback, inventory, language, model, report, score, vectors
+from ..operators.forest import Forest
 from ..sources import tables
 
 
@@ -96,9 +96,9 @@ def find_duplicates(
 def score_files(
     stages: Stages, files: DataFrame, content: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame,
     duplicates: dict[str, DataFrame], as_of: str, eps: float = 0.3,
-    deployed: RandomForestClassificationModel | None = None, ratings: DataFrame | None = None,
+    deployed: Forest | None = None, ratings: DataFrame | None = None,
     trees: int = model.TREES, depth: int = model.DEPTH,
-) -> tuple[DataFrame, RandomForestClassificationModel]:
+) -> tuple[DataFrame, Forest]:
     """Signals, model scores and labels; a forest is trained when none is deployed."""
     file_vectors = stages.save("file_vectors", vectors.file_embedding_mean(chunk_vectors))
     clusters = stages.save("clusters", cluster.dbscan_cluster(file_vectors, eps))
@@ -107,7 +107,7 @@ def score_files(
     if deployed is None:
         deployed = model.train_importance_model(
             score.boot_label(score.boot_score(signals)), "boot_label", trees, depth)
-        deployed.write().overwrite().save(f"{stages.out}/models/initial")
+        deployed.save(stages.spark, f"{stages.out}/models/initial")
     rated = model.score_with_model(signals, deployed).select(
         "file_id", "path", "name", F.col("extension").alias("ext"), "category", *fixed.SIGNALS,
         "importance_score", "label", "confidence")
@@ -120,7 +120,7 @@ def score_files(
 
 
 def explain_files(
-    stages: Stages, scores: DataFrame, deployed: RandomForestClassificationModel | None,
+    stages: Stages, scores: DataFrame, deployed: Forest | None,
 ) -> DataFrame:
     """Explanation records of scored files (with ``confidence``)."""
     attributed = model.attributions(scores, deployed)
@@ -164,7 +164,7 @@ def run(
 
 def retrain(
     spark: SparkSession, out: str, feedback_rows: DataFrame, scores: DataFrame, files: DataFrame,
-    versions: DataFrame, deployed: RandomForestClassificationModel | None = None,
+    versions: DataFrame, deployed: Forest | None = None,
     threshold: int = feedback.RETRAIN_AT, force: bool = False, trees: int = model.TREES, depth: int = model.DEPTH,
 ) -> dict:
     """One retraining round: gates, training, comparison on the holdout, version log.
@@ -200,7 +200,7 @@ def retrain(
     row = feedback.model_version_row(versions, decision, "", quality, usable).withColumn("model_path", folder)
     row = stages.save("new_version", row.withColumn("trained_at", F.current_timestamp().cast("timestamp_ntz")))
     made = row.first()
-    candidate.write().overwrite().save(f"{stages.out}/models/v{made['version']}")
+    candidate.save(spark, f"{stages.out}/models/v{made['version']}")
     stages.report("classification", quality)
     stages.report("disagreement", feedback.disagreement_rate(usable))
     return {

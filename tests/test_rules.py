@@ -398,6 +398,44 @@ def test_shapley_equals_its_definition(spark):
         assert got[5][i] == pytest.approx(np.abs(total).mean(), abs=1e-9)
 
 
+def test_a_forest_in_parts_equals_sparks_forests(spark, monkeypatch, tmp_path):
+    """Probabilities are those of Spark's own parts, weighted by their trees; a saved forest comes back."""
+    import numpy as np
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from dossier.operators import forest as parts
+
+    asked = []
+
+    class Watched(RandomForestClassifier):
+        def fit(self, rows):
+            asked.append(super().fit(rows))
+            return asked[-1]
+
+    monkeypatch.setattr(parts, "RandomForestClassifier", Watched)
+    monkeypatch.setattr(parts, "PART", 4)
+    values = np.random.default_rng(9).random((200, 9))
+    rows = signal_rows(spark, values.tolist()).withColumn(
+        "boot_label", F.when(F.col("s_recency") + F.col("s_uniqueness") > 1.2, "KEEP").when(F.col("s_llm_quality") > 0.6, "ARCHIVE").otherwise("REVIEW"))
+    grown = model.train_importance_model(rows, trees=10, depth=5)
+    assert [m.getNumTrees for m in asked] == [4, 4, 2] and len(grown.trees) == 10
+    assert len({t.threshold.tobytes() for t in grown.trees}) == 10  # parts differ
+    want = np.zeros((200, 4))
+    assembled = model.features(rows)
+    for m in asked:
+        p = np.array([r["probability"].toArray() for r in m.transform(assembled).orderBy("file_id").collect()])
+        want[:, :p.shape[1]] += m.getNumTrees * p / 10
+    got = np.array([r["probability"] for r in model.probabilities(rows, grown).orderBy("file_id").collect()])
+    assert np.allclose(got, want, atol=1e-12)
+    importances = sum(m.getNumTrees * m.featureImportances.toArray() for m in asked) / 10
+    assert np.allclose(grown.featureImportances.toArray(), importances)
+    grown.save(spark, str(tmp_path / "f"))
+    again = parts.load(spark, str(tmp_path / "f"))
+    assert np.allclose(again.probabilities(values), want, atol=1e-12) and np.allclose(again.importances, grown.importances)
+    empty = model.probabilities(rows.filter("false"), grown)
+    assert empty.count() == 0 and dict(empty.dtypes)["probability"] == "array<double>"
+
+
 def test_every_file_gets_shapley_values(spark):
     import random
     rng = random.Random(4)
