@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, rules, text as tx
@@ -59,6 +59,12 @@ MEMBER_SCHEMA = (
 )
 
 
+MEMBER_TYPES = {
+    "source_archive": pa.string(), "member": pa.string(), "position": pa.int32(), "size_bytes": pa.int64(),
+    "modified_time": pa.timestamp("us"), "hash": pa.string(), "content": pa.binary(),
+}
+
+
 def _zip_rows(path: str, content: bytes) -> Iterator[tuple]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
@@ -77,28 +83,31 @@ def _zip_rows(path: str, content: bytes) -> Iterator[tuple]:
             yield path, info.filename, position, size, datetime(*info.date_time), digest, data
 
 
-def zip_members(archives: DataFrame, with_content: bool = True, batch_bytes: int = 1 << 25) -> DataFrame:
+def zip_members(archives: DataFrame, with_content: bool = True, batch_bytes: int = 1 << 22) -> DataFrame:
     """One row per file inside each zip (path, content).
 
-    An unreadable archive gives one row without a member.  Members go out in batches of about 32 MB, so a large archive is never held
-    unpacked as a whole.
+    An unreadable archive gives one row without a member.  Archives are opened
+    one at a time and members go out in batches of about 4 MB, so neither a
+    large archive nor many small ones are held unpacked.
     """
-    columns = [field.split()[0] for field in MEMBER_SCHEMA.split(", ")]
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values, kind) for values, kind in zip(zip(*rows), MEMBER_TYPES.values())], names=list(MEMBER_TYPES))
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for row in _zip_rows(path, content):
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for row in _zip_rows(path.as_py(), content.as_py()):
                     held += 256 + (len(row[-1]) if with_content else 0)
                     rows.append(row if with_content else row[:-1] + (None,))
                     if held >= batch_bytes:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield batch_of(rows)
                         rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield batch_of(rows)
 
-    return archives.select("path", "content").mapInPandas(expand, MEMBER_SCHEMA)
+    return archives.select("path", "content").mapInArrow(expand, MEMBER_SCHEMA)
 
 
 def archive_members(archives: DataFrame, base_depth: int = 0) -> DataFrame:
