@@ -57,3 +57,13 @@ def test_queries_meet_a_block_in_strips():
 
     parts = [part.num_rows for ids, held, part in neighbours._asked_blocks(iter([rows(5, False), rows(1300, True)]))]
     assert parts == [512, 512, 276]
+
+
+def test_vectors_of_bands_are_packed_without_loss():
+    rng = np.random.default_rng(2)
+    for kind in (np.float32, np.float64):
+        counts = rng.poisson(0.5, (30, 256)).astype(kind)
+        matrix = counts / np.linalg.norm(counts, axis=1, keepdims=True).astype(kind)
+        packed = neighbours._packed(matrix)
+        assert np.array_equal(neighbours._unpacked(pa.chunked_array([packed])), matrix)
+        assert max(map(len, packed.to_pylist())) < matrix[0].nbytes / 2
