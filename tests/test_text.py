@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -349,3 +350,13 @@ def test_reuse_gives_the_first_rows_text_to_all_copies(spark):
         "id long, hash string, extracted_text string, extraction_method string, phase1_status string")
     got = {r["id"]: r["clean_text"] for r in chunk.reuse_clean_by_hash(rows).collect()}
     assert got == {1: "a b", 2: "a b", 3: "a||||b", 4: "c"}
+
+
+def test_long_runs_of_white_space_inside_a_text_take_linear_time(spark):
+    run = "　" * 200_000
+    row = spark.createDataFrame([(f" a{run}b ", f"a{run}b{run}\nPage 1\r\nc")], "one string, two string")
+    begin = time.monotonic()
+    got = row.select(
+        tx.strip(F.col("one")), tx.normalize_whitespace(tx.remove_boilerplate(F.col("two"))), tx.is_blank(F.col("one"))).first()
+    assert tuple(got) == (f"a{run}b", f"a{run}b\nc", False)
+    assert time.monotonic() - begin < 15
