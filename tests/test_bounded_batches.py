@@ -67,3 +67,19 @@ def test_vectors_of_bands_are_packed_without_loss():
         packed = neighbours._packed(matrix)
         assert np.array_equal(neighbours._unpacked(pa.chunked_array([packed])), matrix)
         assert max(map(len, packed.to_pylist())) < matrix[0].nbytes / 2
+
+
+def test_rows_that_visit_every_cell_are_sent_a_bounded_number_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pivots = neighbours.unit_rows(1.0 + 0.01 * rng.standard_normal((40, 8)))
+    x = 1.0 + 0.01 * rng.standard_normal((6000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(x))]), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vector"])
+    frame = spark.createDataFrame([("0", [1.0])], "id string, vector array<double>")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, function, schema: function)
+    run = neighbours._assign_cells(frame, pivots, np.full(len(pivots), 1.0), 0.5)
+    sent = list(run(iter([batch])))
+    home = (neighbours.unit_rows(x) @ pivots.T).argmax(axis=1)
+    places = sorted((r["id"], r["cell"], r["visitor"]) for b in sent for r in b.select(["id", "cell", "visitor"]).to_pylist())
+    want = [(str(i), int(c), c != h) for i, h in enumerate(home) for c in range(h, len(pivots))]
+    assert places == sorted(want)
+    assert max(b.num_rows for b in sent) <= 4096
