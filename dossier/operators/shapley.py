@@ -35,22 +35,35 @@ def _weights(signals: int) -> tuple[np.ndarray, np.ndarray]:
     return inside, outside
 
 
+def _add(total: np.ndarray, tree: Tree, row: np.ndarray, node: np.ndarray, present: np.ndarray, absent: np.ndarray,
+         worth: np.ndarray, ones: np.ndarray) -> None:
+    """Add what the leaves give to the signals in A or B; the others get nothing from them."""
+    worth = worth[:, ones[present], ones[absent]]
+    for signal in range(total.shape[1]):
+        own = np.flatnonzero((present | absent) >> signal & 1)
+        if not len(own):
+            continue
+        rows, at = row[own], node[own]
+        value = worth[absent[own] >> signal & 1, own]
+        for c in range(total.shape[2]):
+            total[:, signal, c] += np.bincount(rows, value * tree.probability[at, c], len(total))
+
+
 def shapley_values(x: np.ndarray, background: np.ndarray, trees: list[Tree]) -> np.ndarray:
     """(row, signal, class) values of the forest's mean probabilities."""
     signals = x.shape[1]
-    inside, outside = _weights(signals)
+    worth = np.stack(_weights(signals))
+    ones = np.array([m.bit_count() for m in range(1 << signals)])
     bits = 1 << np.arange(signals)
     total = np.zeros((len(x), signals, trees[0].probability.shape[1]))
     for tree in trees:
+        ends = []
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         present = absent = np.zeros(len(x), np.int64)
         while len(row):
             leaf = tree.left[node] < 0
             if leaf.any():
-                a, b = (present[leaf, None] & bits) > 0, (absent[leaf, None] & bits) > 0
-                sizes = a.sum(1), b.sum(1)
-                value = a * inside[sizes][:, None] + b * outside[sizes][:, None]
-                np.add.at(total, row[leaf], value[:, :, None] * tree.probability[node[leaf]][:, None, :])
+                ends.append((row[leaf], node[leaf], present[leaf], absent[leaf]))
                 row, node, present, absent = row[~leaf], node[~leaf], present[~leaf], absent[~leaf]
             feature = tree.feature[node]
             own = x[row, feature] <= tree.threshold[node]
@@ -64,6 +77,8 @@ def shapley_values(x: np.ndarray, background: np.ndarray, trees: list[Tree]) ->
             row, node = np.concatenate([row, row[parts]]), np.concatenate([ahead, aside])
             absent = np.concatenate([absent, absent[parts] | bit[parts]])
             present = np.concatenate([np.where(parts, present | bit, present), present[parts]])
+        if ends:
+            _add(total, tree, *map(np.concatenate, zip(*ends)), worth, ones)
     return total / len(trees)
 
 
