@@ -278,3 +278,32 @@ def test_dbscan_counts_copies_as_points(spark):
 
 def test_similar_chunks_of_an_unknown_id(spark):
     assert vectors.similar_chunks(frame(spark, clustered(1, 2, 3)), "nobody").count() == 0
+
+
+def test_every_vector_goes_to_few_tasks():
+    """What was sent to each of many cells: a row goes out once per block of the other side, and blocks are bounded."""
+    for rows, asking in ((10 ** 4, 10 ** 4), (300_000, 70_000), (3_300_000, 780_000), (10 ** 9, 50), (3, 2)):
+        across, down = neighbours._grid(rows, asking, 65_536, 12)
+        assert -(-rows // across) <= 65_536 and 1 <= down <= asking
+        assert rows * asking / (across * down) <= neighbours.PRODUCTS or down == asking
+    assert neighbours._grid(3_300_000, 780_000, 65_536, 12)[1] <= 8  # before: every cell it could not rule out, most of 806
+
+
+@pytest.mark.parametrize("columns", [64, 8192])
+def test_held_vectors_give_the_best_of_many_copies(monkeypatch, columns):
+    """Copies and near copies beyond k: the products alone cannot order them."""
+    monkeypatch.setattr(neighbours, "MET_COLUMNS", columns)
+    rng = np.random.default_rng(6)
+    one = sparse_texts(7, 1)
+    known = np.vstack([np.repeat(one, 150, axis=0), one + 1e-7 * rng.standard_normal((150, 256)), sparse_texts(8, 200), np.zeros((9, 256))])
+    known = known[rng.permutation(len(known))].astype(np.float32)
+    ids = [f"v{i:04d}" for i in rng.permutation(len(known))]
+    asked = neighbours.unit_rows(np.vstack([one, sparse_texts(9, 20), np.zeros((1, 256)), -one]))
+    scores, k = np.round(asked @ neighbours.unit_rows(known).T, 12), 5
+    held = neighbours.HeldVectors(ids, [known[:77], known[77:]], k)
+    assert len(held.ids) < len(ids) - 140
+    for bound in (np.full(len(asked), -1.0), np.sort(scores[:, :40], axis=1)[:, -k]):
+        q, row, score = held.search(asked, bound)
+        for i in range(len(asked)):
+            want = sorted(range(len(ids)), key=lambda j: (-scores[i, j], ids[j]))[:k]
+            assert [(held.ids[r], s) for r, s in zip(row[q == i], score[q == i])] == [(ids[j], scores[i, j]) for j in want]
