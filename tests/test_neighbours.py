@@ -307,3 +307,19 @@ def test_held_vectors_give_the_best_of_many_copies(monkeypatch, columns):
         for i in range(len(asked)):
             want = sorted(range(len(ids)), key=lambda j: (-scores[i, j], ids[j]))[:k]
             assert [(held.ids[r], s) for r, s in zip(row[q == i], score[q == i])] == [(ids[j], scores[i, j]) for j in want]
+
+
+def test_pairs_of_vectors_without_structure_meet_in_large_blocks(spark, monkeypatch):
+    """Cells rule nothing out there, and a row was sent to nearly all of them."""
+    rng = np.random.default_rng(12)
+    matrix = np.vstack([rng.standard_normal((500, 24)), clustered(3, 1, 100, noise=0.05)])
+    table = frame(spark, matrix, "id")
+    monkeypatch.setattr(neighbours, "LARGE_FROM", 400)
+    monkeypatch.setattr(neighbours, "MET_COLUMNS", 50)
+    cells = neighbours.Cells(table, 0.6, 8)
+    assert cells.large and cells.deep is None
+    sent = neighbours.tiles(cells.placed(table), cells.block_rows, cells.rows).count()
+    assert sent <= 10 * len(matrix)  # 75 cells before
+    assert found(cells.compare(table, neighbours._emit_pairs, neighbours.PAIR_SCHEMA)) == brute(matrix, 0.6)
+    apart = frame(spark, clustered(5, 40, 15, dims=64, noise=0.02), "id")
+    assert not neighbours.Cells(apart, 0.95, 8).large  # clusters stay in their cells
