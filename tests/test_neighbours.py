@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import cluster, neighbours, vectors
+from dossier.plans import registry
 
 
 def clustered(seed, groups, each, dims=24, noise=0.25):
@@ -130,6 +131,42 @@ def test_copies_are_linked_as_a_star(spark):
     assert found(pairs) - {(a, b) for a, b, _ in star} == brute(base, 0.99)
 
 
+@pytest.mark.parametrize("method", ["exact", "lsh"])
+def test_every_copy_is_in_every_pair(spark, monkeypatch, method):
+    monkeypatch.setattr(vectors, "COPIES_BLOCK", 4)
+    base = clustered(7, 4, 3, noise=0.02)
+    matrix = np.vstack([base, np.repeat(base[:1], 11, axis=0), np.repeat(base[1:2], 6, axis=0), base[5:6], np.zeros((2, 24))])
+    want = brute(matrix, 0.97)
+    got = found(vectors.near_duplicate_pairs(frame(spark, matrix), 0.97, method=method, copies="all"))
+    star = found(vectors.near_duplicate_pairs(frame(spark, matrix), 0.97, method=method))
+    assert len(star) < len(got)
+    assert got == want if method == "exact" else got <= want and len(got) > 0.9 * len(want)
+
+
+def test_every_copy_of_ids_that_repeat_or_are_null(spark):
+    """As a join of all rows with all rows of a larger id."""
+    rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 0.0]), ("b", [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.6, 0.8]),
+            ("c", [0.1, 1.0]), ("c", None), ("d", [0.0, 1.0]), ("d", [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "chunk_id string, vector array<double>")
+    got = sorted((r[0], r[1], round(r[2], 6)) for r in vectors.near_duplicate_pairs(table, 0.9, copies="all").collect())
+    near = round(1 / np.sqrt(1.01), 6)
+    assert got == [("a", "b", 1.0), ("a", "b", 1.0), ("a", "c", near), ("a", "d", 1.0), ("c", "d", near)]
+
+
+def test_text_queries_give_every_pair_of_copies():
+    """The queries on texts ask for all copies."""
+    for name in ("near_duplicate_text_pairs", "near_duplicate_lsh"):
+        asked = {}
+
+        class Stages:
+            text_vectors = "texts"
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(registry.vectors, "near_duplicate_pairs", lambda *a, **k: asked.update(k))
+            getattr(registry, name)(Stages)
+        assert asked["copies"] == "all"
+
+
 def test_zero_vectors_pair_with_nothing(spark):
     matrix = np.vstack([np.zeros((3, 24)), clustered(1, 2, 3)])
     assert found(vectors.near_duplicate_pairs(frame(spark, matrix), 0.5)) == brute(matrix, 0.5)
