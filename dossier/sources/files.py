@@ -8,11 +8,14 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, rules, text as tx
+from ..functions.storage import written
 from ..operators import inventory
 from ..operators.keyed import top_per_key
 
@@ -23,28 +26,113 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 MAX_CONTENT = 2 ** 31 - 1  # Spark reads no longer file into one value
+WHOLE = 1 << 25  # bytes of a file that is read into one value
+MAX_LINE = 1 << 26  # bytes of a line; a file with a longer one is read into one value
+#: Names by which Spark's line reader would decompress a file.
+CODECS = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)$"
+_BOM = b"\xef\xbb\xbf"
+
+
+def _plain(path: str) -> str:
+    """A path as listed, from the encoded form of ``_metadata.file_path``."""
+    return re.sub("^file:/*", "/", unquote(path))
+
+
+def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, hash) of files that come line by line, in order (file_path, file_size, value).
+
+    The reader drops a byte order mark at the beginning, and a last line end:
+    the size tells whether there was one.  Without a hash, lines were left out.
+    """
+    now, size, held, sums = None, 0, 0, []
+
+    def done() -> pa.RecordBatch:
+        found = None
+        for mark, digest in zip((0, len(_BOM)), sums):
+            if size - held - mark in (0, 1):
+                digest.update(b"\n" * (size - held - mark))
+                found = digest.hexdigest()
+                break
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now], pa.string()), pa.array([_plain(now)], pa.string()), pa.array([found], pa.string())],
+            names=["file_path", "path", "hash"])
+
+    for batch in batches:
+        paths = batch.column("file_path").dictionary_encode()
+        files = paths.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1), len(files)]
+        for begin, end in zip(edges, edges[1:]):
+            if begin == end:
+                continue
+            path = paths.dictionary[int(files[begin])].as_py()
+            text = b"\n".join(batch.column("value").slice(begin, end - begin).to_pylist())
+            if path == now:
+                text = b"\n" + text
+            else:
+                if now is not None:
+                    yield done()
+                now, size, held = path, batch.column("file_size")[begin].as_py(), 0
+                sums = [hashlib.sha256(), hashlib.sha256(_BOM)]
+            held += len(text)
+            for digest in sums:
+                digest.update(text)
+    if now is not None:
+        yield done()
+
+
+def _large_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, hash) of the files longer than WHOLE.
+
+    A task reads one of them from its beginning to its end through Spark's line
+    reader, so it holds a batch of lines, never the file.  The few files that
+    cannot be read that way are read into one value.
+    """
+    reader = spark.newSession()  # its own sizes of splits: a whole file, and no two of them
+    for name, value in (("maxPartitionBytes", 1 << 40), ("openCostInBytes", 1 << 40)):
+        reader.conf.set(f"spark.sql.files.{name}", str(value))
+    meta = {n: F.col(f"_metadata.{n}") for n in ("file_path", "file_size")}
+    lines = (
+        reader.read.options(**{
+            "recursiveFileLookup": True, "lineSep": "\n", "ignoreCorruptFiles": True,
+            "mapreduce.input.linerecordreader.line.maxlength": MAX_LINE}).text(root)
+        .filter((meta["file_size"] > WHOLE) & ~meta["file_path"].rlike(CODECS))
+        .select(*[c.alias(n) for n, c in meta.items()], F.col("value").cast("binary").alias("value"))
+    )
+    hashed = written(lines.mapInArrow(_hashed_lines, "file_path string, path string, hash string"), "file-hashes")
+    found = spark.read.schema(hashed.schema).parquet(*hashed.inputFiles()).filter("hash IS NOT NULL")  # in the caller's session
+    raw, codec, long = read_files(spark, root), meta["file_path"].rlike(CODECS), F.col("length") > WHOLE
+    left = raw.filter(long & ~codec).select(meta["file_path"].alias("file_path")).join(found, "file_path", "left_anti")
+    names = [r[0] for r in left.collect()]
+    rest = raw.filter((codec | meta["file_path"].isin(names) if names else codec) & long & (F.col("length") <= MAX_CONTENT)).select(
+        F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("hash"))
+    return found.select("path", "hash").unionByName(rest)
 
 
 def scan_inventory(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
     """Recursive inventory of ``root`` on any file system Spark can read.
 
     Spark lists no empty files; ``walk_inventory`` does, on a shared mount.
-    Content is read only when hashes are wanted; files too long for one value
-    get the code ``error_too_large``.  Creation and access times are not listed
+    Content is read only when hashes are wanted, that of a file over WHOLE bytes
+    in pieces; files that can only be read into one value and are too long for
+    it get the code ``error_too_large``.  Creation and access times are not listed
     by file systems in general and stay null.
     """
     raw = read_files(spark, root)
     listed = raw.select("path", "length", "modificationTime")
+    plain = F.regexp_replace("path", "^file:/*", "/")
     if with_hash:
-        small = raw.filter(F.col("length") <= MAX_CONTENT).select(
-            "path", "length", "modificationTime", F.sha2("content", 256).alias("hash"))
-        large = listed.filter(F.col("length") > MAX_CONTENT).withColumn("hash", F.lit("error_too_large"))
-        hashed = small.unionByName(large)
+        small = raw.filter(F.col("length") <= WHOLE).select(
+            plain.alias("path"), "length", "modificationTime", F.sha2("content", 256).alias("hash"))
+        large = listed.filter(F.col("length") > WHOLE).withColumn("path", plain)
+        if large.limit(1).count():
+            large = large.join(_large_hashes(spark, root), "path", "left").withColumn(
+                "hash", F.coalesce("hash", F.lit("error_too_large")))
+            small = small.unionByName(large)
+        hashed = small
     else:
-        hashed = listed.withColumn("hash", F.lit(None).cast("string"))
-    plain = F.regexp_replace("path", "^file:/*", "/")
+        hashed = listed.withColumn("path", plain).withColumn("hash", F.lit(None).cast("string"))
     files = hashed.select(
-        plain.alias("path"), F.col("length").alias("size_bytes"),
+        "path", F.col("length").alias("size_bytes"),
         F.lit(None).cast("timestamp_ntz").alias("created_time"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified_time"),
         F.lit(None).cast("timestamp_ntz").alias("access_time"),
